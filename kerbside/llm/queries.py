@@ -3,21 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbside.llm import simhash
+from kerbside.llm import decontaminate, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the benchmark items."""
+    found = decontaminate.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("contaminated")).alias("contaminated"), "longest")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
