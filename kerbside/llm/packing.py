@@ -194,7 +194,7 @@ class Bins:
 
 def plan(counts: dict[int, int], capacity: int = 4096, groups: int = 64, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """Places for a histogram of lengths: (length, rank, number, first bin, offset); rank r + i goes to bin first + i."""
-    small = capacity // 8 if small is None else small
+    small = capacity // 4 if small is None else small
     bins = Bins(capacity)
     rest = dict(counts)
     if full := rest.pop(capacity, 0):
