@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, packing, simhash
+from kerbside.llm import decontaminate, packing, ppm, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("contaminated")).alias("contaminated"), "longest")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of 20 words."""
+    found = substring.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of documents under a byte model, with the word model's score."""
+    return ppm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -37,6 +48,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_substring": op4_substring,
+    "op6_ppm": op6_ppm,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
 }
