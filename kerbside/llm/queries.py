@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, packing, ppm, simhash, substring
+from kerbside.llm import decontaminate, packing, ppm, quality, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizer("word_bpe_49k.json"))
 
 
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by quality rules, their hosts' verdicts joined back."""
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id", "source"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_substring": op4_substring,
     "op6_ppm": op6_ppm,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
