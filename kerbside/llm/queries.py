@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, packing, ppm, quality, simhash, substring
+from kerbside.llm import decontaminate, line_dedup, packing, ppm, quality, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that nearly repeat an earlier one."""
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_substring": op4_substring,
@@ -60,6 +67,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
