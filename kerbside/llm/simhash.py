@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise, shuffle_partitions, slices, utf8
+from kerbside.llm.common import materialise, shuffle_partitions, slices, small_or_shuffled, utf8
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -172,11 +172,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **params) -> DataFrame:
     """docs without the rows whose component has a smaller id; of equal ids all or none stay, null ids stay.
 
     Columns of docs pass through unchanged, whatever their names.
     """
     found = near_duplicates(docs, id_col, text_col, **params)
     later = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__later")).distinct()
-    return docs.join(later, docs[id_col] == later["__later"], "left_anti")
+    later = small_or_shuffled(materialise(later, "simhash-later"), broadcast_rows)
+    return docs.join(later, docs[f"`{id_col}`"] == later["__later"], "left_anti")
