@@ -7,22 +7,45 @@ stands in many documents costs one entry a block, so hot keys are aggregated bef
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import shuffle_partitions
 
-#: Blocks and buckets for each shuffle partition: enough for hashing to spread them evenly.
-SPREAD = 4
+#: Blocks for each shuffle partition; there is one bucket for each.
+BLOCKS_EACH = 2
+
+
+def even_labels(spark: SparkSession, partitions: int, each: int) -> list[int]:
+    """Numbers that Spark's hash partitioning deals out evenly: ``each`` for every one of ``partitions``."""
+    found: list[list[int]] = [[] for _ in range(partitions)]
+    spare: list[int] = []
+    tried = spark.range(int(partitions * each * (8 + math.log(partitions + 1)))).select(F.col("id").cast("int").alias("label"))
+    for label, part in tried.select("label", F.pmod(F.hash("label"), F.lit(partitions))).collect():
+        (found[part] if len(found[part]) < each else spare).append(label)
+    missing = partitions * each - sum(map(len, found))
+    return sorted([x for part in found for x in part] + spare[:missing])
+
+
+class Deal:
+    """How documents are dealt into blocks and keys into buckets: labels[k] stands for the k-th in the columns Spark hashes."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        n = shuffle_partitions(spark)
+        self.blocks, self.buckets = even_labels(spark, n, BLOCKS_EACH), even_labels(spark, n, 1)
+        self.block_at = {label: k for k, label in enumerate(self.blocks)}
+        self.bucket_at = {label: k for k, label in enumerate(self.buckets)}
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(block, id, text) partitioned by block, and the number of blocks. Blocks are ascending ranges of ids;
-    null ids go to the first. One exchange, used again by all that read it."""
+def dealt(docs: DataFrame, deal: Deal, id_col: str, text_col: str) -> DataFrame:
+    """(block, id, text) partitioned by block. Blocks are ascending ranges of ids; null ids go to the first.
+    One exchange, used again by all that read it."""
     spark = docs.sparkSession
-    n = SPREAD * shuffle_partitions(spark)
+    n = len(deal.blocks)
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)], 100 * n)).first()[0] or []
     cuts = sorted(set(cuts))
     # position of the range by binary search in a constant array: few comparisons, whatever the number of blocks
@@ -41,7 +64,8 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
 
         block = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), found, halve)["lo"], F.lit(0))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
-    return keyed.select("block", "id", "text").repartition(shuffle_partitions(spark), "block"), n
+    label = F.get(F.from_json(F.lit(str(deal.blocks)), "array<int>"), F.col("block"))
+    return keyed.select(label.alias("block"), "id", "text").repartition(shuffle_partitions(spark), "block")
 
 
 def packed(keys: np.ndarray) -> bytes:

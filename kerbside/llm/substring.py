@@ -97,8 +97,8 @@ class Block:
 def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """A row for each row of docs: id, n_words, n_removed, intervals (maximal, [from, to) in words), kept_sha256 and, with_text, kept_text (kept words joined
     by one space)."""
-    dealt, n_blocks = blocks.dealt(docs, id_col, text_col)
-    buckets = n_blocks
+    deal = blocks.Deal(docs.sparkSession)
+    dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
 
     def emit(table: pa.Table) -> pa.Table:
         block = Block(blocks.sorted_block(table), width)
@@ -106,10 +106,10 @@ def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
         full = np.flatnonzero(np.diff(edges))
         number = table.column(0)[0].as_py()
         spans = [(edges[k], edges[k + 1]) for k in full]
-        return pa.table([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int32()), pa.array([blocks.packed(block.lane1[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(block.lane2[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "lane1", "lane2"])
+        return pa.table([pa.array([deal.buckets[k] for k in full], pa.int32()), pa.array([number] * len(full), pa.int32()), pa.array([blocks.packed(block.lane1[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(block.lane2[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "lane1", "lane2"])
 
     def decide(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
+        table = table.take(np.argsort([deal.block_at[x] for x in table.column("block").to_pylist()]))
         one = [blocks.unpacked(x) for x in table.column("lane1").to_pylist()]
         two = np.concatenate([blocks.plane_array(x, np.uint32) for x in table.column("lane2").to_pylist()])
         sizes, one = list(map(len, one)), np.concatenate(one)
@@ -127,7 +127,7 @@ def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
         if block:
             edges = blocks.bucket_edges(block.lane1, buckets)
             earlier = np.zeros(len(block.lane1), bool)
-            for k, bits in zip(right.column("bucket").to_pylist(), right.column("earlier").to_pylist()):
+            for k, bits in zip(map(deal.bucket_at.get, right.column("bucket").to_pylist()), right.column("earlier").to_pylist()):
                 n = edges[k + 1] - edges[k]
                 earlier[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
             for (key, _), words, gone in zip(block.rows, block.words, block.intervals(earlier)):
