@@ -15,6 +15,7 @@ own; null ids stay null.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -26,17 +27,23 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import default_env, materialise, shuffle_partitions, slices, utf8
 
-#: Words whose ids a worker keeps; when full, the store starts anew.
-KEPT_WORDS = 500_000
+#: Words, and words without what stands after them, whose ids a worker keeps; when full, a store starts anew.
+KEPT_WORDS, KEPT_STEMS = 400_000, 1_200_000
+#: ASCII characters that end a word's last letters for the vocabulary's splitter.
+TAIL = b".,;:!?)]}\"*#%$&|<>-"
+#: Stems encoded in one call.
+AT_ONCE = 500
 END_ID = 1
 
 _encoders: dict = {}
 
 
-class _Encoder(dict):
-    """Word (split at ASCII white space) -> its ids as little-endian unsigned 32-bit bytes.
+class _Encoder:
+    """words: word (split at ASCII white space, A-Z lower-cased) -> its ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's normaliser and splitter never join across white space, so ids of a text are those of its words.
+    The vocabulary lower-cases, and its normaliser and splitter never join across white space, so ids of a text are those of its words; nor
+    does its splitter join a letter and the punctuation after it. Words of letters only are encoded many in a call: each ends at an id
+    that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,30 +51,91 @@ class _Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        known = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[k for word, k in known.items() if word.endswith("</w>")]] = True
+
+    def plain(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_stems(self, stems: list[bytes]) -> None:
+        letters = []
+        for stem in stems:
+            if stem.isalpha() or unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha():
+                letters.append(stem)
+            else:
+                self.stems[stem] = self.plain(stem)
+        for at in range(0, len(letters), AT_ONCE):
+            some = letters[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                for stem, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                    self.stems[stem] = raw[4 * a : 4 * b]
+            else:
+                for stem in some:
+                    self.stems[stem] = self.plain(stem)
+
+    def learn(self, words: set[bytes]) -> None:
+        cut = []
+        for word in words:
+            stem = word.rstrip(TAIL)
+            if len(stem) < len(word) and stem and not stem[-1:].isalpha() and not stem.decode("utf-8", "replace")[-1].isalpha():
+                stem = word
+            cut.append((word, stem))
+        tails = {w[len(s) :] for w, s in cut}
+        if len(self.stems) > KEPT_STEMS:
+            self.stems.clear()
+        self.learn_stems([x for x in {s for _, s in cut} | tails if x and x not in self.stems])
+        self.stems[b""] = b""
+        for word, stem in cut:
+            self.words[word] = self.stems[stem] + self.stems[word[len(stem) :]]
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        missing = [w for w in set(words) if w not in self]
-        if missing:
-            if len(self) + len(missing) > KEPT_WORDS:
-                self.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        if b"<|" in text:  # perhaps a special token, whose case counts
+            return self.plain(text)
+        words = text.lower().split()
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            pass
+        missing = set(words).difference(self.words)
+        if len(self.words) + len(missing) > KEPT_WORDS:
+            self.words.clear()
+            missing = set(words)
+        self.learn(missing)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def prepare(self, texts: list[bytes]) -> None:
+        """Learn the words of many texts at once."""
+        missing = {w for t in texts if t and b"<|" not in t for w in t.lower().split()}.difference(self.words)
+        if missing and len(self.words) + len(missing) > KEPT_WORDS and len(missing) <= KEPT_WORDS // 4:
+            self.words.clear()
+        if missing and len(self.words) + len(missing) <= KEPT_WORDS:
+            self.learn(missing)
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each path and Python worker; called by name, so that it outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the end id closes each document; only longer ones are cut."""
 
     def run(batches):
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = _Encoder(tokenizer_path)
-        encoder, end = _encoders[tokenizer_path], np.array([END_ID], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for key, text in zip(part.column(0).to_pylist(), utf8(part.column(1)).to_pylist()):
+                texts = utf8(part.column(1)).to_pylist()
+                encoder.prepare(texts)
+                for key, text in zip(part.column(0).to_pylist(), texts):
                     ids = encoder.ids(text or b"") + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
