@@ -57,13 +57,13 @@ def ruled(rules: tuple[tuple[str, str], ...]) -> Column:
 
 
 def _share(text: Column, kind: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(kind)) / F.length(text), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(kind)), F.length(text)), F.lit(0.0))
 
 
 def _entropy(text: Column) -> Column:
     """Bits per character."""
     chars, n = F.split(text, ""), F.length(text)
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
+    each = F.transform(F.array_distinct(chars), lambda c: F.try_divide(F.size(F.filter(chars, lambda d: d == c)), n))
     return F.coalesce(F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))), F.lit(0.0))
 
 
