@@ -232,6 +232,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     archives = materialise(archived(placed(pages, id_col, url_col, payload_col, least_bytes), f"{folder}/raw"), "warc-archives")
     index = materialise(normalised(archives.repartition(shuffle_partitions(spark), "archive"), f"{folder}/raw", f"{folder}/records"), "warc-index")
     found = materialise(read_records(index.repartition(shuffle_partitions(spark), "archive").sortWithinPartitions("archive", "offset"), f"{folder}/records"), "warc-read")
-    responses = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("response")).agg(F.max("payload_bytes").alias("response_bytes"), F.max("payload_digest").alias("response_digest"))
-    back = found.join(responses, found["refers_to"] == responses["response"], "left")
-    return back.select(F.col("page_id").alias(id_col), F.coalesce("payload_bytes", "response_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "response_digest").alias("payload_digest"), "record_type", "refers_to")
+    columns = [F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = found.filter("record_type = 'response'")
+    own = responses.groupBy(F.col("page_id").alias("response")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    revisits = found.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")  # apart: all responses refer to nothing, one hot key
+    return responses.select(*columns).unionByName(revisits.join(own, F.col("refers_to") == F.col("response"), "left").select(*columns))
