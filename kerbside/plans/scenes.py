@@ -55,7 +55,7 @@ def _asof(spark, sf_dir):
 
 
 def radar_asof(spark, sf_dir):
-    return _asof(spark, sf_dir).select("camera_id", "frame_id", "sweep_id", "skew_ms", (F.abs("skew_ms") > 400).alias("skewed"))
+    return _asof(spark, sf_dir).select("camera_id", "frame_id", "sweep_id", "skew_ms", F.coalesce(F.abs("skew_ms") > 400, F.lit(False)).alias("skewed"))
 
 
 def skew_alerts(spark, sf_dir):
@@ -238,7 +238,7 @@ ORACLE_SQL = {
  select f.camera_id, f.frame_id, coalesce(s.ids, '') hazards from fx_frames f asof left join st s on f.camera_id=s.camera_id and f.frame_id>=s.frame_id""", "fx_hazards", "fx_detections", "fx_frames"),
     "radar_points": oracle("""select * from (select camera_id, sweep_id, obj_idx, cast(trunc(case when camera_id%2=0 then x_norm_long else x_norm_short end*1920) as int) x_px,
  cast(trunc(case when camera_id%2=0 then y_norm_long else y_norm_short end*1080) as int) y_px from fx_radar) where x_px>0 and y_px>0""", "fx_radar"),
-    "radar_asof": oracle(_ASOF + " select camera_id, frame_id, sweep_id, skew_ms, abs(skew_ms)>400 skewed from ao", "fx_frames", "fx_radar"),
+    "radar_asof": oracle(_ASOF + " select camera_id, frame_id, sweep_id, skew_ms, coalesce(abs(skew_ms)>400, false) skewed from ao", "fx_frames", "fx_radar"),
     "skew_alerts": oracle(_ASOF + " select camera_id, frame_id, ts_ms, skew_ms, 324 code from (select *, row_number() over (partition by camera_id, ts_ms//20000 order by ts_ms) k from ao where abs(skew_ms)>400) where k=1", "fx_frames", "fx_radar"),
     "softmax_argmax": "select vec_id, cast(list_position(l, list_max(l)) as int) cls, round(1/list_sum(list_transform(l, lambda x: exp(x::double-list_max(l)::double))),6) prob from (select vec_id, embedding[1:9] l from embeddings)",
     "color_majority": oracle(""", r as (select *, sum(case when confidence>0.95 then 3 else 1 end) over (partition by track_id, color order by vote_seq) hits from fx_color_votes),
