@@ -13,8 +13,8 @@ A line goes if an earlier line has at least that Jaccard with it. Lines with few
 Rarity is counted over all documents, in 8,192 token buckets: a fixed-size table, whatever the corpus. A token's order is its bucket's rank,
 then its hash, the same everywhere, which is all that the filters need.
 
-Null and empty texts have no words. Documents are told apart by id and text: equal rows are one document, whose lines go or stay in all of
-them; rows of one id with different texts are different documents in the order of a hash. Rows without an id come
+Null and empty texts have no words. Documents are told apart by id and 31 bits of their text's hash: equal rows are one document, whose lines go or stay in all of
+them; rows of one id with different texts are different documents in the order of that hash. Rows without an id come
 first. An empty table gives an empty result. Columns pass through, whatever their names.
 """
 
@@ -25,10 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise
-from kerbside.llm.quality import words_of
+from kerbside.llm.common import materialise, small_or_shuffled
 
 BUCKETS = 1 << 13
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ def _up(a: Column, b: int) -> Column:
 
 def rarity(texts: DataFrame) -> list[int]:
     """For each token bucket its rank by the number of words in it, rarest first: BUCKETS numbers."""
-    buckets = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int"))
-    counts = {r.bucket: r.n for r in texts.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    words = texts.select(F.explode(F.split("text", BLANK)).alias("word")).filter("word <> ''")
+    counts = {r.bucket: r.n for r in words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
     for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
         ranks[bucket] = rank
@@ -55,101 +55,123 @@ def rarity(texts: DataFrame) -> list[int]:
 
 
 def line_sets(texts: DataFrame, ranks: list[int], params: LineParams) -> DataFrame:
-    """(doc, line, key, n, sig, probe): of each line with enough distinct words the set's key, size, parity signature and probe prefix."""
+    """(id, place, key, n, sig, probe): of each line with enough distinct words where it is, its set's key, size, parity signature and probe prefix."""
     num, den = params.num, params.den
     table = F.from_json(F.lit(str(ranks)), "array<int>")  # folded to a constant
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    hashed = lines.select("doc", "line", F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).alias("set")).filter(F.size("set") >= params.min_tokens)
-    rank = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
-    ordered = hashed.select("doc", "line", "set", F.sort_array(F.transform("set", rank)).alias("order"))
-    n = F.size("order")
-    return ordered.select(
-        "doc",
-        "line",
-        F.xxhash64(F.sort_array("set")).alias("key"),
+    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+    def token(w: Column) -> Column:
+        """The word's rank and 40 bits of its hash; the rank holds the other 13."""
+        h = F.xxhash64(w)
+        return F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
+
+    words = lines.select("id", "h", "line", F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), BLANK).alias("words"))
+    # the partition's number keeps Catalyst from moving the filter down, where it would make every set a second time
+    sets = words.select("id", "h", "line", F.array_distinct(F.sort_array(F.transform("words", token))).alias("set"), F.spark_partition_id().alias("part"))
+    sets = sets.filter((F.size("set") >= params.min_tokens) & (F.col("part") >= 0))
+    n = F.size("set")
+    return sets.select(
+        "id",
+        F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32).bitwiseOR(F.col("line").cast("long")).alias("place"),
+        F.xxhash64("set").alias("key"),
         n.alias("n"),
-        F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))).alias("sig"),
-        F.transform(F.slice("order", F.lit(1), n - _up(n * num, den) + 1), lambda x: F.hash(x)).alias("probe"),  # short tokens: a clash only adds candidates
+        F.aggregate("set", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))).alias("sig"),
+        F.transform(F.slice("set", F.lit(1), n - _up(n * num, den) + 1), lambda t: F.hash(t)).alias("probe"),  # short tokens: a clash only adds candidates
     )
 
 
-def candidates(classes: DataFrame, params: LineParams) -> DataFrame:
-    """(x, y): keys of classes that may match, each pair once."""
+def candidates(classes: DataFrame, params: LineParams, wanted: str | None = None) -> DataFrame:
+    """(x_id, x_place, y_id, y_place): first lines of classes that may match, the earlier one as x; classes: (at, n, sig, probe).
+
+    wanted: a boolean column of classes; only pairs whose later line has it are made.
+    """
     num, den = params.num, params.den
-    spread = classes.select("key", "n", "sig", F.posexplode("probe").alias("pos", "token"))
+    marks = [wanted] if wanted else []
+    spread = classes.select("at", "n", "sig", *marks, F.posexplode("probe").alias("pos", "token"))
     indexed = F.col("pos") < F.col("n") - _up(F.col("n") * (2 * num), num + den) + 1
-    dealt = spread.select("token", "key", "sig", "n", "pos", F.when(indexed, F.col("n")).otherwise(F.lit((1 << 31) - 1)).alias("as_index"))
+    dealt = spread.select("token", "at.id", "at.place", "sig", "n", "pos", *marks, F.when(indexed, F.col("n")).otherwise(F.lit((1 << 31) - 1)).alias("as_index"))
     y, x = dealt.alias("y"), dealt.alias("x")
     c = F.col
     overlap = _up((c("x.n") + c("y.n")) * num, num + den)
+    at = lambda t: F.struct(c(f"{t}.id").alias("id"), c(f"{t}.place").alias("place"))
     condition = (
         (c("x.token") == c("y.token"))
         & (c("y.n") >= c("x.as_index"))  # the longer line probes; the shorter is indexed by its shorter prefix
-        & ((c("y.n") > c("x.n")) | (c("y.key") > c("x.key")))
+        & ((c("y.n") > c("x.n")) | (at("y") > at("x")))
         & (c("x.n") * den >= c("y.n") * num)
         & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
         & (F.bit_count(c("x.sig").bitwiseXOR(c("y.sig"))) <= c("x.n") + c("y.n") - 2 * overlap)
     )
-    return y.join(x, condition).select(F.least("x.key", "y.key").alias("x"), F.greatest("x.key", "y.key").alias("y")).distinct()
+    if wanted:
+        condition = condition & F.when(at("y") > at("x"), c(f"y.{wanted}")).otherwise(c(f"x.{wanted}"))
+    first, second = F.least(at("x"), at("y")), F.greatest(at("x"), at("y"))
+    return y.join(x, condition).select(first["id"].alias("x_id"), first["place"].alias("x_place"), second["id"].alias("y_id"), second["place"].alias("y_place"))
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast only if it has no more than so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def paired(found: DataFrame) -> DataFrame:
+    """(x, y) as structs."""
+    return found.select(*[F.struct(F.col(f"{t}_id").alias("id"), F.col(f"{t}_place").alias("place")).alias(t) for t in "xy"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, params: LineParams) -> DataFrame:
-    """The candidate pairs (x_at, y_at: document and line) whose words have the Jaccard asked for."""
-    ends = pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct()
-    needed = materialise(ends.groupBy(F.col("at.doc").alias("needed")).agg(F.collect_list("at.line").alias("lines")), "lines-needed")
-    cut = texts.join(small_or_shuffled(needed, params.broadcast_rows), F.col("doc") == F.col("needed")).select("doc", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    sets = cut.select(F.struct("doc", "line").alias("at"), F.array_distinct(words_of(F.get("all", F.col("line")))).alias("words")).dropDuplicates(["at"])
-    one = pairs.join(sets.select(F.col("at").alias("x_at"), F.col("words").alias("a")), "x_at")
-    both = one.join(sets.select(F.col("at").alias("y_at"), F.col("words").alias("b")), "y_at")
-    same = F.size(F.array_intersect("a", "b"))
-    return both.filter(same * params.den >= (F.size("a") + F.size("b") - same) * params.num).drop("a", "b")
+    """The pairs (x, y) whose words have the Jaccard asked for, judged on the words themselves."""
+    h = F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*").distinct()
+    needed = materialise(ends.groupBy(F.col("id").alias("needed"), h.alias("needed_h")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("lines")), "lines-needed")
+    mine = texts.withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
+    held = mine.join(small_or_shuffled(needed, params.broadcast_rows), F.col("id").eqNullSafe(F.col("needed")) & (F.col("own") == F.col("needed_h")))
+    cut = held.select("id", "own", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
+    lines = cut.select(F.struct("id", F.col("own").bitwiseOR(F.col("line").cast("long")).alias("place")).alias("at"), F.get("all", F.col("line")).alias("text"))
+    both = pairs.join(lines.select(F.col("at").alias("x"), F.col("text").alias("a")), "x").join(lines.select(F.col("at").alias("y"), F.col("text").alias("b")), "y")
+    words = lambda t: F.array_distinct(F.filter(F.split(t, BLANK), lambda w: w != ""))
+    sets = both.select("x", "y", words("a").alias("a"), words("b").alias("b")).withColumn("same", F.size(F.array_intersect("a", "b")))
+    return sets.filter(F.col("same") * params.den >= (F.size("a") + F.size("b") - F.col("same")) * params.num).select("x", "y")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row: all columns, text, doc: id and a hash of the text)."""
+    """(row: all columns, text, id, h: a hash of the text)."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.select(row, text.alias("text"), F.struct(docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(text).alias("h")).alias("doc"))
+    return docs.select(row, text.alias("text"), docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(text).alias("h"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineParams = LineParams()) -> DataFrame:
-    """(doc, gone, n_links): for each document (its id and a hash of its text) with any, the numbers of the lines to remove and how many
-    other classes its lines' classes match."""
-    texts = keyed(docs, id_col, text_col).select("doc", "text")
+    """(id, own, gone): for each document that loses lines its id, a hash of its text and the lines' numbers.
+
+    A line needs one earlier match to go. So one candidate of each is verified first, which settles nearly all of them; only
+    for those it does not settle are all other candidates verified.
+    """
+    texts = keyed(docs, id_col, text_col).select("id", "h", "text")
     lines = materialise(line_sets(texts, rarity(texts), params), "lines-sets")
-    classes = lines.groupBy("key", "n", "sig").agg(F.any_value("probe").alias("probe"))
-    found = materialise(candidates(classes, params), "lines-candidates")
-    matched = materialise(found.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "lines-matched")
-    firsts = lines.select("key", F.struct("doc", "line").alias("at")).join(small_or_shuffled(matched, params.broadcast_rows), "key")
-    ends = materialise(firsts.groupBy("key").agg(F.min("at").alias("at")), "lines-ends")
-    placed = found.join(ends.select(F.col("key").alias("x"), F.col("at").alias("x_at")), "x").join(ends.select(F.col("key").alias("y"), F.col("at").alias("y_at")), "y")
-    pairs = verified(placed, texts, params)
-    sides = F.array(*[F.struct(F.col(a).alias("key"), (F.col(f"{b}_at") < F.col(f"{a}_at")).alias("goes")) for a, b in ("xy", "yx")])
-    linked = pairs.select(F.explode(sides).alias("e")).groupBy("e.key").agg(F.count("*").alias("n_links"), F.max("e.goes").alias("first_goes"))
-    repeats = lines.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("times")).filter("times > 1").select("key", "at")
-    # classes that occur again or have links; the lines of all others stay
-    known = materialise(repeats.join(linked, "key", "full").select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first_goes", F.lit(False)).alias("first_goes"), "at"), "lines-known")
-    marked = lines.select("doc", "line", "key").join(small_or_shuffled(known, params.broadcast_rows), "key")
-    goes = F.col("first_goes") | (F.col("at").isNotNull() & (F.struct("doc", "line") != F.col("at")))
-    return marked.groupBy("doc").agg(F.sort_array(F.collect_set(F.when(goes, F.col("line")))).alias("gone"), F.sum("n_links").alias("n_links"))
+    first = F.min(F.struct("id", "place")).alias("at")
+    classes = lines.groupBy("key", "n", "sig").agg(first, F.any_value("probe").alias("probe"))
+    classes = classes.drop("key")
+    # plain numbers, so that Spark hashes and need not sort
+    one = candidates(classes, params).groupBy("y_id", "y_place").agg(F.first("x_id").alias("x_id"), F.first("x_place").alias("x_place"), F.count("*").alias("times"))
+    found = materialise(one, "lines-candidates")
+    settled = materialise(verified(paired(found), texts, params).select("y").distinct(), "lines-settled")
+    open_ = materialise(paired(found.filter("times > 1")).join(settled, "y", "left_anti").select("y"), "lines-open")
+    if open_.count():
+        left = small_or_shuffled(open_.withColumn("is_open", F.lit(True)), params.broadcast_rows)
+        flagged = classes.join(left, F.col("at") == F.col("y"), "left").select("at", "n", "sig", "probe", F.col("is_open").isNotNull().alias("is_open"))
+        others = paired(candidates(flagged, params, "is_open")).distinct()
+        settled = settled.unionByName(verified(materialise(others, "lines-others"), texts, params).select("y").distinct())
+    repeats = lines.groupBy("key").agg(first, F.count("*").alias("times")).filter("times > 1").select("key", "at")
+    later = lines.select("key", F.struct("id", "place").alias("place")).join(repeats, "key").filter("place <> at").select("place")
+    gone = later.unionByName(settled.select(F.col("y").alias("place"))).select("place.*")
+    return gone.groupBy("id", F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("own")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineParams = LineParams()) -> DataFrame:
-    """A row for each row of docs: ``row``, n_lines, n_removed, n_links, kept_text (null if the text is null)."""
-    gone = materialise(removals(docs, id_col, text_col, params).withColumnRenamed("doc", "known"), "lines-gone")
-    every = keyed(docs, id_col, text_col)
-    joined = every.join(small_or_shuffled(gone, params.broadcast_rows), F.col("doc") == F.col("known"), "left")
+    """A row for each row of docs: ``row``, n_lines, n_removed, kept_text (null if the text is null)."""
+    gone = materialise(removals(docs, id_col, text_col, params).select(F.col("id").alias("known"), F.col("own").alias("known_h"), "gone"), "lines-gone")
+    every = keyed(docs, id_col, text_col).withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
+    joined = every.join(small_or_shuffled(gone, params.broadcast_rows), F.col("id").eqNullSafe(F.col("known")) & (F.col("own") == F.col("known_h")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(
         "row",
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col(f"row.`{text_col}`").isNotNull(), F.when(F.size("gone") > 0, kept).otherwise(F.col("text"))).alias("kept_text"),
     )

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise
+from kerbside.llm.common import materialise, small_or_shuffled
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -95,6 +95,17 @@ def judged(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= rules.max_rate))
 
 
-def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), **columns) -> DataFrame:
-    """The rows of docs that are kept, columns as they were."""
-    return judged(docs, rules, **columns).filter("kept").select("row.*")
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that are kept, columns as they were.
+
+    Texts are measured twice, for the hosts and for the documents, so that no copy of them is written in between.
+    """
+    host = docs[f"`{host_col}`"].cast("string").alias("host")
+    few = docs.select(host, docs[f"`{text_col}`"].alias("text"))
+    seen = measured(few, rules, "text", ["host"]).select("row.host", "base_failed")
+    bad = host_rates(seen).filter(F.col("rate") > rules.max_rate).select(F.col("host").alias("h"))
+    bad = small_or_shuffled(materialise(bad, "quality-bad-hosts"), 100_000)
+    # the partition's number keeps Catalyst from moving the filter down, where every measure would be made again for each use
+    found = measured(docs, rules, text_col).withColumn("part", F.spark_partition_id()).filter(~F.col("base_failed") & (F.col("part") >= 0))
+    kept = found.join(bad, F.col(f"row.`{host_col}`").cast("string").eqNullSafe(F.col("h")), "left_anti")
+    return kept.select("row.*")

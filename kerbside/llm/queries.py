@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, decontaminate, line_dedup, packing, ppm, quality, simhash, substring, url_filter, warc
+from kerbside.llm import chat, decontaminate, line_dedup, oracles, packing, ppm, quality, simhash, substring, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def public_tokenizer(name: str) -> str:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the benchmark items."""
     found = decontaminate.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("contaminated")).alias("contaminated"), "longest")
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of documents."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 
@@ -80,7 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly repeat an earlier one."""
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
@@ -96,6 +96,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_chat": chat.ORACLE,
-}
+ORACLE_SQL = oracles.ORACLE_SQL

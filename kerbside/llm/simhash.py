@@ -49,15 +49,15 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, fp, h): fp is the fingerprint as a signed long, h a hash of the text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 found = np.fromiter((fingerprint(t, shingle) for t in utf8(part.column(1)).to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), part.column(2)], names=["id", "fp", "h"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(run, "id long, fp long, h long")
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -159,7 +159,7 @@ def hex64(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, blocks: int = 6) -> DataFrame:
-    """One row for each row of docs: id, fingerprint (hex), component (smallest id reachable over links).
+    """One row for each row of docs: id, fingerprint (hex), component_id (smallest id reachable over links), text_hash.
 
     Equal ids stay separate rows. An empty table gives an empty result.
     """
@@ -169,15 +169,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
     known = members.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return fps.join(known, "fp", "left").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id", F.col("h").alias("text_hash"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **params) -> DataFrame:
-    """docs without the rows whose component has a smaller id; of equal ids all or none stay, null ids stay.
-
-    Columns of docs pass through unchanged, whatever their names.
-    """
+    """docs without the rows whose component has a smaller id; rows without an id stay. Columns pass through, whatever their names."""
     found = near_duplicates(docs, id_col, text_col, **params)
-    later = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__later")).distinct()
+    later = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__later"), F.col("text_hash").alias("__hash")).distinct()
     later = small_or_shuffled(materialise(later, "simhash-later"), broadcast_rows)
-    return docs.join(later, docs[f"`{id_col}`"] == later["__later"], "left_anti")
+    same = (docs[f"`{id_col}`"] == later["__later"]) & (F.xxhash64(docs[f"`{text_col}`"]) == later["__hash"])
+    return docs.join(later, same, "left_anti")
