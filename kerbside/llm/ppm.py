@@ -1,10 +1,11 @@
 """Language-model scoring: prediction by partial matching over bytes, and an add-one word model beside it.
 
 Training documents are those whose crc32(id as text) mod ``folds`` is not ``held_out_fold``. Gram counts of the highest order are pre-aggregated in each
-task and summed by Spark; lower orders are sums of them. The trie holds at most ``max_grams`` grams of each order (the
-rarest go first if there are more); that bounds what is broadcast, whatever the corpus. Texts are lower-cased (A-Z) before both models.
+task and summed by Spark; lower orders are sums of them. All grams count, and the model is neither collected nor broadcast: each bucket owns a range
+of contexts, ordered from their last byte back, and each block of documents asks the buckets that own its grams for their probabilities. What a bucket
+needs of contexts that go on in other buckets is summed apart. Texts are lower-cased (A-Z) before both models.
 
-Word counts have no such bound and are not broadcast: each block of documents asks the buckets that own its words for their counts.
+Word counts travel likewise: each block asks the buckets that own its words for their counts.
 
 Null text: an empty document (its end is scored). A null id counts as training. Equal ids stay separate rows; an
 empty table gives an empty result. Invalid UTF-8 isn't possible in a string column; byte 0xFF is free for the frame.
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm import blocks
@@ -30,7 +31,6 @@ class PpmParams:
     order: int = 5
     folds: int = 7
     held_out_fold: int = 2
-    max_grams: int = 4_000_000
 
     def held_out(self, key: int | None) -> bool:
         return key is not None and zlib.crc32(str(key).encode()) % self.folds == self.held_out_fold
@@ -78,37 +78,119 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, params: PpmParams)
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _bounded(table: DataFrame, limit: int) -> DataFrame:
-    """The most frequent grams, as many as fit the limit; of one count all or none."""
-    if table.count() <= limit:
-        return table
-    by_count = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("grams")).collect()  # 10,000 rows at most
-    room, least = limit, 10_001
-    for r in sorted(by_count, key=lambda r: -r.n):
-        if r.grams > room:
-            break
-        room, least = room - r.grams, r.n
-    return table.filter(F.col("n") >= least)
+def turned(grams: np.ndarray, order: int) -> np.ndarray:
+    """Grams of the highest order with their context bytes last to first: those with a common suffix of the context stand together when sorted."""
+    out = np.zeros(len(grams), np.int64)
+    for k in range(order):
+        out = out << 8 | grams >> 8 * (k + 1) & 255
+    return out << 8 | grams & 255
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, params: PpmParams) -> Model:
-    """The model: ``order + 1`` tables of at most max_grams rows each come to the driver."""
-    top = materialise(gram_counts(docs, id_col, text_col, params), "ppm-grams")
+def _turned(gram: Column, order: int) -> Column:
+    """The context of ``turned``."""
+    return sum((F.shiftleft(F.shiftright(gram, 8 * (k + 1)).bitwiseAND(255), 8 * (order - 1 - k)) for k in range(order)), F.lit(0).cast("long"))
+
+
+def cut_contexts(top: DataFrame, buckets: int, order: int) -> np.ndarray:
+    """Turned contexts at which the grams pass from bucket to bucket, ascending: fewer than ``buckets``."""
+    if not order or buckets < 2:
+        return np.zeros(0, np.int64)
+    cuts = top.agg(F.percentile_approx(_turned(F.col("gram"), order), [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
+    return np.array(sorted(set(cuts) - {0}), np.int64)
+
+
+def edge_contexts(cuts: np.ndarray, bucket: int, order: int) -> list[set[int]]:
+    """For each order below the highest the contexts that other buckets may hold grams of, too.
+
+    A bucket is a range of turned contexts, so only a context that begins as the range's lower or upper cut does can go on outside."""
+    at = [int(cuts[k]) for k in (bucket - 1, bucket) if 0 <= k < len(cuts)]
+    return [{int.from_bytes(c.to_bytes(order, "big")[:k][::-1], "big") for c in at} for k in range(order)]
+
+
+def model_rows(top: DataFrame, deal: blocks.Deal, cuts: np.ndarray, order: int) -> DataFrame:
+    """(bucket, k, gram, n): each bucket's grams of the highest order, and of its edge contexts all grams of the lower orders."""
+    labels = np.array(deal.buckets, np.int32)
+
+    def owned(batches):
+        for batch in batches:
+            gram = batch.column(0).to_numpy()
+            at = np.searchsorted(cuts, turned(gram, order) >> 8, "right")
+            yield pa.RecordBatch.from_arrays([pa.array(labels[at]), pa.array(np.full(len(gram), order, np.int32)), batch.column(0), batch.column(1)], names=["bucket", "k", "gram", "n"])
+
+    rows = top.select("gram", "n").mapInArrow(owned, "bucket int, k int, gram long, n long")
+    edges = [(int(labels[b]), k, c) for b in range(len(cuts) + 1) for k, found in enumerate(edge_contexts(cuts, b, order)) for c in sorted(found)]
+    if not edges:
+        return rows
+    wanted = top.sparkSession.createDataFrame(edges, "bucket int, k int, context long")  # by the number of buckets, not by the corpus
+    for k in range(order):
+        mine = F.broadcast(wanted.filter(F.col("k") == k))
+        lower = top.select(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram"), "n").withColumn("context", F.shiftright("gram", 8))
+        known = lower.join(F.broadcast(mine.select("context").distinct()), "context").groupBy("context", "gram").agg(F.sum("n").alias("n"))
+        rows = rows.unionByName(known.join(mine, "context").select("bucket", "k", "gram", "n"))
+    return rows
+
+
+def bucket_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray, edges: list[set[int]], order: int) -> Model:
+    """The model of one bucket's range, from its model_rows: exact for every gram that the range owns."""
+    top, weights = gram[k == order], n[k == order]
     counts = []
-    for k in range(params.order + 1):
-        table = top if k == params.order else top.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        got = _bounded(table, params.max_grams).toArrow()
-        gram, n = got.column(0).to_numpy(), got.column(1).to_numpy()
-        order = np.argsort(gram)
-        counts.append((gram[order], n[order]))
-    return Model(counts)
+    for at in range(order):
+        codes, sums = counted(top & ((1 << 8 * (at + 1)) - 1), weights)
+        inside = ~np.isin(codes >> 8, np.fromiter(edges[at], np.int64, len(edges[at])))
+        codes, sums = np.concatenate([codes[inside], gram[k == at]]), np.concatenate([sums[inside], n[k == at]])
+        rank = np.argsort(codes)
+        counts.append((codes[rank], sums[rank]))
+    rank = np.argsort(top)
+    return Model([*counts, (top[rank], weights[rank])])
+
+
+def gram_answers(dealt: DataFrame, top: DataFrame, deal: blocks.Deal, cuts: np.ndarray, order: int) -> DataFrame:
+    """(block, bucket, n): the log10 probabilities of a block's distinct grams that the bucket owns, in the order of ``block_grams``."""
+    def emit(table: pa.Table) -> pa.Table:
+        keys = np.zeros(0, np.int64)
+        held, size = [], 0
+        texts = [(t or b"").lower() for t in table.column(2).cast(pa.large_binary()).to_pylist()]
+        for at, t in enumerate(texts):
+            held.append(t)
+            size += len(t)
+            if size > BYTES_AT_ONCE // 4 or at + 1 == len(texts):
+                keys = np.union1d(keys, counted(text_grams(held, order)[0])[0])
+                held, size = [], 0
+        keys = np.sort(turned(keys, order))
+        edges = gram_edges(keys, cuts)
+        full = np.flatnonzero(np.diff(edges))
+        return pa.table([pa.array([deal.buckets[k] for k in full], pa.int32()), pa.array([table.column(0)[0].as_py()] * len(full), pa.int32()), pa.array([blocks.packed(keys[edges[k] : edges[k + 1]].view(np.uint64)) for k in full], pa.binary())], names=["bucket", "block", "keys"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["block", "bucket", "n"]
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=names)
+        keys = [blocks.unpacked(x).view(np.int64) for x in left.column("keys").to_pylist()]
+        distinct = np.zeros(0, np.int64)
+        for at in range(0, len(keys), 16):
+            distinct = np.union1d(distinct, np.concatenate(keys[at : at + 16]))
+        bucket = deal.bucket_at[left.column("bucket")[0].as_py()]
+        model = bucket_model(*(right.column(c).to_numpy() for c in ("k", "gram", "n")), edge_contexts(cuts, bucket, order), order)
+        grams = turned(distinct, order)  # turned twice: as they were
+        rank = np.argsort(grams)
+        values = np.empty(len(grams), "<f4")
+        values[rank] = model.log10(grams[rank])
+        answers = [blocks.plane_bytes(values[np.searchsorted(distinct, x)]) for x in keys]
+        return pa.table([left.column("block"), left.column("bucket"), pa.array(answers, pa.binary())], names=names)
+
+    sent = dealt.groupBy("block").applyInArrow(emit, "bucket int, block int, keys binary")
+    return sent.groupBy("bucket").cogroup(model_rows(top, deal, cuts, order).groupBy("bucket")).applyInArrow(answer, "block int, bucket int, n binary")
+
+
+def gram_edges(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Positions at which sorted turned grams pass from bucket to bucket."""
+    return np.concatenate(([0], np.searchsorted(keys, cuts << 8), [len(keys)]))
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PpmParams = PpmParams()) -> DataFrame:
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, id_col, text_col, params))
-    deal = blocks.Deal(docs.sparkSession)
+    order, deal = params.order, blocks.Deal(docs.sparkSession)
+    top = materialise(gram_counts(docs, id_col, text_col, params), "ppm-grams")
     dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
 
     class Words:
@@ -140,6 +222,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", para
 
     sent = dealt.groupBy("block").applyInArrow(emit, "bucket int, block int, keys binary, n binary")
     answers = materialise(sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, n binary, tokens long, kinds long"), "ppm-words")
+    cuts = cut_contexts(top, buckets, order)
+    values = materialise(gram_answers(dealt, top, deal, cuts, order), "ppm-values")
     fold = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % params.folds, F.lit(-1))
     ends = docs.filter(fold != params.held_out_fold).count()
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
@@ -154,24 +238,26 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", para
         words = Words(left)
         edges = blocks.bucket_edges(words.keys, buckets)
         n = np.zeros(len(words.keys), np.int64)
-        for k, blob in zip(map(deal.bucket_at.get, right.column("bucket").to_pylist()), right.column("n").to_pylist()):
-            n[edges[k] : edges[k + 1]] = blocks.plane_array(blob, np.int64)
+        texts = [(t or b"").lower() for _, t in words.rows]
+        codes, lengths = text_grams(texts, order)
+        grams, gram_at = np.unique(turned(codes, order), return_inverse=True)
+        gram_bounds = gram_edges(grams, cuts)
+        logs = np.zeros(len(grams), "<f4")
+        for label, of_words, blob in zip(right.column("bucket").to_pylist(), right.column("of_words").to_pylist(), right.column("n").to_pylist()):
+            k = deal.bucket_at[label]
+            if of_words:
+                n[edges[k] : edges[k + 1]] = blocks.plane_array(blob, np.int64)
+            else:
+                logs[gram_bounds[k] : gram_bounds[k + 1]] = blocks.plane_array(blob, "<f4")
+        scores = np.add.reduceat(logs[gram_at].astype(np.float64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
         each = n[words.at]
         bounds = np.concatenate(([0], np.cumsum(words.sizes)))
         logs = np.log10(each + 1.0)
         base = np.array([logs[a:b].sum() for a, b in zip(bounds, bounds[1:])]) + np.log10(ends + 1) - (words.sizes + 1) * log_all
         known = np.array([np.count_nonzero(each[a:b]) for a, b in zip(bounds, bounds[1:])]) + (ends > 0)
-        texts = [(t or b"").lower() for _, t in words.rows]
-        scores: list[float] = []
-        batch: list[bytes] = []
-        for t in texts:
-            batch.append(t)
-            if sum(map(len, batch)) > BYTES_AT_ONCE // 4:
-                scores += model.value.score(batch).tolist()
-                batch = []
-        scores += model.value.score(batch).tolist()
         columns = ([k for k, _ in words.rows], words.held, words.sizes + 1, known, np.full(len(texts), train_tokens), base, scores, [len(t) for t in texts])
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    both = answers.select("block", "bucket", "n", F.lit(True).alias("of_words")).unionByName(values.withColumn("of_words", F.lit(False)))
+    found = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
     return found.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).withColumnRenamed("id", id_col)

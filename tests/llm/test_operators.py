@@ -172,6 +172,38 @@ def test_ppm_words_and_normalisation(docs, rows):
     assert all(r.score < 0 for r in found.collect())
 
 
+def test_ppm_scores_use_every_gram(docs, rows):
+    import dataclasses
+
+    # whatever limit of the model's size there is would be passed by far
+    limits = {f.name: 50 for f in dataclasses.fields(ppm.PpmParams) if f.name.startswith("max_")}
+    counts = [defaultdict(Counter) for _ in range(4)]
+    framed = [(k, b"\xff" * 3 + lower(t).encode() + b"\xff") for k, t in rows]
+    for k, b in framed:
+        if k is None or zlib.crc32(str(k).encode()) % 7 != 2:
+            for i in range(3, len(b)):
+                for n in range(4):
+                    counts[n][b[i - n : i]][b[i]] += 1
+
+    def log10(ctx, s):
+        out, excluded = 0.0, set()
+        for n in (3, 2, 1, 0):
+            if not (every := counts[n].get(ctx[3 - n :])):
+                continue
+            have = {x: c for x, c in every.items() if x not in excluded}
+            if s in have:
+                return out + math.log10(have[s] / (sum(have.values()) + len(have)))
+            if have:
+                out += math.log10(len(have) / (sum(have.values()) + len(have)))
+            excluded |= set(have)
+        return out - math.log10(256 - len(excluded))
+
+    expected = sorted((k is not None, k or 0, round(sum(log10(b[i - 3 : i], b[i]) for i in range(3, len(b))), 2)) for k, b in framed)
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in ppm.scored(docs, params=ppm.PpmParams(order=3, **limits)).collect())
+    assert [x[:2] for x in found] == [x[:2] for x in expected]
+    assert all(abs(a[2] - b[2]) < 0.01 for a, b in zip(found, expected))
+
+
 def test_ppm_probabilities_sum_to_one_and_equal_a_plain_model():
     import numpy as np
 
