@@ -5,7 +5,7 @@ columns of documents. Stages keep clean documents as they are:
 
 * quality: documents that the rules or their host's verdict reject go;
 * line_dedup: lines that nearly repeat an earlier line go, and documents that have no words left by that;
-* near_dedup: of each SimHash component the document with the smallest id stays;
+* near_dedup: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the one with the smallest id stays;
 * decontaminate: documents with one hit word in twenty or more go; others keep their text whole;
 * packing: the rest is packed into sequences of 4096 tokens.
 """
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, line_dedup, packing, quality, simhash
+from kerbside.llm import decontaminate, line_dedup, minhash, packing, quality
 from kerbside.llm.common import materialise
 from kerbside.llm.queries import public_tokenizer
 
-#: The stages are not expressible in SQL (SimHash, a tokenizer's ids, bin packing); tests/llm compares them with brute force.
+#: The stages are not expressible in SQL (MinHash, a tokenizer's ids, bin packing); tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
@@ -36,7 +36,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return minhash.drop_similar(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

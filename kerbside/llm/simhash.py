@@ -174,7 +174,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **params) -> DataFrame:
     """docs without the rows whose component has a smaller id; rows without an id stay. Columns pass through, whatever their names."""
-    found = near_duplicates(docs, id_col, text_col, **params)
+    return without_later(docs, near_duplicates(docs, id_col, text_col, **params), id_col, text_col, broadcast_rows)
+
+
+def without_later(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """docs without the rows for which found (id, component_id, text_hash) has a smaller component_id."""
     later = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__later"), F.col("text_hash").alias("__hash")).distinct()
     later = small_or_shuffled(materialise(later, "simhash-later"), broadcast_rows)
     same = (docs[f"`{id_col}`"] == later["__later"]) & (F.xxhash64(docs[f"`{text_col}`"]) == later["__hash"])

@@ -108,6 +108,41 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_near_dedup_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    draw = lambda: f"w{rng.randrange(5000)}"
+    made = []
+    for k in range(40):
+        base = [draw() for _ in range(200)]
+        made.append(" ".join(base))
+        for n in (1, 2, 3, 4, 5, 7, 9):
+            w = list(base)
+            for at in rng.sample(range(200), n):
+                w[at] = draw()
+            made.append(" ".join(w))
+    chain = [draw() for _ in range(300)]
+    made += [" ".join(chain[k * 8 : k * 8 + 180]) for k in range(15)] + [None, "", "one two", "One  two", "one three", made[0].upper()]
+    rng.shuffle(made)
+    sets = []
+    for t in made:
+        w = re.findall(SPACE, lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(made)))
+    near = 0
+    for i in range(len(made)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                near += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert near > 200
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert counted(kept, "doc_id") == Counter((k,) for k in range(len(made)) if root[k] == k)
+
+
 def test_decontaminate(spark, docs, rows):
     lookup = dict(rows)
     w11 = re.findall(SPACE, lookup[11])
