@@ -17,9 +17,11 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is made only where the session has none."""
+    """The folder all executors share (spark.checkpoint.dir). Where the session has none, one is made for a local master, as in tests; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kerbside-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +47,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_spent(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {file.rsplit("/", 1)[0] for t in tables for file in t.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """A written table, marked for broadcast only if it has no more than so many rows."""
     return F.broadcast(df) if df.count() <= rows else df

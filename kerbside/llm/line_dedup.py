@@ -8,14 +8,17 @@ speaks for it. Tokens are ordered by rarity, and a class is dealt out by its pre
 * length and positional filters, and a bound on the difference of 64-bit parity signatures, stand in the join condition;
 * what is left is verified on the words themselves.
 
-A line goes if an earlier line has at least that Jaccard with it. Lines with fewer than ``min_tokens`` distinct words stay.
+A line goes if an earlier line has at least that Jaccard with it, be it of one word or of thousands. Lines without words stay.
 
-Rarity is counted over all documents, in 8,192 token buckets: a fixed-size table, whatever the corpus. A token's order is its bucket's rank,
-then its hash, the same everywhere, which is all that the filters need.
+Rarity is counted over all words of all documents, in ``BUCKETS`` buckets of the words' hashes: a fixed-size table, whatever the corpus, in which a frequent
+word lifts its own bucket only. A token's order is its bucket's level (the octave of its count), then its hash, the same everywhere, which is all that the filters need.
+
+Equal sets are told by 64 bits of a hash of all tokens, their number and the parity signature: with N distinct lines two different ones meet with a chance
+below N*N / 2**100, one in a million for the 1e12 lines of 100 TB.
 
 Null and empty texts have no words. Documents are told apart by id and 31 bits of their text's hash: equal rows are one document, whose lines go or stay in all of
 them; rows of one id with different texts are different documents in the order of that hash. Rows without an id come
-first. An empty table gives an empty result. Columns pass through, whatever their names.
+first. Very long texts and lines are taken whole, a text in one task. An empty table gives an empty result. Columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +28,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise, small_or_shuffled
+from kerbside.llm.common import drop_spent, materialise, small_or_shuffled
 
-BUCKETS = 1 << 13
+BUCKETS, LEVELS = 1 << 17, 16
 BLANK = r"[\x20\x09-\x0D]+"
+#: Where levels stand in a token, above 59 bits of the word's hash.
+LEVEL_AT = 59
 
 
 @dataclass(frozen=True)
 class LineParams:
     num: int = 4  # the Jaccard threshold, num / den
     den: int = 5
-    min_tokens: int = 5
     broadcast_rows: int = 200_000  # joins of the texts with smaller tables than this broadcast those; larger ones are shuffled
 
+    @property
+    def least(self) -> int:
+        """The fewest tokens of a line that another set can be so similar to."""
+        longer = -(-self.den // (self.den - self.num)) if self.num < self.den else 1 << 30
+        return -(-longer * self.num // self.den)
+
 
 def _up(a: Column, b: int) -> Column:
     """a / b rounded up, for whole numbers."""
@@ -45,30 +55,30 @@ def _up(a: Column, b: int) -> Column:
 
 
 def rarity(texts: DataFrame) -> list[int]:
-    """For each token bucket its rank by the number of words in it, rarest first: BUCKETS numbers."""
-    words = texts.select(F.explode(F.split("text", BLANK)).alias("word")).filter("word <> ''")
-    counts = {r.bucket: r.n for r in words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).collect()}
-    ranks = [0] * BUCKETS
-    for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        ranks[bucket] = rank
-    return ranks
+    """For each token bucket its level: the octave of the number of words in it, the highest octave being LEVELS - 1."""
+    words = texts.select(F.explode(F.split(F.regexp_replace("text", r"[\x09-\x0D]", " "), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    octaves = {r.bucket: r.n.bit_length() for r in counts.collect()}  # BUCKETS rows at most
+    top = max(octaves.values(), default=0)
+    return [max(octaves.get(b, 0) - top + LEVELS - 1, 0) for b in range(BUCKETS)]
 
 
-def line_sets(texts: DataFrame, ranks: list[int], params: LineParams) -> DataFrame:
-    """(id, place, key, n, sig, probe): of each line with enough distinct words where it is, its set's key, size, parity signature and probe prefix."""
+def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFrame:
+    """(id, place, key, n, sig, probe): of each line with a word where it is, its set's key, size, parity signature and probe prefix."""
     num, den = params.num, params.den
-    table = F.from_json(F.lit(str(ranks)), "array<int>")  # folded to a constant
-    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    table = F.from_json(F.lit(str([x << LEVEL_AT for x in levels])), "array<bigint>")  # folded to a constant
 
-    def token(w: Column) -> Column:
-        """The word's rank and 40 bits of its hash; the rank holds the other 13."""
-        h = F.xxhash64(w)
-        return F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
+    def token(h: Column) -> Column:
+        return F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_AT))
 
-    words = lines.select("id", "h", "line", F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), BLANK).alias("words"))
+    # one pass for the rare blanks, so that lines and words are cut at single characters
+    plain = texts.select("id", "h", F.regexp_replace("text", r"[\x09\x0B-\x0D]", " ").alias("text"))
+    lines = plain.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    hashes = lines.select("id", "h", "line", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    tokens = F.array_remove(F.array_distinct(F.sort_array(F.transform("hashes", token))), token(F.xxhash64(F.lit(""))))
     # the partition's number keeps Catalyst from moving the filter down, where it would make every set a second time
-    sets = words.select("id", "h", "line", F.array_distinct(F.sort_array(F.transform("words", token))).alias("set"), F.spark_partition_id().alias("part"))
-    sets = sets.filter((F.size("set") >= params.min_tokens) & (F.col("part") >= 0))
+    sets = hashes.select("id", "h", "line", tokens.alias("set"), F.spark_partition_id().alias("part"))
+    sets = sets.filter((F.size("set") > 0) & (F.col("part") >= 0))
     n = F.size("set")
     return sets.select(
         "id",
@@ -76,36 +86,53 @@ def line_sets(texts: DataFrame, ranks: list[int], params: LineParams) -> DataFra
         F.xxhash64("set").alias("key"),
         n.alias("n"),
         F.aggregate("set", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))).alias("sig"),
-        F.transform(F.slice("set", F.lit(1), n - _up(n * num, den) + 1), lambda t: F.hash(t)).alias("probe"),  # short tokens: a clash only adds candidates
+        # short tokens: a clash only adds candidates; none where no other set can be similar
+        F.transform(F.slice("set", F.lit(1), F.when(n >= params.least, n - _up(n * num, den) + 1).otherwise(0)), lambda t: F.hash(t)).alias("probe"),
     )
 
 
-def candidates(classes: DataFrame, params: LineParams, wanted: str | None = None) -> DataFrame:
-    """(x_id, x_place, y_id, y_place): first lines of classes that may match, the earlier one as x; classes: (at, n, sig, probe).
+def candidates(classes: DataFrame, params: LineParams, later: DataFrame | None = None) -> DataFrame:
+    """(x_id, x_place, y_id, y_place, bits): first lines of classes that may match, the earlier one as x, and how many bits of their signatures differ;
+    a pair may come more than once. classes: (id, place, n, sig, probe).
 
-    wanted: a boolean column of classes; only pairs whose later line has it are made.
+    later: rows of classes; only pairs whose later line is among them are made.
     """
     num, den = params.num, params.den
-    marks = [wanted] if wanted else []
-    spread = classes.select("at", "n", "sig", *marks, F.posexplode("probe").alias("pos", "token"))
-    indexed = F.col("pos") < F.col("n") - _up(F.col("n") * (2 * num), num + den) + 1
-    dealt = spread.select("token", "at.id", "at.place", "sig", "n", "pos", *marks, F.when(indexed, F.col("n")).otherwise(F.lit((1 << 31) - 1)).alias("as_index"))
-    y, x = dealt.alias("y"), dealt.alias("x")
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.select("id", "place", "n", "sig", F.posexplode("probe").alias("pos", "token"))
+
     c = F.col
-    overlap = _up((c("x.n") + c("y.n")) * num, num + den)
     at = lambda t: F.struct(c(f"{t}.id").alias("id"), c(f"{t}.place").alias("place"))
-    condition = (
-        (c("x.token") == c("y.token"))
-        & (c("y.n") >= c("x.as_index"))  # the longer line probes; the shorter is indexed by its shorter prefix
-        & ((c("y.n") > c("x.n")) | (at("y") > at("x")))
-        & (c("x.n") * den >= c("y.n") * num)
-        & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
-        & (F.bit_count(c("x.sig").bitwiseXOR(c("y.sig"))) <= c("x.n") + c("y.n") - 2 * overlap)
-    )
-    if wanted:
-        condition = condition & F.when(at("y") > at("x"), c(f"y.{wanted}")).otherwise(c(f"x.{wanted}"))
-    first, second = F.least(at("x"), at("y")), F.greatest(at("x"), at("y"))
-    return y.join(x, condition).select(first["id"].alias("x_id"), first["place"].alias("x_place"), second["id"].alias("y_id"), second["place"].alias("y_place"))
+
+    def met(a: DataFrame, b: DataFrame, first: Column) -> DataFrame:
+        """Pairs of a's lines with those of b that are shorter, or as long and ``first``."""
+        y, x = a.alias("y"), b.alias("x")
+        overlap = _up((c("x.n") + c("y.n")) * num, num + den)
+        bits = F.bit_count(c("x.sig").bitwiseXOR(c("y.sig")))
+        # the longer line probes, the shorter is indexed by its shorter prefix; said with a column of both sides, so that both read one exchange
+        indexed = F.when(c("x.pos") < c("x.n") - _up(c("x.n") * (2 * num), num + den) + 1, c("x.n")).otherwise(F.lit((1 << 31) - 1))
+        condition = (
+            (c("x.token") == c("y.token"))
+            & (c("x.n") * den >= c("y.n") * num)
+            & first
+            & (bits <= c("x.n") + c("y.n") - 2 * overlap)
+            & (c("y.n") >= indexed)
+            & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
+        )
+        return y.join(x, condition).select(at("x").alias("a"), at("y").alias("b"), bits.cast("int").alias("bits"))
+
+    every = dealt(classes)
+    earlier = (c("y.n") > c("x.n")) | ((c("y.n") == c("x.n")) & (at("y") > at("x")))
+    if later is None:
+        both = met(every, every, earlier)
+    else:
+        some = small_or_shuffled(materialise(dealt(later), "lines-later"), params.broadcast_rows)
+        longer = met(some, every, (c("y.n") >= c("x.n")) & (at("y") > at("x")))
+        shorter = met(every, some, (c("y.n") > c("x.n")) & (at("y") < at("x")))
+        both = longer.unionByName(shorter)
+    x, y = F.least("a", "b"), F.greatest("a", "b")
+    return both.select(x["id"].alias("x_id"), x["place"].alias("x_place"), y["id"].alias("y_id"), y["place"].alias("y_place"), "bits")
 
 
 def paired(found: DataFrame) -> DataFrame:
@@ -121,11 +148,10 @@ def verified(pairs: DataFrame, texts: DataFrame, params: LineParams) -> DataFram
     mine = texts.withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
     held = mine.join(small_or_shuffled(needed, params.broadcast_rows), F.col("id").eqNullSafe(F.col("needed")) & (F.col("own") == F.col("needed_h")))
     cut = held.select("id", "own", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    lines = cut.select(F.struct("id", F.col("own").bitwiseOR(F.col("line").cast("long")).alias("place")).alias("at"), F.get("all", F.col("line")).alias("text"))
-    both = pairs.join(lines.select(F.col("at").alias("x"), F.col("text").alias("a")), "x").join(lines.select(F.col("at").alias("y"), F.col("text").alias("b")), "y")
-    words = lambda t: F.array_distinct(F.filter(F.split(t, BLANK), lambda w: w != ""))
-    sets = both.select("x", "y", words("a").alias("a"), words("b").alias("b")).withColumn("same", F.size(F.array_intersect("a", "b")))
-    return sets.filter(F.col("same") * params.den >= (F.size("a") + F.size("b") - F.col("same")) * params.num).select("x", "y")
+    words = F.array_distinct(F.filter(F.split(F.get("all", F.col("line")), BLANK), lambda w: w != ""))
+    lines = cut.select(F.struct("id", F.col("own").bitwiseOR(F.col("line").cast("long")).alias("place")).alias("at"), words.alias("words"))
+    both = pairs.join(lines.select(F.col("at").alias("x"), F.col("words").alias("a")), "x").join(lines.select(F.col("at").alias("y"), F.col("words").alias("b")), "y")
+    return both.filter(F.size(F.array_intersect("a", "b")) * (params.den + params.num) >= (F.size("a") + F.size("b")) * params.num).select("x", "y")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,35 +162,39 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineParams = LineParams()) -> DataFrame:
-    """(id, own, gone): for each document that loses lines its id, a hash of its text and the lines' numbers.
+    """(known, known_h, gone): for each document that loses lines its id, a hash of its text and the lines' numbers.
 
-    A line needs one earlier match to go. So one candidate of each is verified first, which settles nearly all of them; only
-    for those it does not settle are all other candidates verified.
+    A line needs one earlier match to go. So of each line's candidates the one with the nearest signature is verified first, which settles nearly all of
+    them; only for those it does not settle are all candidates verified.
     """
     texts = keyed(docs, id_col, text_col).select("id", "h", "text")
     lines = materialise(line_sets(texts, rarity(texts), params), "lines-sets")
     first = F.min(F.struct("id", "place")).alias("at")
-    classes = lines.groupBy("key", "n", "sig").agg(first, F.any_value("probe").alias("probe"))
-    classes = classes.drop("key")
-    # plain numbers, so that Spark hashes and need not sort
-    one = candidates(classes, params).groupBy("y_id", "y_place").agg(F.first("x_id").alias("x_id"), F.first("x_place").alias("x_place"), F.count("*").alias("times"))
-    found = materialise(one, "lines-candidates")
-    settled = materialise(verified(paired(found), texts, params).select("y").distinct(), "lines-settled")
-    open_ = materialise(paired(found.filter("times > 1")).join(settled, "y", "left_anti").select("y"), "lines-open")
-    if open_.count():
-        left = small_or_shuffled(open_.withColumn("is_open", F.lit(True)), params.broadcast_rows)
-        flagged = classes.join(left, F.col("at") == F.col("y"), "left").select("at", "n", "sig", "probe", F.col("is_open").isNotNull().alias("is_open"))
-        others = paired(candidates(flagged, params, "is_open")).distinct()
-        settled = settled.unionByName(verified(materialise(others, "lines-others"), texts, params).select("y").distinct())
-    repeats = lines.groupBy("key").agg(first, F.count("*").alias("times")).filter("times > 1").select("key", "at")
-    later = lines.select("key", F.struct("id", "place").alias("place")).join(repeats, "key").filter("place <> at").select("place")
+    found = lines.groupBy("key", "n", "sig").agg(first, F.count("*").alias("times"), F.any_value("probe").alias("probe"))
+    classes = materialise(found.select("at.id", "at.place", "key", "n", "sig", "times", "probe"), "lines-classes")
+    # plain numbers, so that Spark hashes and need not sort; both parts of x come from the same row, and were it not so, verification would show
+    one = candidates(classes, params).groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), F.count("*").alias("times"))
+    nearest = materialise(one, "lines-nearest")
+    settled = materialise(verified(paired(nearest), texts, params).select("y").distinct(), "lines-settled")
+    left = materialise(paired(nearest.filter("times > 1")).join(settled, "y", "left_anti").select("y.id", "y.place"), "lines-open")
+    if left.count():
+        open_ = classes.join(small_or_shuffled(left, params.broadcast_rows), (classes["id"].eqNullSafe(left["id"])) & (classes["place"] == left["place"]), "left_semi")
+        others = materialise(paired(candidates(classes, params, open_)).distinct(), "lines-others")
+        settled = settled.unionByName(materialise(verified(others, texts, params).select("y").distinct(), "lines-settled"))
+    # all lines of a class but its first; the classes of one line are most and stay out
+    repeats = materialise(classes.filter("times > 1").select("key", "n", "sig", F.struct("id", "place").alias("at")), "lines-repeats")
+    same = ["key", "n", "sig"]
+    later = lines.join(small_or_shuffled(repeats, params.broadcast_rows), same).select(F.struct("id", "place").alias("place"), "at").filter("place <> at").select("place")
     gone = later.unionByName(settled.select(F.col("y").alias("place"))).select("place.*")
-    return gone.groupBy("id", F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("own")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("gone"))
+    gone = gone.groupBy("id", F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("own")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("gone"))
+    kept = materialise(gone.select(F.col("id").alias("known"), F.col("own").alias("known_h"), "gone"), "lines-gone")
+    drop_spent(docs.sparkSession, lines, classes)
+    return kept
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineParams = LineParams()) -> DataFrame:
     """A row for each row of docs: ``row``, n_lines, n_removed, kept_text (null if the text is null)."""
-    gone = materialise(removals(docs, id_col, text_col, params).select(F.col("id").alias("known"), F.col("own").alias("known_h"), "gone"), "lines-gone")
+    gone = removals(docs, id_col, text_col, params)
     every = keyed(docs, id_col, text_col).withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
     joined = every.join(small_or_shuffled(gone, params.broadcast_rows), F.col("id").eqNullSafe(F.col("known")) & (F.col("own") == F.col("known_h")), "left")
     lines = F.split("text", "\n")

@@ -49,7 +49,7 @@ OP10 = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) ls from documents),
  l as (select doc_id, unnest(generate_series(1, len(ls))) i, unnest(ls) x from d),
  st as (select doc_id, i, list_sort(list_distinct(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) s from l),
- big as (select *, row_number() over (partition by s order by doc_id, i) r from st where len(s) >= 5),
+ big as (select *, row_number() over (partition by s order by doc_id, i) r from st where len(s) >= 1),
  cls as (select s, len(s) n, row_number() over (order by doc_id, i) c from big where r = 1),
  tok as (select c, n, unnest(s) t from cls),
  ord as (select c, n, t, row_number() over (partition by c order by f, t) p from tok join (select t, count(*) f from tok group by 1) using (t)),

@@ -373,13 +373,16 @@ def test_line_dedup(spark):
         return " ".join(w)
 
     made = [(k, "\n".join(variant(rng.choice(pool)) if rng.random() < 0.7 else line(rng.randint(1, 25)) for _ in range(rng.randint(1, 8)))) for k in range(120)]
+    made += [(600 + k, x) for k, x in enumerate(["t1 t2", "t2\tt1 t1", "t1", "t1\nt9 t8 t7\n \n\t", "t8 t7 t9 t6", "t6 t7 t8 t9 t5"])]
+    long_line = [f"long{k}" for k in range(9000)]
+    made += [(700, " ".join(long_line)), (701, "  ".join(reversed(long_line[:8000]))), (702, "\r".join(long_line[:7000]))]
     made += [(500, None), (501, ""), (502, "\n\n"), (None, pool[0] + "\nonly here alpha beta gamma delta"), (3, made[3][1])]
     docs = spark.createDataFrame([(k, t, 1, "z") for k, t in made], "doc_id long, text string, id int, doc string")
     first, reps, gone, seen = {}, [], defaultdict(set), {}
     for k, t in sorted(set(made), key=lambda r: (r[0] is not None, r[0] or 0)):
         for i, x in enumerate((t or "").split("\n")):
             s = frozenset(re.findall(SPACE, x))
-            if len(s) < 5:
+            if not s:
                 continue
             if s in first:
                 gone[k].add(i)
