@@ -34,6 +34,8 @@ BUCKETS, LEVELS = 1 << 17, 16
 BLANK = r"[\x20\x09-\x0D]+"
 #: Where levels stand in a token, above 59 bits of the word's hash.
 LEVEL_AT = 59
+#: Lines of so many tokens have signatures of 128 bits, others of 64.
+LONG = 80
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,8 @@ def rarity(texts: DataFrame) -> list[int]:
 
 
 def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFrame:
-    """(id, place, key, n, sig, probe): of each line with a word where it is, its set's key, size, parity signature and probe prefix."""
+    """(id, place, key, n, sig, high, probe): of each line with a word where it is, its set's key, size, parity signature (in a long line the tokens are
+    dealt to two halves) and probe prefix."""
     num, den = params.num, params.den
     table = F.from_json(F.lit(str([x << LEVEL_AT for x in levels])), "array<bigint>")  # folded to a constant
 
@@ -80,12 +83,20 @@ def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFr
     sets = hashes.select("id", "h", "line", tokens.alias("set"), F.spark_partition_id().alias("part"))
     sets = sets.filter((F.size("set") > 0) & (F.col("part") >= 0))
     n = F.size("set")
-    return sets.select(
+
+    def parity(bit) -> Column:
+        return F.aggregate("set", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
+
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    upper = F.when(n >= LONG, parity(lambda t: F.when(t.bitwiseAND(64) != 0, one(t)).otherwise(0))).otherwise(0)
+    marked = sets.select("id", "h", "line", "set", parity(one).alias("all"), upper.alias("high"))
+    return marked.select(
         "id",
         F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32).bitwiseOR(F.col("line").cast("long")).alias("place"),
         F.xxhash64("set").alias("key"),
         n.alias("n"),
-        F.aggregate("set", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))).alias("sig"),
+        F.col("all").bitwiseXOR(F.col("high")).alias("sig"),
+        "high",
         # short tokens: a clash only adds candidates; none where no other set can be similar
         F.transform(F.slice("set", F.lit(1), F.when(n >= params.least, n - _up(n * num, den) + 1).otherwise(0)), lambda t: F.hash(t)).alias("probe"),
     )
@@ -93,46 +104,35 @@ def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFr
 
 def candidates(classes: DataFrame, params: LineParams, later: DataFrame | None = None) -> DataFrame:
     """(x_id, x_place, y_id, y_place, bits): first lines of classes that may match, the earlier one as x, and how many bits of their signatures differ;
-    a pair may come more than once. classes: (id, place, n, sig, probe).
+    a pair may come more than once. classes: (id, place, n, sig, high, probe).
 
     later: rows of classes; only pairs whose later line is among them are made.
     """
     num, den = params.num, params.den
 
     def dealt(some: DataFrame) -> DataFrame:
-        return some.select("id", "place", "n", "sig", F.posexplode("probe").alias("pos", "token"))
+        return some.select("id", "place", "n", "sig", "high", F.posexplode("probe").alias("pos", "token"))
 
     c = F.col
     at = lambda t: F.struct(c(f"{t}.id").alias("id"), c(f"{t}.place").alias("place"))
-
-    def met(a: DataFrame, b: DataFrame, first: Column) -> DataFrame:
-        """Pairs of a's lines with those of b that are shorter, or as long and ``first``."""
-        y, x = a.alias("y"), b.alias("x")
-        overlap = _up((c("x.n") + c("y.n")) * num, num + den)
-        bits = F.bit_count(c("x.sig").bitwiseXOR(c("y.sig")))
-        # the longer line probes, the shorter is indexed by its shorter prefix; said with a column of both sides, so that both read one exchange
-        indexed = F.when(c("x.pos") < c("x.n") - _up(c("x.n") * (2 * num), num + den) + 1, c("x.n")).otherwise(F.lit((1 << 31) - 1))
-        condition = (
-            (c("x.token") == c("y.token"))
-            & (c("x.n") * den >= c("y.n") * num)
-            & first
-            & (bits <= c("x.n") + c("y.n") - 2 * overlap)
-            & (c("y.n") >= indexed)
-            & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
-        )
-        return y.join(x, condition).select(at("x").alias("a"), at("y").alias("b"), bits.cast("int").alias("bits"))
-
     every = dealt(classes)
-    earlier = (c("y.n") > c("x.n")) | ((c("y.n") == c("x.n")) & (at("y") > at("x")))
-    if later is None:
-        both = met(every, every, earlier)
-    else:
-        some = small_or_shuffled(materialise(dealt(later), "lines-later"), params.broadcast_rows)
-        longer = met(some, every, (c("y.n") >= c("x.n")) & (at("y") > at("x")))
-        shorter = met(every, some, (c("y.n") > c("x.n")) & (at("y") < at("x")))
-        both = longer.unionByName(shorter)
-    x, y = F.least("a", "b"), F.greatest("a", "b")
-    return both.select(x["id"].alias("x_id"), x["place"].alias("x_place"), y["id"].alias("y_id"), y["place"].alias("y_place"), "bits")
+    some = every if later is None else small_or_shuffled(materialise(dealt(later), "lines-later"), params.broadcast_rows)
+    overlap = _up((c("x.n") + c("y.n")) * num, num + den)
+    low, high = c("x.sig").bitwiseXOR(c("y.sig")), c("x.high").bitwiseXOR(c("y.high"))
+    # of two long lines both halves of the signature, else the halves folded
+    bits = F.when(F.least("x.n", "y.n") >= LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
+    # the longer line probes, the shorter is indexed by its shorter prefix; said with columns of both sides, so that both read one exchange
+    shorter, place = F.least("x.n", "y.n"), F.when(c("x.n") <= c("y.n"), c("x.pos")).otherwise(c("y.pos"))
+    condition = (
+        (c("x.token") == c("y.token"))
+        & (c("x.n") * den >= c("y.n") * num)
+        & (c("y.n") * den >= c("x.n") * num)
+        & (bits <= c("x.n") + c("y.n") - 2 * overlap)
+        & (place < shorter - _up(shorter * (2 * num), num + den) + 1)
+        & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
+        & (at("y") > at("x"))
+    )
+    return some.alias("y").join(every.alias("x"), condition).select(c("x.id").alias("x_id"), c("x.place").alias("x_place"), c("y.id").alias("y_id"), c("y.place").alias("y_place"), bits.cast("int").alias("bits"))
 
 
 def paired(found: DataFrame) -> DataFrame:
@@ -170,8 +170,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     texts = keyed(docs, id_col, text_col).select("id", "h", "text")
     lines = materialise(line_sets(texts, rarity(texts), params), "lines-sets")
     first = F.min(F.struct("id", "place")).alias("at")
-    found = lines.groupBy("key", "n", "sig").agg(first, F.count("*").alias("times"), F.any_value("probe").alias("probe"))
-    classes = materialise(found.select("at.id", "at.place", "key", "n", "sig", "times", "probe"), "lines-classes")
+    found = lines.groupBy("key", "n", "sig", "high").agg(first, F.count("*").alias("times"), F.any_value("probe").alias("probe"))
+    classes = materialise(found.select("at.id", "at.place", "key", "n", "sig", "high", "times", "probe"), "lines-classes")
     # plain numbers, so that Spark hashes and need not sort; both parts of x come from the same row, and were it not so, verification would show
     one = candidates(classes, params).groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), F.count("*").alias("times"))
     nearest = materialise(one, "lines-nearest")
@@ -182,8 +182,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         others = materialise(paired(candidates(classes, params, open_)).distinct(), "lines-others")
         settled = settled.unionByName(materialise(verified(others, texts, params).select("y").distinct(), "lines-settled"))
     # all lines of a class but its first; the classes of one line are most and stay out
-    repeats = materialise(classes.filter("times > 1").select("key", "n", "sig", F.struct("id", "place").alias("at")), "lines-repeats")
-    same = ["key", "n", "sig"]
+    same = ["key", "n", "sig", "high"]
+    repeats = materialise(classes.filter("times > 1").select(*same, F.struct("id", "place").alias("at")), "lines-repeats")
     later = lines.join(small_or_shuffled(repeats, params.broadcast_rows), same).select(F.struct("id", "place").alias("place"), "at").filter("place <> at").select("place")
     gone = later.unionByName(settled.select(F.col("y").alias("place"))).select("place.*")
     gone = gone.groupBy("id", F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32)).alias("own")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("gone"))
