@@ -43,6 +43,8 @@ class LineParams:
     num: int = 4  # the Jaccard threshold, num / den
     den: int = 5
     broadcast_rows: int = 200_000  # joins of the texts with smaller tables than this broadcast those; larger ones are shuffled
+    crowd: int = 64  # tokens that more classes share are taken apart
+    anchors: int = 16  # earliest classes of such a token that all others are compared with first
 
     @property
     def least(self) -> int:
@@ -102,26 +104,22 @@ def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFr
     )
 
 
-def candidates(classes: DataFrame, params: LineParams, later: DataFrame | None = None) -> DataFrame:
-    """(x_id, x_place, y_id, y_place, bits): first lines of classes that may match, the earlier one as x, and how many bits of their signatures differ;
-    a pair may come more than once. classes: (id, place, n, sig, high, probe).
+def dealt(classes: DataFrame) -> DataFrame:
+    """A row for each prefix token of each class (id, place, n, sig, high, probe)."""
+    return classes.select("id", "place", "n", "sig", "high", F.posexplode("probe").alias("pos", "token"))
 
-    later: rows of classes; only pairs whose later line is among them are made.
-    """
-    num, den = params.num, params.den
-
-    def dealt(some: DataFrame) -> DataFrame:
-        return some.select("id", "place", "n", "sig", "high", F.posexplode("probe").alias("pos", "token"))
 
+def candidates(later: DataFrame, every: DataFrame, params: LineParams) -> DataFrame:
+    """(x_id, x_place, y_id, y_place, bits): first lines of classes that may match, y from later and x from every, x the earlier one, and how many bits of their
+    signatures differ; a pair may come more than once. later, every: rows of dealt."""
+    num, den = params.num, params.den
     c = F.col
     at = lambda t: F.struct(c(f"{t}.id").alias("id"), c(f"{t}.place").alias("place"))
-    every = dealt(classes)
-    some = every if later is None else small_or_shuffled(materialise(dealt(later), "lines-later"), params.broadcast_rows)
     overlap = _up((c("x.n") + c("y.n")) * num, num + den)
     low, high = c("x.sig").bitwiseXOR(c("y.sig")), c("x.high").bitwiseXOR(c("y.high"))
     # of two long lines both halves of the signature, else the halves folded
     bits = F.when(F.least("x.n", "y.n") >= LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
-    # the longer line probes, the shorter is indexed by its shorter prefix; said with columns of both sides, so that both read one exchange
+    # the longer line probes, the shorter is indexed by its shorter prefix; said with columns of both sides, so that both can read one exchange
     shorter, place = F.least("x.n", "y.n"), F.when(c("x.n") <= c("y.n"), c("x.pos")).otherwise(c("y.pos"))
     condition = (
         (c("x.token") == c("y.token"))
@@ -132,7 +130,18 @@ def candidates(classes: DataFrame, params: LineParams, later: DataFrame | None =
         & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
         & (at("y") > at("x"))
     )
-    return some.alias("y").join(every.alias("x"), condition).select(c("x.id").alias("x_id"), c("x.place").alias("x_place"), c("y.id").alias("y_id"), c("y.place").alias("y_place"), bits.cast("int").alias("bits"))
+    return later.alias("y").join(every.alias("x"), condition).select(c("x.id").alias("x_id"), c("x.place").alias("x_place"), c("y.id").alias("y_id"), c("y.place").alias("y_place"), bits.cast("int").alias("bits"))
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """Of each y's candidates one with the fewest differing bits, and their number."""
+    # plain numbers, so that Spark hashes and need not sort; both parts of x come from the same row, and were it not so, verification would show
+    return materialise(found.groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), F.count("*").alias("times")), "lines-nearest")
+
+
+def of_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """The rows (id, place, ...) that are among lines (id, place), or are not."""
+    return rows.join(lines, rows["id"].eqNullSafe(lines["id"]) & (rows["place"] == lines["place"]), how)
 
 
 def paired(found: DataFrame) -> DataFrame:
@@ -165,21 +174,31 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """(known, known_h, gone): for each document that loses lines its id, a hash of its text and the lines' numbers.
 
     A line needs one earlier match to go. So of each line's candidates the one with the nearest signature is verified first, which settles nearly all of
-    them; only for those it does not settle are all candidates verified.
+    them; only for those it does not settle are all candidates verified. Lines under a token that many share are compared with a few of the earliest of
+    them first, and only those that this leaves open with all: a group of near copies costs as many rows as it has members, and those of the few left.
     """
     texts = keyed(docs, id_col, text_col).select("id", "h", "text")
     lines = materialise(line_sets(texts, rarity(texts), params), "lines-sets")
     first = F.min(F.struct("id", "place")).alias("at")
     found = lines.groupBy("key", "n", "sig", "high").agg(first, F.count("*").alias("times"), F.any_value("probe").alias("probe"))
     classes = materialise(found.select("at.id", "at.place", "key", "n", "sig", "high", "times", "probe"), "lines-classes")
-    # plain numbers, so that Spark hashes and need not sort; both parts of x come from the same row, and were it not so, verification would show
-    one = candidates(classes, params).groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), F.count("*").alias("times"))
-    nearest = materialise(one, "lines-nearest")
-    settled = materialise(verified(paired(nearest), texts, params).select("y").distinct(), "lines-settled")
-    left = materialise(paired(nearest.filter("times > 1")).join(settled, "y", "left_anti").select("y.id", "y.place"), "lines-open")
+    rows, limit = dealt(classes), params.broadcast_rows
+    # tokens that many classes share are taken apart: there most lines are settled by the earliest ones, before all are compared
+    crowded = small_or_shuffled(materialise(rows.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > params.crowd).select("token"), "lines-crowded"), limit)
+    rare, crowd = rows.join(crowded, "token", "left_anti"), materialise(rows.join(crowded, "token", "left_semi"), "lines-crowd")
+    salt = F.pmod(F.xxhash64("id", "place"), F.lit(params.anchors))
+    anchors = crowd.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("id", "place", "n", "sig", "high", "pos")).alias("first")).select("first.*", "token")
+    one = nearest(candidates(rare, rare, params).unionByName(candidates(crowd, materialise(anchors, "lines-anchors"), params)))
+    settled = materialise(verified(paired(one), texts, params).select("y").distinct(), "lines-settled")
+    known = small_or_shuffled(settled.select("y.*"), limit)
+    two = nearest(candidates(of_lines(crowd, known, "left_anti"), crowd, params))
+    settled = settled.unionByName(materialise(verified(paired(two), texts, params).select("y").distinct(), "lines-settled"))
+    tried = paired(one.unionByName(two).filter("times > 1")).select("y").distinct()
+    left = materialise(tried.join(settled, "y", "left_anti").select("y.*"), "lines-open")
     if left.count():
-        open_ = classes.join(small_or_shuffled(left, params.broadcast_rows), (classes["id"].eqNullSafe(left["id"])) & (classes["place"] == left["place"]), "left_semi")
-        others = materialise(paired(candidates(classes, params, open_)).distinct(), "lines-others")
+        few = small_or_shuffled(left, limit)
+        others = [candidates(small_or_shuffled(materialise(of_lines(x, few, "left_semi"), "lines-later"), limit), x, params) for x in (rare, crowd)]
+        others = materialise(paired(others[0].unionByName(others[1])).distinct(), "lines-others")
         settled = settled.unionByName(materialise(verified(others, texts, params).select("y").distinct(), "lines-settled"))
     # all lines of a class but its first; the classes of one line are most and stay out
     same = ["key", "n", "sig", "high"]

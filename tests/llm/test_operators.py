@@ -399,7 +399,7 @@ def test_line_dedup(spark):
     flat = found.select("row.doc_id", "n_lines", "n_removed", "kept_text")
     assert counted(flat, *flat.columns) == expected
     assert sum(map(len, gone.values())) > 100
-    shuffled = line_dedup.deduplicated(docs, params=line_dedup.LineParams(broadcast_rows=0))
+    shuffled = line_dedup.deduplicated(docs, params=line_dedup.LineParams(broadcast_rows=0, crowd=3, anchors=2))
     assert counted(shuffled.select("row.doc_id", "n_lines", "n_removed", "kept_text"), *flat.columns) == expected
 
 
