@@ -43,7 +43,7 @@ class LineParams:
     num: int = 4  # the Jaccard threshold, num / den
     den: int = 5
     broadcast_rows: int = 200_000  # joins of the texts with smaller tables than this broadcast those; larger ones are shuffled
-    crowd: int = 64  # tokens that more classes share are taken apart
+    crowd: int = 256  # tokens that more classes share are taken apart
     anchors: int = 16  # earliest classes of such a token that all others are compared with first
 
     @property
@@ -152,7 +152,7 @@ def paired(found: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, params: LineParams) -> DataFrame:
     """The pairs (x, y) whose words have the Jaccard asked for, judged on the words themselves."""
     h = F.col("place").bitwiseAND(F.lit(((1 << 31) - 1) << 32))
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*").distinct()
+    ends = pairs.select("x.*").distinct().unionByName(pairs.select("y.*").distinct()).distinct()
     needed = materialise(ends.groupBy(F.col("id").alias("needed"), h.alias("needed_h")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("lines")), "lines-needed")
     mine = texts.withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
     held = mine.join(small_or_shuffled(needed, params.broadcast_rows), F.col("id").eqNullSafe(F.col("needed")) & (F.col("own") == F.col("needed_h")))
@@ -190,11 +190,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     anchors = crowd.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("id", "place", "n", "sig", "high", "pos")).alias("first")).select("first.*", "token")
     one = nearest(candidates(rare, rare, params).unionByName(candidates(crowd, materialise(anchors, "lines-anchors"), params)))
     settled = materialise(verified(paired(one), texts, params).select("y").distinct(), "lines-settled")
-    known = small_or_shuffled(settled.select("y.*"), limit)
-    two = nearest(candidates(of_lines(crowd, known, "left_anti"), crowd, params))
-    settled = settled.unionByName(materialise(verified(paired(two), texts, params).select("y").distinct(), "lines-settled"))
-    tried = paired(one.unionByName(two).filter("times > 1")).select("y").distinct()
-    left = materialise(tried.join(settled, "y", "left_anti").select("y.*"), "lines-open")
+    tried = one.filter("times > 1")
+    if crowd.count():
+        known = small_or_shuffled(settled.select("y.*"), limit)
+        two = nearest(candidates(of_lines(crowd, known, "left_anti"), crowd, params))
+        settled = settled.unionByName(materialise(verified(paired(two), texts, params).select("y").distinct(), "lines-settled"))
+        tried = tried.unionByName(two.filter("times > 1"))
+    left = materialise(paired(tried).select("y").distinct().join(settled, "y", "left_anti").select("y.*"), "lines-open")
     if left.count():
         few = small_or_shuffled(left, limit)
         others = [candidates(small_or_shuffled(materialise(of_lines(x, few, "left_semi"), "lines-later"), limit), x, params) for x in (rare, crowd)]
