@@ -10,11 +10,12 @@ on the capacity alone. Documents are numbered within their length in Spark and l
 3. The actual lengths take the places of their group, then small ones go, longest first, where they fit best.
 
 Null text: an empty document, one piece of one (end) token. An empty table packs to nothing. Repeated rows are packed each on its
-own; null ids stay null.
+own; null ids stay null. A very long text is encoded whole by one task and cut afterwards. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -37,13 +38,21 @@ END_ID = 1
 
 _encoders: dict = {}
 
+#: A capital before a combining mark may compose otherwise than its small letter (H and a line below do not, h and a line below do).
+CAPITAL_AND_MARK = re.compile(rb"[A-Z][\x80-\xff]*[\xcc\xcd]")
+
+
+def encoded_whole(text: bytes) -> bool:
+    """Texts whose case counts: perhaps with a special token, or with capitals before marks."""
+    return b"<|" in text or (not text.isascii() and CAPITAL_AND_MARK.search(text) is not None)
+
 
 class _Encoder:
     """words: word (split at ASCII white space, A-Z lower-cased) -> its ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary lower-cases, and its normaliser and splitter never join across white space, so ids of a text are those of its words; nor
-    does its splitter join a letter and the punctuation after it. Words of letters only are encoded many in a call: each ends at an id
-    that ends a word.
+    The vocabulary lower-cases, and its normaliser and splitter never join across white space, so ids of a text are those of its words. Punctuation is
+    cut off a word where the splitter does not join it to what the word's last character is once normalised (a letter may become a letter and a mark, and marks
+    join). Words of letters only are encoded many in a call: each ends at an id that ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,6 +62,7 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
+        self.apart: dict[str, bool] = {}
         known = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(known.values()) + 1, bool)
         self.ends_word[[k for word, k in known.items() if word.endswith("</w>")]] = True
@@ -60,6 +70,15 @@ class _Encoder:
     def plain(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def stands_apart(self, stem: bytes) -> bool:
+        """Whether punctuation after the stem is split from it."""
+        if stem[-1:].isalnum():  # ASCII
+            return True
+        last = self.tokenizer.normalizer.normalize_str(stem.decode("utf-8", "replace"))[-1:]
+        if last not in self.apart:
+            self.apart[last] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(last + ".")) == 2 if last.strip() else False
+        return self.apart[last]
+
     def learn_stems(self, stems: list[bytes]) -> None:
         letters = []
         for stem in stems:
@@ -83,7 +102,7 @@ class _Encoder:
         cut = []
         for word in words:
             stem = word.rstrip(TAIL)
-            if len(stem) < len(word) and stem and not stem[-1:].isalpha() and not stem.decode("utf-8", "replace")[-1].isalpha():
+            if len(stem) < len(word) and stem and not self.stands_apart(stem):
                 stem = word
             cut.append((word, stem))
         tails = {w[len(s) :] for w, s in cut}
@@ -95,7 +114,7 @@ class _Encoder:
             self.words[word] = self.stems[stem] + self.stems[word[len(stem) :]]
 
     def ids(self, text: bytes) -> bytes:
-        if b"<|" in text:  # perhaps a special token, whose case counts
+        if encoded_whole(text):
             return self.plain(text)
         words = text.lower().split()
         try:
@@ -111,7 +130,7 @@ class _Encoder:
 
     def prepare(self, texts: list[bytes]) -> None:
         """Learn the words of many texts at once."""
-        missing = {w for t in texts if t and b"<|" not in t for w in t.lower().split()}.difference(self.words)
+        missing = {w for t in texts if t and not encoded_whole(t) for w in t.lower().split()}.difference(self.words)
         if missing and len(self.words) + len(missing) > KEPT_WORDS and len(missing) <= KEPT_WORDS // 4:
             self.words.clear()
         if missing and len(self.words) + len(missing) <= KEPT_WORDS:

@@ -463,3 +463,20 @@ def test_empty_tables(spark, docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     results = [simhash.near_duplicates(none), decontaminate.matched(none, bench), substring.removed(none), ppm.scored(none), packing.pack(none, path), quality.judged(none), line_dedup.deduplicated(none), warc.round_trip(pages), url_filter.judged(pages.select("page_id", "url"), pages.select("url", F.lit(1).alias("bad")))]
     assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_encoder_equals_the_tokenizer_after_every_letter():
+    from tokenizers import Tokenizer
+
+    path = queries.public_tokenizer("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing._Encoder(path)
+    chars = [chr(c) for c in range(0x80, 0x2FFFF) if unicodedata.category(chr(c))[0] in "LMN" and not 0x4E10 < c < 0x9F00 and not 0xAC10 < c < 0xD790 and not 0x17010 < c < 0x187F0 and not 0x20010 < c]
+    rng = random.Random(8)
+    made = [f"a{c}{rng.choice(packing.TAIL.decode())} {c}{rng.choice(packing.TAIL.decode())}x {c}." for c in chars]
+    made += [f"{a}{chr(m)}{t} {a.lower()}{chr(m)}" for a in "AHTWYJI" for m in range(0x300, 0x370) for t in ("", ".", '"')]
+    alphabet = "aHTİ'sd.,-\"<|> ̱̈ßक़ड़़क०½ﬁ가  #"
+    made += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    own.prepare([t.encode() for t in made])
+    expected = tok.encode_batch(made, add_special_tokens=False)
+    wrong = [t for t, e in zip(made, expected) if own.ids(t.encode()) != struct.pack(f"<{len(e.ids)}I", *e.ids)]
+    assert not wrong, wrong[:10]
