@@ -5,10 +5,12 @@ A fingerprint has 64 bits. Two fingerprints at most ``max_bits`` apart agree on
 distinct fingerprint is dealt out once for each combination; fingerprints that meet are compared exactly.
 
 Copies are one fingerprint from the start. Within a key only a spanning forest of the links is emitted,
-never all pairs, so a group of near copies costs as many rows as it has members.
+never all pairs, so a group of near copies costs as many rows as it has members. A key that more than ``HOT`` fingerprints share is dealt out again
+by the ranges it leaves open, by the same pigeonhole: what still meets agrees on 48 bits of 64, so no task holds more than 65,536 fingerprints of a key.
 
 Null and empty texts have fingerprint zero and link like any other. Rows with a null id are fingerprinted
-and get the component of the others with their fingerprint (null if there is none with an id).
+and get the component of the others with their fingerprint (null if there is none with an id). Texts are taken whole, their shingles counted in
+bounded pieces. Repeated rows each get a row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from kerbside.llm.common import materialise, shuffle_partitions, slices, small_o
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 COUNTED_AT_ONCE = 1 << 15
+#: Fingerprints of a key from which on it is dealt out again.
+HOT = 4096
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -69,6 +73,14 @@ def block_masks(blocks: int, max_bits: int) -> list[int]:
     return [sum(c) for c in combinations(ranges, blocks - max_bits)]
 
 
+def finer_masks(mask: int, max_bits: int, blocks: int) -> list[int]:
+    """Masks that hold ``mask`` and all combinations of ``blocks - max_bits`` of ``blocks`` ranges of the bits it leaves open."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(free) * k // blocks for k in range(blocks + 1)]
+    ranges = [sum(1 << b for b in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [mask | sum(c) for c in combinations(ranges, blocks - max_bits)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -89,11 +101,24 @@ def forest(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
     return out
 
 
-def links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 3, blocks: int = 6, hot: int = HOT) -> DataFrame:
     """Edges (a, b), b < a, whose components are those of all links; distinct: (node, fp), one row a fingerprint."""
     spark, masks = distinct.sparkSession, block_masks(blocks, max_bits)
-    keys = F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
-    dealt = distinct.select("node", "fp", F.explode(keys).alias("k")).select("k.combo", "k.key", "node", "fp")
+    def under(some: DataFrame, combos: list[tuple[int, int]]) -> DataFrame:
+        """some, dealt out once for each (number, mask)."""
+        keys = F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in combos])
+        return some.select("node", "fp", F.explode(keys).alias("k")).select("k.combo", "k.key", "node", "fp")
+
+    dealt = under(distinct, list(enumerate(masks)))
+    crowded = materialise(dealt.groupBy("combo", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("combo", "key"), "simhash-hot")
+    found = sorted(r.combo for r in crowded.select("combo").distinct().collect())  # by the number of masks
+    if found:
+        few = small_or_shuffled(crowded, 100_000)
+        held_apart = dealt.join(few, ["combo", "key"], "left_semi")
+        dealt = dealt.join(few, ["combo", "key"], "left_anti")
+        for k in found:
+            finer = finer_masks(masks[k], max_bits, blocks)
+            dealt = dealt.unionByName(under(held_apart.filter(F.col("combo") == k), [((k + 1) * len(masks) + i, m) for i, m in enumerate(finer)]))
     dealt = dealt.repartition(shuffle_partitions(spark), "combo", "key").sortWithinPartitions("combo", "key")
 
     def run(batches):

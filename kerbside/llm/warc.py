@@ -1,6 +1,6 @@
 """WARC archives: write, normalise to one gzip member a record with an offset index, read back by offset.
 
-Pages are dealt into blocks by id; each block is written as one monolithic archive (a single gzip stream, as a careless crawler would) to the shared
+Pages are dealt into blocks of about ``BLOCK_BYTES`` by a hash; each block is written as one monolithic archive (a single gzip stream, as a careless crawler would) to the shared
 folder. The normaliser inflates such a stream once, from start to end, in bounded chunks, writes every record as its own member, and a sidecar
 index of offsets. Records are then read by offset alone.
 
@@ -11,7 +11,8 @@ Archives are named by block and content never depends on when or where a task ru
 the same bytes and moves them to the same name.
 
 Null html: empty payload. Rows without an id are left out of the archive (a record needs its id) and of the result. Repeated ids are each
-written. An empty table writes nothing and gives an empty result. Urls are percent-encoded where they hold white space or control characters.
+written and each read back: records are told apart by id and digest, and rows that are equal in both and have the largest id are all responses. A very long payload is one record, held whole
+by one task at a time. Other columns, whatever their names, are not read. An empty table writes nothing and gives an empty result. Urls are percent-encoded where they hold white space or control characters.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEVEL = 1
 #: Written into every record; a re-run must give the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
+#: Payload bytes of a block, about.
+BLOCK_BYTES = 64 << 20
 #: Rows of a block at once in a task.
 ROWS_AT_ONCE = 200
 
@@ -42,25 +45,25 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>"
+def record_id(page_id: int, sha1: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{sha1}')}>"
 
 
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record; the block is an HTTP response, or its headers alone for a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    block, sha1 = http if refers_to is not None else http + payload, digest(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, sha1)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=chr(33) + '#$%&()*+,/:;=?@[]~' + chr(39))}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha1}",
         f"X-Page-ID: {page_id}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, sha1)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -114,7 +117,11 @@ def _files(folder: str):
 
 def _moved(files, temporary: str, final: str) -> None:
     """Replaces what an earlier try of the same task left; both have the same bytes."""
-    files.move(temporary, final)
+    try:
+        files.move(temporary, final)
+    except OSError:  # a file system that doesn't move onto a file
+        files.delete_file(final)
+        files.move(temporary, final)
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:
@@ -206,19 +213,19 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return index.select("archive", "offset", "length").mapInArrow(read, schema)
 
 
-def placed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
+def placed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int, blocks: int) -> DataFrame:
     """(block, id, url, payload, refers_to): which pages revisit which."""
-    n = shuffle_partitions(pages.sparkSession)
     one = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")).filter("id is not null")
-    sized = one.select("id", F.sha1(F.col("payload").cast("binary")).alias("sha"), F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least_bytes)
+    one = one.withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    sized = one.select("id", "sha", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least_bytes)
     groups = sized.groupBy("sha").agg(F.max("id").alias("response"), F.count("*").alias("times")).filter("times > 1")
     # only shared payloads are joined; written, so that Spark knows the size of both sides
     shared = materialise(groups.select("sha", "response"), "warc-shared")
-    copies = sized.join(shared, "sha").select(F.col("id").alias("copy"), "response").filter("copy <> response").distinct()
+    copies = sized.join(shared, "sha").select(F.col("id").alias("copy"), F.col("sha").alias("copied"), "response").filter("copy <> response").distinct()
     copies = materialise(copies, "warc-revisits")
-    marked = one.join(copies, one["id"] == copies["copy"], "left").select("id", "url", "payload", F.col("response").alias("refers_to"))
-    block = F.pmod(F.xxhash64("id"), F.lit(4 * n)).cast("int")
-    return marked.withColumn("block", block).select("block", "id", "url", "payload", "refers_to").repartition(n, "block").sortWithinPartitions("block", "id")
+    marked = one.join(copies, (one["id"] == copies["copy"]) & (one["sha"] == copies["copied"]), "left").select("id", "sha", "url", "payload", F.col("response").alias("refers_to"))
+    dealt = marked.repartition(blocks, "id", "sha").sortWithinPartitions("id", "sha", "url")
+    return dealt.select(F.spark_partition_id().alias("block"), "id", "url", "payload", "refers_to")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -229,11 +236,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     check_name(id_col)
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    archives = materialise(archived(placed(pages, id_col, url_col, payload_col, least_bytes), f"{folder}/raw"), "warc-archives")
-    index = materialise(normalised(archives.repartition(shuffle_partitions(spark), "archive"), f"{folder}/raw", f"{folder}/records"), "warc-index")
-    found = materialise(read_records(index.repartition(shuffle_partitions(spark), "archive").sortWithinPartitions("archive", "offset"), f"{folder}/records"), "warc-read")
+    size = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
+    blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
+    archives = materialise(archived(placed(pages, id_col, url_col, payload_col, least_bytes, blocks), f"{folder}/raw"), "warc-archives")
+    index = materialise(normalised(archives.repartition(blocks), f"{folder}/raw", f"{folder}/records"), "warc-index")
+    found = materialise(read_records(index.repartition(blocks, "archive").sortWithinPartitions("archive", "offset"), f"{folder}/records"), "warc-read")
     columns = [F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to"]
     responses = found.filter("record_type = 'response'")
-    own = responses.groupBy(F.col("page_id").alias("response")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    own = responses.groupBy(F.col("page_id").alias("response"), "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"))
     revisits = found.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")  # apart: all responses refer to nothing, one hot key
-    return responses.select(*columns).unionByName(revisits.join(own, F.col("refers_to") == F.col("response"), "left").select(*columns))
+    referred = (F.col("refers_to") == F.col("response")) & (F.col("declared_digest") == F.col("payload_digest"))
+    return responses.select(*columns).unionByName(revisits.join(own, referred, "left").select(*columns))

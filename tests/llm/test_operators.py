@@ -443,6 +443,7 @@ def test_url_trees_learn(spark):
 def test_warc_round_trip(spark):
     html = ["<p>é</p>", "", None, "same", "same", "same", "x" * 300_000, "a\r\n\r\nb", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"]
     made = [(k, f"http://h/{k} ü", t) for k, t in enumerate(html)]
+    made += [(5, "v", "B"), (5, "v", "C"), (9, "v", "same"), (12, "v", "C"), (12, "w", "C"), (12, None, "only"), (5, "v", "B")]  # repeated ids
     d = spark.createDataFrame([(*r, 1) for r in made] + [(None, "u", "lost", 1)], "page_id long, url string, html string, id int")
     for least in (0, 5):
         last = {}
@@ -480,3 +481,31 @@ def test_encoder_equals_the_tokenizer_after_every_letter():
     expected = tok.encode_batch(made, add_special_tokens=False)
     wrong = [t for t, e in zip(made, expected) if own.ids(t.encode()) != struct.pack(f"<{len(e.ids)}I", *e.ids)]
     assert not wrong, wrong[:10]
+
+
+def test_simhash_hot_keys_lose_no_link(spark):
+    rng = random.Random(3)
+    base, made = rng.getrandbits(64), set()
+    while len(made) < 300:  # all share 40 bits and more
+        fp = base
+        for _ in range(rng.randint(0, 6)):
+            fp ^= 1 << rng.randrange(24)
+        made.add(fp)
+    fps = sorted(made)
+    distinct = spark.createDataFrame([(k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(fps)], "node long, fp long")
+    root = list(range(len(fps)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(fps):
+        for k, b in enumerate(fps[:i]):
+            if (a ^ b).bit_count() <= 3:
+                root[find(i)] = find(k)
+    expected = {frozenset(k for k in range(len(fps)) if find(k) == r) for r in {find(k) for k in range(len(fps))}}
+    found = defaultdict(set)
+    for r in simhash.components(simhash.links(distinct, hot=5)).collect():
+        found[r.root].add(r.node)
+    assert {frozenset(x) for x in found.values()} == {x for x in expected if len(x) > 1}
