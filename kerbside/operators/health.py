@@ -27,9 +27,35 @@ def health_codes(events: DataFrame, key_col: str = "key") -> DataFrame:
 def fps_windows(frames: DataFrame, seconds: int = 5, by: str = "camera_id", ts: str = "ts_ms") -> DataFrame:
     """(camera, window_start ms, fps) for every whole window from a camera's first to its last frame, empty ones included."""
     size = seconds * 1000
-    counts = frames.groupBy(by, (F.floor(F.col(ts) / size) * size).alias("window_start")).agg(F.count("*").alias("n"))
+    counts = frames.groupBy(by, (F.floor(F.col(ts) / size) * size).alias("window_start")).agg((F.count("*") / seconds).alias("fps"))
+    return with_empty_windows(counts, seconds, by)
+
+
+def with_empty_windows(counts: DataFrame, seconds: int = 5, by: str = "camera_id") -> DataFrame:
+    """counts (by, window_start ms, fps) with a row of rate 0 for every window without frames between a camera's first and last."""
+    size = seconds * 1000
     span = counts.groupBy(by).agg(F.explode(F.sequence(F.min("window_start"), F.max("window_start"), F.lit(size))).alias("window_start"))
-    return span.join(counts, [by, "window_start"], "left").select(by, "window_start", (F.coalesce("n", F.lit(0)) / seconds).alias("fps"))
+    return span.join(counts, [by, "window_start"], "left").select(by, "window_start", F.coalesce("fps", F.lit(0.0)).alias("fps"))
+
+
+def infer_gaps(windows: DataFrame, by: str = "camera_id") -> DataFrame:
+    """An alert for every window (by, window_start, fps) without a result."""
+    return windows.filter("fps = 0").select(by, "window_start", F.lit("WARN").alias("level"), F.lit(code_of("no_infer_data")).alias("code"))
+
+
+def radar_gaps(joined: DataFrame, limit: int = 1000, max_age_ms: int | None = None, by: str = "camera_id", order: str = "frame_id", bucket: int = 10_000) -> DataFrame:
+    """An alert at every limit-th frame of a camera that has no radar data; joined: frames with their newest sweep (sweep_id, skew_ms).
+
+    A frame misses its radar if there is no sweep before it or, with max_age_ms, only older ones. Frames are counted in buckets of ``bucket`` frame numbers, whose
+    sums are added up apart, so that no task holds all frames of a camera. Frames without a number don't count.
+    """
+    missing = F.col("sweep_id").isNull() if max_age_ms is None else F.col("sweep_id").isNull() | (F.col("skew_ms") > max_age_ms)
+    lost = joined.filter(missing).select(by, order, F.floor(F.col(order) / bucket).alias("bucket_")).filter(F.col(order).isNotNull())
+    sums = lost.groupBy(by, "bucket_").agg(F.count("*").alias("n_"))
+    before = sums.select(by, "bucket_", (F.sum("n_").over(Window.partitionBy(by).orderBy("bucket_")) - F.col("n_")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy(by, "bucket_").orderBy(order))
+    counted = lost.withColumn("own_", own).join(before, [by, "bucket_"]).withColumn("lost", F.col("own_") + F.col("before_"))
+    return counted.filter(F.col("lost") % limit == 0).select(by, order, "lost", F.lit("WARN").alias("level"), F.lit(code_of("no_radar_data")).alias("code"))
 
 
 def camera_gaps(frames: DataFrame, limit_ms: int = 1200, by: str = "camera_id", ts: str = "ts_ms") -> DataFrame:

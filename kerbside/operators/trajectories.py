@@ -18,13 +18,19 @@ def trajectories(track_rows: DataFrame, min_points: int = 30, last_n: int = 500)
     return own.join(gathered, [*key, "start_frame"])
 
 
+def with_colors(found: DataFrame, colors: DataFrame, key: tuple[str, ...] = ("camera_id", "track_id")) -> DataFrame:
+    """found (tracks or trajectories) with their colour of the vote (key, color); 0 where none was voted. Votes of no track are dropped."""
+    voted = colors.select(*key, "color").dropDuplicates([*key])
+    return found.drop("color").join(voted, [*key], "left").withColumn("color", F.coalesce("color", F.lit(0)).cast("int"))
+
+
 def with_lines(found: DataFrame, frame_ms: int = 40, epoch_ms: int = 0) -> DataFrame:
     """Adds day, path and lines: a header, a title and a line for each point; time is that of the track's last frame."""
     at = F.timestamp_millis(F.col("end_frame") * frame_ms + epoch_ms)
     s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     # the text form's labels (fixed format); t and l hold x and y
     named_values = (("id", "track_id"), ("class", "class_id"), ("score", "score"), ("t", "x"), ("l", "y"), ("w", "w"), ("h", "h"), ("duration_frame", "duration"))
-    header = F.concat(*[x for label, c in named_values for x in (F.lit(f"{label}: "), s(c), F.lit(" "))], F.lit("color: 0 "))
+    header = F.concat(*[x for label, c in named_values for x in (F.lit(f"{label}: "), s(c), F.lit(" "))], F.lit("color: "), s(F.coalesce("color", F.lit(0))) if "color" in found.columns else F.lit("0"), F.lit(" "))
     lines = F.transform("points", lambda p: F.concat(F.lit("frame_"), s(p["frame_id"]), F.lit(": x: "), s(p["x"] + p["w"] / 2), F.lit(", y: "), s(p["y"] + p["h"] / 2), F.lit(", class: "), s(p["class_id"])))
     named = found.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
     path = F.concat(F.col("day"), F.lit("/tracks/"), F.date_format(at, "yyyyMMddHHmmss"), F.lit("-"), F.col("class_id").cast("string"), F.lit("-"), F.col("track_id").cast("string"), F.lit(".txt"))
@@ -32,9 +38,9 @@ def with_lines(found: DataFrame, frame_ms: int = 40, epoch_ms: int = 0) -> DataF
 
 
 def write_trajectories(found: DataFrame, path: str, text: bool = False) -> None:
-    """By day: Parquet with nested points, or text lines."""
+    """By day: Parquet with nested points, or text: a row a track, its lines joined by line feeds, under ``<day>`` and ``path``'s name."""
     named = with_lines(found)
     if text:
-        named.select("day", F.explode("lines").alias("value")).write.mode("append").partitionBy("day").text(path)
+        named.select("day", F.regexp_extract("path", "([^/]+)$", 1).alias("track"), F.array_join("lines", "\n").alias("value")).write.mode("append").partitionBy("day", "track").text(path)
     else:
         named.drop("lines").write.mode("append").partitionBy("day").parquet(path)

@@ -46,7 +46,7 @@ SQL = {
  from supplier join nation on s_nationkey=n_nationkey join region on n_regionkey=r_regionkey""",
     "fx_stage_log": "select event_type stage, event_id seq, {US} t_us, cast(1+event_id{D}4000 as int) batch_size from events",
     "fx_pixels": """select img_id, r, c, cast((r*7+c*13+img_id*29)%256 as int) b, cast((r*c+img_id*11)%256 as int) g, cast((r*r+c*3+img_id*5)%256 as int) rr
- from (select img_id, r, {U}({SEQ}(0,15)) c from (select img_id, {U}({SEQ}(0,11)) r from (select p_partkey img_id from part where p_partkey<48) x) y) z""",
+ from (select img_id, r, {U}({SEQ}(0,15)) c from (select img_id, {U}({SEQ}(0,11)) r from (select p_partkey img_id from part) x) y) z""",
     "fx_boxes_b": """select camera_id, frame_id, vehicle_id, label, confidence, xmin+5 xmin, ymin+3 ymin, xmax+5 xmax, ymax+3 ymax
  from fx_detections where vehicle_id%4<>0""",
     "fx_frames_gappy": "select * from fx_frames where frame_id%500 not between 100 and 140",
@@ -93,5 +93,5 @@ def oracle(body: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    text = ",\n".join(f"{n} as ({_written(n, DUCK)})" for n in order)
+    text = ",\n".join(f"{n} as materialized ({_written(n, DUCK)})" for n in order)
     return f"with {text}{'' if body.lstrip().startswith(',') else chr(10)}{body}" if text else body

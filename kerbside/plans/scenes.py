@@ -161,6 +161,15 @@ def fps_windows(spark, sf_dir):
     return health.fps_windows(fixture(spark, sf_dir, "fx_frames_gappy")).withColumn("fps", _d("fps"))
 
 
+def infer_gaps(spark, sf_dir):
+    return health.infer_gaps(health.fps_windows(fixture(spark, sf_dir, "fx_frames_gappy").filter("frame_id % 500 not between 100 and 350")))
+
+
+def radar_gaps(spark, sf_dir):
+    """Every thousandth frame without a sweep of the last 200 ms."""
+    return health.radar_gaps(_asof(spark, sf_dir), 1000, 200)
+
+
 def camera_gaps(spark, sf_dir):
     return health.camera_gaps(fixture(spark, sf_dir, "fx_frames_gappy"))
 
@@ -229,7 +238,7 @@ def frame_messages(spark, sf_dir):
     return found.select("camera_id", "frame_id", "frame_seq", "objects_number", "published_number", ids.alias("objects"), F.round(F.aggregate("objects", F.lit(0.0), lambda a, o: a + o["x_norm"]) * 1920).cast("long").alias("x_sum"))
 
 
-QUERIES = {f.__name__: f for f in (hazards_filtered, hazard_mapping, hazards_sticky, radar_points, radar_asof, skew_alerts, softmax_argmax, color_majority, color_candidates, class_majority, labelled_counts, registry_cameras, registry_radars, camera_topics, stage_durations, stage_summary, stage_timeline, last_n_points, fps_windows, camera_gaps, health_codes, frame_source, _metric("brightness", 4), _metric("snow"), _metric("sharpness"), _metric("occlusion"), _metric("black"), img_daynight, health_events, frame_messages)}
+QUERIES = {f.__name__: f for f in (hazards_filtered, hazard_mapping, hazards_sticky, radar_points, radar_asof, skew_alerts, softmax_argmax, color_majority, color_candidates, class_majority, labelled_counts, registry_cameras, registry_radars, camera_topics, stage_durations, stage_summary, stage_timeline, last_n_points, fps_windows, infer_gaps, radar_gaps, camera_gaps, health_codes, frame_source, _metric("brightness", 4), _metric("snow"), _metric("sharpness"), _metric("occlusion"), _metric("black"), img_daynight, health_events, frame_messages)}
 
 ORACLE_SQL = {
     "hazards_filtered": oracle(_HZ + " select * from hz", "fx_hazards", "fx_detections"),
@@ -256,6 +265,10 @@ ORACLE_SQL = {
     "last_n_points": oracle("select camera_id, vehicle_id, frame_id, xmin from (select *, row_number() over (partition by vehicle_id order by frame_id desc) k from fx_detections) where k<=20", "fx_detections"),
     "fps_windows": oracle(""", n as (select camera_id, ts_ms//5000*5000 s, count(*) c from fx_frames_gappy group by 1,2), sp as (select camera_id, unnest(generate_series(min(s), max(s), 5000)) s from n group by 1)
  select sp.camera_id, sp.s window_start, round(coalesce(c,0)/5.0::double,6) fps from sp left join n using (camera_id, s)""", "fx_frames_gappy"),
+    "infer_gaps": oracle(""", n as (select camera_id, ts_ms//5000*5000 s from fx_frames_gappy where frame_id%500 not between 100 and 350), sp as (select camera_id, unnest(generate_series(min(s), max(s), 5000)) s from n group by 1)
+ select camera_id, s window_start, 'WARN' as "level", 325 code from sp anti join n using (camera_id, s)""", "fx_frames_gappy"),
+    "radar_gaps": oracle(_ASOF + """, lost as (select camera_id, frame_id, row_number() over (partition by camera_id order by frame_id) lost from ao where sweep_id is null or skew_ms > 200)
+ select camera_id, frame_id, lost, 'WARN' as "level", 323 code from lost where lost%1000=0""", "fx_frames", "fx_radar"),
     "camera_gaps": oracle("select camera_id, p from_ms, ts_ms to_ms, ts_ms-p gap_ms, 322 code from (select *, lag(ts_ms) over (partition by camera_id order by ts_ms) p from fx_frames_gappy) where ts_ms-p>=1200", "fx_frames_gappy"),
     "health_codes": f"select event_id, k.key as key, k.code from events join (values {_CODES}) k(i, key, code) on event_id%{len(health.KEYS)}=k.i",
     "frame_source": oracle("select distinct img_id, 12 height, 16 width, case when img_id%7=3 then 331 else 0 end code from fx_pixels", "fx_pixels"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.operators import boxes, hazards
+from kerbside.operators import boxes, hazards, health
 from kerbside.plans.fixtures import fixture
 from kerbside.plans.scenes import ORACLE_SQL as BATCH
 from kerbside.plans.tracks import ORACLE_SQL as TRACKS
@@ -19,7 +19,7 @@ def _rocks(spark) -> None:
 def fps_stream(spark, sf_dir):
     frames = fixture(spark, sf_dir, "fx_frames_gappy").withColumn("ts", F.timestamp_millis("ts_ms"))
     found = drained(monitors.fps_stream(as_stream(frames, "fps")), "fps", "complete")
-    return found.withColumn("fps", F.round("fps", 6))
+    return health.with_empty_windows(found).withColumn("fps", F.round("fps", 6))
 
 
 def camera_gaps_stream(spark, sf_dir):
@@ -45,9 +45,8 @@ def track_points_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (fps_stream, camera_gaps_stream, hazards_sticky_stream, track_points_stream)}
-#: Windows without frames are not in a stream's result.
 ORACLE_SQL = {
-    "fps_stream": f"select * from ({BATCH['fps_windows']}) where fps > 0",
+    "fps_stream": BATCH["fps_windows"],
     "camera_gaps_stream": BATCH["camera_gaps"],
     "hazards_sticky_stream": BATCH["hazards_sticky"],
     "track_points_stream": TRACKS["track_points"],

@@ -19,7 +19,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def fps_stream(frames: DataFrame, seconds: int = 5, late: str = "10 seconds", by: str = "camera_id", ts: str = "ts") -> DataFrame:
-    """(camera, window_start, fps) by tumbling window of event time."""
+    """(camera, window_start, fps) by tumbling window of event time; health.with_empty_windows adds those without frames when the result is read."""
     window = F.window(ts, f"{seconds} seconds")
     counted = frames.withWatermark(ts, late).groupBy(by, window.alias("w")).agg(F.count("*").alias("n"))
     return counted.select(by, F.unix_millis("w.start").alias("window_start"), (F.col("n") / seconds).alias("fps"))

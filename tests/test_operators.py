@@ -164,3 +164,28 @@ def test_trajectory_keeps_the_last_points(spark):
     found = trajectories.trajectories(tracker.track(d, spark.createDataFrame([(0, 200)], "camera_id int, last_frame long")), 10, 20).first()
     assert (found.start_frame, found.end_frame, found.n_points, len(found.points)) == (1, 60, 20, 20)
     assert found.points[0].frame_id == 41
+
+
+def test_trajectory_files_hold_a_track_a_row_with_its_colour(spark, tmp_path):
+    from kerbside.operators import trajectories
+
+    point = "array(named_struct('frame_id', 5L, 'x', 1D, 'y', 2D, 'w', 4D, 'h', 6D, 'class_id', 3))"
+    found = spark.range(3).selectExpr("1 camera_id", "0L segment", "id track_id", "1L start_frame", "7L end_frame", "6L duration", "3 class_id", "0.5D score", "1D x", "2D y", "4D w", "6D h", "1 n_points", f"{point} points")
+    colored = trajectories.with_colors(found, spark.createDataFrame([(1, 0, 6), (1, 9, 2)], "camera_id int, track_id long, color int"))
+    trajectories.write_trajectories(colored, str(tmp_path / "t"), text=True)
+    rows = {r.track: r.value.split("\n") for r in spark.read.option("wholetext", True).text(str(tmp_path / "t")).collect()}
+    assert {name: lines[0].split("color: ")[1].strip() for name, lines in rows.items()} == {f"19700101000000-3-{k}.txt": "6" if k == 0 else "0" for k in range(3)}
+    assert all(len(lines) >= 3 and lines[1] == "track_points: " and lines[2].startswith("frame_5: x: 3.0, y: 5.0") for lines in rows.values())
+
+
+def test_radar_gaps_count_over_buckets(spark):
+    from kerbside.operators import health
+
+    frames = spark.createDataFrame([(c, f, None if (f * 7 + c) % 3 else f, 500 if f % 5 == 0 else 10) for c in (1, 2) for f in range(1, 200)] + [(1, None, None, None)], "camera_id int, frame_id long, sweep_id long, skew_ms long")
+    for age in (None, 400):
+        expected = set()
+        for c in (1, 2):
+            lost = [f for f in range(1, 200) if (f * 7 + c) % 3 or (age and f % 5 == 0)]
+            expected |= {(c, lost[k - 1], k) for k in range(20, len(lost) + 1, 20)}
+        found = health.radar_gaps(frames, 20, age, bucket=16)
+        assert {(r.camera_id, r.frame_id, r.lost) for r in found.collect()} == expected
