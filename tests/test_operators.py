@@ -173,7 +173,7 @@ def test_trajectory_files_hold_a_track_a_row_with_its_colour(spark, tmp_path):
     found = spark.range(3).selectExpr("1 camera_id", "0L segment", "id track_id", "1L start_frame", "7L end_frame", "6L duration", "3 class_id", "0.5D score", "1D x", "2D y", "4D w", "6D h", "1 n_points", f"{point} points")
     colored = trajectories.with_colors(found, spark.createDataFrame([(1, 0, 6), (1, 9, 2)], "camera_id int, track_id long, color int"))
     trajectories.write_trajectories(colored, str(tmp_path / "t"), text=True)
-    rows = {r.track: r.value.split("\n") for r in spark.read.option("wholetext", True).text(str(tmp_path / "t")).collect()}
+    rows = {r.track: r.value.split("\n") for r in spark.read.text(str(tmp_path / "t"), wholetext=True).collect()}
     assert {name: lines[0].split("color: ")[1].strip() for name, lines in rows.items()} == {f"19700101000000-3-{k}.txt": "6" if k == 0 else "0" for k in range(3)}
     assert all(len(lines) >= 3 and lines[1] == "track_points: " and lines[2].startswith("frame_5: x: 3.0, y: 5.0") for lines in rows.values())
 
