@@ -7,10 +7,11 @@ words reaches one in ``one_in``.
 
 The automaton is built in the tasks from broadcast items of at most ``max_words`` words. A larger benchmark is dealt
 into shards of that size, and the texts pass through one shard after another; hits are united between passes.
-Items over ``max_words`` words are cut into pieces that overlap by ``window - 1`` words, which loses no window.
+Items over a sixteenth of ``max_words`` words are cut into pieces that overlap by ``window - 1`` words, which loses no window.
 
 Null texts have no words. Items that are null or have no words have no window. Repeated item ids count once; items without an id
-mark words but are in no list of ids. Repeated documents are judged each on their own.
+mark words but are in no list of ids. Repeated documents are judged each on their own. Very long texts are streamed whole through the automaton by one
+task. Columns pass through, whatever their names. An empty table gives an empty result; without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import slices, utf8
+from kerbside.llm.common import materialise, slices, utf8
 
 #: Lower-cases A-Z and blanks what isn't a word byte; keeps lengths, so offsets hold in the text itself.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -184,19 +185,23 @@ def _automaton(key: str, items: list, window: int) -> Automaton:
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, limits: Limits):
-    """Lists of (id, text), each of about max_words words at most."""
-    step = limits.max_words
-    words = F.filter(F.split(F.translate(F.col(text_col), "\n\r\t", "   "), " "), lambda w: w != "")
-    sized = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.size(words).alias("n")).filter("text is not null")
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // (2 * step)) if total > 2 * step else 1  # a word and its gap have two characters at least
+    """Lists of (id, text), each of about max_words words at most. Items are cut into pieces that overlap by window - 1 words before they are dealt, so a long
+    item is spread like any other; shards that get none are left out."""
+    size = max(limits.max_words // 16, 2 * limits.window)  # of a piece: sixteen in a shard even out
+    step = size - limits.window + 1
+    words = F.filter(F.split(F.regexp_replace(F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")
+    cut = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("whole"), words.alias("w")).filter(F.size("w") > 0)
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - limits.window + 1, F.lit(1)), F.lit(step))
+    # a short item goes as it is; both name the same words, as words_of cuts pieces again
+    piece = F.when(F.size("w") <= size, F.col("whole")).otherwise(F.array_join(F.slice("w", F.col("at"), size), " "))
+    pieces = cut.select("id", "whole", "w", F.explode(F.when(F.size("w") <= size, F.array(F.lit(1))).otherwise(at)).alias("at")).select("id", "at", piece.alias("text"), F.least(F.size("w"), F.lit(size)).alias("n"))
+    pieces = materialise(pieces, "decontaminate-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // limits.max_words) or 1
     for k in range(n):
-        got = [(r.id, r.text.encode()) for r in sized.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).select("id", "text").collect()]
-        out = []
-        for key, text in got:
-            w = words_of(text)
-            out += [(key, text)] if len(w) <= step else [(key, b" ".join(w[a : a + step])) for a in range(0, len(w) - limits.window + 1, step - limits.window + 1)]
-        yield out
+        got = [(r.id, r.text.encode()) for r in pieces.filter(F.pmod(F.xxhash64("id", "at", "text"), F.lit(n)) == k).select("id", "text").collect()]
+        if got or n == 1:
+            yield got
 
 
 def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), cut_text: bool = False) -> DataFrame:
