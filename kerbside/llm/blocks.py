@@ -8,6 +8,7 @@ stands in many documents costs one entry a block, so hot keys are aggregated bef
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from kerbside.llm.common import shuffle_partitions
 
 #: Blocks for each shuffle partition; there is one bucket for each.
 BLOCKS_EACH = 2
+#: Text bytes of a block, about; larger tables are dealt into more blocks than the setting asks for.
+BLOCK_BYTES = 24 << 20
 
 
 def even_labels(spark: SparkSession, partitions: int, each: int) -> list[int]:
@@ -34,38 +37,44 @@ def even_labels(spark: SparkSession, partitions: int, each: int) -> list[int]:
 class Deal:
     """How documents are dealt into blocks and keys into buckets: labels[k] stands for the k-th in the columns Spark hashes."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        n = shuffle_partitions(spark)
+    def __init__(self, docs: DataFrame, text_col: str) -> None:
+        spark = docs.sparkSession
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        self.partitions = n = max(shuffle_partitions(spark), -(-size // (BLOCKS_EACH * BLOCK_BYTES)))
         self.blocks, self.buckets = even_labels(spark, n, BLOCKS_EACH), even_labels(spark, n, 1)
         self.block_at = {label: k for k, label in enumerate(self.blocks)}
         self.bucket_at = {label: k for k, label in enumerate(self.buckets)}
 
 
 def dealt(docs: DataFrame, deal: Deal, id_col: str, text_col: str) -> DataFrame:
-    """(block, id, text) partitioned by block. Blocks are ascending ranges of ids; null ids go to the first.
-    One exchange, used again by all that read it."""
-    spark = docs.sparkSession
+    """(block, id, text) partitioned by block. Blocks are ascending ranges of ids, rows without an id first; an id that more rows have than a block
+    should hold is dealt over several by the hash of the text. One exchange, used again by all that read it."""
     n = len(deal.blocks)
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    cuts = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    distinct = sorted(set(cuts))
     # position of the range by binary search in a constant array: few comparisons, whatever the number of blocks
     block = F.lit(0)
     if cuts:
-        steps = max(1, len(cuts).bit_length())
-        known = F.from_json(F.lit(str(cuts)), "array<bigint>")
-        low, high = F.lit(0), F.lit(len(cuts))
-        found = F.struct(low.alias("lo"), high.alias("hi"))
+        steps = max(1, len(distinct).bit_length())
+        known = F.from_json(F.lit(str(distinct)), "array<bigint>")
+        # a block ends with its cut, so an id that several cuts name has as many blocks
+        first, many = (F.from_json(F.lit(str(x)), "array<int>") for x in ([bisect_left(cuts, c) for c in distinct] + [len(cuts)], [cuts.count(c) for c in distinct] + [1]))
+        found = F.struct(F.lit(0).alias("lo"), F.lit(len(distinct)).alias("hi"))
 
         def halve(s, _):
             mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            right = (s["lo"] < s["hi"]) & (F.get(known, mid) < F.col("id"))
+            right = (s["lo"] < s["hi"]) & (F.get(known, mid) < F.col("key"))
             left = (s["lo"] < s["hi"]) & ~right
             return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"))
 
-        block = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), found, halve)["lo"], F.lit(0))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
+        at = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), found, halve)["lo"], F.lit(0))
+        part = F.when(F.get(known, F.col("at")) == F.col("key"), F.floor(F.shiftrightunsigned(F.xxhash64("text"), 33) * F.get(many, F.col("at")) / (1 << 31)).cast("int")).otherwise(0)
+        block = F.get(first, F.col("at")) + part
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    keyed = keyed.withColumn("at", at).withColumn("block", block) if cuts else keyed.withColumn("block", block)
     label = F.get(F.from_json(F.lit(str(deal.blocks)), "array<int>"), F.col("block"))
-    return keyed.select(label.alias("block"), "id", "text").repartition(shuffle_partitions(spark), "block")
+    return keyed.select(label.alias("block"), "id", "text").repartition(deal.partitions, "block")
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -96,7 +105,7 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def sorted_block(table: pa.Table, id_at: int = 1, text_at: int = 2) -> list[tuple[int | None, bytes | None]]:
-    """(id, text as bytes) of a block in a fixed order: null ids first, then by id and text."""
+    """(id, text as bytes) of a block in a fixed order: null ids first, then by id and text (rows of an id that has several blocks are ordered by those first)."""
     rows = zip(table.column(id_at).to_pylist(), table.column(text_at).cast(pa.large_binary()).to_pylist())
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or b""))
 

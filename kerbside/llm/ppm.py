@@ -80,10 +80,10 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, params: PpmParams)
 
 def turned(grams: np.ndarray, order: int) -> np.ndarray:
     """Grams of the highest order with their context bytes last to first: those with a common suffix of the context stand together when sorted."""
-    out = np.zeros(len(grams), np.int64)
-    for k in range(order):
-        out = out << 8 | grams >> 8 * (k + 1) & 255
-    return out << 8 | grams & 255
+    if not order:
+        return grams & 255
+    back = (grams >> 8).view(np.uint64).byteswap() >> np.uint64(64 - 8 * order)
+    return back.view(np.int64) << 8 | grams & 255
 
 
 def _turned(gram: Column, order: int) -> Column:
@@ -189,7 +189,7 @@ def gram_edges(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PpmParams = PpmParams()) -> DataFrame:
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    order, deal = params.order, blocks.Deal(docs.sparkSession)
+    order, deal = params.order, blocks.Deal(docs, text_col)
     top = materialise(gram_counts(docs, id_col, text_col, params), "ppm-grams")
     dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
 

@@ -9,7 +9,8 @@ Windows are told apart by 96 bits. With N windows the chance that any two differ
 1e8 windows, about 0.4 % for the 2.4e13 windows of 100 TB.
 
 Null and empty texts have no words. Rows without an id count as earlier than all others; rows of equal id are ordered by
-text, and equal rows repeat each other. An empty table gives an empty result. Other columns are not read.
+text (where so many have one id that they fill several blocks, by ranges of the text's hash first), and equal rows repeat each other. Texts are taken whole; a text is in one block.
+An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Block:
 def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """A row for each row of docs: id, n_words, n_removed, intervals (maximal, [from, to) in words), kept_sha256 and, with_text, kept_text (kept words joined
     by one space)."""
-    deal = blocks.Deal(docs.sparkSession)
+    deal = blocks.Deal(docs, text_col)
     dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
 
     def emit(table: pa.Table) -> pa.Table:

@@ -509,3 +509,15 @@ def test_simhash_hot_keys_lose_no_link(spark):
     for r in simhash.components(simhash.links(distinct, hot=5)).collect():
         found[r.root].add(r.node)
     assert {frozenset(x) for x in found.values()} == {x for x in expected if len(x) > 1}
+
+
+def test_rows_of_one_id_fill_several_blocks(spark):
+    rng = random.Random(6)
+    own = [" ".join(rng.choice(WORDS) for _ in range(25)) + f" end{k}" for k in range(40)]
+    made = [(key, own[k % 40]) for key in (5, None) for k in range(200)]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    found = substring.removed(d).collect()
+    assert len(found) == 400
+    kept = Counter((r.doc_id, r.kept_text) for r in found if r.n_removed == 0)
+    assert {k for k, _ in kept} == {None} and set(kept.values()) == {1} and len(kept) == 40
+    assert sum(r.n_removed == r.n_words for r in found) == 360
