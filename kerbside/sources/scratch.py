@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def folder(spark) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it has none."""
+    """spark.checkpoint.dir of the session. Where it has none, a folder is made for a local master, as in tests; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kerbside-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
