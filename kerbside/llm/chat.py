@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's rows are gathered as structs and sorted by turn (ties: role, then text); adjacent turns of one role become one block, its
-turns set apart by a mark. User blocks stand between ``[INST] `` and `` [/INST]``, assistant blocks between ``<s> `` and `` </s>``, all others between
+A conversation's rows are gathered as structs and sorted by turn (ties: role, then text); adjacent turns of one role are merged into one block by array
+functions, its turns set apart by a mark. No array is copied for each turn, so the work does not grow with the square of a conversation. User blocks stand between ``[INST] `` and `` [/INST]``, assistant blocks between ``<s> `` and `` </s>``, all others between
 ``[SYS] `` (with the role on the first line) and `` [/SYS]``.
 
 A mark inside a text gets a backslash after its first character, and so does one that already has backslashes there; taking one
@@ -39,37 +39,37 @@ def _closing(role: Column) -> Column:
     return F.when(role == "user", USER[1]).when(role == "assistant", ASSISTANT[1]).otherwise(OTHER[1])
 
 
-def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each conversation: id, formatted, loss_spans."""
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    gathered = turns.select(F.col(id_col).alias("id"), one.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last, text = F.try_element_at(blocks, F.lit(-1)), F.array(escape(t["text"]))
-        same = F.struct(last["role"].alias("role"), F.concat(last["texts"], text).alias("texts"))
-        new = F.struct(t["role"].alias("role"), text.alias("texts"))
-        return F.when(last["role"] == t["role"], F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(same))).otherwise(F.concat(blocks, F.array(new)))
+def sums_before(column: str, piece: int = 256) -> Column:
+    """For each element of an array of ints the sum of those before it. Sums grow within pieces and over the pieces' totals, so that a long array is not
+    copied for each of its elements."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size(column) - 1, F.lit(0)), F.lit(piece)), lambda k: F.slice(column, k + 1, piece))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
 
-    blocks = gathered.select("id", F.aggregate("turns", empty, merge).alias("blocks"))
-    written = F.transform("blocks", lambda b: F.concat(_opening(b["role"]), F.array_join(b["texts"], BETWEEN), _closing(b["role"])))
-    texts = blocks.select("id", "blocks", written.alias("written"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    def running(numbers: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all"))
+        return F.aggregate(numbers, start, step)["all"]
 
-    def span(acc: Column, b: Column) -> Column:
-        at = acc["at"] + F.length(_opening(b["role"]))
-        begun = F.struct(at.alias("at"), acc["spans"].alias("spans"))
+    bases = running(F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x)))
+    return F.flatten(F.zip_with(pieces, bases, lambda p, base: F.transform(running(p), lambda x: x + base)))
 
-        def turn(inner: Column, text: Column) -> Column:
-            mine = F.array(F.struct(inner["at"].alias("start"), F.length(text).alias("length")))
-            spans = F.when(b["role"] == "assistant", F.concat(inner["spans"], mine)).otherwise(inner["spans"])
-            return F.struct((inner["at"] + F.length(text) + len(BETWEEN)).alias("at"), spans.alias("spans"))
 
-        done = F.aggregate(b["texts"], begun, turn)
-        return F.struct((done["at"] - len(BETWEEN) + F.length(_closing(b["role"]))).alias("at"), done["spans"].alias("spans"))
-
-    spans = F.aggregate("blocks", start, span)["spans"]
-    return texts.select(F.col("id").alias(id_col), F.array_join("written", "").alias("formatted"), spans.alias("loss_spans"))
+def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """A row for each conversation: id, formatted, loss_spans."""
+    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    gathered = turns.select(F.col(id_col).alias("id"), one.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    opens = F.transform("turns", lambda t, k: (k == 0) | (F.get("turns", k - 1)["role"] != t["role"]))
+    texts = F.transform("turns", lambda t: escape(t["text"]))
+    marked = gathered.select("id", "turns", opens.alias("opens"), texts.alias("texts"))
+    # what stands before a turn's text: neighbours of one role are set apart within their block, other turns close one block and open the next
+    ended = lambda k: F.when(k > 0, _closing(F.get("turns", k - 1)["role"])).otherwise("")
+    before = F.transform("turns", lambda t, k: F.when(F.get("opens", k), F.concat(ended(k), _opening(t["role"]))).otherwise(BETWEEN))
+    parts = marked.select("id", "turns", "texts", before.alias("before"))
+    lengths = F.zip_with("before", "texts", lambda b, t: F.length(b) + F.length(t))
+    written = parts.select("id", "turns", "texts", "before", lengths.alias("lengths"))
+    at = written.select("id", "turns", "texts", "before", sums_before("lengths").alias("at"))
+    spans = F.transform("turns", lambda t, k: F.when(t["role"] == "assistant", F.struct((F.get("at", k) + F.length(F.get("before", k)) + 1).alias("start"), F.length(F.get("texts", k)).alias("length"))))
+    joined = F.concat(F.array_join(F.zip_with("before", "texts", lambda b, t: F.concat(b, t)), ""), _closing(F.element_at("turns", -1)["role"]))
+    return at.select(F.col("id").alias(id_col), joined.alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_back(done: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -416,6 +417,29 @@ def test_chat_round_trip(spark):
     assert chat.formatted(d.limit(0)).count() == 0
 
 
+def test_chat_blocks_and_spans_of_a_long_conversation(spark):
+    rng = random.Random(5)
+    made = [(1, k, rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(["", "a", "[TURN] </s>", "é" * 7, "😀b"])) for k in range(1500)]
+    row = chat.formatted(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")).first()
+    plain = lambda t: re.sub(r"([<\[])(\\*)(/?(?:s>|INST\]|SYS\]|TURN\]))", r"\1\\\2\3", t)
+    want, spans, marks = "", [], {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "tool": ("[SYS] tool\n", " [/SYS]")}
+    for k, (_, _, role, text) in enumerate(made):
+        last = made[k - 1][2] if k else None
+        want += "[TURN]" if role == last else (marks[last][1] if last else "") + marks[role][0]
+        if role == "assistant":
+            spans.append((len(want), len(plain(text))))
+        want += plain(text)
+    assert row.formatted == want + marks[made[-1][2]][1]
+    # Spark counts from 1
+    assert [(x.start - 1, x.length) for x in row.loss_spans] == spans
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 513, 70_000])
+def test_chat_running_sums(spark, n):
+    got = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (x % 7).cast("int")).alias("a")).select(chat.sums_before("a").alias("s")).first().s
+    assert got == [0, *itertools.accumulate(k % 7 for k in range(1, n))]
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/1?x#y", "https://example.net/de/", "http://notnet/", "http://net", "http://net/", "http://b.example.com/de/7", "http://example.com/dex", "ftp://x.org/fr/2", "nothing", None, "http://", "x://é.net/ü?", "http://a.b/c#d?e"]
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
