@@ -3,7 +3,8 @@
 The normalised test items make one automaton; every text is streamed through it while the longest suffix that
 still occurs in an item is tracked. A window (``window`` consecutive item words, or a whole shorter item) ends at a word
 if the tracked match is that long. Words inside a window are hit; a document is contaminated if its share of hit
-words reaches one in ``one_in``.
+words reaches one in ``one_in``. With ``span_words`` set, a run of hit words that long goes from a text (``cut_text``) whatever its coverage, so that
+a benchmark passage inside a very long document is removed too; shorter runs go only from contaminated documents.
 
 The automaton is built in the tasks from broadcast items of at most ``max_words`` words. A larger benchmark is dealt
 into shards of that size, and the texts pass through one shard after another; hits are united between passes.
@@ -171,6 +172,7 @@ class Limits:
     window: int = 13
     one_in: int = 20  # contaminated from one hit word in so many
     max_words: int = 200_000
+    span_words: int | None = None  # hit runs of so many words are cut from any document; None: coverage alone decides
 
 
 _built: dict = {}
@@ -206,7 +208,7 @@ def _shards(items: DataFrame, id_col: str, text_col: str, limits: Limits):
 
 def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), cut_text: bool = False) -> DataFrame:
     """A row for each row of docs: ``row`` (a struct of its columns), n_words, n_hit, longest, spans (hit word ranges), item_ids (sorted as strings),
-    contaminated and, with cut_text, ``cut``: the text without its hit spans if it is contaminated, else unchanged."""
+    contaminated and, with cut_text, ``cut``: the text without its hit spans if it is contaminated, else without those of span_words words or more."""
     if "row" in docs.columns and len(docs.columns) == 1:
         raise ValueError("docs may not be a single column named row")
     spark = docs.sparkSession
@@ -245,10 +247,14 @@ def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     if not cut_text:
         return result
 
+    def chosen(spans, contaminated):
+        long = limits.span_words
+        return spans if contaminated else [x for x in spans if long is not None and x[1] - x[0] >= long]
+
     def cutting(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = [without(t, s) if c and t else t for t, s, c in zip(utf8(part.column(7)).to_pylist(), part.column(4).to_pylist(), part.column(6).to_pylist())]
+                texts = [without(t, chosen(s, c)) if t else t for t, s, c in zip(utf8(part.column(7)).to_pylist(), part.column(4).to_pylist(), part.column(6).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*part.schema.names[:7], "cut"])
 
     return result.mapInArrow(cutting, T.StructType([*result.schema.fields[:7], T.StructField("cut", T.StringType())]))

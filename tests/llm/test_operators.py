@@ -172,6 +172,9 @@ def test_decontaminate(spark, docs, rows):
         assert counted(flat, *flat.columns) == expected
     cut = {r.row.doc_id: r.cut for r in found.collect() if r.row.doc_id is not None}
     assert cut[3] == "" and "one two three" not in cut[8] and cut[12] == lookup[12]
+    long = decontaminate.matched(docs, bench, limits=decontaminate.Limits(span_words=20), cut_text=True)
+    one = next(r for r in long.collect() if r.row.doc_id == 11)
+    assert not one.contaminated and re.findall(SPACE, one.cut) == w11[:50] + w11[80:] and cut[11] == lookup[11]
     assert decontaminate.clean_documents(docs, bench).columns == docs.columns
     none = decontaminate.matched(docs, bench.limit(0))
     assert none.filter("contaminated or n_hit > 0").count() == 0
