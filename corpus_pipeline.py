@@ -8,6 +8,12 @@ columns of documents. Stages keep clean documents as they are:
 * near_dedup: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the one with the smallest id stays;
 * decontaminate: documents with one hit word in twenty or more go; others keep their text whole;
 * packing: the rest is packed into sequences of 4096 tokens.
+
+Each stage takes odd rows. Null and empty texts have no words: quality rejects them, line_dedup and decontaminate keep them as they are, in
+near_dedup all texts without words are one group, and packing writes their end token alone. Rows with a null or repeated id are judged each on their own, but near_dedup keeps every
+row without an id and keeps or drops the rows of one id and text together; a null id comes first where the earliest row stays. A null source is a host of its own. Of repeated
+rows line_dedup empties and drops all but one. Very long texts are read whole. Columns beside those of documents pass through to the last stage, whatever their
+names. An empty table gives an empty one at each stage; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
