@@ -25,7 +25,7 @@ def fps_stream(spark, sf_dir):
 def camera_gaps_stream(spark, sf_dir):
     _rocks(spark)
     frames = fixture(spark, sf_dir, "fx_frames_gappy").select("camera_id", "ts_ms")
-    return drained(monitors.gap_stream(as_stream(frames, "gaps", "ts_ms")), "gaps")
+    return drained(monitors.gap_stream(as_stream(frames, "gaps", "ts_ms")), "gaps").filter("kind = 'gap'").drop("kind")
 
 
 def hazards_sticky_stream(spark, sf_dir):

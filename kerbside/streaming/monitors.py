@@ -1,4 +1,4 @@
-"""Streaming twins: rates, gaps, sticky hazards, tracking. State is kept by camera; late frames go to a side output."""
+"""Streaming twins: rates, gaps, sticky hazards, tracking. State is kept by camera; late frames of gaps and tracks are put out with kind late."""
 
 from __future__ import annotations
 
@@ -25,8 +25,12 @@ def fps_stream(frames: DataFrame, seconds: int = 5, late: str = "10 seconds", by
     return counted.select(by, F.unix_millis("w.start").alias("window_start"), (F.col("n") / seconds).alias("fps"))
 
 
+GAPS = "camera_id int, from_ms long, to_ms long, gap_ms long, code int, kind string"
+
+
 class GapProcessor(StatefulProcessor):
-    """Reports a gap when a camera's next frame comes, limit_ms or more after the one before."""
+    """Reports a gap when a camera's next frame comes, limit_ms or more after the one before. A frame older than the newest of an earlier micro-batch is put out
+    with kind late (to_ms: its time) and changes nothing."""
 
     def __init__(self, limit_ms: int) -> None:
         self.limit_ms = limit_ms
@@ -37,21 +41,25 @@ class GapProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([r["ts_ms"].to_numpy() for r in rows]))
         before = self.last.get()[0] if self.last.exists() else None
+        late = times[:0] if before is None else times[times < before]
         if before is not None:
             times = np.concatenate(([before], times[times > before]))
         at = np.flatnonzero(np.diff(times) >= self.limit_ms)
         if len(times):
             self.last.update((int(times[-1]),))
         if len(at):
-            yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": times[at], "to_ms": times[at + 1], "gap_ms": times[at + 1] - times[at], "code": code_of("no_camera_data")})
+            yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": times[at], "to_ms": times[at + 1], "gap_ms": times[at + 1] - times[at], "code": code_of("no_camera_data"), "kind": "gap"})
+        if len(late):
+            none = pd.array([None] * len(late), "Int64")
+            yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": none, "to_ms": late, "gap_ms": none, "code": none.astype("Int32"), "kind": "late"})
 
     def close(self) -> None:
         pass
 
 
 def gap_stream(frames: DataFrame, limit_ms: int = 1200) -> DataFrame:
-    """frames: camera_id, ts_ms. Needs the RocksDB state store."""
-    return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms), "camera_id int, from_ms long, to_ms long, gap_ms long, code int", "Append", "None")
+    """Gaps and late frames of a stream of (camera_id, ts_ms), told apart by kind. Needs the RocksDB state store."""
+    return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms), GAPS, "Append", "None")
 
 
 class StickyProcessor(StatefulProcessor):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, detections, registry, tracker, trajectories, votes
 from kerbside.sources.frames import split_decoded
+from kerbside.streaming import monitors
+from kerbside.streaming.drain import as_stream, drained
 
 
 def test_assignment_equals_brute_force():
@@ -189,3 +191,12 @@ def test_radar_gaps_count_over_buckets(spark):
             expected |= {(c, lost[k - 1], k) for k in range(20, len(lost) + 1, 20)}
         found = health.radar_gaps(frames, 20, age, bucket=16)
         assert {(r.camera_id, r.frame_id, r.lost) for r in found.collect()} == expected
+
+
+def test_late_frames_of_the_gap_stream_are_put_out(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitors.STATE_STORE)
+    made = [(1, 0, 0), (1, 3000, 0), (2, 100, 0), (1, 1000, 1), (1, 3000, 1), (1, 5000, 1), (2, 200, 1)]
+    # the third column deals frames out to micro-batches
+    stream = as_stream(spark.createDataFrame(made, "camera_id int, ts_ms long, batch int"), "late", "batch", 3)
+    found = drained(monitors.gap_stream(stream), "late").collect()
+    assert sorted((r.camera_id, r.kind, r.from_ms or 0, r.to_ms) for r in found) == [(1, "gap", 0, 3000), (1, "gap", 3000, 5000), (1, "late", 0, 1000)]
