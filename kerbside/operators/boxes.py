@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators import ranges
+
 
 def tlbr_to_tlwh(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, ...]:
     return x0, y0, x1 - x0, y1 - y0
@@ -79,12 +81,11 @@ def score_split(detections: DataFrame, threshold: float) -> DataFrame:
     return detections.withColumn("is_high", F.col("confidence") >= threshold)
 
 
-def cadence_sample(frames: DataFrame, rate: int, by: str = "camera_id", order: str = "frame_id") -> DataFrame:
-    """Of a camera's k-th frame (from 1) those with (k + 1) % rate = 0."""
+def cadence_sample(frames: DataFrame, rate: int, by: str = "camera_id", order: str = "frame_id", width: int = ranges.FRAMES) -> DataFrame:
+    """Of a camera's k-th frame (from 1) those with (k + 1) % rate = 0; frames are counted in ranges of width numbers."""
     if rate <= 1:
         return frames
-    k = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return frames.withColumn("k_", k).filter((F.col("k_") + 1) % rate == 0).drop("k_")
+    return ranges.numbered(frames, by, order, width, "k_").filter((F.col("k_") + 1) % rate == 0).drop("k_")
 
 
 def sampled_dense(frames: DataFrame, rate: int, frame: str = "frame_id") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators import ranges
 from kerbside.operators.detections import FRAME
 
 #: label -> (target type, id) (fixed values): cone, barrier, box.
@@ -33,12 +34,11 @@ def map_hazards(hazards: DataFrame) -> DataFrame:
     return hazards.withColumns({"target_type": kind, "target_id": number})
 
 
-def carry_hazards(frames: DataFrame, hazards: DataFrame, sampled: DataFrame, by: str = "camera_id", order: str = "frame_id", id_col: str = "cand_id") -> DataFrame:
-    """frames with ``hazards``: the ids of the newest sampled frame so far; a sampled frame without any replaces as well."""
+def carry_hazards(frames: DataFrame, hazards: DataFrame, sampled: DataFrame, by: str = "camera_id", order: str = "frame_id", id_col: str = "cand_id", width: int = ranges.FRAMES) -> DataFrame:
+    """frames with ``hazards``: the ids of the newest sampled frame so far; a sampled frame without any replaces as well. A camera is done in ranges of width frames."""
     sets = hazards.groupBy(by, order).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
     none = F.array().cast("array<bigint>")
     at = sampled.select(by, order, F.lit(True).alias("sampled")).join(sets, [by, order], "left")
     newest = at.select(by, order, F.coalesce("ids", none).alias("ids"))
     known = frames.join(newest, [by, order], "left")
-    carried = F.last("ids", ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return known.withColumn("hazards", F.coalesce(carried, none)).drop("ids")
+    return ranges.carried(known, by, order, "ids", width, "newest_").withColumn("hazards", F.coalesce("newest_", none)).drop("ids", "newest_")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators import ranges
+
 #: Keys within module 300 (fixed values).
 MODULE = 300
 KEYS = {"ok": 0, "model_load_failed": 21, "no_camera_data": 22, "no_radar_data": 23, "camera_radar_skew": 24, "no_infer_data": 25, "occluded": 26, "black": 27, "snow": 28, "too_bright": 29, "blurred": 30, "undecodable": 31}
@@ -43,25 +45,20 @@ def infer_gaps(windows: DataFrame, by: str = "camera_id") -> DataFrame:
     return windows.filter("fps = 0").select(by, "window_start", F.lit("WARN").alias("level"), F.lit(code_of("no_infer_data")).alias("code"))
 
 
-def radar_gaps(joined: DataFrame, limit: int = 1000, max_age_ms: int | None = None, by: str = "camera_id", order: str = "frame_id", bucket: int = 10_000) -> DataFrame:
+def radar_gaps(joined: DataFrame, limit: int = 1000, max_age_ms: int | None = None, by: str = "camera_id", order: str = "frame_id", bucket: int = ranges.FRAMES) -> DataFrame:
     """An alert at every limit-th frame of a camera that has no radar data; joined: frames with their newest sweep (sweep_id, skew_ms).
 
-    A frame misses its radar if there is no sweep before it or, with max_age_ms, only older ones. Frames are counted in buckets of ``bucket`` frame numbers, whose
-    sums are added up apart, so that no task holds all frames of a camera. Frames without a number don't count.
+    A frame misses its radar if there is no sweep before it or, with max_age_ms, only older ones. Frames are counted in ranges of ``bucket`` frame
+    numbers. Frames without a number don't count.
     """
     missing = F.col("sweep_id").isNull() if max_age_ms is None else F.col("sweep_id").isNull() | (F.col("skew_ms") > max_age_ms)
-    lost = joined.filter(missing).select(by, order, F.floor(F.col(order) / bucket).alias("bucket_")).filter(F.col(order).isNotNull())
-    sums = lost.groupBy(by, "bucket_").agg(F.count("*").alias("n_"))
-    before = sums.select(by, "bucket_", (F.sum("n_").over(Window.partitionBy(by).orderBy("bucket_")) - F.col("n_")).alias("before_"))
-    own = F.row_number().over(Window.partitionBy(by, "bucket_").orderBy(order))
-    counted = lost.withColumn("own_", own).join(before, [by, "bucket_"]).withColumn("lost", F.col("own_") + F.col("before_"))
+    counted = ranges.numbered(joined.filter(missing & F.col(order).isNotNull()).select(by, order), by, order, bucket, "lost")
     return counted.filter(F.col("lost") % limit == 0).select(by, order, "lost", F.lit("WARN").alias("level"), F.lit(code_of("no_radar_data")).alias("code"))
 
 
-def camera_gaps(frames: DataFrame, limit_ms: int = 1200, by: str = "camera_id", ts: str = "ts_ms") -> DataFrame:
+def camera_gaps(frames: DataFrame, limit_ms: int = 1200, by: str = "camera_id", ts: str = "ts_ms", width: int = ranges.MILLISECONDS) -> DataFrame:
     """Gaps of at least limit_ms between a camera's frames: from, to, gap."""
-    before = F.lag(ts).over(Window.partitionBy(by).orderBy(ts))
-    found = frames.withColumn("from_ms", before).withColumn("gap_ms", F.col(ts) - F.col("from_ms"))
+    found = ranges.previous(frames, by, ts, width, "from_ms").withColumn("gap_ms", F.col(ts) - F.col("from_ms"))
     return found.filter(F.col("gap_ms") >= limit_ms).select(by, "from_ms", F.col(ts).alias("to_ms"), "gap_ms", F.lit(code_of("no_camera_data")).alias("code"))
 
 

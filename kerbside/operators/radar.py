@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.operators import ranges
+
 SKEW_CODE = 324
 
 
@@ -17,16 +19,15 @@ def radar_points(sweeps: DataFrame, cameras: DataFrame, width: int, height: int)
     return joined.select("camera_id", "sweep_id", "obj_idx", x.cast("int").alias("x_px"), y.cast("int").alias("y_px")).filter("x_px > 0 and y_px > 0")
 
 
-def radar_asof(frames: DataFrame, sweeps: DataFrame, by: str = "camera_id", ts: str = "ts_ms", sweep_id: str = "sweep_id") -> DataFrame:
+def radar_asof(frames: DataFrame, sweeps: DataFrame, by: str = "camera_id", ts: str = "ts_ms", sweep_id: str = "sweep_id", width: int = ranges.MILLISECONDS) -> DataFrame:
     """frames with the newest sweep not after them (sweep_id, sweep_ts, skew_ms); null before the first sweep.
 
-    Both sides in one stream by time, sweeps first on ties: one shuffle, no join.
+    Both sides in one stream by time, sweeps first on ties, in ranges of width milliseconds: no join of frames with sweeps.
     """
     left = frames.withColumns({"side_": F.lit(1), "sweep_": F.lit(None).cast("struct<sweep_ts:bigint,sweep_id:bigint>"), "row_": F.struct(*frames.columns)})
     right = sweeps.select(by, ts, F.lit(0).alias("side_"), F.struct(F.col(ts).cast("long").alias("sweep_ts"), F.col(sweep_id).cast("long").alias("sweep_id")).alias("sweep_"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"))
     both = left.select(by, ts, "side_", "sweep_", "row_").unionByName(right)
-    newest = F.last("sweep_", ignorenulls=True).over(Window.partitionBy(by).orderBy(ts, "side_", "sweep_").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("newest_", newest).filter("side_ = 1")
+    found = ranges.carried(both, by, ts, "sweep_", width, "newest_", ("side_", "sweep_")).filter("side_ = 1")
     return found.select("row_.*", "newest_.sweep_id", "newest_.sweep_ts").withColumn("skew_ms", F.col(ts) - F.col("sweep_ts"))
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 #: Marks kept of each stage.
 RING = 2000
+#: Above this n Spark's limit of ranked rows does not work before the shuffle; keys are then ranked in so many parts first.
+RANKED_EARLY, PARTS = 1000, 64
 
 
 def last_n(df: DataFrame, n: int, by: list[str], order: str) -> DataFrame:
-    """The newest n rows of each key."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))
-    return df.withColumn("rank_", rank).filter(F.col("rank_") <= n).drop("rank_")
+    """The newest n rows of each key. No task holds more than n rows of each of a key's parts, or PARTS * n of a key."""
+
+    def newest(rows: DataFrame, *keys) -> DataFrame:
+        return rows.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter(F.col("rank_") <= n).drop("rank_")
+
+    if n > RANKED_EARLY:
+        part = F.pmod(F.xxhash64(order), F.lit(PARTS))
+        df = newest(df.withColumn("part_", part), *by, "part_").drop("part_")
+    return newest(df, *by)
 
 
 def _paired(log: DataFrame, ring: int) -> DataFrame:

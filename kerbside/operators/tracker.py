@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.operators import ranges
 from kerbside.operators.assignment import solve
 
 IDS = 65536  # ids wrap here
@@ -230,12 +231,11 @@ def _row(camera: int, segment: int, frame: int, t: Track, pointed: bool, kind: s
     return (camera, segment, frame, t.id, t.start, t.last, t.class_id, t.score, *box, *det, pointed, t.points, None if np.isnan(t.gate) else t.gate, kind, None)
 
 
-def track_segments(detections: DataFrame, max_time_lost: int) -> DataFrame:
-    """detections with ``segment``: a camera's stretches between gaps that no track outlives."""
-    by_frame = Window.partitionBy("camera_id").orderBy("frame_id")
-    frames = detections.select("camera_id", "frame_id").distinct()
-    gap = F.coalesce((F.col("frame_id") - F.lag("frame_id").over(by_frame) > max_time_lost + 1).cast("long"), F.lit(0))
-    marked = frames.withColumn("new_", gap).withColumn("segment", F.sum("new_").over(by_frame.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+def track_segments(detections: DataFrame, max_time_lost: int, width: int = ranges.FRAMES) -> DataFrame:
+    """detections with ``segment``: a camera's stretches between gaps that no track outlives. Gaps are looked for in ranges of width frame numbers."""
+    frames = ranges.previous(detections.select("camera_id", "frame_id").distinct(), "camera_id", "frame_id", width, "from_")
+    new = F.coalesce((F.col("frame_id") - F.col("from_") > max_time_lost + 1).cast("long"), F.lit(0))
+    marked = ranges.running_sum(frames, "camera_id", "frame_id", new, width, "segment").drop("from_")
     return detections.join(marked, ["camera_id", "frame_id"])
 
 
@@ -245,7 +245,7 @@ def track(detections: DataFrame, last_frames: DataFrame, params: TrackParams = T
     last_frames: (camera_id, last_frame): tracks are removed only as far as a camera has frames. Detections within a segment are read in order, a frame at
     a time, so memory is bound by a frame, not by a segment. Ids are those of a single pass over each camera.
     """
-    cut = track_segments(detections, params.max_time_lost).join(F.broadcast(last_frames), "camera_id")
+    cut = track_segments(detections, params.max_time_lost).join(last_frames, "camera_id")
     after = cut.groupBy("camera_id", "segment").agg(F.min("frame_id").alias("first")).withColumn("until", F.lead("first").over(Window.partitionBy("camera_id").orderBy("segment"))).drop("first")
     rows = cut.join(after, ["camera_id", "segment"]).select("camera_id", "segment", "frame_id", "label", F.col("confidence").cast("double").alias("confidence"), *[F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.least(F.coalesce("until", F.col("last_frame") + 1), F.col("last_frame") + 1).alias("until"))
     n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
