@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, tracker, trajectories
 from kerbside.plans.fixtures import fixture, oracle
+from kerbside.sources.scratch import folder, written
 
 
 def assign_boxes(spark, sf_dir):
@@ -13,10 +15,17 @@ def assign_boxes(spark, sf_dir):
     return matches.withColumn("iou", F.round("iou", 6))
 
 
+#: Track rows that this session has written: tracking is the costly part of most queries here, and they read the same rows.
+_TRACKED: dict[tuple, DataFrame] = {}
+
+
 def _rows(spark, sf_dir, params=tracker.TrackParams()):
-    detections = fixture(spark, sf_dir, "fx_detections")
-    last = fixture(spark, sf_dir, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
-    return tracker.track(detections.drop("vehicle_id"), last, params)
+    key = (spark.sparkContext.applicationId, folder(spark), sf_dir, params)
+    if key not in _TRACKED:
+        detections = fixture(spark, sf_dir, "fx_detections")
+        last = fixture(spark, sf_dir, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
+        _TRACKED[key] = written(tracker.track(detections.drop("vehicle_id"), last, params), "tracked")
+    return _TRACKED[key]
 
 
 def track_segments(spark, sf_dir):

@@ -30,12 +30,14 @@ GAPS = "camera_id int, from_ms long, to_ms long, gap_ms long, code int, kind str
 
 class GapProcessor(StatefulProcessor):
     """Reports a gap when a camera's next frame comes, limit_ms or more after the one before. A frame older than the newest of an earlier micro-batch is put out
-    with kind late (to_ms: its time) and changes nothing."""
+    with kind late (to_ms: its time) and changes nothing. With silent_ms a camera from which no micro-batch has had a frame for that long, by the clock, is put
+    out once with kind silent (from_ms: its newest frame), and again only after it has spoken."""
 
-    def __init__(self, limit_ms: int) -> None:
-        self.limit_ms = limit_ms
+    def __init__(self, limit_ms: int, silent_ms: int | None = None) -> None:
+        self.limit_ms, self.silent_ms, self.handle = limit_ms, silent_ms, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("ts_ms", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -47,19 +49,28 @@ class GapProcessor(StatefulProcessor):
         at = np.flatnonzero(np.diff(times) >= self.limit_ms)
         if len(times):
             self.last.update((int(times[-1]),))
+        if self.silent_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
         if len(at):
             yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": times[at], "to_ms": times[at + 1], "gap_ms": times[at + 1] - times[at], "code": code_of("no_camera_data"), "kind": "gap"})
         if len(late):
             none = pd.array([None] * len(late), "Int64")
             yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": none, "to_ms": late, "gap_ms": none, "code": none.astype("Int32"), "kind": "late"})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        none = pd.array([None], "Int64")
+        yield pd.DataFrame({"camera_id": int(key[0]), "from_ms": [self.last.get()[0]], "to_ms": none, "gap_ms": none, "code": code_of("no_camera_data"), "kind": "silent"})
+
     def close(self) -> None:
         pass
 
 
-def gap_stream(frames: DataFrame, limit_ms: int = 1200) -> DataFrame:
-    """Gaps and late frames of a stream of (camera_id, ts_ms), told apart by kind. Needs the RocksDB state store."""
-    return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms), GAPS, "Append", "None")
+def gap_stream(frames: DataFrame, limit_ms: int = 1200, silent_ms: int | None = None) -> DataFrame:
+    """Gaps and late frames of a stream of (camera_id, ts_ms), and with silent_ms silent cameras, told apart by kind. Needs the RocksDB state store."""
+    mode = "None" if silent_ms is None else "ProcessingTime"
+    return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms, silent_ms), GAPS, "Append", mode)
 
 
 class StickyProcessor(StatefulProcessor):

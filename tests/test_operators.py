@@ -1,5 +1,7 @@
 import itertools
 import random
+import time
+import uuid
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, detections, registry, tracker, trajectories, votes
 from kerbside.sources.frames import split_decoded
+from kerbside.sources.scratch import folder
 from kerbside.streaming import monitors
 from kerbside.streaming.drain import as_stream, drained
 
@@ -200,3 +203,19 @@ def test_late_frames_of_the_gap_stream_are_put_out(spark):
     stream = as_stream(spark.createDataFrame(made, "camera_id int, ts_ms long, batch int"), "late", "batch", 3)
     found = drained(monitors.gap_stream(stream), "late").collect()
     assert sorted((r.camera_id, r.kind, r.from_ms or 0, r.to_ms) for r in found) == [(1, "gap", 0, 3000), (1, "gap", 3000, 5000), (1, "late", 0, 1000)]
+
+
+def test_a_silent_camera_is_reported_while_it_is_silent(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitors.STATE_STORE)
+    stream = as_stream(spark.createDataFrame([(1, 0), (1, 40), (2, 100)], "camera_id int, ts_ms long"), "silent")
+    found = []
+    writer = monitors.gap_stream(stream, 1200, 500).writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect())).trigger(processingTime="1 second")
+    query = writer.option("checkpointLocation", f"{folder(spark)}/kerbside/silent-log-{uuid.uuid4().hex}").start()
+    try:
+        until = time.monotonic() + 90
+        while len(found) < 2 and time.monotonic() < until and query.isActive:
+            time.sleep(0.5)
+        time.sleep(3)  # nothing is reported twice
+    finally:
+        query.stop()
+    assert sorted((r.camera_id, r.kind, r.from_ms, r.to_ms) for r in found) == [(1, "silent", 40, None), (2, "silent", 100, None)]
