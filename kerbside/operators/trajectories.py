@@ -24,6 +24,13 @@ def with_colors(found: DataFrame, colors: DataFrame, key: tuple[str, ...] = ("ca
     return found.drop("color").join(voted, [*key], "left").withColumn("color", F.coalesce("color", F.lit(0)).cast("int"))
 
 
+def with_colors_so_far(track_rows: DataFrame, leading: DataFrame, key: tuple[str, ...] = ("camera_id", "segment", "track_id")) -> DataFrame:
+    """track_rows with the colour that led when their frame was put out; 0 before the first vote. leading: key, vote_seq (the vote's frame), color."""
+    voted = leading.select(*key, F.col("vote_seq").alias("frame_id"), F.col("color").alias("voted_")).dropDuplicates([*key, "frame_id"])
+    newest = F.last("voted_", ignorenulls=True).over(Window.partitionBy(*key).orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0))
+    return track_rows.drop("color").join(voted, [*key, "frame_id"], "left").withColumn("color", F.coalesce(newest, F.lit(0)).cast("int")).drop("voted_")
+
+
 def with_lines(found: DataFrame, frame_ms: int = 40, epoch_ms: int = 0) -> DataFrame:
     """Adds day, path and lines: a header, a title and a line for each point; time is that of the track's last frame."""
     at = F.timestamp_millis(F.col("end_frame") * frame_ms + epoch_ms)

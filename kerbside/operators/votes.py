@@ -25,18 +25,28 @@ def color_candidates(objects: DataFrame, min_class: int = 2, min_area: int = 800
     return found.filter(~F.col("color_lock")) if "color_lock" in objects.columns else found
 
 
+def _counted(votes: DataFrame, strong: float, lock_at: int, key: str) -> DataFrame:
+    """The votes that count, with the hits of their colour so far and the vote that locks the track (lock_seq)."""
+    weighted = votes.withColumn("weight", F.when(F.col("confidence") > strong, 3).otherwise(1))
+    running = F.sum("weight").over(Window.partitionBy(key, "color").orderBy("vote_seq").rowsBetween(Window.unboundedPreceding, 0))
+    summed = weighted.withColumn("hits", running)
+    lock = F.min(F.when(F.col("hits") > lock_at, F.col("vote_seq"))).over(Window.partitionBy(key))
+    return summed.withColumn("lock_seq", lock).filter(F.col("lock_seq").isNull() | (F.col("vote_seq") <= F.col("lock_seq")))
+
+
+def color_so_far(votes: DataFrame, strong: float = 0.95, lock_at: int = 4, key: str = "track_id") -> DataFrame:
+    """(key, vote_seq, color): the leading colour after each vote that counts."""
+    leader = F.max(F.struct("hits", (-F.col("color")).alias("smaller"))).over(Window.partitionBy(key).orderBy("vote_seq").rowsBetween(Window.unboundedPreceding, 0))
+    return _counted(votes, strong, lock_at, key).select(key, "vote_seq", (-leader["smaller"]).alias("color"))
+
+
 def color_majority(votes: DataFrame, strong: float = 0.95, lock_at: int = 4, key: str = "track_id") -> DataFrame:
     """(key, color, hits, locked): sure votes weigh 3; a colour with more than lock_at hits locks the track, and later votes don't count.
 
     A running sum by track and colour finds the locking vote, so a track's votes are sorted, never gathered.
     """
-    weighted = votes.withColumn("weight", F.when(F.col("confidence") > strong, 3).otherwise(1))
-    running = F.sum("weight").over(Window.partitionBy(key, "color").orderBy("vote_seq").rowsBetween(Window.unboundedPreceding, 0))
-    summed = weighted.withColumn("hits", running)
-    lock = F.min(F.when(F.col("hits") > lock_at, F.col("vote_seq"))).over(Window.partitionBy(key))
-    counted = summed.withColumn("lock_seq", lock).filter(F.col("lock_seq").isNull() | (F.col("vote_seq") <= F.col("lock_seq")))
     best = F.max(F.struct("hits", (-F.col("color")).alias("smaller"))).alias("best")
-    return counted.groupBy(key).agg(best, F.max("lock_seq").alias("lock_seq")).select(key, (-F.col("best.smaller")).alias("color"), F.col("best.hits").alias("hits"), F.col("lock_seq").isNotNull().alias("locked"))
+    return _counted(votes, strong, lock_at, key).groupBy(key).agg(best, F.max("lock_seq").alias("lock_seq")).select(key, (-F.col("best.smaller")).alias("color"), F.col("best.hits").alias("hits"), F.col("lock_seq").isNotNull().alias("locked"))
 
 
 @dataclass(frozen=True)

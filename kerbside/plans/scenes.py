@@ -16,12 +16,12 @@ def _d(c, n=6):
 # --- hazards
 
 
-def _hazards(spark, sf_dir):
+def good_hazards(spark, sf_dir):
     return hazards.filter_hazards(hazards.within(fixture(spark, sf_dir, "fx_hazards"), 1920, 1080), fixture(spark, sf_dir, "fx_detections"))
 
 
 def hazards_filtered(spark, sf_dir):
-    return _hazards(spark, sf_dir)
+    return good_hazards(spark, sf_dir)
 
 
 def hazard_mapping(spark, sf_dir):
@@ -30,7 +30,7 @@ def hazard_mapping(spark, sf_dir):
 
 def hazards_sticky(spark, sf_dir):
     frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id")
-    carried = hazards.carry_hazards(frames, _hazards(spark, sf_dir), boxes.sampled_dense(frames, 6))
+    carried = hazards.carry_hazards(frames, good_hazards(spark, sf_dir), boxes.sampled_dense(frames, 6))
     return carried.select("camera_id", "frame_id", F.array_join("hazards", ",").alias("hazards"))
 
 
@@ -232,7 +232,7 @@ def frame_messages(spark, sf_dir):
     d = boxes.normalize_boxes(fixture(spark, sf_dir, "fx_detections"), F.lit(1920), F.lit(1080))
     shown = boxes.inside(F.col("xmin"), F.col("ymin"), F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(500), F.lit(1080))
     objects = d.select("camera_id", "frame_id", F.col("vehicle_id").alias("id"), F.col("label").alias("target_type"), "x_norm", "y_norm", "w_norm", "h_norm", F.lit(0).alias("color"), shown.alias("published"))
-    h = hazards.map_hazards(boxes.normalize_boxes(_hazards(spark, sf_dir), F.lit(1920), F.lit(1080))).select("camera_id", "frame_id", F.col("target_id").alias("id"), "target_type", "x_norm", "y_norm", "w_norm", "h_norm")
+    h = hazards.map_hazards(boxes.normalize_boxes(good_hazards(spark, sf_dir), F.lit(1920), F.lit(1080))).select("camera_id", "frame_id", F.col("target_id").alias("id"), "target_type", "x_norm", "y_norm", "w_norm", "h_norm")
     found = messages.frame_messages(fixture(spark, sf_dir, "fx_frames"), objects, h)
     ids = F.array_join(F.transform("objects", lambda o: F.concat_ws(":", o["id"].cast("string"), o["target_type"].cast("string"))), ",")
     return found.select("camera_id", "frame_id", "frame_seq", "objects_number", "published_number", ids.alias("objects"), F.round(F.aggregate("objects", F.lit(0.0), lambda a, o: a + o["x_norm"]) * 1920).cast("long").alias("x_sum"))

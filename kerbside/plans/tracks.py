@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators import assignment, boxes, tracker, trajectories
+from kerbside.operators import assignment, boxes, hazards, messages, tracker, trajectories, votes
+from kerbside.plans import scenes
 from kerbside.plans.fixtures import fixture, oracle
 from kerbside.sources.scratch import folder, written
 
@@ -62,6 +63,39 @@ def trajectory_lines(spark, sf_dir):
     return found.select("camera_id", "start_frame", "end_frame", "day", F.substring("path", 1, 32).alias("path_start"), F.size("lines").alias("n_lines"))
 
 
+_TRACK = ("camera_id", "segment", "track_id")
+
+
+def _color_votes(rows):
+    """A vote for each frame in which a track was seen, as a classifier gives it from its box, and one a track for a track that is not there."""
+    seen = rows.filter("kind = 'out' and has_point").select(*_TRACK, F.col("frame_id").alias("vote_seq"), F.expr("cast((cast(det_y as int) div 100 + frame_id div 4) % 8 + 1 as int)").alias("color"), ((50 + (F.col("frame_id") * 37) % 50) / 100.0).alias("confidence"))
+    nobody = seen.withColumn("track_id", -1 - F.col("track_id")).dropDuplicates([*_TRACK])
+    return seen.unionByName(nobody).select(F.struct(*_TRACK).alias("track"), "vote_seq", "color", "confidence")
+
+
+def track_colors(spark, sf_dir):
+    """Trajectories with the colour that their track's votes end with."""
+    rows = _rows(spark, sf_dir)
+    colors = votes.color_majority(_color_votes(rows), key="track").select("track.*", "color")
+    return trajectories.with_colors(trajectories.trajectories(rows, 30), colors, _TRACK).select("camera_id", "start_frame", "end_frame", "color")
+
+
+def track_messages(spark, sf_dir):
+    """A frame's message from tracks: their ids, stable classes and colours so far, their number before those outside the left 500 pixels go, and hazards."""
+    rows = _rows(spark, sf_dir)
+    leading = votes.color_so_far(_color_votes(rows), key="track").select("track.*", "vote_seq", "color")
+    out = trajectories.with_colors_so_far(rows.filter("kind = 'out'"), leading).filter("det_x is not null")
+    x, y, w, h = (F.col(c).cast("int") for c in ("det_x", "det_y", "det_w", "det_h"))
+    boxed = boxes.normalize_boxes(out.withColumns({"xmin": x, "ymin": y, "xmax": x + w, "ymax": y + h}), F.lit(1920), F.lit(1080))
+    unit = ("x_norm", "y_norm", "w_norm", "h_norm")
+    objects = boxed.select("camera_id", "frame_id", F.col("track_id").alias("id"), F.col("class_id").alias("target_type"), *unit, "color", boxes.inside(x, y, w, h, F.lit(500), F.lit(1080)).alias("published"))
+    found = hazards.map_hazards(boxes.normalize_boxes(scenes.good_hazards(spark, sf_dir), F.lit(1920), F.lit(1080))).select("camera_id", "frame_id", F.col("target_id").alias("id"), "target_type", *unit)
+    made = messages.frame_messages(fixture(spark, sf_dir, "fx_frames"), objects, found)
+    total = lambda f: F.aggregate("objects", F.lit(0.0), lambda a, o: a + f(o))
+    ids = F.size(F.array_distinct(F.transform(F.filter("objects", lambda o: o["color"] > 0), lambda o: o["id"]))).cast("long")
+    return made.select("camera_id", "frame_id", "frame_seq", "objects_number", "published_number", F.round(total(lambda o: o["x_norm"]) * 1920).cast("long").alias("x_sum"), total(lambda o: o["color"].cast("double")).cast("long").alias("color_sum"), ids.alias("n_ids"))
+
+
 def tracks_low_score(spark, sf_dir):
     """With a threshold over the detector's the second round has work."""
     rows = _rows(spark, sf_dir, tracker.TrackParams(track_thresh=0.5)).filter("kind = 'out'")
@@ -73,14 +107,25 @@ def gated_outliers(spark, sf_dir):
     return _rows(spark, sf_dir).filter("kind = 'out' and gate_d2 > 9.4877").select("camera_id", "frame_id", "track_id", F.round("gate_d2", 3).alias("gate_d2"))
 
 
-QUERIES = {f.__name__: f for f in (assign_boxes, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, tracks_low_score, gated_outliers)}
+QUERIES = {f.__name__: f for f in (assign_boxes, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, track_colors, track_messages, tracks_low_score, gated_outliers)}
 
 _T = """, k as (select camera_id, vehicle_id, frame_id, xmin, ymin, frame_id - lag(frame_id) over w = 1 pm, lead(frame_id) over w - frame_id = 1 nx from fx_detections window w as (partition by vehicle_id order by frame_id)),
  st as (select vehicle_id, camera_id, min(frame_id) s from k where coalesce(nx, false) or frame_id = 1 group by 1, 2),
  pt as (select k.camera_id, k.vehicle_id, k.frame_id, k.xmin, k.ymin from k join st using (vehicle_id) where coalesce(pm, false) and k.frame_id >= s + case when s = 1 then 1 else 2 end),
  tr as (select st.camera_id, st.vehicle_id, s, max(k.frame_id) e, (select count(*) from pt where pt.vehicle_id = st.vehicle_id) n from st join k using (vehicle_id) group by 1, 2, 3)"""
 
+_PB = ", pb as (select k.camera_id, k.vehicle_id, k.frame_id from k join (select vehicle_id, min(frame_id) p from pt group by 1) using (vehicle_id) where k.frame_id >= p)"
+_VOTED = _T + """, vt as (select vehicle_id, frame_id q, (ymin//100+frame_id//4)%8+1 color, (50+(frame_id*37)%50)/100.0::double confidence from pt),
+ vr as (select *, sum(case when confidence>0.95 then 3 else 1 end) over (partition by vehicle_id, color order by q) hits from vt), vl as (select *, min(case when hits>4 then q end) over (partition by vehicle_id) lk from vr),
+ vc as (select vehicle_id, q, color, hits, max(hits*10-color) over (partition by vehicle_id order by q) m from vl where lk is null or q<=lk),
+ co as (select vehicle_id, (10-arg_max(m, q)%10)%10 color from vc group by 1)"""
+
 ORACLE_SQL = {
+    "track_colors": oracle(_VOTED + " select tr.camera_id, s start_frame, e end_frame, cast(coalesce(color, 0) as int) color from tr left join co using (vehicle_id) where n >= 30", "fx_detections"),
+    "track_messages": oracle(scenes._HZ + _VOTED + _PB + """, ob as (select pb.*, pt.xmin, pt.ymin, pt.xmin+120<=500 p from pb asof join pt on pb.vehicle_id = pt.vehicle_id and pb.frame_id >= pt.frame_id),
+ oc as (select ob.camera_id, ob.frame_id, ob.xmin, p, (10-m%10)%10 color, 1 own from ob asof join vc on ob.vehicle_id = vc.vehicle_id and ob.frame_id >= vc.q union all select camera_id, frame_id, xmin, true, 0, 0 from hz),
+ n as (select camera_id, frame_id, count(*) c, count(*) filter (p) pc, sum(xmin) filter (p) xs, sum(color) filter (p) cs, sum(own) filter (p) ids from oc group by 1, 2)
+ select f.camera_id, f.frame_id, f.frame_id frame_seq, coalesce(c,0) objects_number, coalesce(pc,0) published_number, cast(coalesce(xs,0) as bigint) x_sum, cast(coalesce(cs,0) as bigint) color_sum, cast(coalesce(ids,0) as bigint) n_ids from fx_frames f left join n using (camera_id, frame_id)""", "fx_hazards", "fx_detections", "fx_frames"),
     "assign_boxes": oracle("""select a.camera_id, a.frame_id, a.vehicle_id a_id, b.vehicle_id b_id, round(i/(s-i)::double, 6) iou from (select *, 0 z from fx_detections) a join fx_boxes_b b using (camera_id, frame_id, vehicle_id),
  lateral (select (least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin)+1)*(least(a.ymax,b.ymax)-greatest(a.ymin,b.ymin)+1) i, (a.xmax-a.xmin+1)*(a.ymax-a.ymin+1)+(b.xmax-b.xmin+1)*(b.ymax-b.ymin+1) s) l""", "fx_detections", "fx_boxes_b"),
     "track_segments": oracle(""", f as (select camera_id, frame_id, count(*) n from fx_detections group by 1, 2), g as (select *, case when frame_id - lag(frame_id) over w > 46 then 1 else 0 end x from f window w as (partition by camera_id order by frame_id)),
@@ -88,8 +133,7 @@ ORACLE_SQL = {
     "track_summary": oracle(_T + """ select camera_id, cast(sum(i) as bigint) issued, cast(sum(p) as bigint) points from (select camera_id, count(*) i, 0 p from st group by 1 union all
  select k.camera_id, count(*), 0 from k join st using (vehicle_id) where frame_id < s group by 1 union all select camera_id, 0, count(*) from pt group by 1) group by 1""", "fx_detections"),
     "track_points": oracle(_T + " select camera_id, frame_id, xmin, ymin, true near from pt", "fx_detections"),
-    "published_objects": oracle(_T + """, pb as (select k.camera_id, k.vehicle_id, k.frame_id from k join (select vehicle_id, min(frame_id) p from pt group by 1) using (vehicle_id) where k.frame_id >= p)
- select pb.camera_id, pb.frame_id, pt.xmin, pt.ymin from pb asof join pt on pb.vehicle_id = pt.vehicle_id and pb.frame_id >= pt.frame_id""", "fx_detections"),
+    "published_objects": oracle(_T + _PB + """ select pb.camera_id, pb.frame_id, pt.xmin, pt.ymin from pb asof join pt on pb.vehicle_id = pt.vehicle_id and pb.frame_id >= pt.frame_id""", "fx_detections"),
     "trajectory_summary": oracle(_T + " select camera_id, s start_frame, e end_frame, e-s duration, cast(n as int) n_points, cast(n as int) kept_points from tr where n >= 38", "fx_detections"),
     "trajectory_lines": oracle(_T + " select camera_id, s start_frame, e end_frame, strftime(epoch_ms(e*40), '%Y-%m-%d') as day, concat(strftime(epoch_ms(e*40), '%Y-%m-%d/tracks/%Y%m%d%H%M%S')) path_start, cast(n+2 as int) n_lines from tr where n >= 30", "fx_detections"),
 }
