@@ -49,6 +49,8 @@ SQL = {
  from (select img_id, r, {U}({SEQ}(0,15)) c from (select img_id, {U}({SEQ}(0,11)) r from (select p_partkey img_id from part) x) y) z""",
     "fx_boxes_b": """select camera_id, frame_id, vehicle_id, label, confidence, xmin+5 xmin, ymin+3 ymin, xmax+5 xmax, ymax+3 ymax
  from fx_detections where vehicle_id%4<>0""",
+    "fx_detections_jumpy": """select camera_id, frame_id, vehicle_id, label, confidence, xmin, ymin + j ymin, xmax, ymax + j ymax
+ from (select *, case when vehicle_id%3=0 and xmin=210 then 45 else 0 end j from fx_detections) d""",
     "fx_frames_gappy": "select * from fx_frames where frame_id%500 not between 100 and 140",
 }
 
