@@ -63,4 +63,25 @@ select d.doc_id, cast(len(ls) as bigint) n_lines, coalesce(g.n, 0) n_removed, ca
 from d left join k using (doc_id) left join g using (doc_id)
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op2_chat": chat.ORACLE, "op4_substring": OP4, "op9_quality": OP9, "op10_line_dedup": OP10}
+OP11 = """
+select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept, sha256(t) text_sha256
+from (select doc_id, coalesce(text, '') t from documents) window g as (partition by t)
+"""
+
+OP12 = r"""
+with d as (select row_number() over () k, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+ w as (select k, lang, source, unnest(list_filter(regexp_split_to_array(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) term from d),
+ kept as (select lang, term from w group by 1, 2 having count(distinct k) >= 10),
+ v as (select lang, count(*) v from kept group by 1),
+ grp as (select distinct lang, source, false whole from d union all select distinct lang, '', true from d),
+ n as (select lang, source, false whole, term, count(*) n from w join kept using (lang, term) group by 1, 2, 4 union all select lang, '', true, term, count(*) from w join kept using (lang, term) group by 1, 4),
+ tot as (select lang, source, whole, sum(n) total from n group by 1, 2, 3),
+ p as (select lang, g.source, g.whole, term, coalesce(n.n, 0) n, 1 + (1000000000::hugeint * (coalesce(n.n, 0) + 2)) // (coalesce(total, 0)::hugeint + 2 * v) p
+  from grp g join v using (lang) join kept using (lang) left join tot using (lang, source, whole) left join n using (lang, source, whole, term)),
+ pr as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) s from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source where not a.whole and not b.whole group by 1, 2, 3),
+ pairs as (select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(s, 0) as bigint) as value from grp a join grp b on a.lang = b.lang and a.source <> b.source and not a.whole and not b.whole left join pr on pr.lang = a.lang and pr.source = a.source and pr.item = b.source),
+ terms as (select a.lang, a.source, 'term' part, a.term item, cast(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and b.whole where not a.whole and a.n > 0 and a.p > b.p)
+select lang, source, part, item, value, cast(r as int) as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) r from (select * from pairs union all select * from terms)) where part = 'pair' or r <= 10
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op2_chat": chat.ORACLE, "op4_substring": OP4, "op9_quality": OP9, "op10_line_dedup": OP10, "op11_exact_dedup": OP11, "op12_divergence": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, decontaminate, line_dedup, oracles, packing, ppm, quality, simhash, substring, url_filter, warc
+from kerbside.llm import chat, decontaminate, divergence, exact_dedup, line_dedup, oracles, packing, ppm, quality, resample, simhash, substring, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in groups of equal texts."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each language's sources, and their foremost terms."""
+    return divergence.audited(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents weighed and drawn towards the benchmark's texts."""
+    found = resample.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat": op2_chat,
@@ -94,6 +110,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_divergence": op12_divergence,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL

@@ -203,3 +203,27 @@ def test_pipeline_stages_take_odd_rows(spark):
             now = spark.createDataFrame(found.collect(), docs.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= now.count()
         assert {r.doc_id for r in now.collect()} == (set() if start is not docs else {None, 6})
+
+
+def test_op13_on_the_given_documents(spark):
+    docs, bench = given("documents", "doc_id, text"), given("benchmark", "text")
+
+    def sums(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+        return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % 10000 for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    found = {k: sums(t) for k, t in docs}
+    s, t = Counter(b for _, x in found.values() for b in x), Counter(b for (x,) in bench for b in sums(x)[1])
+    total_s, total_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log(float((t[b] + 1) * (total_s + 10000)) / float((s[b] + 1) * (total_t + 10000)))) for b in range(10000)]
+    expected, able = {}, []
+    for k, (n, x) in found.items():
+        h = int(hashlib.sha256(f"42:{k}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in x)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        expected[k] = [k, len(x), weight, score, None]
+        if n >= 20:
+            able.append((-score, k))
+    for rank, (_, k) in enumerate(sorted(able)[: 5 * len(able) // 100], 1):
+        expected[k][4] = rank
+    assert rows(queries.op13_resample(spark, SF), "doc_id", "n_features", "weight", "score", "rank") == Counter(map(tuple, expected.values()))
