@@ -5,7 +5,7 @@ functions, its turns set apart by a mark. No array is copied for each turn, so t
 ``[SYS] `` (with the role on the first line) and `` [/SYS]``.
 
 A mark inside a text gets a backslash after its first character, and so does one that already has backslashes there; taking one
-away undoes that, so every text can be read back. The loss mask is a list of spans (start, length, in code points of the formatted text) of the
+away undoes that, so every text can be read back. In a role, a line feed is written ``%0A`` and ``%`` as ``%25``. The loss mask is a list of spans (start, length, in code points of the formatted text) of the
 assistant texts.
 
 Null texts and roles are empty; rows without a conversation id are one conversation. A conversation is one output row, so its turns must fit
@@ -31,8 +31,17 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + MARK, "$1$2$3")
 
 
+def escape_role(role: Column) -> Column:
+    """A role on one line: its line feeds and per cents by number."""
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+
+
+def unescape_role(role: Column) -> Column:
+    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def _opening(role: Column) -> Column:
-    return F.when(role == "user", USER[0]).when(role == "assistant", ASSISTANT[0]).otherwise(F.concat(F.lit(OTHER[0]), escape(role), F.lit("\n")))
+    return F.when(role == "user", USER[0]).when(role == "assistant", ASSISTANT[0]).otherwise(F.concat(F.lit(OTHER[0]), escape_role(role), F.lit("\n")))
 
 
 def _closing(role: Column) -> Column:
@@ -77,7 +86,7 @@ def read_back(done: DataFrame, id_col: str = "conv_id") -> DataFrame:
     found = F.regexp_extract_all("formatted", F.lit(BLOCK), F.lit(0))
 
     def role(b: Column) -> Column:
-        named = unescape(F.substring_index(F.substr(b, F.lit(len(OTHER[0]) + 1)), "\n", 1))
+        named = unescape_role(F.substring_index(F.substr(b, F.lit(len(OTHER[0]) + 1)), "\n", 1))
         return F.when(F.startswith(b, F.lit(USER[0])), "user").when(F.startswith(b, F.lit(ASSISTANT[0])), "assistant").otherwise(named)
 
     def body(b: Column) -> Column:
