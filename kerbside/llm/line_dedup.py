@@ -156,8 +156,10 @@ def verified(pairs: DataFrame, texts: DataFrame, params: LineParams) -> DataFram
     needed = materialise(ends.groupBy(F.col("id").alias("needed"), h.alias("needed_h")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("lines")), "lines-needed")
     mine = texts.withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
     held = mine.join(small_or_shuffled(needed, params.broadcast_rows), F.col("id").eqNullSafe(F.col("needed")) & (F.col("own") == F.col("needed_h")))
-    cut = held.select("id", "own", F.split("text", "\n").alias("all"), F.explode("lines").alias("line"))
-    words = F.array_distinct(F.filter(F.split(F.get("all", F.col("line")), BLANK), lambda w: w != ""))
+    # a text is cut once (the outer transform holds its lines), and only the lines asked for pass the generator
+    picked = F.transform(F.array(F.split("text", "\n")), lambda cut: F.transform("lines", lambda i: F.struct(i.alias("line"), F.get(cut, i).alias("text"))))
+    cut = held.select("id", "own", F.explode(F.get(picked, F.lit(0))).alias("x")).select("id", "own", "x.line", "x.text")
+    words = F.array_distinct(F.filter(F.split("text", BLANK), lambda w: w != ""))
     lines = cut.select(F.struct("id", F.col("own").bitwiseOR(F.col("line").cast("long")).alias("place")).alias("at"), words.alias("words"))
     both = pairs.join(lines.select(F.col("at").alias("x"), F.col("words").alias("a")), "x").join(lines.select(F.col("at").alias("y"), F.col("words").alias("b")), "y")
     return both.filter(F.size(F.array_intersect("a", "b")) * (params.den + params.num) >= (F.size("a") + F.size("b")) * params.num).select("x", "y")
@@ -219,7 +221,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = keyed(docs, id_col, text_col).withColumn("own", F.shiftleft(F.col("h").bitwiseAND((1 << 31) - 1), 32))
     joined = every.join(small_or_shuffled(gone, params.broadcast_rows), F.col("id").eqNullSafe(F.col("known")) & (F.col("own") == F.col("known_h")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # the stretches between lines that go; the outer transforms hold the lines and the stretches' ends, so that each is made once
+    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
+
+    def between(cut: Column, at: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice(cut, F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1))
+        return F.array_join(F.flatten(stretches), "\n")
+
+    kept = F.get(F.transform(F.array(F.struct(lines.alias("cut"), ends.alias("at"))), lambda x: between(x["cut"], x["at"])), F.lit(0))
     return joined.select(
         "row",
         F.size(lines).cast("long").alias("n_lines"),
