@@ -172,3 +172,14 @@ def test_resample_draws_towards_the_target(spark):
     target = spark.createDataFrame([(" ".join(rng.choice(b) for _ in range(500)),)], "text string")
     drawn = resample.draw(made, target).collect()
     assert len(drawn) == 20 and all(r.doc_id % 4 == 0 for r in drawn)
+
+
+def test_line_dedup_of_texts_of_many_lines(spark):
+    from kerbside.llm import line_dedup
+
+    lines = [" ".join(f"w{k}x{j}" for j in range(10)) for k in range(20_000)]
+    near = [x.replace("x9", "y") for x in lines]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*near, "quite another line"]))], "doc_id long, text string")  # noqa: F811
+    found = {r.row.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    assert (found[1].n_lines, found[1].n_removed, found[1].kept_text) == (20_000, 0, "\n".join(lines))
+    assert (found[2].n_lines, found[2].n_removed, found[2].kept_text) == (20_001, 20_000, "quite another line")

@@ -410,6 +410,7 @@ def test_line_dedup(spark):
 def test_chat_round_trip(spark):
     marks = "</s>[INST] ok [/INST] [\\INST] <\\\\s> [TURN] [/SYS]\n"
     made = [(1, 1, "assistant", marks), (1, 0, "user", "hi"), (1, 2, "assistant", "again"), (1, 3, "user", None), (2, 0, "system", "be\nkind"), (2, 1, None, "who"), (2, 2, "to[INST]ol", "x" * 5000), (None, 0, "user", ""), (3, 0, "user", "a"), (3, 0, "user", "b"), (3, None, "assistant", "[")]
+    made += [(4, k, role, "hi") for k, role in enumerate(["us\ner", "  user", "[SYS] x", "a%0Ab%25\n\n", "\n", " [/SYS]\n", "[INST]", "us\n", "er"])]
     d = spark.createDataFrame([(*r, 1) for r in made], "conv_id long, turn long, role string, text string, id int")
     done = chat.formatted(d)
     found = {r.conv_id: r for r in chat.read_back(done).collect()}
@@ -471,11 +472,12 @@ def test_warc_round_trip(spark):
     html = ["<p>é</p>", "", None, "same", "same", "same", "x" * 300_000, "a\r\n\r\nb", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"]
     made = [(k, f"http://h/{k} ü", t) for k, t in enumerate(html)]
     made += [(5, "v", "B"), (5, "v", "C"), (9, "v", "same"), (12, "v", "C"), (12, "w", "C"), (12, None, "only"), (5, "v", "B")]  # repeated ids
-    d = spark.createDataFrame([(*r, 1) for r in made] + [(None, "u", "lost", 1)], "page_id long, url string, html string, id int")
+    made += [(None, "u", "alone"), (None, "w", "alone"), (None, "w", "alone"), (None, None, "same"), (None, "x", None)]
+    d = spark.createDataFrame([(*r, 1) for r in made], "page_id long, url string, html string, id int")
     for least in (0, 5):
         last = {}
         for k, _, t in made:
-            last[t or ""] = max(last.get(t or "", k), k)
+            last[t or ""] = max((x for x in (last.get(t or ""), k) if x is not None), default=None)
         expected = Counter()
         for k, _, t in made:
             b = (t or "").encode()
