@@ -4,10 +4,13 @@ SimHash at a few bits reaches near copies of a similarity of 0.95 and more. At 0
 bits would need 92 keys a text for a recall of 0.999, each shared by one in 65,536 of all texts, which no large corpus bears. So a second proposer
 stands beside the fingerprints, and both are verified.
 
-Texts of equal shingle sets are one node from the start. Fingerprints propose the links of ``simhash.links``. A node is also dealt out under ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity s shares
-one with a chance of 1 - (1 - s**5)**20, which is 0.9996 at 0.8. Within a key all nodes are first verified against one of them; then all pairs are
-verified whose nodes verified links do not connect yet. No pair is left out, and a group of near copies costs as many rows as it has members;
-a key with many nodes that are no near copies of each other is searched in pairs.
+Texts of equal shingle sets are one node from the start. Fingerprints propose the links of ``simhash.links``, one node for each fingerprint, and its other nodes to that one. A node is also dealt
+out under ``BANDS`` keys of ``ROWS`` minima each: a pair of similarity s shares one with a chance of 1 - (1 - s**5)**20, which is 0.9996 at 0.8. Within a key nodes
+are first verified against one of them, those only that share ``ALIKE`` keys with it. This settles groups of near copies at a row for each member.
+
+What is then open, nodes whose keys hold nodes that verified links do not connect yet, goes through an exact set-similarity join over shingles: rarest shingles first, by
+how many of the open nodes have them, prefix, length and positional filters, then verification. Texts of one template that are less similar than asked share their
+common shingles only, so they do not meet: a key costs no pairs for its size, and no pair above the threshold is left out.
 
 Texts are lower-cased (A-Z). One of five words or fewer is a single shingle; null and texts without words are equal to each other. Texts are taken whole, their minima
 in bounded pieces. Rows without an id stay. Repeated rows are one node, and as their ids are equal all of them stay or go. An empty table gives an empty result.
@@ -28,6 +31,10 @@ SHINGLE, NUM, DEN = 5, 4, 5
 BANDS, ROWS = 20, 5
 _drawn = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 TIMES, PLUS = _drawn[0] | np.uint64(1), _drawn[1]
+#: Keys that two nodes share from which on they are verified at once; others wait for the join. Two of a similarity of 0.8 share 6.6 on average.
+ALIKE = 4
+#: Buckets of shingles whose frequency among open nodes is counted: a table of fixed size, a byte each in the tasks.
+BUCKETS = 1 << 20
 #: Shingles whose minima are taken at once; bounds memory for very long texts.
 HASHED_AT_ONCE = 1 << 11
 
@@ -84,8 +91,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("h")).mapInArrow(run, "id long, h long, node long, fp long, bands array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingles have the similarity asked for."""
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, found: its sorted shingles as signed longs) of the nodes wanted (node), written."""
 
     def run(batches):
         for batch in batches:
@@ -94,14 +101,85 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
                 cuts = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
                 yield pa.RecordBatch.from_arrays([_signed([node_of(s) for s in sets]), pa.ListArray.from_arrays(cuts, _signed(np.concatenate(sets)))], names=["node", "found"])
 
-    needed = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select(F.col("h").alias("__h"))
+    needed = nodes.join(wanted.distinct(), "node").select(F.col("h").alias("__h"))
     texts = docs.select(docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("__h")).join(needed, "__h").groupBy("__h").agg(F.first("text").alias("text"))
-    sets = materialise(texts.select("text").mapInArrow(run, "node long, found array<long>"), "minhash-sets")
+    return materialise(texts.select("text").mapInArrow(run, "node long, found array<long>"), "minhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingles have the similarity asked for."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     same = both.withColumn("same", F.size(F.array_intersect("x", "y")))
     return same.filter(F.col("same") * DEN >= (F.size("x") + F.size("y") - F.col("same")) * NUM).select("a", "b")
 
 
+def _octaves(sets: DataFrame) -> np.ndarray:
+    """For each bucket of shingles the octave of how often its shingles stand in the sets."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+    counts = sets.select("found").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    few = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("octave")).agg(F.collect_list("bucket").alias("buckets"))
+    out = np.zeros(BUCKETS, np.uint8)
+    for octave, buckets in few.collect():  # BUCKETS numbers at most
+        out[buckets] = octave
+    return out
+
+
+def prefix_join(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs of nodes of different roots (node, root) that may have the similarity asked for; sets: (node, found)."""
+    held = sets.sparkSession.sparkContext.broadcast(_octaves(sets))
+
+    def prefixes(batches):
+        octaves = held.value
+        for batch in batches:
+            for part in slices(batch):
+                nodes, at, token, size = part.column(0).to_numpy(), [], [], []
+                for found in part.column(1):
+                    s = found.values.to_numpy(zero_copy_only=False)
+                    n = len(s)
+                    rare = np.lexsort((s, octaves[s & (BUCKETS - 1)]))[: n - -(-n * NUM // DEN) + 1]
+                    token.append(s[rare])
+                    at.append(np.arange(len(rare)))
+                    size.append(n)
+                many = [len(x) for x in token]
+                columns = [np.repeat(nodes, many), np.repeat(size, many), np.concatenate(at), np.concatenate(token)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "pos", "token"])
+
+    rows = materialise(sets.mapInArrow(prefixes, "node long, n long, pos long, token long").join(roots, "node"), "minhash-prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    c = F.col
+    overlap = F.ceil((c("x.n") + c("y.n")) * NUM / (NUM + DEN))
+    condition = (
+        (c("x.token") == c("y.token"))
+        & ((c("x.n") < c("y.n")) | (c("x.n") == c("y.n")) & (c("x.node") < c("y.node")))  # the shorter one is indexed by its shorter prefix
+        & (c("x.n") * DEN >= c("y.n") * NUM)
+        & (c("x.pos") < c("x.n") - F.ceil(c("x.n") * (2 * NUM) / (NUM + DEN)) + 1)
+        & (F.least("x.pos", "y.pos") + F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= overlap)
+        & (c("x.root") != c("y.root"))
+    )
+    return x.join(y, condition).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def first_pairs(nodes: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(a, b), a > b: of each key's nodes those that share ``ALIKE`` keys with its first, and the links of fingerprints."""
+    near = dealt.filter("node <> first").groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= ALIKE)
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("b"))
+    links = simhash_links(by_print.select(F.col("b").alias("node"), "fp"))
+    same = nodes.join(by_print, "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    every = near.select("a", "b").unionByName(links.select("a", "b")).unionByName(same)
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, component_id (smallest id reachable over links), text_hash."""
     rows = materialise(keyed(docs, id_col, text_col), "minhash-rows")
@@ -109,19 +187,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = dealt.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = materialise(dealt.join(shared, ["band", "key"]), "minhash-dealt")
-    by_bits = simhash_links(nodes.select("node", "fp"))
-    proposed = dealt.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(by_bits.select("a", "b"))
-    tried = materialise(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-first")
-    links = materialise(verified(tried, nodes, docs, text_col), "minhash-links")
+    tried = materialise(first_pairs(nodes, dealt), "minhash-first")
+    links = materialise(verified(tried, shingle_sets(ends(tried), nodes, docs, text_col)), "minhash-links")
     roots = components(links, "minhash-stars")
     rooted = materialise(dealt.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "minhash-rooted")
     parted = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
-    left = rooted.join(parted, ["band", "key"])
-    x, y = (left.select("band", "key", F.col("node").alias(f"{t}_node"), F.col("root").alias(f"{t}_root")) for t in "xy")
-    cross = x.join(y, ["band", "key"]).filter("x_root < y_root").select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
-    cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "minhash-others")
-    links = materialise(links.unionByName(verified(cross, nodes, docs, text_col)), "minhash-all")
-    roots = components(links, "minhash-components")
+    left = materialise(rooted.join(parted, ["band", "key"]).select("node", "root").distinct(), "minhash-open")
+    if left.count():
+        sets = shingle_sets(left.select("node"), nodes, docs, text_col)
+        cross = materialise(prefix_join(sets, left).join(tried, ["a", "b"], "left_anti"), "minhash-others")
+        links = materialise(links.unionByName(verified(cross, sets)), "minhash-all")
+        roots = components(links, "minhash-components")
     members = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
     known = members.join(lowest, "root").select("node", "component_id")
