@@ -183,3 +183,35 @@ def test_line_dedup_of_texts_of_many_lines(spark):
     found = {r.row.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
     assert (found[1].n_lines, found[1].n_removed, found[1].kept_text) == (20_000, 0, "\n".join(lines))
     assert (found[2].n_lines, found[2].n_removed, found[2].kept_text) == (20_001, 20_000, "quite another line")
+
+
+def test_near_dedup_of_one_template_makes_few_pairs(spark, monkeypatch):
+    """Texts that share most of their shingles, but too few, with near copies among them: pairs to verify stay in proportion to texts."""
+    from kerbside.llm import minhash
+
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(152)]
+    made = [(k, " ".join([*common, *(f"u{k}x{j}" for j in range(rng.randint(48, 54)))])) for k in range(300)]
+    made += [(1000 + k, made[7 * k][1].replace(f"u{7 * k}x3", "other")) for k in range(20)]
+    docs, pairs = spark.createDataFrame(made, "doc_id long, text string"), []  # noqa: F811
+    verified = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda p, s: (pairs.append(p.count()), verified(p, s))[1])
+    found = {r.doc_id: r.component_id for r in minhash.similar(docs).collect()}
+    sets = {k: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in made}
+    assert 0.55 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.65
+    assert found == {k: 7 * (k - 1000) if k >= 1000 else k for k, _ in made}
+    assert sum(pairs) < 10 * len(made)
+
+
+def test_prefix_join_finds_every_similar_pair(spark):
+    from kerbside.llm import minhash
+
+    rng = random.Random(9)
+    sets = [sorted(rng.sample(range(-60, 60), rng.randint(1, 40))) for _ in range(30)]
+    for s in list(sets):
+        for _ in range(4):
+            sets.append(sorted(set(rng.sample(s, max(1, len(s) - rng.randint(0, 5)))) | {rng.randint(-60, 60) for _ in range(rng.randint(0, 4))}))
+    made = spark.createDataFrame(list(enumerate(sets)), "node long, found array<long>")
+    pairs = {(r.a, r.b) for r in minhash.verified(minhash.prefix_join(made, made.select("node", F.col("node").alias("root"))), made).collect()}
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
+    assert near and pairs == near
