@@ -7,8 +7,10 @@ words reaches one in ``one_in``. With ``span_words`` set, a run of hit words tha
 a benchmark passage inside a very long document is removed too; shorter runs go only from contaminated documents.
 
 The automaton is built in the tasks from broadcast items of at most ``max_words`` words. A larger benchmark is dealt
-into shards of that size, and the texts pass through one shard after another; hits are united between passes.
-Items over a sixteenth of ``max_words`` words are cut into pieces that overlap by ``window - 1`` words, which loses no window.
+into shards of that size. Then the texts are written once, and each shard is a job of its own over them, so that no worker holds more than one automaton; a job
+leaves the rows it hits, and these are united.
+Items over a sixteenth of ``max_words`` words are cut into pieces that overlap by ``window - 1`` words, which loses no window; the longest match
+told is one within a piece.
 
 Null texts have no words. Items that are null or have no words have no window. Repeated item ids count once; items without an id
 mark words but are in no list of ids. Repeated documents are judged each on their own. Very long texts are streamed whole through the automaton by one
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import materialise, slices, utf8
+from kerbside.llm.common import materialise, slices, small_or_shuffled, utf8
 
 #: Lower-cases A-Z and blanks what isn't a word byte; keeps lengths, so offsets hold in the text itself.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -172,6 +174,7 @@ class Limits:
     window: int = 13
     one_in: int = 20  # contaminated from one hit word in so many
     max_words: int = 200_000
+    broadcast_rows: int = 200_000  # hit rows joined by broadcast, where there are several shards; more are shuffled
     span_words: int | None = None  # hit runs of so many words are cut from any document; None: coverage alone decides
 
 
@@ -187,7 +190,7 @@ def _automaton(key: str, items: list, window: int) -> Automaton:
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, limits: Limits):
-    """Lists of (id, text), each of about max_words words at most. Items are cut into pieces that overlap by window - 1 words before they are dealt, so a long
+    """Functions that collect a list of (id, text) each, of about max_words words at most. Items are cut into pieces that overlap by window - 1 words before they are dealt, so a long
     item is spread like any other; shards that get none are left out."""
     size = max(limits.max_words // 16, 2 * limits.window)  # of a piece: sixteen in a shard even out
     step = size - limits.window + 1
@@ -200,10 +203,58 @@ def _shards(items: DataFrame, id_col: str, text_col: str, limits: Limits):
     pieces = materialise(pieces, "decontaminate-pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     n = -(-total // limits.max_words) or 1
-    for k in range(n):
-        got = [(r.id, r.text.encode()) for r in pieces.filter(F.pmod(F.xxhash64("id", "at", "text"), F.lit(n)) == k).select("id", "text").collect()]
-        if got or n == 1:
-            yield got
+    of = F.pmod(F.xxhash64("id", "at", "text"), F.lit(n))
+    used = sorted(r.k for r in pieces.select(of.alias("k")).distinct().collect()) or [0]  # a number for each shard
+    for k in used:
+        yield lambda k=k: [(r.id, r.text.encode()) for r in pieces.filter(of == k).select("id", "text").collect()]
+
+
+_FOUND = [("n_words", T.LongType()), ("longest", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("found", T.ArrayType(T.StringType()))]
+
+
+def _scan(spark, shard: list, limits: Limits, carried: list[T.StructField], before: bool = False):
+    """(function, its output): a pass that finds a shard's windows. Columns in: those carried, the last of which is the text, and with before what earlier
+    passes found (longest, spans, found; may be null), with which it is united."""
+    held = spark.sparkContext.broadcast(shard)
+    key, many = hashlib.sha256(repr((shard, limits.window)).encode()).hexdigest(), len(carried)
+    out = T.StructType([*carried, *[T.StructField(c, t) for c, t in _FOUND]])
+
+    def run(batches):
+        automaton = _automaton(key, held.value, limits.window)
+        for batch in batches:
+            for part in slices(batch):
+                n_words, longest, spans, found = [], [], [], []
+                earlier = zip(*[part.column(many + i).to_pylist() for i in range(3)]) if before else [(0, None, None)] * part.num_rows
+                for text, (far, old, ids) in zip(utf8(part.column(many - 1)).to_pylist(), earlier):
+                    words = words_of(text)
+                    s, f, most = automaton.matches(words)
+                    n_words.append(len(words))
+                    longest.append(max(far or 0, most))
+                    spans.append(united((old or []) + s))
+                    found.append(sorted({*(ids or []), *(x for x in f if x is not None)}))
+                new = [pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:many], *new], names=out.names)
+
+    return run, out
+
+
+def _shard_by_shard(kept: DataFrame, text_col: str, shards: list, limits: Limits) -> DataFrame:
+    """A job for each shard over the texts, which are written once with a number a row; a job's workers hold its automaton alone. Of a job only the rows
+    that it matches are kept; the last one carries the rows and takes up what the others found."""
+    spark = kept.sparkSession
+    base = materialise(kept.select(F.monotonically_increasing_id().alias("n"), "row"), "decontaminate-rows")
+    numbered = base.select("n", F.col("row").getField(text_col).alias("text"))
+    hits = None
+    for shard in shards[:-1]:
+        run, out = _scan(spark, shard(), limits, numbered.schema.fields)
+        seen = numbered.mapInArrow(run, out).select("n", "longest", "spans", "found").filter("longest > 0")
+        seen = materialise(seen, "decontaminate-shard")
+        hits = seen if hits is None else hits.unionByName(seen)
+    one = hits.groupBy("n").agg(F.max("longest").alias("longest"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("found")).alias("found"))  # an entry a shard
+    one = small_or_shuffled(materialise(one, "decontaminate-hits"), limits.broadcast_rows)
+    joined = base.join(one, "n", "left").select("row", F.col("row").getField(text_col).alias("text"), "longest", "spans", "found")
+    run, out = _scan(spark, shards[-1](), limits, joined.schema.fields[:2], before=True)
+    return joined.mapInArrow(run, out)
 
 
 def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), cut_text: bool = False) -> DataFrame:
@@ -213,33 +264,12 @@ def matched(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
         raise ValueError("docs may not be a single column named row")
     spark = docs.sparkSession
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    row = kept.schema["row"]
-    out = T.StructType([row, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("found", T.ArrayType(T.StringType()))])
-
-    def scan(shard, first: bool):
-        held = spark.sparkContext.broadcast(shard)
-        key = hashlib.sha256(repr((shard, limits.window)).encode()).hexdigest()
-
-        def run(batches):
-            automaton = _automaton(key, held.value, limits.window)
-            for batch in batches:
-                for part in slices(batch):
-                    n_words, longest, spans, found = [], [], [], []
-                    before = [(0, [], [])] * part.num_rows if first else zip(*[part.column(i).to_pylist() for i in (3, 4, 5)])
-                    for text, (far, old, ids) in zip(utf8(part.column(1)).to_pylist(), before):
-                        words = words_of(text)
-                        s, f, most = automaton.matches(words)
-                        n_words.append(len(words))
-                        longest.append(max(far, most))
-                        spans.append(united(old + s))
-                        found.append(sorted({*ids, *(x for x in f if x is not None)}))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))], names=out.names)
-
-        return run
-
-    now = kept
-    for k, shard in enumerate(_shards(items, item_id, item_text, limits)):
-        now = now.mapInArrow(scan(shard, k == 0), out)
+    shards = list(_shards(items, item_id, item_text, limits))
+    if len(shards) == 1:
+        run, out = _scan(spark, shards[0](), limits, kept.schema.fields)
+        now = kept.mapInArrow(run, out)
+    else:
+        now = _shard_by_shard(kept, text_col, shards, limits)
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0]), F.lit(0))
     now = now.withColumn("n_hit", n_hit)
     now = now.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * limits.one_in >= F.col("n_words")))
