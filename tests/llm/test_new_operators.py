@@ -215,3 +215,18 @@ def test_prefix_join_finds_every_similar_pair(spark):
     pairs = {(r.a, r.b) for r in minhash.verified(minhash.prefix_join(made, made.select("node", F.col("node").alias("root"))), made).collect()}
     near = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
     assert near and pairs == near
+
+
+def test_decontamination_has_one_worker_a_task_for_any_number_of_shards(spark, tmp_path):
+    """A benchmark of many shards: no job's plan has more than one Python node, and rows are those of one shard (but for longest, which a piece of an item bounds)."""
+    from kerbside.llm import decontaminate
+
+    rng = random.Random(2)
+    items = [(k, " ".join(f"i{rng.randint(0, 40)}" for _ in range(60))) for k in range(40)]
+    texts = [(k, " ".join([*items[k % 40][1].split()[k % 20 : k % 20 + 16], *(f"t{j}" for j in range(k))])) for k in range(60)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")  # noqa: F811
+    known = ["n_words", "n_hit", "spans", "item_ids", "contaminated"]
+    one, many = (decontaminate.matched(docs, bench, limits=decontaminate.Limits(max_words=m)) for m in (10_000, 200))
+    read = lambda df: sorted((r.row.doc_id, *[r[c] for c in known]) for r in df.collect())
+    assert read(one) == read(many) and one.filter("contaminated").count() > 30
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
