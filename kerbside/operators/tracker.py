@@ -1,11 +1,19 @@
-"""Multi-object tracking: one camera's state machine over frames, as a batch operator over independent segments.
+"""Multi-object tracking: one camera's state machine over frames, as a batch operator over independent stretches of a camera.
 
 The state is numpy arrays and small objects (``CameraTracker``); batch and stream feed it the same frames. In batch, a camera is cut wherever it has no
-detections for so long that no track can live on; segments then run in parallel, and ids are re-based by the sum of those issued before.
+detections for so long that no track can live on (segments), and segments of a busy camera again every ``SliceParams.frames`` frames. A slice does not know the tracks that come into it, so it
+starts ``warmup`` frames early with none; its state at its border is then compared with the one its predecessor ends with. Where both agree, which they
+do once all tracks that lived when the warm-up began are gone, the slice's rows are those of a single pass. Where they do not, the slice is run again from its predecessor's
+state, and on until it agrees with a later slice; this is checked again, and after ``rounds`` rounds what is left of a camera is run on in one go. So
+results never depend on how a camera was cut.
+
+A track is known by the frame it began in and its number there; ids are the sum of those issued in earlier frames.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kerbside.operators import ranges
 from kerbside.operators.assignment import solve
@@ -90,6 +100,7 @@ class Track:
     det_box: tuple[float, ...] | None = None
     points: int = 0
     gate: float = float("nan")
+    nth: int = 0  # of those that began in the same frame
 
     @property
     def tlwh(self) -> np.ndarray:
@@ -119,7 +130,7 @@ class CameraTracker:
     """step() takes a frame's detections; ``rows`` are then what the frame puts out, ``removed`` the tracks that ended."""
 
     def __init__(self, params: TrackParams = TrackParams(), frame: int = 0, next_id: int = 0) -> None:
-        self.params, self.frame, self.next_id, self.issued = params, frame, next_id, 0
+        self.params, self.frame, self.next_id, self.begun = params, frame, next_id, 0
         self.tracked: list[Track] = []
         self.lost: list[Track] = []
         self.removed: list[Track] = []
@@ -187,9 +198,9 @@ class CameraTracker:
         fresh = []
         for k in left[free]:
             mean, cov = started(xyah_of(boxes[k]))
-            fresh.append(Track(self.next_id, frame, frame, float(scores[k]), int(labels[k]), mean, cov, frame == 1))
+            fresh.append(Track(self.next_id, frame, frame, float(scores[k]), int(labels[k]), mean, cov, frame == 1, nth=len(fresh)))
             self.next_id = (self.next_id + 1) % IDS
-            self.issued += 1
+        self.begun = len(fresh)
         old = [t for t in self.lost if not t.tracked and frame - t.last > p.max_time_lost]
         self.removed += old
         expired = {id(t) for t in old}
@@ -210,25 +221,61 @@ class CameraTracker:
         self.tracked = [t for i, t in enumerate(self.tracked) if i not in drop_a]
         self.lost = [t for j, t in enumerate(self.lost) if j not in drop_b]
 
-    def skip_to(self, frame: int) -> list[Track]:
-        """Frames without detections up to, not including, this one; the tracks that end in them."""
+    def skip_to(self, frame: int) -> list[tuple[int, Track]]:
+        """Frames without detections up to, not including, this one; the tracks that end in them, and where."""
         ended = []
         nothing = (np.zeros((0, 4)), np.zeros(0), np.zeros(0, int))
         while self.frame + 1 < frame and (self.tracked or self.lost):
             self.step(self.frame + 1, *nothing)
-            ended += self.removed
+            ended += [(self.frame, t) for t in self.removed]
         self.frame = max(self.frame, frame - 1)
         return ended
 
+    def state(self) -> list[tuple]:
+        """The live tracks as plain values, in order: those tracked, then those lost (STATE)."""
+        return [_plain(t, k) for k, of in enumerate((self.tracked, self.lost)) for t in of]
+
+    @classmethod
+    def resumed(cls, params: TrackParams, frame: int, state: list, next_id: int | None = None) -> CameraTracker:
+        """A tracker that has just done ``frame`` and has these live tracks (rows of STATE); without next_id ids go on after the largest."""
+        tracks = [(row[0], _from_plain(row)) for row in state]
+        found = cls(params, frame, max((t.id for _, t in tracks), default=-1) + 1 if next_id is None else next_id)
+        found.tracked, found.lost = ([t for k, t in tracks if k == which] for which in (0, 1))
+        return found
+
+    def agrees_by(self) -> bytes:
+        """Equal for trackers that will put out the same from here on: all of the state but the ids, whose order is that of the rows."""
+        return hashlib.blake2b(repr([row[:1] + row[2:] for row in self.state()]).encode(), digest_size=16).digest()
+
+
+#: A live track as typed values; ``place`` is 0 for tracked, 1 for lost ones.
+STATE = "place int, id long, start long, nth int, last long, score double, class_id int, confirmed boolean, tracked boolean, hit_labels array<int>, hit_counts array<int>, class_lock boolean, det_box array<double>, points int, gate double, mean array<float>, cov array<float>"
+
 
-ROW = "camera_id int, segment long, frame_id long, track_id long, start_frame long, last_frame long, class_id int, score double, x double, y double, w double, h double, det_x double, det_y double, det_w double, det_h double, has_point boolean, n_points int, gate_d2 double, kind string, issued long"
-_NAMES = [f.split()[0] for f in ROW.split(", ")]
-_TYPES = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[f.split()[1]] for f in ROW.split(", ")]
+def _plain(t: Track, place: int) -> tuple:
+    labels = sorted(t.hits)
+    box = None if t.det_box is None else list(t.det_box)
+    gate = None if np.isnan(t.gate) else float(t.gate)
+    return (place, t.id, t.start, t.nth, t.last, float(t.score), t.class_id, t.confirmed, t.tracked, labels, [t.hits[k] for k in labels], t.class_lock, box, t.points, gate, t.mean.tolist(), t.cov.ravel().tolist())
+
+
+def _from_plain(row) -> Track:
+    _, key, start, nth, last, score, class_id, confirmed, tracked, labels, counts, lock, box, points, gate, mean, cov = row
+    hits = {int(k): int(n) for k, n in zip(labels, counts)}
+    box = None if box is None else tuple(float(v) for v in box)
+    mean, cov = np.array(mean, np.float32), np.array(cov, np.float32).reshape(8, 8)
+    return Track(int(key), int(start), int(last), float(score), int(class_id), mean, cov, bool(confirmed), bool(tracked), hits, bool(lock), box, int(points), float("nan") if gate is None else float(gate), int(nth))
+
+
+ROW = "camera_id int, segment long, frame_id long, track_id long, start_frame long, last_frame long, class_id int, score double, x double, y double, w double, h double, det_x double, det_y double, det_w double, det_h double, has_point boolean, n_points int, gate_d2 double, kind string"
+#: What tasks put out: the rows with the number of their track in its first frame (in track_id), and rows of kind issued (n: tracks begun in the frame) and state (of a slice:
+#: what it agrees by at its start and end, and the live tracks at its end).
+FOUND = ROW + f", slice long, round int, n long, starts_as binary, ends_as binary, live array<struct<{STATE}>>"
 
 
 def _row(camera: int, segment: int, frame: int, t: Track, pointed: bool, kind: str) -> tuple:
     box, det = [float(v) for v in t.tlwh], t.det_box or (None,) * 4
-    return (camera, segment, frame, t.id, t.start, t.last, t.class_id, t.score, *box, *det, pointed, t.points, None if np.isnan(t.gate) else t.gate, kind, None)
+    return (camera, segment, frame, t.nth, t.start, t.last, t.class_id, t.score, *box, *det, pointed, t.points, None if np.isnan(t.gate) else t.gate, kind)
 
 
 def track_segments(detections: DataFrame, max_time_lost: int, width: int = ranges.FRAMES) -> DataFrame:
@@ -239,69 +286,229 @@ def track_segments(detections: DataFrame, max_time_lost: int, width: int = range
     return detections.join(marked, ["camera_id", "frame_id"])
 
 
-def track(detections: DataFrame, last_frames: DataFrame, params: TrackParams = TrackParams()) -> DataFrame:
-    """Track rows: kind 'out' (a track put out in a frame) and 'removed' (a track that ended, in the frame it ended).
-
-    last_frames: (camera_id, last_frame): tracks are removed only as far as a camera has frames. Detections within a segment are read in order, a frame at
-    a time, so memory is bound by a frame, not by a segment. Ids are those of a single pass over each camera.
-    """
-    cut = track_segments(detections, params.max_time_lost).join(last_frames, "camera_id")
-    after = cut.groupBy("camera_id", "segment").agg(F.min("frame_id").alias("first")).withColumn("until", F.lead("first").over(Window.partitionBy("camera_id").orderBy("segment"))).drop("first")
-    rows = cut.join(after, ["camera_id", "segment"]).select("camera_id", "segment", "frame_id", "label", F.col("confidence").cast("double").alias("confidence"), *[F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.least(F.coalesce("until", F.col("last_frame") + 1), F.col("last_frame") + 1).alias("until"))
-    n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame_id", "xmin", "ymin", "label")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tracker, until, frame, held = None, None, 0, None, []
+@dataclass(frozen=True)
+class SliceParams:
+    frames: int = 9_000  # of a slice: five minutes at 30 a second
+    warmup: int = 900
+    rounds: int = 3  # of running disagreeing slices again side by side, before the rest is run on in one go
+    broadcast_rows: int = 100_000
+
+    def __post_init__(self) -> None:
+        if not 0 < self.warmup <= self.frames:
+            raise ValueError("0 < warmup <= frames")
+
+
+class _Slice:
+    """Runs one slice, or one slice and those after it, over frames in order; ``out`` collects rows of FOUND."""
+
+    def __init__(self, key: tuple, params: TrackParams, width: int, out: list, number: int = 0, tracker: CameraTracker | None = None) -> None:
+        self.camera, self.segment, self.slice = key
+        self.params, self.width, self.out, self.number, self.tracker = params, width, out, number, tracker
+        self.starts_as, self.own, self.done = (tracker.agrees_by() if tracker else b""), tracker is not None, False
+
+    def _put(self, row: tuple, n: int | None = None) -> None:
+        self.out.append((*row, self.slice, self.number, n, None, None, None))
+
+    def _skip(self, frame: int) -> None:
+        for at, t in self.tracker.skip_to(frame):
+            if self.own:
+                self._put(_row(self.camera, self.segment, at, t, False, "removed"))
+
+    def frame(self, frame: int, tlwh: np.ndarray, scores: np.ndarray, labels: np.ndarray, first: bool) -> None:
+        """A frame's detections. first: the slice is its segment's first, which no warm-up precedes."""
+        if self.tracker is None:
+            self.tracker, self.own = CameraTracker(self.params, frame - 1), first
+        if not self.own and frame >= self.slice * self.width:
+            self._skip(self.slice * self.width)
+            self.starts_as, self.own = self.tracker.agrees_by(), True
+        self._skip(frame)
+        shown = self.tracker.step(frame, tlwh, scores, labels)
+        if not self.own:
+            return
+        for t, pointed in shown:
+            self._put(_row(self.camera, self.segment, frame, t, pointed, "out"))
+        for t in self.tracker.removed:
+            self._put(_row(self.camera, self.segment, frame, t, False, "removed"))
+        if self.tracker.begun:
+            self._put((self.camera, self.segment, frame, *[None] * 16, "issued"), self.tracker.begun)
+
+    def end(self, until: int) -> None:
+        """All frames before this one; says what state the slice ends with."""
+        self._skip(until)
+        state = (self.camera, self.segment, until, *[None] * 16, "state", self.slice, self.number, None, self.starts_as, self.tracker.agrees_by(), self.tracker.state())
+        self.out.append(state)
+
+    def border(self, wanted: bytes) -> None:
+        """The next slice begins; the run is done if that one began with the state that this one has now."""
+        self.end((self.slice + 1) * self.width)
+        self.slice, self.starts_as = self.slice + 1, self.tracker.agrees_by()
+        self.done = self.starts_as == wanted
+
+
+def _frames_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
+    """(keys, arrays) for each run of equal values in the first n_keys columns of sorted batches."""
+    held: list = []
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        now = [np.concatenate(x) for x in zip(held, now)] if held else now
+        if not len(now[0]):
+            continue
+        changed = np.zeros(len(now[0]) - 1, bool)
+        for c in now[:n_keys]:
+            changed |= c[1:] != c[:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(changed) + 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield tuple(c[a].item() for c in now[:n_keys]), [c[a:b] for c in now[n_keys:]]
+        held = [c[cuts[-1] :] for c in now]
+    if held and len(held[0]):
+        yield tuple(c[0].item() for c in held[:n_keys]), held[n_keys:]
+
+
+def _emitted(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+    out.clear()
+    return batch
+
+
+_BOX = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _sliced(detections: DataFrame, last_frames: DataFrame, params: TrackParams, cut: SliceParams) -> DataFrame:
+    """Detections with segment, slice, and of their segment its first and last slice and the frame up to which its tracks may end."""
+    marked = track_segments(detections, params.max_time_lost).join(last_frames, "camera_id")
+    of = lambda c: F.floor(c / cut.frames).cast("long")
+    spans = marked.groupBy("camera_id", "segment").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"))
+    spans = spans.withColumn("next", F.lead("first").over(Window.partitionBy("camera_id").orderBy("segment")))
+    spans = spans.select("camera_id", "segment", "next", of(F.col("first")).alias("first_slice"), of(F.col("last")).alias("last_slice"))
+    joined = marked.join(spans, ["camera_id", "segment"])
+    until = F.least(F.coalesce("next", F.col("last_frame") + 1), F.col("last_frame") + 1)
+    return joined.select("camera_id", "segment", of(F.col("frame_id")).alias("slice"), "frame_id", "label", F.col("confidence").cast("double").alias("confidence"), *[F.col(c).cast("double").alias(c) for c in _BOX], until.alias("until"), "first_slice", "last_slice")
+
+
+_ORDER = ("camera_id", "segment", "slice", "frame_id")
+
+
+def _parallel(rows: DataFrame, params: TrackParams, cut: SliceParams) -> DataFrame:
+    """Rows of FOUND: all slices side by side, each from its warm-up on."""
+    c = F.col
+    early = (c("slice") < c("last_slice")) & (c("frame_id") >= (c("slice") + 1) * cut.frames - cut.warmup)
+    every = rows.withColumn("slice", F.explode(F.when(early, F.array(c("slice"), c("slice") + 1)).otherwise(F.array("slice"))))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.repartition(n, *_ORDER[:3]).sortWithinPartitions(*_ORDER, "xmin", "ymin", "label")
+    schema = to_arrow_schema(StructType.fromDDL(FOUND))
+
+    def run(batches):
         out: list[tuple] = []
+        now, running, until, last = None, None, 0, 0
 
-        def flush():
-            if frame is not None and held:
-                a = np.array(held)
-                ended = tracker.skip_to(frame)
-                out.extend(_row(*now, frame, t, False, "removed") for t in ended)
-                tlwh = np.column_stack([a[:, 2], a[:, 3], a[:, 4] - a[:, 2], a[:, 5] - a[:, 3]])
-                shown = tracker.step(frame, tlwh, a[:, 1], a[:, 0].astype(int))
-                out.extend(_row(*now, frame, t, pointed, "out") for t, pointed in shown)
-                out.extend(_row(*now, frame, t, False, "removed") for t in tracker.removed)
+        def close():
+            if running is not None:
+                running.end(until if now[2] == last else (now[2] + 1) * cut.frames)
+
+        for (*key, frame), (labels, scores, x0, y0, x1, y1, ends, firsts, lasts) in _frames_of(batches, 4):
+            if key != now:
+                close()
+                now, until, last = key, int(ends[0]), int(lasts[0])
+                running = _Slice(tuple(key), params, cut.frames, out)
+            running.frame(frame, np.column_stack([x0, y0, x1 - x0, y1 - y0]), scores, labels.astype(int), key[2] == int(firsts[0]))
+            if len(out) > 5000:
+                yield _emitted(out, schema)
+        close()
+        if out:
+            yield _emitted(out, schema)
+
+    return dealt.mapInArrow(run, FOUND)
+
+
+def _again(rows: DataFrame, runs: DataFrame, starts: DataFrame, number: int, params: TrackParams, cut: SliceParams) -> DataFrame:
+    """Rows of FOUND: each run (camera_id, segment, run: its first slice, stop: the slice it ends before, live: the tracks that come in) over its slices until it
+    agrees with a slice's start (starts: camera_id, segment, slice, starts_as)."""
+    c = F.col
+    of = runs.select("camera_id", "segment", "run", F.explode(F.sequence("run", c("stop") - 1)).alias("slice"))
+    own = rows.join(of, ["camera_id", "segment", "slice"])
+    nothing = {"label": "int", "confidence": "double", **dict.fromkeys(_BOX, "double"), "until": "long", "last_slice": "long"}
+    detected = own.select("camera_id", "segment", "run", "frame_id", F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("starts_as"), F.lit(None).cast(f"array<struct<{STATE}>>").alias("live"), *nothing)
+    empty = [F.lit(None).cast(t).alias(x) for x, t in nothing.items()]
+    first = runs.select("camera_id", "segment", "run", (c("run") * cut.frames).alias("frame_id"), F.lit(0).alias("turn"), F.lit(None).cast("binary").alias("starts_as"), "live", *empty)
+    later = of.filter("slice > run").join(starts, ["camera_id", "segment", "slice"])
+    later = later.select("camera_id", "segment", "run", (c("slice") * cut.frames).alias("frame_id"), F.lit(0).alias("turn"), "starts_as", F.lit(None).cast(f"array<struct<{STATE}>>").alias("live"), *empty)
+    every = detected.unionByName(first).unionByName(later)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.repartition(n, "camera_id", "segment", "run").sortWithinPartitions("camera_id", "segment", "run", "frame_id", "turn", "xmin", "ymin", "label")
+    schema = to_arrow_schema(StructType.fromDDL(FOUND))
+
+    def run(batches):
+        out: list[tuple] = []
+        now, running, until, last = None, None, 0, 0
 
         def close():
-            flush()
-            if tracker is not None:
-                out.extend(_row(*now, until, t, False, "removed") for t in tracker.skip_to(until))
-                out.append((*now, until, *[None] * (len(_NAMES) - 5), "issued", tracker.issued))
-
-        def emitted():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
-            out.clear()
-            return batch
-
-        for batch in batches:
-            cameras, segments, frames, labels, scores, x0, y0, x1, y1, limits = (batch.column(k).to_pylist() for k in range(10))
-            for key in zip(cameras, segments, frames, labels, scores, x0, y0, x1, y1, limits):
-                if key[:2] != now:
-                    close()
-                    now, until, frame, held = key[:2], key[9], None, []
-                    tracker = CameraTracker(params, frame=key[2] - 1)
-                if key[2] != frame:
-                    flush()
-                    frame, held = key[2], []
-                held.append(key[3:9])
+            if running is not None and not running.done:
+                running.end(until if running.slice == last else (running.slice + 1) * cut.frames)
+
+        for (*key, frame, turn), (wanted, live, labels, scores, x0, y0, x1, y1, ends, lasts) in _frames_of(batches, 5):
+            if key != now:
+                close()
+                now, tracker = key, CameraTracker.resumed(params, frame - 1, [tuple(r.values()) for r in live[0]])
+                running = _Slice(tuple(key), params, cut.frames, out, number, tracker)
+            elif running.done:
+                continue
+            elif not turn:
+                running.border(wanted[0])
+            else:
+                until, last = int(ends[0]), int(lasts[0])
+                running.frame(frame, np.column_stack([x0, y0, x1 - x0, y1 - y0]), scores, labels.astype(int), False)
             if len(out) > 5000:
-                yield emitted()
+                yield _emitted(out, schema)
         close()
         if out:
-            yield emitted()
+            yield _emitted(out, schema)
 
-    found = dealt.mapInArrow(run, ROW)
-    return _rebased(found)
+    return dealt.mapInArrow(run, FOUND)
 
 
-def _rebased(found: DataFrame) -> DataFrame:
-    """Ids of a single pass: each segment's start after all that earlier segments issued."""
+def track(detections: DataFrame, last_frames: DataFrame, params: TrackParams = TrackParams(), cut: SliceParams = SliceParams()) -> DataFrame:
+    """Track rows (ROW): kind 'out' (a track put out in a frame) and 'removed' (a track that ended, in the frame it ended).
+
+    last_frames: (camera_id, last_frame): tracks are removed only as far as a camera has frames. Detections of a slice are read in order, a frame at
+    a time, so memory is bound by a frame. Rows are those of a single pass over each camera. The driver sees counts of slices only.
+    """
     from kerbside.sources.scratch import written
 
-    kept = written(found, "track-rows")
-    issued = kept.filter("kind = 'issued'").select("camera_id", "segment", F.col("issued").alias("n"))
-    before = issued.select("camera_id", "segment", (F.sum("n").over(Window.partitionBy("camera_id").orderBy("segment")) - F.col("n")).alias("before"))
-    return kept.filter("kind <> 'issued'").drop("issued").join(before, ["camera_id", "segment"]).withColumn("track_id", (F.col("track_id") + F.col("before")) % IDS).drop("before")
+    if cut.frames <= params.max_time_lost + 1:
+        raise ValueError("a slice must be longer than a lost track lives")
+    rows = _sliced(detections, last_frames, params, cut)
+    rounds = [written(_parallel(rows, params, cut), "track-rows")]
+    place, c = ["camera_id", "segment", "slice"], F.col
+    order = Window.partitionBy("camera_id", "segment").orderBy("slice")
+    for number in range(1, cut.rounds + 2):
+        states = functools.reduce(DataFrame.unionByName, rounds).filter("kind = 'state'")
+        latest = states.groupBy(*place).agg(F.max_by(F.struct("starts_as", "ends_as"), "round").alias("s"), F.max("round").alias("round")).select(*place, "s.*", "round")
+        checked = latest.withColumns({"came_as": F.lag("ends_as").over(order), "end": F.max("slice").over(Window.partitionBy("camera_id", "segment")) + 1})
+        wrong = checked.filter("came_as <> starts_as").withColumn("stop", F.coalesce(F.lead("slice").over(order), c("end")))
+        if number > cut.rounds:  # from each segment's first disagreement to its end
+            wrong = wrong.withColumn("nth", F.row_number().over(order)).filter("nth = 1").withColumn("stop", c("end"))
+        wrong = written(wrong.select("camera_id", "segment", c("slice").alias("run"), "stop"), "track-wrong")
+        if not wrong.count():
+            break
+        ends = states.join(latest.select(*place, "round"), [*place, "round"]).select("camera_id", "segment", (c("slice") + 1).alias("run"), "live")
+        runs = written(wrong.join(ends, ["camera_id", "segment", "run"]), "track-runs")
+        starts = latest.select(*place, "starts_as" if number <= cut.rounds else F.lit(b"").alias("starts_as"))  # the last round stops nowhere
+        rounds.append(written(_again(rows, runs, starts, number, params, cut), "track-rows"))
+    found = rounds[0]
+    if len(rounds) > 1:
+        every = functools.reduce(DataFrame.unionByName, rounds)
+        newest = every.filter("kind = 'state'").groupBy(*place).agg(F.max("round").alias("round"))
+        newest = written(newest, "track-newest")
+        found = every.join(F.broadcast(newest) if newest.count() <= cut.broadcast_rows else newest, [*place, "round"])
+    return _numbered(found)
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """The rows with the ids of a single pass: those issued in earlier frames of the camera, and the track's number in its frame."""
+    names = [f.split()[0] for f in ROW.split(", ")]
+    issued = found.filter("kind = 'issued'").select("camera_id", "frame_id", "n")
+    summed = ranges.running_sum(issued, "camera_id", "frame_id", F.col("n"), ranges.FRAMES, "upto")
+    before = summed.select(F.col("camera_id").alias("of_"), F.col("frame_id").alias("began_"), (F.col("upto") - F.col("n")).alias("before"))
+    rows = found.filter("kind in ('out', 'removed')").select(*names)
+    joined = rows.join(before, (rows["camera_id"] == before["of_"]) & (rows["start_frame"] == before["began_"]))
+    return joined.withColumn("track_id", (F.col("track_id") + F.col("before")) % IDS).select(*names)

@@ -114,12 +114,12 @@ class TrackProcessor(StatefulProcessor):
             if frame <= tracker.frame:
                 out += [(int(key[0]), int(frame), None, None, None, False, "late")] * len(d)
                 continue
-            ended = tracker.skip_to(int(frame))
+            out += [(int(key[0]), at, t.id, None, None, False, "removed") for at, t in tracker.skip_to(int(frame))]
             tlwh = np.column_stack([d.xmin, d.ymin, d.xmax - d.xmin, d.ymax - d.ymin]).astype(float)
             for t, pointed in tracker.step(int(frame), tlwh, d.confidence.to_numpy(float), d.label.to_numpy(int)):
                 x, y = (t.det_box or (None, None))[:2]
                 out.append((int(key[0]), int(frame), t.id, x, y, pointed, "out"))
-            out += [(int(key[0]), int(frame), t.id, None, None, False, "removed") for t in ended + tracker.removed]
+            out += [(int(key[0]), int(frame), t.id, None, None, False, "removed") for t in tracker.removed]
         tracker.removed = []
         self.state.update((pickle.dumps(tracker),))
         yield pd.DataFrame(out, columns=["camera_id", "frame_id", "track_id", "det_x", "det_y", "has_point", "kind"]).astype({"track_id": "Int64", "det_x": float, "det_y": float})
