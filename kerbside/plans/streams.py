@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators import boxes, hazards, health
@@ -28,13 +29,61 @@ def camera_gaps_stream(spark, sf_dir):
     return drained(monitors.gap_stream(as_stream(frames, "gaps", "ts_ms")), "gaps").filter("kind = 'gap'").drop("kind")
 
 
+def _with_ends(df: DataFrame, order: str, beyond: int = 0) -> DataFrame:
+    """df and for each camera a row with mark end at its last place (or ``beyond`` after it), as a source gives that closes."""
+    ends = df.groupBy("camera_id").agg((F.max(order) + beyond).alias(order))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in ("camera_id", order)]
+    return df.withColumn("mark", F.lit(None).cast("string")).unionByName(ends.select("camera_id", order, *none, F.lit("end").alias("mark")))
+
+
+def _radar(spark, sf_dir, **params):
+    _rocks(spark)
+    frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id", "ts_ms")
+    sweeps = fixture(spark, sf_dir, "fx_radar").select("camera_id", "sweep_id", "ts_ms").distinct()
+    beyond = sweeps.agg(F.max("ts_ms")).first()[0] or 0
+    last = frames.groupBy("camera_id").agg(F.greatest(F.max("ts_ms"), F.lit(beyond)).alias("ts_ms")).select("camera_id", F.lit(None).cast("long").alias("frame_id"), "ts_ms", F.lit("end").alias("mark"))
+    marked = frames.withColumn("mark", F.lit(None).cast("string")).unionByName(last)
+    return drained(monitors.radar_stream(as_stream(marked, "radar-frames", "ts_ms"), as_stream(sweeps, "radar-sweeps", "ts_ms"), **params), "radar")
+
+
+def radar_asof_stream(spark, sf_dir):
+    found = _radar(spark, sf_dir).filter("kind = 'frame'")
+    return found.select("camera_id", "frame_id", "sweep_id", "skew_ms", F.coalesce(F.abs("skew_ms") > 400, F.lit(False)).alias("skewed"))
+
+
+def skew_alerts_stream(spark, sf_dir):
+    return _radar(spark, sf_dir).filter("kind = 'skew'").select("camera_id", "frame_id", "ts_ms", "skew_ms", "code")
+
+
+def radar_gaps_stream(spark, sf_dir):
+    found = _radar(spark, sf_dir, max_age_ms=200).filter("kind = 'missing'")
+    return found.select("camera_id", "frame_id", "lost", F.lit("WARN").alias("level"), "code")
+
+
+def _rates(spark, frames):
+    _rocks(spark)
+    return drained(monitors.rate_stream(as_stream(_with_ends(frames.select("camera_id", "ts_ms"), "ts_ms"), "rates", "ts_ms")), "rates")
+
+
+def fps_windows_stream(spark, sf_dir):
+    """Rates with the windows of rate 0, put out by the stream itself."""
+    found = _rates(spark, fixture(spark, sf_dir, "fx_frames_gappy")).filter("kind = 'rate'")
+    return found.select("camera_id", "window_start", F.round("fps", 6).alias("fps"))
+
+
+def infer_gaps_stream(spark, sf_dir):
+    found = _rates(spark, fixture(spark, sf_dir, "fx_frames_gappy").filter("frame_id % 500 not between 100 and 350")).filter("kind = 'none'")
+    return found.select("camera_id", "window_start", F.lit("WARN").alias("level"), "code")
+
+
 def hazards_sticky_stream(spark, sf_dir):
     _rocks(spark)
     frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id")
     good = hazards.filter_hazards(hazards.within(fixture(spark, sf_dir, "fx_hazards"), 1920, 1080), fixture(spark, sf_dir, "fx_detections"))
     sets = good.groupBy("camera_id", "frame_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("cand_id")), lambda c: c.cast("string")), ",").alias("ids"))
     sampled = boxes.sampled_dense(frames, 6).join(sets, ["camera_id", "frame_id"], "left").select("camera_id", "frame_id", F.coalesce("ids", F.lit("")).alias("hazards"))
-    return drained(monitors.sticky_stream(as_stream(frames.join(sampled, ["camera_id", "frame_id"], "left"), "sticky", "frame_id")), "sticky")
+    rows = _with_ends(frames.join(sampled, ["camera_id", "frame_id"], "left"), "frame_id")
+    return drained(monitors.sticky_stream(as_stream(rows, "sticky", "frame_id")), "sticky").filter("kind = 'frame'").drop("kind")
 
 
 def track_points_stream(spark, sf_dir):
@@ -44,10 +93,15 @@ def track_points_stream(spark, sf_dir):
     return rows.select("camera_id", "frame_id", F.col("det_x").cast("int").alias("xmin"), F.col("det_y").cast("int").alias("ymin"), F.lit(True).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (fps_stream, camera_gaps_stream, hazards_sticky_stream, track_points_stream)}
+QUERIES = {f.__name__: f for f in (fps_stream, camera_gaps_stream, radar_asof_stream, skew_alerts_stream, radar_gaps_stream, fps_windows_stream, infer_gaps_stream, hazards_sticky_stream, track_points_stream)}
 ORACLE_SQL = {
     "fps_stream": BATCH["fps_windows"],
     "camera_gaps_stream": BATCH["camera_gaps"],
+    "radar_asof_stream": BATCH["radar_asof"],
+    "skew_alerts_stream": BATCH["skew_alerts"],
+    "radar_gaps_stream": BATCH["radar_gaps"],
+    "fps_windows_stream": BATCH["fps_windows"],
+    "infer_gaps_stream": BATCH["infer_gaps"],
     "hazards_sticky_stream": BATCH["hazards_sticky"],
     "track_points_stream": TRACKS["track_points"],
 }

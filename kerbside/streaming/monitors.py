@@ -1,4 +1,4 @@
-"""Streaming twins: rates, gaps, sticky hazards, tracking. State is kept by camera; late frames of gaps and tracks are put out with kind late."""
+"""Streaming twins: rates, gaps, sticky hazards, radar, tracking. State is kept by camera; late rows are put out with kind late."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kerbside.operators.health import code_of
-from kerbside.operators.tracker import CameraTracker, TrackParams
+from kerbside.operators.radar import SKEW_CODE
+from kerbside.operators.tracker import STATE, CameraTracker, TrackParams
+from kerbside.streaming.ordered import Ordered, run, unmarked
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -73,42 +75,173 @@ def gap_stream(frames: DataFrame, limit_ms: int = 1200, silent_ms: int | None =
     return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms, silent_ms), GAPS, "Append", mode)
 
 
-class StickyProcessor(StatefulProcessor):
-    """The newest sampled frame's hazards for every frame; an empty result replaces as well."""
+class StickyProcessor(Ordered):
+    """The newest sampled frame's hazards for every frame; an empty result replaces as well. A late frame is put out without hazards."""
+
+    fields = "frame_id long, hazards string"
+    output = "camera_id int, frame_id long, hazards string, kind string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.newest = handle.getValueState("newest", "hazards string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("frame_id")
-        frames["hazards"] = frames["hazards"].astype(object).where(frames["hazards"].notna(), None)
-        carried = frames["hazards"].ffill()
-        carried = carried.where(carried.notna(), self.newest.get()[0] if self.newest.exists() else "")
-        if len(carried):
-            self.newest.update((carried.iloc[-1],))
-        yield pd.DataFrame({"camera_id": int(key[0]), "frame_id": frames["frame_id"].to_numpy(), "hazards": carried.to_numpy()})
+    def released(self, rows: list[tuple]) -> list[tuple]:
+        now, out = self.newest.get()[0] if self.newest.exists() else "", []
+        for frame, hazards in rows:
+            now = now if hazards is None else hazards
+            out.append((frame, now, "frame"))
+        if rows:
+            self.newest.update((now,))
+        return out
 
-    def close(self) -> None:
-        pass
+    def late(self, row: tuple) -> tuple:
+        return (row[0], None, "late")
+
+
+def sticky_stream(frames: DataFrame, delay_frames: int = 250) -> DataFrame:
+    """frames: camera_id, frame_id, hazards (text; null on frames that weren't sampled), mark if the source gives marks. (camera_id, frame_id, hazards, kind: frame or late)."""
+    return run(unmarked(frames), "camera_id", StickyProcessor(delay_frames))
+
+
+class RadarProcessor(Ordered):
+    """Frames with the newest sweep not after them, and what comes of it: at most one skew alert in each stretch of ``every_ms``, and an alert at every
+    ``miss_limit``-th frame without a sweep (of the last ``max_age_ms``). Sweeps come before frames of their time. Late frames and sweeps are put out."""
 
+    fields = "ts_ms long, side int, id long"  # side: 0 sweep, 1 frame
+    output = "camera_id int, frame_id long, ts_ms long, sweep_id long, sweep_ts long, skew_ms long, lost long, code int, kind string"
 
-def sticky_stream(frames: DataFrame) -> DataFrame:
-    """frames: camera_id, frame_id, hazards (text; null on frames that weren't sampled)."""
-    return frames.groupBy("camera_id").transformWithStateInPandas(StickyProcessor(), "camera_id int, frame_id long, hazards string", "Append", "None")
+    def __init__(self, delay: int, skew_ms: int, every_ms: int, miss_limit: int, max_age_ms: int | None) -> None:
+        super().__init__(delay)
+        self.skew_ms, self.every_ms, self.miss_limit, self.max_age_ms = skew_ms, every_ms, miss_limit, max_age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getValueState("known", "sweep_ts long, sweep_id long, stretch long, lost long")
+
+    def released(self, rows: list[tuple]) -> list[tuple]:
+        sweep_ts, sweep_id, stretch, lost = self.known.get() if self.known.exists() else (None, None, None, 0)
+        out = []
+        for ts, side, key in rows:
+            if side == 0:
+                sweep_ts, sweep_id = ts, key
+                continue
+            skew = None if sweep_ts is None else ts - sweep_ts
+            out.append((key, ts, sweep_id, sweep_ts, skew, None, None, "frame"))
+            if skew is not None and abs(skew) > self.skew_ms and ts // self.every_ms != stretch:
+                stretch = ts // self.every_ms
+                out.append((key, ts, sweep_id, sweep_ts, skew, None, SKEW_CODE, "skew"))
+            if skew is None or self.max_age_ms is not None and skew > self.max_age_ms:
+                lost += 1
+                if lost % self.miss_limit == 0:
+                    out.append((key, ts, sweep_id, sweep_ts, skew, lost, code_of("no_radar_data"), "missing"))
+        if rows:
+            self.known.update((sweep_ts, sweep_id, stretch, lost))
+        return out
+
+    def late(self, row: tuple) -> tuple:
+        ts, side, key = row
+        return (key if side else None, ts, None if side else key, None, None, None, None, "late")
+
+
+def radar_stream(frames: DataFrame, sweeps: DataFrame, delay_ms: int = 2_000, skew_ms: int = 400, every_ms: int = 20_000, miss_limit: int = 1000, max_age_ms: int | None = None) -> DataFrame:
+    """Two streams in one keyed state: frames (camera_id, frame_id, ts_ms) and sweeps (camera_id, sweep_id, ts_ms), either with mark. Kinds: frame (with sweep_id,
+    sweep_ts, skew_ms), skew and missing (alerts, with code), late."""
+    side = lambda df, key, k: unmarked(df).select("camera_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.lit(k).alias("side"), F.col(key).cast("long").alias("id"), "mark")
+    both = side(frames, "frame_id", 1).unionByName(side(sweeps, "sweep_id", 0))
+    return run(both, "camera_id", RadarProcessor(delay_ms, skew_ms, every_ms, miss_limit, max_age_ms))
+
+
+class RateProcessor(Ordered):
+    """Frames by window of event time: a window's rate comes once time has passed it, windows without frames included, with an alert for each of those."""
+
+    fields = "ts_ms long"
+    output = "camera_id int, window_start long, fps double, code int, kind string"
+
+    def __init__(self, delay: int, seconds: int) -> None:
+        super().__init__(delay)
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "window_start long, n long")
+
+    def _closed(self, start: int, n: int) -> list[tuple]:
+        rate = [(start, n / self.seconds, None, "rate")]
+        return rate if n else [*rate, (start, 0.0, code_of("no_infer_data"), "none")]
+
+    def _until(self, until: int, closing: bool) -> list[tuple]:
+        """Closes windows up to the one of until, and that too with closing."""
+        size, out = self.seconds * 1000, []
+        if self.open.exists():
+            start, n = self.open.get()
+            while start < until // size * size:
+                out += self._closed(start, n)
+                start, n = start + size, 0
+            self.open.update((start, n))
+            if closing:
+                out += self._closed(start, n)
+                self.open.clear()
+        return out
+
+    def released(self, rows: list[tuple]) -> list[tuple]:
+        size, out = self.seconds * 1000, []
+        for (ts,) in rows:
+            out += self._until(ts, False)
+            start, n = self.open.get() if self.open.exists() else (ts // size * size, 0)
+            self.open.update((start, n + 1))
+        _, passed = self.time.get()
+        return out + self._until(passed + 1, False)  # a clock moves windows on as well
+
+    def ended(self) -> list[tuple]:
+        return self._until(-1 << 62, True)
+
+    def late(self, row: tuple) -> tuple:
+        return (row[0], None, None, "late")
+
+
+def rate_stream(frames: DataFrame, seconds: int = 5, delay_ms: int = 10_000) -> DataFrame:
+    """(camera_id, window_start, fps, code, kind: rate, none (an alert for a window without frames) or late (window_start is the frame's time)) of frames (camera_id, ts_ms),
+    with mark if the source gives marks."""
+    return run(unmarked(frames), "camera_id", RateProcessor(delay_ms, seconds))
 
 
 class TrackProcessor(StatefulProcessor):
-    """One camera's tracker as a value of the state store; frames of a micro-batch are sorted first, older ones than the last are late."""
+    """One camera's tracker in typed state: a map of its live tracks by id, and a row with the schema's version, the last frame and the next id. Frames of a micro-batch are
+    sorted first, older ones than the last are late. State of version 1, a pickled tracker in one value, is taken over and cleared."""
+
+    VERSION = 2
 
     def __init__(self, params: TrackParams) -> None:
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", StructType([StructField("data", BinaryType())]))
+        self.old = handle.getValueState("tracker", StructType([StructField("data", BinaryType())]))
+        self.head = handle.getValueState("head", "version int, frame long, next_id long")
+        self.live = handle.getMapState("live", "id long", f"{STATE}, pos int")
+
+    def _tracker(self) -> CameraTracker:
+        if self.head.exists():
+            _, frame, next_id = self.head.get()
+            rows = sorted((tuple(value) for _, value in self.live.iterator()), key=lambda row: row[-1])
+            return CameraTracker.resumed(self.params, frame, [row[:-1] for row in rows], next_id)
+        if self.old.exists():
+            found = pickle.loads(self.old.get()[0])
+            self.old.clear()
+            return CameraTracker.resumed(self.params, found.frame, found.state(), found.next_id)
+        return CameraTracker(self.params)
+
+    def _keep(self, tracker: CameraTracker, before: set[int]) -> None:
+        rows = tracker.state()
+        for pos, row in enumerate(rows):
+            self.live.updateValue((row[1],), (*row, pos))
+        for key in before - {row[1] for row in rows}:
+            self.live.removeKey((key,))
+        self.head.update((self.VERSION, tracker.frame, tracker.next_id))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["frame_id", "xmin", "ymin", "label"])
-        tracker = pickle.loads(self.state.get()[0]) if self.state.exists() else CameraTracker(self.params)
+        tracker = self._tracker()
+        before = {t.id for t in tracker.tracked + tracker.lost} if self.head.exists() else set()
         out = []
         for frame, d in found.groupby("frame_id", sort=True):
             if frame <= tracker.frame:
@@ -120,8 +253,7 @@ class TrackProcessor(StatefulProcessor):
                 x, y = (t.det_box or (None, None))[:2]
                 out.append((int(key[0]), int(frame), t.id, x, y, pointed, "out"))
             out += [(int(key[0]), int(frame), t.id, None, None, False, "removed") for t in tracker.removed]
-        tracker.removed = []
-        self.state.update((pickle.dumps(tracker),))
+        self._keep(tracker, before)
         yield pd.DataFrame(out, columns=["camera_id", "frame_id", "track_id", "det_x", "det_y", "has_point", "kind"]).astype({"track_id": "Int64", "det_x": float, "det_y": float})
 
     def close(self) -> None:
