@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from kerbside.operators.arrow import whole_runs
 from kerbside.operators.detections import FRAME
 from kerbside.operators.pairs import iou_pairs
 
@@ -45,26 +47,51 @@ def solve(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((row_of[c] - 1, c - 1) for c in range(1, m + 1) if row_of[c] and gain[row_of[c] - 1, c - 1] > 0)
 
 
+def components(at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """For each pair of (row, column) numbers the component of the bipartite graph that it is in, as its smallest row."""
+    low, before = at_a.copy(), None
+    of_a, of_b = np.arange(at_a.max() + 1), np.full(at_b.max() + 1, at_a.max() + 1)
+    while before is None or (low != before).any():
+        before = low
+        np.minimum.at(of_b, at_b, low)
+        np.minimum.at(of_a, at_a, of_b[at_b])
+        low = of_a[at_a]
+    return low
+
+
+def settled(a_id: np.ndarray, b_id: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Which of one frame's pairs are taken: each component solved for itself."""
+    _, at_a = np.unique(a_id, return_inverse=True)
+    _, at_b = np.unique(b_id, return_inverse=True)
+    part, taken = components(at_a, at_b), np.zeros(len(gain), bool)
+    order = np.argsort(part, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        i, j = (np.unique(x[rows], return_inverse=True)[1] for x in (at_a, at_b))
+        small, row = np.zeros((i.max() + 1, j.max() + 1)), np.zeros((i.max() + 1, j.max() + 1), int)
+        small[i, j], row[i, j] = gain[rows], rows
+        taken[[row[x] for x in solve(small)]] = True
+    return taken
+
+
 def assign_boxes(a: DataFrame, b: DataFrame, id_col: str, limit: float, keys: tuple[str, ...] = FRAME) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches: keys, a_id, b_id, iou; unmatched a; unmatched b): the sum of (1 - iou - limit) over the pairs is least.
 
-    Pairs that are both sides' only choice match at once; only frames with an ambiguous rest go to the solver.
+    Pairs that are both sides' only choice match at once. What is ambiguous goes, frame after frame in sorted Arrow batches, to the solver, one connected
+    component of overlapping boxes at a time: its matrix is as large as a cluster of boxes, not as a frame.
     """
     near = iou_pairs(a, b, id_col, keys).filter(1 - F.col("iou") < limit)
     alone = near.withColumns({"of_a": F.count("*").over(Window.partitionBy(*keys, "a_id")), "of_b": F.count("*").over(Window.partitionBy(*keys, "b_id"))})
     sure = (F.col("of_a") == 1) & (F.col("of_b") == 1)
-    schema = near.schema
+    schema, n_keys = near.schema, len(keys)
 
-    def settle(table: pa.Table) -> pa.Table:
-        ids_a, at_a = np.unique(table.column("a_id").to_numpy(), return_inverse=True)
-        ids_b, at_b = np.unique(table.column("b_id").to_numpy(), return_inverse=True)
-        gain = np.zeros((len(ids_a), len(ids_b)))
-        row = np.full(gain.shape, -1)
-        gain[at_a, at_b] = limit - 1 + table.column("iou").to_numpy()
-        row[at_a, at_b] = np.arange(table.num_rows)
-        return table.take(pa.array([row[i, j] for i, j in solve(gain)], pa.int64()))
+    def run(batches):
+        for columns, edges in whole_runs(batches, n_keys):
+            a_id, b_id, overlap = columns[n_keys:]
+            taken = np.concatenate([settled(a_id[x:y], b_id[x:y], limit - 1 + overlap[x:y]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(c[taken], f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    hard = alone.filter(~sure).drop("of_a", "of_b").groupBy(*keys).applyInArrow(settle, schema)
+    arrow = to_arrow_schema(schema)
+    hard = alone.filter(~sure).drop("of_a", "of_b").repartition(*keys).sortWithinPartitions(*keys, "a_id", "b_id").mapInArrow(run, schema)
     matches = alone.filter(sure).drop("of_a", "of_b").unionByName(hard)
     rest = lambda df, side: df.join(matches.select(*keys, F.col(f"{side}_id").alias(id_col)), [*keys, id_col], "left_anti")
     return matches, rest(a, "a"), rest(b, "b")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from kerbside.operators.arrow import ranges_of, whole_runs
 
 FRAME = ("camera_id", "frame_id")
 
@@ -49,16 +54,78 @@ def top_detections(df: DataFrame, n: int = 300, keys: tuple[str, ...] = FRAME) -
     return df.withColumn("rank_", F.row_number().over(order)).filter(F.col("rank_") <= n).drop("rank_")
 
 
+#: Pairs of boxes of a batch that are compared at once.
+PAIRS = 1 << 20
+
+
+def _iou(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    side = lambda lo, hi: np.maximum(0.0, np.minimum(a[hi], b[hi]) - np.maximum(a[lo], b[lo]))
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    inter = side(0, 2) * side(1, 3)
+    return inter / np.maximum(area(a) + area(b) - inter, np.finfo(float).tiny)
+
+
+def conflicts(group: np.ndarray, box: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (better, worse) of the pairs of one group whose overlap is over the threshold; group: ascending numbers, rows of a group best first. Within a group boxes are
+    swept by their left edges, so only boxes that meet in x are compared."""
+    by = np.lexsort((box[0], group))
+    low = box[0].min()
+    far = np.maximum(box[2], box[0])
+    place = group[by] * (far.max() - low + 1.0)  # groups one beside the other
+    left, right = place + box[0][by] - low, place + far[by] - low
+    after = np.arange(1, len(by) + 1)
+    many = np.maximum(np.searchsorted(left, right, "right") - after, 0)
+    cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS), "left") + 1
+    better, worse, start = [], [], 0
+    for end in np.minimum(np.unique(cuts), len(by)).tolist():
+        of, other = ranges_of(after[start:end], many[start:end])
+        a, b = by[of + start], by[other]
+        found = _iou([c[a] for c in box], [c[b] for c in box]) > threshold
+        a, b = a[found], b[found]
+        better.append(np.minimum(a, b))
+        worse.append(np.maximum(a, b))
+        start = end
+    return np.concatenate([np.zeros(0, int), *better]), np.concatenate([np.zeros(0, int), *worse])
+
+
+def kept_of(n: int, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Which of n rows greedy suppression keeps: those that no kept better one conflicts with. Rows whose better ones are all settled are settled together."""
+    kept, gone = np.zeros(n, bool), np.zeros(n, bool)
+    while len(better):
+        waits = np.zeros(n, bool)
+        waits[worse] = True
+        settled = ~waits[better]  # nothing better than the better one is open
+        gone[worse[settled]] = True
+        left = ~settled & ~gone[worse] & ~gone[better]
+        better, worse = better[left], worse[left]
+    kept[~gone] = True
+    return kept
+
+
 def nms(candidates: DataFrame, threshold: float = 0.45, keys: tuple[str, ...] = FRAME, per_class: bool = True, most: int | None = 300) -> DataFrame:
-    """Greedy suppression: best first, what overlaps a kept box by more than the threshold goes.
+    """Greedy suppression: best first, what overlaps a kept box by more than the threshold goes; of each frame the ``most`` best stay. Ties go by box position.
 
-    A group is one frame's boxes (of one class); groups of one box skip the fold. Ties go by box position.
+    Frames come sorted in Arrow batches, many at a time; within a frame (of one class with per_class) only boxes that meet are compared, and what no open better box
+    conflicts with is settled in one step for all frames of a batch.
     """
-    groups = [*keys, "class_id"] if per_class else [*keys]
-    fields = ["x1", "y1", "x2", "y2"] + ([] if per_class else ["class_id"])
-    box = F.struct((-F.col("score")).alias("worse"), *fields)
-    gathered = candidates.groupBy(*groups).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    keep = lambda kept, x: F.when(F.exists(kept, lambda k: iou(k, x, False) > threshold), kept).otherwise(F.concat(kept, F.array(x)))
-    folded = F.when(F.size("boxes") == 1, F.col("boxes")).otherwise(F.aggregate(F.slice("boxes", F.lit(2), F.greatest(F.size("boxes") - 1, F.lit(1))), F.slice("boxes", 1, 1), keep))
-    kept = gathered.select(*groups, F.explode(folded).alias("b")).select(*groups, (-F.col("b.worse")).alias("score"), *[f"b.{f}" for f in fields])
-    return kept if most is None else top_detections(kept, most, keys)
+    columns = ["class_id", "score", "x1", "y1", "x2", "y2"]
+    rows = candidates.select(*keys, F.col("class_id").cast("int").alias("class_id"), *[F.col(c).cast("double").alias(c) for c in columns[1:]])
+    n_keys = len(keys)
+
+    def run(batches):
+        for table, edges in whole_runs(batches, n_keys):
+            cls, score, *box = table[n_keys:]
+            frame = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            group = frame * (int(cls.max()) - int(cls.min()) + 1) + cls - cls.min() if per_class else frame
+            by = np.lexsort((cls, *box[::-1], -score, group))
+            stays = by[kept_of(len(by), *conflicts(group[by], [c[by] for c in box], threshold))]
+            if most is not None:
+                stays = stays[np.lexsort((*[c[stays] for c in box[::-1]], cls[stays], -score[stays], frame[stays]))]
+                first = np.searchsorted(frame[stays], frame[stays])
+                stays = stays[np.arange(len(stays)) - first < most]
+            stays = np.sort(stays)
+            yield pa.RecordBatch.from_arrays([pa.array(c[stays], f.type) for c, f in zip(table, schema)], schema=schema)
+
+    schema = to_arrow_schema(rows.schema)
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+    return found if per_class else found.select(*keys, *columns[1:], "class_id")

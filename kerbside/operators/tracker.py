@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kerbside.operators import ranges
+from kerbside.operators.arrow import runs
 from kerbside.operators.assignment import solve
 
 IDS = 65536  # ids wrap here
@@ -345,25 +346,6 @@ class _Slice:
         self.done = self.starts_as == wanted
 
 
-def _frames_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
-    """(keys, arrays) for each run of equal values in the first n_keys columns of sorted batches."""
-    held: list = []
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-        now = [np.concatenate(x) for x in zip(held, now)] if held else now
-        if not len(now[0]):
-            continue
-        changed = np.zeros(len(now[0]) - 1, bool)
-        for c in now[:n_keys]:
-            changed |= c[1:] != c[:-1]
-        cuts = np.concatenate(([0], np.flatnonzero(changed) + 1))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield tuple(c[a].item() for c in now[:n_keys]), [c[a:b] for c in now[n_keys:]]
-        held = [c[cuts[-1] :] for c in now]
-    if held and len(held[0]):
-        yield tuple(c[0].item() for c in held[:n_keys]), held[n_keys:]
-
-
 def _emitted(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
     out.clear()
@@ -405,7 +387,7 @@ def _parallel(rows: DataFrame, params: TrackParams, cut: SliceParams) -> DataFra
             if running is not None:
                 running.end(until if now[2] == last else (now[2] + 1) * cut.frames)
 
-        for (*key, frame), (labels, scores, x0, y0, x1, y1, ends, firsts, lasts) in _frames_of(batches, 4):
+        for (*key, frame), (labels, scores, x0, y0, x1, y1, ends, firsts, lasts) in runs(batches, 4):
             if key != now:
                 close()
                 now, until, last = key, int(ends[0]), int(lasts[0])
@@ -420,16 +402,16 @@ def _parallel(rows: DataFrame, params: TrackParams, cut: SliceParams) -> DataFra
     return dealt.mapInArrow(run, FOUND)
 
 
-def _again(rows: DataFrame, runs: DataFrame, starts: DataFrame, number: int, params: TrackParams, cut: SliceParams) -> DataFrame:
-    """Rows of FOUND: each run (camera_id, segment, run: its first slice, stop: the slice it ends before, live: the tracks that come in) over its slices until it
+def _again(rows: DataFrame, redo: DataFrame, starts: DataFrame, number: int, params: TrackParams, cut: SliceParams) -> DataFrame:
+    """Rows of FOUND: each row of redo (camera_id, segment, run: its first slice, stop: the slice it ends before, live: the tracks that come in) over its slices until it
     agrees with a slice's start (starts: camera_id, segment, slice, starts_as)."""
     c = F.col
-    of = runs.select("camera_id", "segment", "run", F.explode(F.sequence("run", c("stop") - 1)).alias("slice"))
+    of = redo.select("camera_id", "segment", "run", F.explode(F.sequence("run", c("stop") - 1)).alias("slice"))
     own = rows.join(of, ["camera_id", "segment", "slice"])
     nothing = {"label": "int", "confidence": "double", **dict.fromkeys(_BOX, "double"), "until": "long", "last_slice": "long"}
     detected = own.select("camera_id", "segment", "run", "frame_id", F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("starts_as"), F.lit(None).cast(f"array<struct<{STATE}>>").alias("live"), *nothing)
     empty = [F.lit(None).cast(t).alias(x) for x, t in nothing.items()]
-    first = runs.select("camera_id", "segment", "run", (c("run") * cut.frames).alias("frame_id"), F.lit(0).alias("turn"), F.lit(None).cast("binary").alias("starts_as"), "live", *empty)
+    first = redo.select("camera_id", "segment", "run", (c("run") * cut.frames).alias("frame_id"), F.lit(0).alias("turn"), F.lit(None).cast("binary").alias("starts_as"), "live", *empty)
     later = of.filter("slice > run").join(starts, ["camera_id", "segment", "slice"])
     later = later.select("camera_id", "segment", "run", (c("slice") * cut.frames).alias("frame_id"), F.lit(0).alias("turn"), "starts_as", F.lit(None).cast(f"array<struct<{STATE}>>").alias("live"), *empty)
     every = detected.unionByName(first).unionByName(later)
@@ -445,7 +427,7 @@ def _again(rows: DataFrame, runs: DataFrame, starts: DataFrame, number: int, par
             if running is not None and not running.done:
                 running.end(until if running.slice == last else (running.slice + 1) * cut.frames)
 
-        for (*key, frame, turn), (wanted, live, labels, scores, x0, y0, x1, y1, ends, lasts) in _frames_of(batches, 5):
+        for (*key, frame, turn), (wanted, live, labels, scores, x0, y0, x1, y1, ends, lasts) in runs(batches, 5):
             if key != now:
                 close()
                 now, tracker = key, CameraTracker.resumed(params, frame - 1, [tuple(r.values()) for r in live[0]])
@@ -491,9 +473,9 @@ def track(detections: DataFrame, last_frames: DataFrame, params: TrackParams = T
         if not wrong.count():
             break
         ends = states.join(latest.select(*place, "round"), [*place, "round"]).select("camera_id", "segment", (c("slice") + 1).alias("run"), "live")
-        runs = written(wrong.join(ends, ["camera_id", "segment", "run"]), "track-runs")
+        redo = written(wrong.join(ends, ["camera_id", "segment", "run"]), "track-runs")
         starts = latest.select(*place, "starts_as" if number <= cut.rounds else F.lit(b"").alias("starts_as"))  # the last round stops nowhere
-        rounds.append(written(_again(rows, runs, starts, number, params, cut), "track-rows"))
+        rounds.append(written(_again(rows, redo, starts, number, params, cut), "track-rows"))
     found = rounds[0]
     if len(rounds) > 1:
         every = functools.reduce(DataFrame.unionByName, rounds)

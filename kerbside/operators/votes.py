@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 #: Colour names by number (fixed values).
 COLOURS = {1: "white", 2: "black", 3: "red", 4: "yellow", 5: "grey", 6: "blue", 7: "green", 8: "brown"}
@@ -60,24 +63,61 @@ class ClassRules:
     classes: int = 10
 
 
-def class_step(state: Column, vote: Column, rules: ClassRules) -> Column:
-    """One vote (label, confidence, age) on a state (cls, hits: counts by class, locked)."""
-    own = F.coalesce(F.try_element_at(state["hits"], F.greatest(state["cls"], F.lit(1))), F.lit(0))
-    accepted = ~state["locked"] & ((vote["confidence"] > rules.accept_over) | (vote["age"] <= rules.young) | (own < rules.few_hits))
-    weight = F.when(vote["confidence"] > rules.strong_over, 2).otherwise(1)
-    hits = F.transform(state["hits"], lambda n, i: n + F.when(i + 1 == vote["label"], weight).otherwise(0))
-    best = F.array_max(hits)
-    leads = F.array_position(hits, best).cast("int")  # of equals the smallest class
-    current = F.when(state["cls"] > 0, F.element_at(hits, F.greatest(state["cls"], F.lit(1)))).otherwise(0)
-    cls = F.when(best >= current + rules.lead, leads).otherwise(state["cls"])
-    taken = F.struct(cls.alias("cls"), hits.alias("hits"), (best > rules.lock_over).alias("locked"))
-    return F.when(accepted, taken).otherwise(state)
+@dataclass
+class ClassState:
+    """A track's class, the hits of each, and whether it is settled."""
+
+    cls: int
+    hits: dict[int, int] = field(default_factory=dict)
+    locked: bool = False
+
+    def vote(self, label: int, confidence: float, age: int, rules: ClassRules) -> None:
+        if self.locked or not (confidence > rules.accept_over or age <= rules.young or self.hits.get(self.cls, 0) < rules.few_hits):
+            return
+        self.hits[label] = self.hits.get(label, 0) + (2 if confidence > rules.strong_over else 1)
+        leads = min(self.hits, key=lambda k: (-self.hits[k], k))  # of equals the smallest class
+        if self.hits[leads] >= self.hits.get(self.cls, 0) + rules.lead:
+            self.cls = leads
+        self.locked = self.hits[leads] > rules.lock_over
 
 
 def class_majority(matches: DataFrame, rules: ClassRules = ClassRules(), key: str = "track_id", order: str = "frame_id") -> DataFrame:
-    """(key, class_id, locked) after all votes in order; the first vote's label is where a track starts. A track's votes are one array."""
-    vote = F.struct(order, "label", F.col("confidence").cast("double").alias("confidence"), "age")
-    gathered = matches.groupBy(key).agg(F.sort_array(F.collect_list(vote)).alias("votes"))
-    start = F.struct(F.element_at("votes", 1)["label"].alias("cls"), F.array_repeat(F.lit(0), rules.classes).alias("hits"), F.lit(False).alias("locked"))
-    done = F.aggregate("votes", start, lambda s, v: class_step(s, v, rules))
-    return gathered.select(key, done.alias("s")).select(key, F.col("s.cls").alias("class_id"), F.col("s.locked").alias("locked"))
+    """(key, class_id, locked) after all votes in order; the first vote's label is where a track starts.
+
+    Votes come sorted in Arrow batches and are folded with one track's state, a few numbers, carried from batch to batch; what comes after the lock is passed over. So a track may
+    have any number of votes. Labels that are null or beyond ``classes`` count for none.
+    """
+    rows = matches.select(key, order, F.col("label").cast("int").alias("label"), F.col("confidence").cast("double").alias("confidence"), F.col("age").cast("long").alias("age"))
+    out = StructType([StructField(key, rows.schema[key].dataType), StructField("class_id", IntegerType()), StructField("locked", BooleanType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        now, state, done = None, None, []
+
+        def emitted():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
+            done.clear()
+            return batch
+
+        for batch in batches:
+            keys, *columns = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                name = keys[a]
+                if state is None or name != now:
+                    if state is not None:
+                        done.append((now, state.cls, state.locked))
+                    now, state = name, ClassState(columns[0][a])
+                for k in range(a, b):
+                    if state.locked:
+                        break
+                    if columns[0][k] is not None and 0 < columns[0][k] <= rules.classes:
+                        state.vote(columns[0][k], columns[1][k] or 0.0, columns[2][k] or 0, rules)
+            if len(done) > 5000:
+                yield emitted()
+        if state is not None:
+            done.append((now, state.cls, state.locked))
+        if done:
+            yield emitted()
+
+    return rows.repartition(key).sortWithinPartitions(key, order, "label", "confidence", "age").mapInArrow(run, out)

@@ -49,6 +49,16 @@ SQL = {
  from (select img_id, r, {U}({SEQ}(0,15)) c from (select img_id, {U}({SEQ}(0,11)) r from (select p_partkey img_id from part) x) y) z""",
     "fx_boxes_b": """select camera_id, frame_id, vehicle_id, label, confidence, xmin+5 xmin, ymin+3 ymin, xmax+5 xmax, ymax+3 ymax
  from fx_detections where vehicle_id%4<>0""",
+    "fx_boxes_many_a": """select camera_id, frame_id, vehicle_id*2+d box_id, xmin+35*d xmin, ymin, xmax+35*d xmax, ymax
+ from (select *, {U}({SEQ}(0, case when vehicle_id%3=0 then 1 else 0 end)) d from fx_detections) q""",
+    "fx_boxes_many_b": """select camera_id, frame_id, vehicle_id*2+d box_id, xmin+5+25*d+frame_id%7*d xmin, ymin+3 ymin, xmax+5+25*d+frame_id%7*d xmax, ymax+3 ymax
+ from (select *, {U}({SEQ}(0, case when vehicle_id%5<2 then 1 else 0 end)) d from fx_detections where vehicle_id%4<>0) q""",
+    "fx_detections_busy": """select camera_id, sf+k frame_id, v vehicle_id,
+ cast(case when (v+k)%9=0 then 1+(v+1)%6 else 1+v%6 end as int) label, (36+(v*7+k*13)%60)/100.0D0 confidence,
+ cast(50+8*k as int) xmin, cast(y as int) ymin, cast(170+8*k as int) xmax, cast(y+80 as int) ymax
+ from (select v, camera_id, y, sf, {U}({SEQ}(0,dur-1)) k from (select p_partkey v, cast(p_partkey%6 as int) camera_id,
+   100+200*((p_partkey{D}6)%4)+100*((p_partkey{D}24)%2) y, (p_partkey{D}24)*60+1 sf, 40+p_size%20 dur from part) a) b
+ where (v*31+k*17)%13<>0""",
     "fx_detections_jumpy": """select camera_id, frame_id, vehicle_id, label, confidence, xmin, ymin + j ymin, xmax, ymax + j ymax
  from (select *, case when vehicle_id%3=0 and xmin=210 then 45 else 0 end j from fx_detections) d""",
     "fx_frames_gappy": "select * from fx_frames where frame_id%500 not between 100 and 140",

@@ -129,11 +129,12 @@ _NMS = _CAND + """, ranked as (select *, row_number() over (partition by camera_
  top300 as (select * from (select *, row_number() over (partition by camera_id, frame_id order by score desc, class_id, x1, y1, x2, y2) rk from nms) where rk <= 300)"""
 _HALF = "cast(greatest(0, least({m}, floor(abs(({c}-{t})/(1/3.0::double))+0.5)*sign(({c}-{t})/(1/3.0::double)))) as int)"
 _PX = ", ".join(_HALF.format(c=c, t=t, m=m) + f" {n}" for c, t, m, n in (("x1", 0, 1920, "xmin"), ("y1", 140, 1080, "ymin"), ("x2", 0, 1920, "xmax"), ("y2", 140, 1080, "ymax")))
-_AGED = """, a as (select *, vehicle_id%3 age from fx_detections), b as (select *, vehicle_id%3 + frame_id%3 age from fx_boxes_b),
- p as (select a.camera_id, a.frame_id, a.vehicle_id a_id, b.vehicle_id b_id, a.age a_age, b.age b_age,
-  greatest(0, least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin)+1)*greatest(0, least(a.ymax,b.ymax)-greatest(a.ymin,b.ymin)+1) i,
-  (a.xmax-a.xmin+1)*(a.ymax-a.ymin+1)+(b.xmax-b.xmin+1)*(b.ymax-b.ymin+1) s from a join b using (camera_id, frame_id)),
- q as (select *, i/(s-i)::double iou from p where i > 0)"""
+_AGED = """, both_ as (select camera_id, frame_id, vehicle_id, xmin, ymin, xmax, ymax, vehicle_id%3 age, 0 side from fx_detections union all
+  select camera_id, frame_id, vehicle_id, xmin+5, ymin+3, xmax+5, ymax+3, vehicle_id%3 + frame_id%3, 1 from fx_detections where vehicle_id%4<>0),
+ f as (select camera_id, frame_id, list({'v':vehicle_id,'x':xmin,'y':ymin,'x2':xmax,'y2':ymax,'g':age}) filter (side=0) aa, list({'v':vehicle_id,'x':xmin,'y':ymin,'x2':xmax,'y2':ymax,'g':age}) filter (side=1) bb from both_ group by 1, 2),
+ pa as (select camera_id, frame_id, unnest(aa) a, bb from f), pb as (select camera_id, frame_id, unnest(bb) b, aa from f)"""
+_INTER = "(greatest(0, least(a.x2,b.x2)-greatest(a.x,b.x)+1)*greatest(0, least(a.y2,b.y2)-greatest(a.y,b.y)+1))"
+_IOU = f"({_INTER}/((a.x2-a.x+1)*(a.y2-a.y+1)+(b.x2-b.x+1)*(b.y2-b.y+1)-{_INTER})::double)"
 
 ORACLE_SQL = {
     "letterbox_geometry": oracle("""select camera_id, frame_id, w width, height, round(least(640.0::double/w, 640.0::double/height),6) ratio,
@@ -152,9 +153,9 @@ ORACLE_SQL = {
     "score_split": oracle("select camera_id, frame_id, vehicle_id, confidence >= 0.5::double is_high from fx_detections", "fx_detections"),
     "cadence_sample": oracle("select camera_id, frame_id, ts_ms from (select *, row_number() over (partition by camera_id order by frame_id) k from fx_frames_gappy) where (k+1)%6=0", "fx_frames_gappy"),
     "box_formats": oracle("select camera_id, frame_id, vehicle_id, (xmax-xmin)::double w, (ymax-ymin)::double h, round(xmin+(xmax-xmin)/2.0::double,6) cx, round(ymin+(ymax-ymin)/2.0::double,6) cy, round((xmax-xmin)/(ymax-ymin)::double,6) aspect from fx_detections", "fx_detections"),
-    "iou_pairs": oracle(_AGED + " select camera_id, frame_id, a_id, b_id, round(iou,6) iou from q", "fx_detections", "fx_boxes_b"),
-    "dedupe_overlaps": oracle(_AGED + """ select 'a' side, camera_id, frame_id, vehicle_id id from a where not exists (select 1 from q where q.camera_id=a.camera_id and q.frame_id=a.frame_id and a_id=a.vehicle_id and 1-iou<0.15 and a_age<=b_age)
- union all select 'b', camera_id, frame_id, vehicle_id from b where not exists (select 1 from q where q.camera_id=b.camera_id and q.frame_id=b.frame_id and b_id=b.vehicle_id and 1-iou<0.15 and a_age>b_age)""", "fx_detections", "fx_boxes_b"),
+    "iou_pairs": oracle(_AGED + f" select camera_id, frame_id, a.v a_id, b.v b_id, round({_IOU},6) iou from (select camera_id, frame_id, a, unnest(bb) b from pa) where {_INTER} > 0", "fx_detections"),
+    "dedupe_overlaps": oracle(_AGED + f""" select 'a' side, camera_id, frame_id, a.v id from pa where len(list_filter(coalesce(bb, []), lambda b: {_INTER} > 0 and 1-{_IOU}<0.15 and a.g<=b.g)) = 0
+ union all select 'b', camera_id, frame_id, b.v from pb where len(list_filter(coalesce(aa, []), lambda a: {_INTER} > 0 and 1-{_IOU}<0.15 and a.g>b.g)) = 0""", "fx_detections"),
     "keyed_union": oracle("""select camera_id, frame_id, vehicle_id, xmin from fx_detections where vehicle_id%3<>0 union all
  select camera_id, frame_id, vehicle_id, xmin from fx_boxes_b where vehicle_id%3=0""", "fx_detections", "fx_boxes_b"),
     "keyed_subtract": oracle("select camera_id, frame_id, vehicle_id, xmin from fx_detections where vehicle_id%3<>0 and vehicle_id%4=0", "fx_detections", "fx_boxes_b"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, hazards, messages, tracker, trajectories, votes
-from kerbside.plans import scenes
+from kerbside.plans import geometry, scenes
 from kerbside.plans.fixtures import fixture, oracle
 from kerbside.sources.scratch import folder, written
 
@@ -16,6 +16,12 @@ def assign_boxes(spark, sf_dir):
     return matches.withColumn("iou", F.round("iou", 6))
 
 
+def assign_ambiguous(spark, sf_dir):
+    """Vehicles with one or two boxes on either side: clusters that the solver decides."""
+    matches, _, _ = assignment.assign_boxes(fixture(spark, sf_dir, "fx_boxes_many_a"), fixture(spark, sf_dir, "fx_boxes_many_b"), "box_id", 0.6)
+    return matches.withColumn("iou", F.round("iou", 6))
+
+
 #: Track rows that this session has written: tracking is the costly part of most queries here, and they read the same rows.
 _TRACKED: dict[tuple, DataFrame] = {}
 
@@ -46,6 +52,14 @@ def track_points(spark, sf_dir):
     return rows.select("camera_id", "frame_id", F.col("det_x").cast("int").alias("xmin"), F.col("det_y").cast("int").alias("ymin"), near.alias("near"))
 
 
+def track_points_busy(spark, sf_dir):
+    """Cameras that are never without vehicles, in slices of 1,000 frames."""
+    last = fixture(spark, sf_dir, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
+    rows = tracker.track(fixture(spark, sf_dir, "fx_detections_busy").drop("vehicle_id"), last, cut=tracker.SliceParams(frames=1000, warmup=400)).filter("kind = 'out' and has_point")
+    near = (F.abs(F.col("x") - F.col("det_x")) < 3) & (F.abs(F.col("y") - F.col("det_y")) < 3)
+    return rows.select("camera_id", "frame_id", F.col("det_x").cast("int").alias("xmin"), F.col("det_y").cast("int").alias("ymin"), near.alias("near"))
+
+
 def published_objects(spark, sf_dir):
     rows = _rows(spark, sf_dir).filter("kind = 'out' and det_x is not null")
     det = [F.col(c).cast("int") for c in ("det_x", "det_y", "det_w", "det_h")]
@@ -109,7 +123,7 @@ def gated_outliers(spark, sf_dir):
     return found.select("camera_id", "frame_id", F.round("x").cast("int").alias("xmin"), "has_point")
 
 
-QUERIES = {f.__name__: f for f in (assign_boxes, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, track_colors, track_messages, tracks_low_score, gated_outliers)}
+QUERIES = {f.__name__: f for f in (assign_boxes, assign_ambiguous, track_points_busy, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, track_colors, track_messages, tracks_low_score, gated_outliers)}
 
 _T = """, k as (select camera_id, vehicle_id, frame_id, xmin, ymin, frame_id - lag(frame_id) over w = 1 pm, lead(frame_id) over w - frame_id = 1 nx from fx_detections window w as (partition by vehicle_id order by frame_id)),
  st as (select vehicle_id, camera_id, min(frame_id) s from k where coalesce(nx, false) or frame_id = 1 group by 1, 2),
@@ -133,8 +147,16 @@ ORACLE_SQL = {
  oc as (select ob.camera_id, ob.frame_id, ob.xmin, p, (10-m%10)%10 color, 1 own from ob asof join vc on ob.vehicle_id = vc.vehicle_id and ob.frame_id >= vc.q union all select camera_id, frame_id, xmin, true, 0, 0 from hz),
  n as (select camera_id, frame_id, count(*) c, count(*) filter (p) pc, sum(xmin) filter (p) xs, sum(color) filter (p) cs, sum(own) filter (p) ids from oc group by 1, 2)
  select f.camera_id, f.frame_id, f.frame_id frame_seq, coalesce(c,0) objects_number, coalesce(pc,0) published_number, cast(coalesce(xs,0) as bigint) x_sum, cast(coalesce(cs,0) as bigint) color_sum, cast(coalesce(ids,0) as bigint) n_ids from fx_frames f left join n using (camera_id, frame_id)""", "fx_hazards", "fx_detections", "fx_frames"),
-    "assign_boxes": oracle("""select a.camera_id, a.frame_id, a.vehicle_id a_id, b.vehicle_id b_id, round(i/(s-i)::double, 6) iou from (select *, 0 z from fx_detections) a join fx_boxes_b b using (camera_id, frame_id, vehicle_id),
- lateral (select (least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin)+1)*(least(a.ymax,b.ymax)-greatest(a.ymin,b.ymin)+1) i, (a.xmax-a.xmin+1)*(a.ymax-a.ymin+1)+(b.xmax-b.xmin+1)*(b.ymax-b.ymin+1) s) l""", "fx_detections", "fx_boxes_b"),
+    "assign_boxes": oracle(geometry._AGED + f" select camera_id, frame_id, a.v a_id, b.v b_id, round({geometry._IOU},6) iou from (select camera_id, frame_id, a, unnest(list_filter(coalesce(bb, []), lambda b: b.v = a.v)) b from pa)", "fx_detections"),
+    "assign_ambiguous": oracle(f""", both_ as (select *, 0 side from fx_boxes_many_a union all select *, 1 from fx_boxes_many_b),
+ f as (select camera_id, frame_id, box_id//2 v, list({{'i':box_id,'x':xmin,'y':ymin,'x2':xmax,'y2':ymax}}) filter (side=0) aa, list({{'i':box_id,'x':xmin,'y':ymin,'x2':xmax,'y2':ymax}}) filter (side=1) bb from both_ group by 1, 2, 3),
+ p as (select camera_id, frame_id, v, a.i a_id, b.i b_id, {geometry._IOU} iou from (select camera_id, frame_id, v, a, unnest(bb) b from (select camera_id, frame_id, v, unnest(aa) a, bb from f)) where {geometry._IOU} > 0.4),
+ c as (select camera_id, frame_id, v, list({{'a':a_id,'b':b_id,'iou':iou}}) ps from p group by 1, 2, 3),
+ s as (select camera_id, frame_id, v, ps, [p1] m, p1.iou-0.4 g from (select *, unnest(ps) p1 from c) union all
+  select camera_id, frame_id, v, ps, [p1, p2], p1.iou+p2.iou-0.8 from (select *, unnest(ps) p2 from (select *, unnest(ps) p1 from c)) where p1.a < p2.a and p1.b <> p2.b),
+ best as (select camera_id, frame_id, arg_max(m, g) m from s group by camera_id, frame_id, v)
+ select camera_id, frame_id, x.a a_id, x.b b_id, round(x.iou,6) iou from (select camera_id, frame_id, unnest(m) x from best)""", "fx_boxes_many_a", "fx_boxes_many_b"),
+    "track_points_busy": oracle(_T.replace("fx_detections", "fx_detections_busy") + " select camera_id, frame_id, xmin, ymin, true near from pt", "fx_detections_busy"),
     "track_segments": oracle(""", f as (select camera_id, frame_id, count(*) n from fx_detections group by 1, 2), g as (select *, case when frame_id - lag(frame_id) over w > 46 then 1 else 0 end x from f window w as (partition by camera_id order by frame_id)),
  h as (select *, cast(sum(x) over (partition by camera_id order by frame_id) as bigint) segment from g) select camera_id, segment, min(frame_id) first_frame, max(frame_id) last_frame, cast(sum(n) as bigint) n from h group by 1, 2""", "fx_detections"),
     "track_summary": oracle(_T + """ select camera_id, cast(sum(i) as bigint) issued, cast(sum(p) as bigint) points from (select camera_id, count(*) i, 0 p from st group by 1 union all

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import assignment, boxes, detections, registry, tracker, trajectories, votes
+from kerbside.operators import assignment, boxes, detections, pairs, registry, tracker, trajectories, votes
 from kerbside.sources.frames import split_decoded
 from kerbside.sources.scratch import folder
 from kerbside.streaming import monitors
@@ -275,3 +275,83 @@ def test_a_silent_camera_is_reported_while_it_is_silent(spark):
     finally:
         query.stop()
     assert sorted((r.camera_id, r.kind, r.from_ms, r.to_ms) for r in found) == [(1, "silent", 40, None), (2, "silent", 100, None)]
+
+
+def greedy(rows, threshold, per_class):
+    """rows: (frame, class, score, x1, y1, x2, y2)."""
+    def iou(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        inter = max(w, 0) * max(h, 0)
+        return inter / ((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - inter) if inter else 0
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[2], *r[3:], r[1])):
+        if not any(k[0] == r[0] and (k[1] == r[1] or not per_class) and iou(k, r) > threshold for k in kept):
+            kept.append(r)
+    return kept
+
+
+@pytest.mark.parametrize("per_class", [True, False])
+def test_nms_equals_greedy_suppression(spark, per_class):
+    rng, rows = random.Random(12), []
+    for frame in range(12):
+        for _ in range(rng.choice([1, 2, 40])):
+            x, y = rng.randint(0, 60), rng.randint(0, 30)
+            rows.append((frame, rng.randint(1, 3), rng.randint(1, 20) / 20, float(x), float(y), float(x + rng.randint(0, 25)), float(y + rng.randint(1, 25))))
+    rows += rows[:5] + [(3, 1, 0.5, 10.0, 10.0, 10.0, 10.0)]
+    made = spark.createDataFrame([(7, *r) for r in rows], "camera_id int, frame_id long, class_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    for most in (None, 4):
+        kept = greedy(rows, 0.3, per_class)
+        if most:
+            kept = [r for f in range(12) for r in sorted((k for k in kept if k[0] == f), key=lambda r: (-r[2], r[1], *r[3:]))[:most]]
+        found = detections.nms(made, 0.3, per_class=per_class, most=most)
+        assert sorted((r.frame_id, r.class_id, r.score, r.x1, r.y1, r.x2, r.y2) for r in found.collect()) == sorted(kept)
+    assert detections.nms(made.limit(0)).count() == 0
+
+
+def test_iou_pairs_of_a_crowded_frame(spark):
+    """5,000 boxes in one frame: as many pairs as brute force, and a join that makes few more rows than boxes and overlaps."""
+    rng = random.Random(6)
+    made = {s: [(0, 1, k, (x := rng.randint(0, 9000)), (y := rng.randint(0, 9000)), x + rng.randint(10, 60), y + rng.randint(10, 60)) for k in range(5000)] + [(0, 2, 1, 0, 0, 500, 500)] for s in "ab"}
+    schema = "camera_id int, frame_id long, id long, xmin int, ymin int, xmax int, ymax int"
+    a, b = (spark.createDataFrame(made[s], schema) for s in "ab")
+    found = pairs.iou_pairs(a, b, "id")
+    got = {(r.frame_id, r.a_id, r.b_id): r.iou for r in found.collect()}
+    x, y = (np.array([r[3:] for r in made[s] if r[1] == 1]) for s in "ab")
+    meets = (x[:, None, 0] <= y[None, :, 2]) & (y[None, :, 0] <= x[:, None, 2]) & (x[:, None, 1] <= y[None, :, 3]) & (y[None, :, 1] <= x[:, None, 3])
+    assert set(got) == {(1, i, j) for i, j in np.argwhere(meets).tolist()} | {(2, 1, 1)}
+    plain = {(r.frame_id, r.a_id, r.b_id): r.iou for r in pairs.iou_pairs(a, b, "id", crowd=None).collect()}
+    assert got == plain
+    wide = pairs._cells(a.filter("frame_id = 1"), spark.createDataFrame([(0, 1, 70.0, 70.0)], "camera_id int, frame_id long, cell_w double, cell_h double"), ("camera_id", "frame_id"), 1)
+    assert wide.count() < 4 * 5000
+
+
+def test_assignment_of_clusters_equals_the_whole_frame(spark):
+    rng = random.Random(17)
+    schema = "camera_id int, frame_id long, id long, xmin int, ymin int, xmax int, ymax int"
+
+    def made():
+        return [(0, f, k, (x := rng.randint(0, 400)), 0, x + 40, 40) for f in range(6) for k in range(25)]
+
+    rows_a, rows_b = made(), made()
+    matches, rest_a, rest_b = assignment.assign_boxes(spark.createDataFrame(rows_a, schema), spark.createDataFrame(rows_b, schema), "id", 0.8)
+    got = matches.collect()
+    assert len({(r.frame_id, r.a_id) for r in got}) == len({(r.frame_id, r.b_id) for r in got}) == len(got)
+    total = 0.0
+    for f in range(6):
+        a, b = (np.array([[r[3], r[4], r[5] - r[3], r[6] - r[4]] for r in rows if r[1] == f], float) for rows in (rows_a, rows_b))
+        gain = 0.8 - tracker.distances(a, b)
+        total += sum(gain[i, j] for i, j in assignment.solve(gain))
+    assert sum(r.iou - 0.2 for r in got) == pytest.approx(total)
+    assert rest_a.count() == rest_b.count() == 150 - len(got)
+
+
+def test_class_votes_of_a_long_track(spark):
+    """A hundred thousand votes of one track are folded with a few numbers of state, across Arrow batches."""
+    made = spark.range(100_000).select(F.lit(1).alias("track_id"), F.col("id").alias("frame_id"), F.when(F.col("id") % 3 == 0, 2).otherwise(5).alias("label"), F.lit(0.6).alias("confidence"), F.col("id").alias("age"))
+    few = spark.createDataFrame([(2, 1, 3, 0.75, 0), (2, 2, None, 0.9, 1), (3, 5, 1, 0.9, 9)], "track_id int, frame_id long, label int, confidence double, age long")
+    found = {r.track_id: (r.class_id, r.locked) for r in votes.class_majority(made.unionByName(few)).collect()}
+    one = votes.ClassState(2)
+    for k in range(100_000):
+        one.vote(2 if k % 3 == 0 else 5, 0.6, k, votes.ClassRules())
+    assert found == {1: (one.cls, one.locked), 2: (3, False), 3: (1, False)}
