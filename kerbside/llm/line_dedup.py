@@ -43,7 +43,7 @@ class LineParams:
     num: int = 4  # the Jaccard threshold, num / den
     den: int = 5
     broadcast_rows: int = 200_000  # joins of the texts with smaller tables than this broadcast those; larger ones are shuffled
-    crowd: int = 256  # tokens that more classes share are taken apart
+    crowd: int = 32  # tokens that more classes share are taken apart
     anchors: int = 16  # earliest classes of such a token that all others are compared with first
 
     @property
