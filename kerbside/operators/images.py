@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: 15-bit weights of blue, green and red in luma, and of linear blue, green and red in CIE Y (fixed values).
 LUMA = (3735, 19235, 9798)
@@ -71,22 +73,26 @@ def black(bgr: np.ndarray) -> float:
 METRICS = {"brightness": brightness, "daynight": daynight, "snow": snow, "sharpness": sharpness, "occlusion": occlusion, "black": black}
 
 
-def score_images(images: DataFrame, id_col: str = "img_id", metrics: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
-    """(id, metric, score) of images (id, image: Spark's struct of 3-channel BGR pixels)."""
+def score_images(images: DataFrame, id_col: str = "img_id", metrics: tuple[str, ...] = tuple(METRICS), carry: list[str] | None = None) -> DataFrame:
+    """(id, metric, score) of images (id, image: Spark's struct of 3-channel BGR pixels), and the columns of carry."""
+    flat = images.select(F.col(id_col).cast("long").alias("id"), "image.height", "image.width", "image.data", *(carry or []))
+    kept = [flat.schema.fields[0], *flat.schema.fields[4:]]
+    out = StructType([*kept, StructField("metric", StringType()), StructField("score", DoubleType())])
+    arrow = to_arrow_schema(out)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                out: list[tuple] = []
-                for key, h, w, data in zip(*(c.to_pylist() for c in part.columns)):
-                    bgr = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-                    out += [(key, m, METRICS[m](bgr)) for m in metrics]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.float64()))], names=["id", "metric", "score"])
-
-    flat = images.select(F.col(id_col).cast("long"), "image.height", "image.width", "image.data")
-    return flat.mapInArrow(run, "id long, metric string, score double").withColumnRenamed("id", id_col)
+                key, height, width, data, *rest = (c.to_pylist() for c in part.columns)
+                rows: list[tuple] = []
+                for h, w, pixels, *named in zip(height, width, data, key, *rest):
+                    bgr = np.frombuffer(pixels, np.uint8).reshape(h, w, 3)
+                    rows += [(*named, m, METRICS[m](bgr)) for m in metrics]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return flat.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
 def packed(pixels: DataFrame) -> DataFrame:

@@ -44,10 +44,14 @@ def with_lines(found: DataFrame, frame_ms: int = 40, epoch_ms: int = 0) -> DataF
     return named.withColumns({"path": path, "lines": F.concat(F.array(header, F.lit("track_points: ")), lines)})
 
 
-def write_trajectories(found: DataFrame, path: str, text: bool = False) -> None:
-    """By day: Parquet with nested points, or text: a row a track, its lines joined by line feeds, under ``<day>`` and ``path``'s name."""
+def write_trajectories(found: DataFrame, path: str, text: bool = False, tracks_a_file: int = 10_000) -> DataFrame | None:
+    """By day: Parquet with nested points, or text: a track's lines joined by line feeds, under its ``<day>/tracks/<name>`` in the index that is returned, with
+    its camera as the key; many tracks share a file."""
+    from kerbside.sources.bundles import write_bundles
+
     named = with_lines(found)
-    if text:
-        named.select("day", F.regexp_extract("path", "([^/]+)$", 1).alias("track"), F.array_join("lines", "\n").alias("value")).write.mode("append").partitionBy("day", "track").text(path)
-    else:
+    if not text:
         named.drop("lines").write.mode("append").partitionBy("day").parquet(path)
+        return None
+    texts = named.select("day", F.col("camera_id").cast("string").alias("key"), F.col("path").alias("name"), F.array_join("lines", "\n").alias("text"))
+    return write_bundles(texts, path, tracks_a_file, "tracks")

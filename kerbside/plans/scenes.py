@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kerbside.operators import boxes, hazards, health, images, messages, radar, registry, timing, votes
 from kerbside.plans.fixtures import fixture, oracle, table
-from kerbside.sources.frames import split_decoded
+from kerbside.sources.frames import read_frames, split_decoded, write_frames
+from kerbside.sources.scratch import folder
 
 
 def _d(c, n=6):
@@ -197,6 +200,27 @@ def frame_source(spark, sf_dir):
     return frames.select(*out, F.lit(0).alias("code")).unionByName(rejects.select(*out, "code"))
 
 
+def frame_files(spark, sf_dir):
+    """Images written as files, one in seven cut short, and read back by the image source; the whole ones' brightness, the others' code."""
+    cut = F.when(F.col("img_id") % 7 == 3, F.substring("image.data", 1, 100)).otherwise(F.col("image.data"))
+    path = f"{folder(spark)}/kerbside/frames-{uuid.uuid4().hex}"
+    write_frames(_images(spark, sf_dir).withColumn("image", F.col("image").withField("data", cut)), path).agg(F.sum("bytes")).collect()
+    named = lambda df: df.withColumn("img_id", F.regexp_extract("image.origin", r"(\d+)\.png$", 1).cast("long"))
+    frames, rejects = (named(x) for x in read_frames(spark, path))
+    sized = frames.withColumns({"w": F.col("image.width"), "h": F.col("image.height")})
+    scores = images.score_images(sized, metrics=("brightness",), carry=["w", "h"])
+    good = scores.select("img_id", F.col("w").alias("width"), F.col("h").alias("height"), _d(F.col("score"), 4).alias("brightness"), F.lit(0).alias("code"))
+    return good.unionByName(rejects.select("img_id", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("brightness"), "code"))
+
+
+def image_health(spark, sf_dir):
+    """Every 840th frame of each camera judged, at 0.8; a frame shows one of the images."""
+    frames = boxes.sampled_dense(fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id"), 1)
+    pictures = _images(spark, sf_dir)
+    shown = frames.withColumn("img_id", (F.col("camera_id") * 7 + F.col("frame_id")) % 200).join(pictures, "img_id")
+    return health.image_checks(shown.select("camera_id", "frame_id", "image")).withColumn("score", _d("score", 4))
+
+
 def _metric(name, digits=6):
     def query(spark, sf_dir):
         return images.score_images(_images(spark, sf_dir), metrics=(name,)).select("img_id", _d(F.col("score"), digits).alias(name))
@@ -238,7 +262,7 @@ def frame_messages(spark, sf_dir):
     return found.select("camera_id", "frame_id", "frame_seq", "objects_number", "published_number", ids.alias("objects"), F.round(F.aggregate("objects", F.lit(0.0), lambda a, o: a + o["x_norm"]) * 1920).cast("long").alias("x_sum"))
 
 
-QUERIES = {f.__name__: f for f in (hazards_filtered, hazard_mapping, hazards_sticky, radar_points, radar_asof, skew_alerts, softmax_argmax, color_majority, color_candidates, class_majority, labelled_counts, registry_cameras, registry_radars, camera_topics, stage_durations, stage_summary, stage_timeline, last_n_points, fps_windows, infer_gaps, radar_gaps, camera_gaps, health_codes, frame_source, _metric("brightness", 4), _metric("snow"), _metric("sharpness"), _metric("occlusion"), _metric("black"), img_daynight, health_events, frame_messages)}
+QUERIES = {f.__name__: f for f in (hazards_filtered, hazard_mapping, hazards_sticky, radar_points, radar_asof, skew_alerts, softmax_argmax, color_majority, color_candidates, class_majority, labelled_counts, frame_files, image_health, registry_cameras, registry_radars, camera_topics, stage_durations, stage_summary, stage_timeline, last_n_points, fps_windows, infer_gaps, radar_gaps, camera_gaps, health_codes, frame_source, _metric("brightness", 4), _metric("snow"), _metric("sharpness"), _metric("occlusion"), _metric("black"), img_daynight, health_events, frame_messages)}
 
 ORACLE_SQL = {
     "hazards_filtered": oracle(_HZ + " select * from hz", "fx_hazards", "fx_detections"),
@@ -274,6 +298,12 @@ ORACLE_SQL = {
     "frame_source": oracle("select distinct img_id, 12 height, 16 width, case when img_id%7=3 then 331 else 0 end code from fx_pixels", "fx_pixels"),
     "img_brightness": oracle(_GRAY + " select img_id, round(score,4) brightness from m where metric='brightness'", "fx_pixels"),
     **{f"img_{k}": oracle(_GRAY + f" select img_id, round(score,6) {k} from m where metric='{k}'", "fx_pixels") for k in ("snow", "sharpness", "occlusion", "black")},
+    "frame_files": oracle(_GRAY + " select img_id, case when img_id%7<>3 then 16 end width, case when img_id%7<>3 then 12 end height, case when img_id%7<>3 then round(score,4) end brightness, case when img_id%7=3 then 331 else 0 end code from m where metric='brightness'", "fx_pixels"),
+    "image_health": oracle(_GRAY + """, dn as (select img_id, case when count(*) filter (greatest(b,g,rr)>60) > count(*) filter (greatest(b,g,rr)<=60) then 1.0::double else 0 end score from fx_pixels group by 1),
+ every as (select * from m union all select img_id, 'daynight', score from dn),
+ sampled as (select camera_id, frame_id, (camera_id*7+frame_id)%200 img_id from fx_frames where (frame_id+1)%840=0)
+ select camera_id, frame_id, metric, round(score,4) score, case when score>0.8 and metric<>'daynight' then 'WARN' else 'INFO' end as level,
+  case when score>0.8 then case metric when 'brightness' then 329 when 'snow' then 328 when 'sharpness' then 330 when 'occlusion' then 326 when 'black' then 327 else 0 end else 0 end code from sampled join every using (img_id)""", "fx_frames", "fx_pixels"),
     "img_daynight": oracle("select img_id, count(*) filter (greatest(b,g,rr)>60) > count(*) filter (greatest(b,g,rr)<=60) is_day from fx_pixels group by 1", "fx_pixels"),
     "health_events": oracle(_GRAY + " select img_id, metric, round(score,4) score, 'WARN' as level, case metric when 'brightness' then 329 when 'snow' then 328 when 'sharpness' then 330 when 'occlusion' then 326 else 327 end code from m where score>0.3", "fx_pixels"),
     "frame_messages": oracle(_HZ + """, o as (select camera_id, frame_id, vehicle_id id, label t, xmin/1920.0::double x, xmin>0 and ymin>0 and xmax<=500 and ymax<=1080 p from fx_detections

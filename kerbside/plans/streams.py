@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import boxes, hazards, health
 from kerbside.plans.fixtures import fixture
+from kerbside.plans import tracks
 from kerbside.plans.scenes import ORACLE_SQL as BATCH
 from kerbside.plans.tracks import ORACLE_SQL as TRACKS
 from kerbside.streaming import monitors
-from kerbside.streaming.drain import as_stream, drained
+from kerbside.streaming.drain import as_stream, cuts_of, drained
 
 
 def _rocks(spark) -> None:
@@ -43,7 +44,8 @@ def _radar(spark, sf_dir, **params):
     beyond = sweeps.agg(F.max("ts_ms")).first()[0] or 0
     last = frames.groupBy("camera_id").agg(F.greatest(F.max("ts_ms"), F.lit(beyond)).alias("ts_ms")).select("camera_id", F.lit(None).cast("long").alias("frame_id"), "ts_ms", F.lit("end").alias("mark"))
     marked = frames.withColumn("mark", F.lit(None).cast("string")).unionByName(last)
-    return drained(monitors.radar_stream(as_stream(marked, "radar-frames", "ts_ms"), as_stream(sweeps, "radar-sweeps", "ts_ms"), **params), "radar")
+    cuts = cuts_of(frames, "ts_ms")
+    return drained(monitors.radar_stream(as_stream(marked, "radar-frames", "ts_ms", cuts=cuts), as_stream(sweeps, "radar-sweeps", "ts_ms", cuts=cuts), **params), "radar")
 
 
 def radar_asof_stream(spark, sf_dir):
@@ -76,6 +78,28 @@ def infer_gaps_stream(spark, sf_dir):
     return found.select("camera_id", "window_start", F.lit("WARN").alias("level"), "code")
 
 
+def track_colors_stream(spark, sf_dir):
+    """Tracks of 30 points and more with the colour that votes on them while they lived end with."""
+    _rocks(spark)
+    rows = tracks._rows(spark, sf_dir)
+    cast = tracks._color_votes(rows).select("track.*", "vote_seq", "color", "confidence")
+    cuts = cuts_of(rows, "frame_id")
+    named = _with_ends(rows.filter("kind in ('out', 'removed')").select("camera_id", "segment", "track_id", "frame_id", "start_frame", "last_frame", "n_points", "kind"), "frame_id")
+    found = drained(monitors.color_stream(as_stream(named, "color-tracks", "frame_id", cuts=cuts), as_stream(cast, "color-votes", "vote_seq", cuts=cuts)), "colors")
+    return found.filter("kind = 'ended' and n_points >= 30").select("camera_id", "start_frame", "end_frame", "color")
+
+
+def track_messages_stream(spark, sf_dir):
+    """Messages as their frames, objects and hazards come."""
+    _rocks(spark)
+    objects, found = tracks.message_parts(spark, sf_dir)
+    frames = _with_ends(fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id"), "frame_id")
+    cuts = cuts_of(frames, "frame_id")
+    sources = (as_stream(df, f"messages-{n}", "frame_id", cuts=cuts) for n, df in (("frames", frames), ("objects", objects), ("hazards", found)))
+    made = drained(monitors.message_stream(*sources), "messages")
+    return tracks.message_digest(made.filter("kind = 'message'"))
+
+
 def hazards_sticky_stream(spark, sf_dir):
     _rocks(spark)
     frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id")
@@ -93,7 +117,7 @@ def track_points_stream(spark, sf_dir):
     return rows.select("camera_id", "frame_id", F.col("det_x").cast("int").alias("xmin"), F.col("det_y").cast("int").alias("ymin"), F.lit(True).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (fps_stream, camera_gaps_stream, radar_asof_stream, skew_alerts_stream, radar_gaps_stream, fps_windows_stream, infer_gaps_stream, hazards_sticky_stream, track_points_stream)}
+QUERIES = {f.__name__: f for f in (fps_stream, camera_gaps_stream, radar_asof_stream, skew_alerts_stream, radar_gaps_stream, fps_windows_stream, infer_gaps_stream, track_colors_stream, track_messages_stream, hazards_sticky_stream, track_points_stream)}
 ORACLE_SQL = {
     "fps_stream": BATCH["fps_windows"],
     "camera_gaps_stream": BATCH["camera_gaps"],
@@ -102,6 +126,8 @@ ORACLE_SQL = {
     "radar_gaps_stream": BATCH["radar_gaps"],
     "fps_windows_stream": BATCH["fps_windows"],
     "infer_gaps_stream": BATCH["infer_gaps"],
+    "track_colors_stream": TRACKS["track_colors"],
+    "track_messages_stream": TRACKS["track_messages"],
     "hazards_sticky_stream": BATCH["hazards_sticky"],
     "track_points_stream": TRACKS["track_points"],
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, hazards, messages, tracker, trajectories, votes
 from kerbside.plans import geometry, scenes
 from kerbside.plans.fixtures import fixture, oracle
+from kerbside.sources.bundles import read_bundles
 from kerbside.sources.scratch import folder, written
 
 
@@ -26,13 +29,23 @@ def assign_ambiguous(spark, sf_dir):
 _TRACKED: dict[tuple, DataFrame] = {}
 
 
+def _state_of(spark, path: str) -> tuple:
+    """What changes when a table's files do: their names, sizes and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at)))
+
+
 def _rows(spark, sf_dir, params=tracker.TrackParams(), name="fx_detections"):
     key = (spark.sparkContext.applicationId, folder(spark), sf_dir, params, name)
-    if key not in _TRACKED:
+    now = (*key, _state_of(spark, f"{sf_dir}/part.parquet"))  # the table that these fixtures come from
+    if now not in _TRACKED:
+        for old in [k for k in _TRACKED if k[:5] == key]:
+            del _TRACKED[old]
         detections = fixture(spark, sf_dir, name)
         last = fixture(spark, sf_dir, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
-        _TRACKED[key] = written(tracker.track(detections.drop("vehicle_id"), last, params), "tracked")
-    return _TRACKED[key]
+        _TRACKED[now] = written(tracker.track(detections.drop("vehicle_id"), last, params), "tracked")
+    return _TRACKED[now]
 
 
 def track_segments(spark, sf_dir):
@@ -77,6 +90,17 @@ def trajectory_lines(spark, sf_dir):
     return found.select("camera_id", "start_frame", "end_frame", "day", F.substring("path", 1, 32).alias("path_start"), F.size("lines").alias("n_lines"))
 
 
+def trajectory_files(spark, sf_dir):
+    """Trajectories written as text, many tracks a file, and read back by the index: what their lines say."""
+    path = f"{folder(spark)}/kerbside/trajectories-{uuid.uuid4().hex}"
+    index = trajectories.write_trajectories(trajectories.trajectories(_rows(spark, sf_dir), 30), path, text=True)
+    text = F.col("text")
+    said = lambda pattern: F.regexp_extract(text, pattern, 1)
+    numbers = F.regexp_extract_all(text, F.lit(r"(?m)^frame_(\d+): x: [0-9.]+, y: [0-9.]+, class: [1-6]$"), F.lit(1))
+    read = read_bundles(index, path)
+    return read.select(F.col("key").cast("int").alias("camera_id"), F.substring("name", 1, 32).alias("path_start"), said(r"duration_frame: (\d+)").cast("long").alias("duration"), F.size(F.split(text, "\n")).alias("n_lines"), F.array_join(numbers, ",").alias("frames"))
+
+
 _TRACK = ("camera_id", "segment", "track_id")
 
 
@@ -94,8 +118,8 @@ def track_colors(spark, sf_dir):
     return trajectories.with_colors(trajectories.trajectories(rows, 30), colors, _TRACK).select("camera_id", "start_frame", "end_frame", "color")
 
 
-def track_messages(spark, sf_dir):
-    """A frame's message from tracks: their ids, stable classes and colours so far, their number before those outside the left 500 pixels go, and hazards."""
+def message_parts(spark, sf_dir):
+    """(objects, hazards) of all frames, from tracks: their ids, stable classes and colours so far, those outside the left 500 pixels unpublished."""
     rows = _rows(spark, sf_dir)
     leading = votes.color_so_far(_color_votes(rows), key="track").select("track.*", "vote_seq", "color")
     out = trajectories.with_colors_so_far(rows.filter("kind = 'out'"), leading).filter("det_x is not null")
@@ -104,12 +128,21 @@ def track_messages(spark, sf_dir):
     unit = ("x_norm", "y_norm", "w_norm", "h_norm")
     objects = boxed.select("camera_id", "frame_id", F.col("track_id").alias("id"), F.col("class_id").alias("target_type"), *unit, "color", boxes.inside(x, y, w, h, F.lit(500), F.lit(1080)).alias("published"))
     found = hazards.map_hazards(boxes.normalize_boxes(scenes.good_hazards(spark, sf_dir), F.lit(1920), F.lit(1080))).select("camera_id", "frame_id", F.col("target_id").alias("id"), "target_type", *unit)
-    made = messages.frame_messages(fixture(spark, sf_dir, "fx_frames"), objects, found)
+    return objects, found
+
+
+def message_digest(made):
+    """What the SQL can say of messages."""
     total = lambda f: F.aggregate("objects", F.lit(0.0), lambda a, o: a + f(o))
     ids = F.size(F.array_distinct(F.transform(F.filter("objects", lambda o: o["color"] > 0), lambda o: o["id"]))).cast("long")
     return made.select("camera_id", "frame_id", "frame_seq", "objects_number", "published_number", F.round(total(lambda o: o["x_norm"]) * 1920).cast("long").alias("x_sum"), total(lambda o: o["color"].cast("double")).cast("long").alias("color_sum"), ids.alias("n_ids"))
 
 
+def track_messages(spark, sf_dir):
+    """A frame's message from tracks and hazards."""
+    return message_digest(messages.frame_messages(fixture(spark, sf_dir, "fx_frames"), *message_parts(spark, sf_dir)))
+
+
 def tracks_low_score(spark, sf_dir):
     """With a threshold over the detector's the second round has work."""
     rows = _rows(spark, sf_dir, tracker.TrackParams(track_thresh=0.5)).filter("kind = 'out'")
@@ -123,7 +156,7 @@ def gated_outliers(spark, sf_dir):
     return found.select("camera_id", "frame_id", F.round("x").cast("int").alias("xmin"), "has_point")
 
 
-QUERIES = {f.__name__: f for f in (assign_boxes, assign_ambiguous, track_points_busy, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, track_colors, track_messages, tracks_low_score, gated_outliers)}
+QUERIES = {f.__name__: f for f in (assign_boxes, assign_ambiguous, track_points_busy, track_segments, track_summary, track_points, published_objects, trajectory_summary, trajectory_lines, trajectory_files, track_colors, track_messages, tracks_low_score, gated_outliers)}
 
 _T = """, k as (select camera_id, vehicle_id, frame_id, xmin, ymin, frame_id - lag(frame_id) over w = 1 pm, lead(frame_id) over w - frame_id = 1 nx from fx_detections window w as (partition by vehicle_id order by frame_id)),
  st as (select vehicle_id, camera_id, min(frame_id) s from k where coalesce(nx, false) or frame_id = 1 group by 1, 2),
@@ -157,6 +190,8 @@ ORACLE_SQL = {
  best as (select camera_id, frame_id, arg_max(m, g) m from s group by camera_id, frame_id, v)
  select camera_id, frame_id, x.a a_id, x.b b_id, round(x.iou,6) iou from (select camera_id, frame_id, unnest(m) x from best)""", "fx_boxes_many_a", "fx_boxes_many_b"),
     "track_points_busy": oracle(_T.replace("fx_detections", "fx_detections_busy") + " select camera_id, frame_id, xmin, ymin, true near from pt", "fx_detections_busy"),
+    "trajectory_files": oracle(_T + """, fr as (select vehicle_id, string_agg(cast(frame_id as varchar), ',' order by frame_id) frames from pt group by 1)
+ select camera_id, strftime(epoch_ms(e*40), '%Y-%m-%d/tracks/%Y%m%d%H%M%S') path_start, e-s duration, cast(n+2 as int) n_lines, frames from tr join fr using (vehicle_id) where n >= 30""", "fx_detections"),
     "track_segments": oracle(""", f as (select camera_id, frame_id, count(*) n from fx_detections group by 1, 2), g as (select *, case when frame_id - lag(frame_id) over w > 46 then 1 else 0 end x from f window w as (partition by camera_id order by frame_id)),
  h as (select *, cast(sum(x) over (partition by camera_id order by frame_id) as bigint) segment from g) select camera_id, segment, min(frame_id) first_frame, max(frame_id) last_frame, cast(sum(n) as bigint) n from h group by 1, 2""", "fx_detections"),
     "track_summary": oracle(_T + """ select camera_id, cast(sum(i) as bigint) issued, cast(sum(p) as bigint) points from (select camera_id, count(*) i, 0 p from st group by 1 union all

@@ -1,12 +1,21 @@
-"""Frame sources: images from files or tables, what can't be decoded set apart."""
+"""Frame sources: images from files or tables, in batch or as a stream, what can't be decoded set apart."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+from urllib.parse import urlsplit
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators.health import code_of
 
+#: Of Spark's image source.
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
 
 def split_decoded(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames, rejects): rejects have no pixels, or not as many as their size says; they carry a health code."""
@@ -16,12 +25,42 @@ def split_decoded(images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_frames(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Image files of a folder, or a stream of a folder of Parquet rows with an image struct."""
+    """Image files of a folder, or the stream of those that come into it."""
     if stream:
-        schema = spark.read.parquet(path).schema
-        return split_decoded(spark.readStream.schema(schema).parquet(path))
+        return split_decoded(spark.readStream.format("image").schema(IMAGE).option("dropInvalid", False).load(path))
     return split_decoded(spark.read.format("image").option("dropInvalid", False).load(path))
 
 
-def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return split_decoded(spark.read.parquet(path))
+def read_table(spark: SparkSession, path: str, stream: bool = False, schema: str = IMAGE) -> tuple[DataFrame, DataFrame]:
+    """Parquet rows with an image struct; a stream takes its rows' schema and reads nothing before it starts."""
+    return split_decoded(spark.readStream.schema(schema).parquet(path) if stream else spark.read.parquet(path))
+
+
+def png(bgr: np.ndarray) -> bytes:
+    """A 3-channel image as a PNG file."""
+    h, w, _ = bgr.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), bgr[:, :, ::-1].reshape(h, -1)], axis=1).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def write_frames(images: DataFrame, path: str, id_col: str = "img_id") -> DataFrame:
+    """Images (id, image) as files ``<id>.png`` of a folder; those without whole pixels as files that hold what there is. (id, bytes), as it is written."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if urlsplit(path).scheme else (fs.LocalFileSystem(), path)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for key, h, w, data in zip(*(c.to_pylist() for c in batch.columns)):
+                whole = data is not None and len(data) == h * w * 3
+                file = png(np.frombuffer(data, np.uint8).reshape(h, w, 3)) if whole else data or b""
+                with files.open_output_stream(f"{root}/{key}.png") as out:
+                    out.write(file)
+                sizes.append(len(file))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["id", "bytes"])
+
+    flat = images.select(F.col(id_col).cast("long").alias("id"), "image.height", "image.width", "image.data")
+    return flat.mapInArrow(run, "id long, bytes long")

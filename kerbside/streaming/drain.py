@@ -11,15 +11,20 @@ from pyspark.sql.streaming import DataStreamWriter
 from kerbside.sources.scratch import folder
 
 
-def as_stream(df: DataFrame, name: str, order: str | None = None, parts: int = 3) -> DataFrame:
-    """df as a stream of Parquet files; with order, in so many micro-batches by ascending ranges of that column."""
+def cuts_of(df: DataFrame, order: str, parts: int = 3) -> list:
+    """Where a table is cut into about equal ranges of a column."""
+    return sorted(set(df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)])).first()[0] or []))
+
+
+def as_stream(df: DataFrame, name: str, order: str | None = None, parts: int = 3, cuts: list | None = None) -> DataFrame:
+    """df as a stream of Parquet files; with order, in so many micro-batches by ascending ranges of that column. Sources that are read together get the same cuts, so that
+    they go on side by side."""
     spark = df.sparkSession
     path = f"{folder(spark)}/kerbside/{name}-in-{uuid.uuid4().hex}"
     if order is None:
         df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)])).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
+    edges = [None, *(cuts_of(df, order, parts) if cuts is None else cuts), None]
     for low, high in zip(edges, edges[1:]):  # one after the other: the source takes files by age
         part = df if low is None else df.filter(F.col(order) > low)
         (part if high is None else part.filter(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kerbside.operators.health import code_of
+from kerbside.operators.messages import OBJECT
 from kerbside.operators.radar import SKEW_CODE
 from kerbside.operators.tracker import STATE, CameraTracker, TrackParams
 from kerbside.streaming.ordered import Ordered, run, unmarked
@@ -205,6 +206,102 @@ def rate_stream(frames: DataFrame, seconds: int = 5, delay_ms: int = 10_000) ->
     return run(unmarked(frames), "camera_id", RateProcessor(delay_ms, seconds))
 
 
+class ColorProcessor(Ordered):
+    """Colour votes on live tracks: a map by track of its hits by colour and whether a colour has locked it. A track is there from its first row to its end, when it is put out
+    with its colour and leaves the map; votes of a track that is not there are put out as unknown, those after the lock do not count."""
+
+    fields = "frame_id long, turn int, segment long, track_id long, color int, confidence double, start_frame long, n_points int"  # turn: 0 track seen, 1 vote, 2 track ended
+    output = "camera_id int, segment long, track_id long, start_frame long, end_frame long, n_points int, color int, kind string"
+
+    def __init__(self, delay: int, strong: float, lock_at: int) -> None:
+        super().__init__(delay)
+        self.strong, self.lock_at = strong, lock_at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.votes = handle.getMapState("votes", "segment long, track_id long", "last long, colors array<int>, hits array<int>, locked boolean")
+
+    def released(self, rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        live: dict[tuple, list | None] = {}
+
+        def state(key: tuple) -> list | None:
+            if key not in live:
+                found = self.votes.getValue(key) if self.votes.containsKey(key) else None
+                live[key] = None if found is None else [found[0], dict(zip(found[1], found[2])), found[3]]
+            return live[key]
+
+        for frame, turn, segment, track, color, confidence, start, n_points in rows:
+            now = state((segment, track))
+            if turn == 0:
+                live[segment, track] = [frame, *(now[1:] if now else ({}, False))]
+            elif turn == 1 and now is None:
+                out.append((segment, track, None, frame, None, color, "unknown"))
+            elif turn == 1 and not now[2]:
+                now[1][color] = now[1].get(color, 0) + (3 if confidence > self.strong else 1)
+                now[2] = now[1][color] > self.lock_at
+            elif turn == 2:
+                hits = now[1] if now else {}
+                leads = min(hits, key=lambda c: (-hits[c], c), default=0)
+                out.append((segment, track, start, frame, n_points, leads, "ended"))
+                live[segment, track] = None
+        for key, now in live.items():
+            if now is not None:
+                colors = sorted(now[1])
+                self.votes.updateValue(key, (now[0], colors, [now[1][c] for c in colors], now[2]))
+            elif self.votes.containsKey(key):
+                self.votes.removeKey(key)
+        return out
+
+    def late(self, row: tuple) -> tuple:
+        return (row[2], row[3], None, row[0], None, row[4], "late")
+
+
+def color_stream(tracks: DataFrame, votes: DataFrame, delay_frames: int = 250, strong: float = 0.95, lock_at: int = 4) -> DataFrame:
+    """Ended tracks with their colour. tracks: track rows (camera_id, segment, track_id, frame_id, start_frame, last_frame, n_points, kind out or removed), with mark if the source gives
+    marks; votes: camera_id, segment, track_id, vote_seq (the frame), color, confidence. Kinds: ended, unknown, late."""
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    ended = F.col("kind") == "removed"
+    seen = unmarked(tracks).select("camera_id", F.coalesce(F.when(ended, F.col("last_frame")), F.col("frame_id")).alias("frame_id"), F.when(ended, 2).otherwise(0).alias("turn"), "segment", "track_id", none("color", "int"), none("confidence", "double"), F.col("start_frame").cast("long").alias("start_frame"), F.col("n_points").cast("int").alias("n_points"), "mark")
+    voted = votes.select("camera_id", F.col("vote_seq").cast("long").alias("frame_id"), F.lit(1).alias("turn"), "segment", "track_id", "color", F.col("confidence").cast("double").alias("confidence"), none("start_frame", "long"), none("n_points", "int"), none("mark", "string"))
+    return run(seen.unionByName(voted), "camera_id", ColorProcessor(delay_frames, strong, lock_at))
+
+
+class MessageProcessor(Ordered):
+    """A message for each frame, made when time has passed it: its own row, its objects and its hazards come in three streams. What comes for a frame that has gone out is late."""
+
+    fields = "frame_id long, turn int, id long, target_type int, x_norm double, y_norm double, w_norm double, h_norm double, color int, published boolean"  # turn: 0 object, 1 hazard, 2 frame
+    output = f"camera_id int, frame_id long, frame_seq long, objects_number int, published_number int, objects array<{OBJECT}>, kind string"
+
+    def released(self, rows: list[tuple]) -> list[tuple]:
+        out, objects, shown, at = [], 0, [], None
+        for frame, turn, key, kind, x, y, w, h, color, published in rows:
+            if frame != at:
+                objects, shown, at = 0, [], frame
+            if turn == 2:
+                shown.sort(key=lambda o: [(v is not None, v) for v in o.values()])
+                out.append((frame, frame, objects, len(shown), shown, "message"))
+                continue
+            objects += 1
+            if published:
+                shown.append({"id": key, "target_type": kind, "x_norm": x, "y_norm": y, "w_norm": w, "h_norm": h, "color": color, "plate_number": ""})
+        return out
+
+    def late(self, row: tuple) -> tuple:
+        return (row[0], None, None, None, [], "late")
+
+
+def message_stream(frames: DataFrame, objects: DataFrame, hazards: DataFrame, delay_frames: int = 250) -> DataFrame:
+    """messages.frame_messages as a stream of its three inputs: frames (camera_id, frame_id, with mark if the source gives marks), objects (camera_id, frame_id, id, target_type,
+    x_norm..h_norm, color, published) and hazards (the same without color and published). Kinds: message, late."""
+    unit = [F.col(c).cast("double").alias(c) for c in ("x_norm", "y_norm", "w_norm", "h_norm")]
+    placed = lambda df, turn, color, published, mark: df.select("camera_id", "frame_id", F.lit(turn).alias("turn"), F.col("id").cast("long").alias("id"), F.col("target_type").cast("int").alias("target_type"), *unit, color.cast("int").alias("color"), published.alias("published"), mark.alias("mark"))
+    none = F.lit(None).cast("string")
+    known = unmarked(frames).select("camera_id", "frame_id", "mark", *[F.lit(None).alias(c) for c in ("id", "target_type", "x_norm", "y_norm", "w_norm", "h_norm")])
+    every = placed(known, 2, F.lit(0), F.lit(True), F.col("mark")).unionByName(placed(objects, 0, F.col("color"), F.col("published"), none)).unionByName(placed(hazards, 1, F.lit(0), F.lit(True), none))
+    return run(every, "camera_id", MessageProcessor(delay_frames))
+
+
 class TrackProcessor(StatefulProcessor):
     """One camera's tracker in typed state: a map of its live tracks by id, and a row with the schema's version, the last frame and the next id. Frames of a micro-batch are
     sorted first, older ones than the last are late. State of version 1, a pickled tracker in one value, is taken over and cleared."""

@@ -37,8 +37,8 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came, marks = [], []
         for found in rows:
-            plain = found[[*self.row.names, MARK]].astype(object).where(found[[*self.row.names, MARK]].notna(), None)
-            for *row, mark in plain.itertuples(index=False, name=None):
+            columns = [self._values(found[f.name], f.dataType.simpleString()) for f in self.row.fields]
+            for *row, mark in zip(*columns, self._values(found[MARK], "string")):
                 (marks if mark else came).append((tuple(row), mark))
         newest, released = self.time.get() if self.time.exists() else (None, None)
         late = [row for row, _ in came if released is not None and row[0] <= released]
@@ -60,14 +60,20 @@ class Ordered(StatefulProcessor):
         if out:
             yield self.frame(key[0], out)
 
+    @staticmethod
+    def _values(column: pd.Series, kind: str) -> list:
+        """A column's plain values; pandas makes whole numbers with nulls among them floats."""
+        of = {"int": int, "bigint": int, "double": float, "boolean": bool, "string": str}[kind]
+        return [None if null else of(x) for x, null in zip(column.tolist(), column.isna().tolist())]
+
     def frame(self, key, out: list[tuple]) -> pd.DataFrame:
         """Rows of the output without the key, as the frame Spark takes."""
         schema = self.out
         types = {"int": "Int32", "bigint": "Int64", "double": "Float64", "string": object, "boolean": "boolean"}
         columns = {schema.names[0]: pd.array([key] * len(out), types[schema.fields[0].dataType.simpleString()])} if schema.fields[0].dataType.simpleString() != "string" else {schema.names[0]: [key] * len(out)}
         for k, field in enumerate(schema.fields[1:]):
-            kind, values = types[field.dataType.simpleString()], [row[k] for row in out]
-            columns[field.name] = values if kind is object else pd.array(values, kind)
+            kind, values = types.get(field.dataType.simpleString(), object), [row[k] for row in out]
+            columns[field.name] = pd.Series(values, dtype=object) if kind is object else pd.array(values, kind)
         return pd.DataFrame(columns)
 
     def released(self, rows: list[tuple]) -> list[tuple]:

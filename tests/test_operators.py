@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import time
 import uuid
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, boxes, detections, pairs, registry, tracker, trajectories, votes
-from kerbside.sources.frames import split_decoded
+from kerbside.sources.bundles import read_bundles
+from kerbside.sources.frames import IMAGE, read_frames, split_decoded, write_frames
 from kerbside.sources.scratch import folder
 from kerbside.streaming import monitors
 from kerbside.streaming.drain import as_stream, drained
@@ -227,16 +229,28 @@ def test_trajectory_keeps_the_last_points(spark):
     assert found.points[0].frame_id == 41
 
 
-def test_trajectory_files_hold_a_track_a_row_with_its_colour(spark, tmp_path):
-    from kerbside.operators import trajectories
-
+def many_trajectories(spark, n):
     point = "array(named_struct('frame_id', 5L, 'x', 1D, 'y', 2D, 'w', 4D, 'h', 6D, 'class_id', 3))"
-    found = spark.range(3).selectExpr("1 camera_id", "0L segment", "id track_id", "1L start_frame", "7L end_frame", "6L duration", "3 class_id", "0.5D score", "1D x", "2D y", "4D w", "6D h", "1 n_points", f"{point} points")
-    colored = trajectories.with_colors(found, spark.createDataFrame([(1, 0, 6), (1, 9, 2)], "camera_id int, track_id long, color int"))
-    trajectories.write_trajectories(colored, str(tmp_path / "t"), text=True)
-    rows = {r.track: r.value.split("\n") for r in spark.read.text(str(tmp_path / "t"), wholetext=True).collect()}
-    assert {name: lines[0].split("color: ")[1].strip() for name, lines in rows.items()} == {f"19700101000000-3-{k}.txt": "6" if k == 0 else "0" for k in range(3)}
-    assert all(len(lines) >= 3 and lines[1] == "track_points: " and lines[2].startswith("frame_5: x: 3.0, y: 5.0") for lines in rows.values())
+    return spark.range(n).selectExpr("1 camera_id", "0L segment", "id track_id", "1L start_frame", "7L end_frame", "6L duration", "3 class_id", "0.5D score", "1D x", "2D y", "4D w", "6D h", "1 n_points", f"{point} points")
+
+
+def test_trajectory_files_name_each_track_with_its_colour(spark, tmp_path):
+    colored = trajectories.with_colors(many_trajectories(spark, 3), spark.createDataFrame([(1, 0, 6), (1, 9, 2)], "camera_id int, track_id long, color int"))
+    index = trajectories.write_trajectories(colored, str(tmp_path / "t"), text=True)
+    rows = {r.name: r.text.split("\n") for r in read_bundles(index, str(tmp_path / "t")).collect()}
+    assert {name: lines[0].split("color: ")[1].strip() for name, lines in rows.items()} == {f"1970-01-01/tracks/19700101000000-3-{k}.txt": "6" if k == 0 else "0" for k in range(3)}
+    assert all(len(lines) == 3 and lines[1] == "track_points: " and lines[2].startswith("frame_5: x: 3.0, y: 5.0") for lines in rows.values())
+
+
+def test_a_hundred_thousand_tracks_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    index = trajectories.write_trajectories(many_trajectories(spark, 100_000).withColumn("end_frame", F.col("track_id") % 3 * 2_160_000), path, text=True)
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("tracks-") and not f.endswith(".crc")]
+    assert 3 <= len(files) <= 20 and not [f for f in files if ".part" in f]
+    read = read_bundles(index, path)
+    assert read.count() == read.select("name").distinct().count() == 100_000
+    assert read.filter("text not like concat('id: ', regexp_extract(name, '-([0-9]+)[.]txt', 1), ' class: 3 %frame_5: x: 3.0, y: 5.0, class: 3')").count() == 0
+    trajectories.write_trajectories(many_trajectories(spark, 0), str(tmp_path / "none"), text=True)
 
 
 def test_radar_gaps_count_over_buckets(spark):
@@ -355,3 +369,17 @@ def test_class_votes_of_a_long_track(spark):
     for k in range(100_000):
         one.vote(2 if k % 3 == 0 else 5, 0.6, k, votes.ClassRules())
     assert found == {1: (one.cls, one.locked), 2: (3, False), 3: (1, False)}
+
+
+def test_frame_files_as_a_stream(spark, tmp_path):
+    """Files that come into a folder, whole ones and rejects."""
+    pixels = np.arange(4 * 5 * 3, dtype=np.uint8).reshape(4, 5, 3)
+    made = [(k, ("", 4, 5, 3, 16, pixels.tobytes() if k != 2 else b"no image")) for k in range(4)]
+    folder_ = str(tmp_path / "in")
+    assert write_frames(spark.createDataFrame(made, "img_id long, " + IMAGE), folder_).count() == 4
+    for stream in (False, True):
+        frames, rejects = read_frames(spark, folder_, stream)
+        if stream:
+            frames, rejects = (drained(x, n) for x, n in ((frames, "frames"), (rejects, "rejects")))
+        assert {(os.path.basename(r.image.origin), bytes(r.image.data)) for r in frames.collect()} == {(f"{k}.png", pixels.tobytes()) for k in (0, 1, 3)}
+        assert [(os.path.basename(r.image.origin), r.code) for r in rejects.collect()] == [("2.png", 331)]
