@@ -27,9 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has handed out, in order.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/kerbside/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/kerbside/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _delete(spark: SparkSession, folders) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialised_alone(spark: SparkSession, make, name: str) -> DataFrame:
+    """What make() gives, written and read back; the tables that it wrote on the way are deleted then."""
+    begun = len(_made)
+    kept = materialise(make(), name)
+    _delete(spark, _made[begun:-1])
+    del _made[begun:]
+    return kept
 
 
 def release(spark: SparkSession) -> None:
@@ -49,10 +70,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def drop_spent(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for folder in {file.rsplit("/", 1)[0] for t in tables for file in t.inputFiles()}:
-        path = hadoop.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, {file.rsplit("/", 1)[0] for t in tables for file in t.inputFiles()})
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:

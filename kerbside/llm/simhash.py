@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import materialise, shuffle_partitions, slices, small_or_shuffled, utf8
+from kerbside.llm.common import drop_spent, materialise, shuffle_partitions, slices, small_or_shuffled, utf8
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -171,7 +171,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e"))
-        now = materialise(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        spent, now = now, materialise(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        drop_spent(edges.sparkSession, spent)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
