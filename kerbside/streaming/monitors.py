@@ -158,8 +158,8 @@ class RateProcessor(Ordered):
     fields = "ts_ms long"
     output = "camera_id int, window_start long, fps double, code int, kind string"
 
-    def __init__(self, delay: int, seconds: int) -> None:
-        super().__init__(delay)
+    def __init__(self, delay: int, seconds: int, silent_ms: int | None) -> None:
+        super().__init__(delay, silent_ms, silent_ms or 0)
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -200,10 +200,10 @@ class RateProcessor(Ordered):
         return (row[0], None, None, "late")
 
 
-def rate_stream(frames: DataFrame, seconds: int = 5, delay_ms: int = 10_000) -> DataFrame:
+def rate_stream(frames: DataFrame, seconds: int = 5, delay_ms: int = 10_000, silent_ms: int | None = None) -> DataFrame:
     """(camera_id, window_start, fps, code, kind: rate, none (an alert for a window without frames) or late (window_start is the frame's time)) of frames (camera_id, ts_ms),
-    with mark if the source gives marks."""
-    return run(unmarked(frames), "camera_id", RateProcessor(delay_ms, seconds))
+    with mark if the source gives marks. With silent_ms windows close by a timer while nothing comes."""
+    return run(unmarked(frames), "camera_id", RateProcessor(delay_ms, seconds, silent_ms))
 
 
 class ColorProcessor(Ordered):

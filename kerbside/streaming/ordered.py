@@ -4,6 +4,9 @@ Rows wait in the key's list state until a row ``delay`` or more beyond them has
 micro-batch brought them. A row that comes after its place has been released is late: it is put out apart and changes nothing. So what is put out
 does not depend on how the source was cut into micro-batches, as long as no row is more than ``delay`` behind. State is bound by the rows of ``delay``.
 
+With ``silent_ms`` a key from which no micro-batch has had a row for that long, by the clock, has its waiting rows released, and time goes on by ``silent_step`` of the order (0 for
+orders that are no time); the same again each ``silent_ms``, so that what depends on time passing is put out while nothing comes.
+
 A row may carry a mark instead of data: ``clock`` only moves the time on, ``end`` releases all that waits (a source that closes says so). Neither is put out.
 """
 
@@ -25,7 +28,8 @@ class Ordered(StatefulProcessor):
 
     fields = output = ""
 
-    def __init__(self, delay: int) -> None:
+    def __init__(self, delay: int, silent_ms: int | None = None, silent_step: int = 0) -> None:
+        self.silent_ms, self.silent_step = silent_ms, silent_step
         # parsed here, on the driver; tasks cannot
         self.delay, self.row, self.out = delay, StructType.fromDDL(self.fields), StructType.fromDDL(self.output)
 
@@ -46,17 +50,36 @@ class Ordered(StatefulProcessor):
         if self.waiting.exists():
             rest += [tuple(row) for row in self.waiting.get()]
         newest = max([x for x in (newest, *(row[0] for row, _ in came + marks)) if x is not None])
-        until = newest if any(mark == "end" for _, mark in marks) else newest - self.delay
+        ended = any(mark == "end" for _, mark in marks)
+        out = self._advanced(rest, newest, newest if ended else newest - self.delay, released)
+        out = [*out, *(self.ended() if ended else []), *(self.late(row) for row in late)]
+        self._wait(timerValues)
+        if out:
+            yield self.frame(key[0], out)
+
+    def _advanced(self, rows: list[tuple], newest: int, until: int, released: int | None) -> list[tuple]:
+        """Releases what stands up to until; the rest waits."""
         until = until if released is None else max(until, released)
-        ready = sorted((row for row in rest if row[0] <= until), key=lambda row: [(x is not None, x) for x in row])
-        rest = [row for row in rest if row[0] > until]
+        rest = [row for row in rows if row[0] > until]
         if rest:
             self.waiting.put(rest)
-        else:
+        elif self.waiting.exists():
             self.waiting.clear()
         self.time.update((newest, until))
-        ended = any(mark == "end" for _, mark in marks)
-        out = [*self.released(ready), *(self.ended() if ended else []), *(self.late(row) for row in late)]
+        return self.released(sorted((row for row in rows if row[0] <= until), key=lambda row: [(x is not None, x) for x in row]))
+
+    def _wait(self, timerValues) -> None:
+        if self.silent_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, released = self.time.get()
+        rows = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        newest += self.silent_step
+        out = self._advanced(rows, newest, newest, released)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
         if out:
             yield self.frame(key[0], out)
 
@@ -92,7 +115,7 @@ class Ordered(StatefulProcessor):
 
 def run(rows: DataFrame, by: str, processor: Ordered) -> DataFrame:
     """The stream that the processor makes of rows (by, its fields, mark). Needs the RocksDB state store."""
-    return rows.select(by, *processor.row.names, MARK).groupBy(by).transformWithStateInPandas(processor, processor.output, "Append", "None")
+    return rows.select(by, *processor.row.names, MARK).groupBy(by).transformWithStateInPandas(processor, processor.output, "Append", "None" if processor.silent_ms is None else "ProcessingTime")
 
 
 def unmarked(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import time
 import uuid
 from collections import Counter
 
@@ -126,3 +127,21 @@ def test_track_stream_goes_on_after_a_restart(spark, old):
     want = [(kind, f, key, p) for kind, f, key, _, _, p, _ in single_pass(rows, 240) if f >= 100 or not old]
     last = max(f for _, f, *_ in rows)
     assert sorted((r.kind, r.frame_id, r.track_id, r.has_point) for r in found if r.kind != "old") == sorted(x for x in want if x[1] <= last)
+
+
+def test_rates_of_a_camera_that_falls_silent(spark):
+    """Its waiting frames and windows of rate 0 are put out by the clock, with no row to move time on."""
+    base = f"{folder(spark)}/rates-{uuid.uuid4().hex}"
+    schema = "camera_id int, ts_ms long"
+    spark.createDataFrame([(1, 100), (1, 2000)], schema).write.parquet(f"{base}/in")
+    stream = monitors.rate_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), 1, 5000, silent_ms=1000)
+    query = stream.writeStream.format("memory").queryName("silent_rates").option("checkpointLocation", f"{base}/log").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(240):
+            found = {(r.window_start, r.fps) for r in spark.table("silent_rates").filter("kind = 'rate'").collect()}
+            if len(found) >= 5:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert {(0, 1.0), (1000, 0.0), (2000, 1.0), (3000, 0.0), (4000, 0.0)} <= found
