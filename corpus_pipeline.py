@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import decontaminate, line_dedup, minhash, packing, quality
-from kerbside.llm.common import materialise
+from kerbside.llm.common import materialised_alone
 from kerbside.llm.queries import public_tokenizer
 
 #: The stages are not expressible in SQL (MinHash, a tokenizer's ids, bin packing); tests/llm compares them with brute force.
@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; returns the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialised_alone(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
