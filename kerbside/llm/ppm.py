@@ -8,7 +8,9 @@ needs of contexts that go on in other buckets is summed apart. Texts are lower-c
 Word counts travel likewise: each block asks the buckets that own its words for their counts.
 
 Null text: an empty document (its end is scored). A null id counts as training. Equal ids stay separate rows; an
-empty table gives an empty result. Invalid UTF-8 isn't possible in a string column; byte 0xFF is free for the frame.
+empty table gives an empty result. Very long texts are scored whole, their grams cut ``BYTES_AT_ONCE`` at a time; a block holds whole texts, so one longer than a block is a block.
+Only the id and the text are read, so other columns may have any names. Probabilities travel as float32, so each byte's log10 probability is off by 3e-8 at most and ``score`` by that
+times the text's bytes. Invalid UTF-8 isn't possible in a string column; byte 0xFF is free for the frame.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ the labelled URLs (shrunk to the mean). The trees are Spark's own (``pyspark.ml`
 labelled URLs, those with the smallest hash; all URLs are counted for the suffix statistics and all are judged.
 
 Null URLs and URLs without ``://`` have an empty host and path; no rule fits them and the trees judge them. Rows of equal id or URL
-are judged each. If there are no labels, or all are the same, everything gets that label's verdict (allow without labels).
+are judged each. Very long URLs are cut and measured whole, by expressions that pass over them a few times. An empty table of URLs gives an empty result, whatever the labels. Only the
+id and the URL are read, so other columns may have any names. If there are no labels, or all are the same, everything gets that label's verdict (allow without labels).
 """
 
 from __future__ import annotations
