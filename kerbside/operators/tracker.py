@@ -122,7 +122,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def matched(dist: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    pairs = solve(limit - dist.astype(float)) if dist.size else []
+    gain = limit - dist.astype(float)
+    near = gain > 0
+    if not dist.size or (near.sum(axis=0).max() <= 1 and near.sum(axis=1).max() <= 1):
+        pairs = [(i, j) for i, j in np.argwhere(near).tolist()]  # nobody has a choice
+    else:
+        pairs = solve(gain)
     rows, columns = {i for i, _ in pairs}, {j for _, j in pairs}
     return pairs, [i for i in range(dist.shape[0]) if i not in rows], [j for j in range(dist.shape[1]) if j not in columns]
 

@@ -383,3 +383,12 @@ def test_frame_files_as_a_stream(spark, tmp_path):
             frames, rejects = (drained(x, n) for x, n in ((frames, "frames"), (rejects, "rejects")))
         assert {(os.path.basename(r.image.origin), bytes(r.image.data)) for r in frames.collect()} == {(f"{k}.png", pixels.tobytes()) for k in (0, 1, 3)}
         assert [(os.path.basename(r.image.origin), r.code) for r in rejects.collect()] == [("2.png", 331)]
+
+
+def test_matches_without_a_choice_are_those_of_the_solver():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        dist = rng.choice([0.2, 0.5, 0.95, 1.0], (rng.integers(0, 5), rng.integers(0, 5)), p=[0.1, 0.1, 0.4, 0.4]).astype(np.float32)
+        pairs, rows, columns = tracker.matched(dist, 0.9)
+        assert pairs == (assignment.solve(0.9 - dist.astype(float)) if dist.size else [])
+        assert sorted([i for i, _ in pairs] + rows) == list(range(dist.shape[0])) and sorted([j for _, j in pairs] + columns) == list(range(dist.shape[1]))
