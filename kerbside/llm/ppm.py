@@ -121,12 +121,27 @@ def _turned(gram: Column, order: int) -> Column:
     return sum((F.shiftleft(F.shiftright(gram, 8 * (k + 1)).bitwiseAND(255), 8 * (order - 1 - k)) for k in range(order)), F.lit(0).cast("long"))
 
 
-def cut_contexts(top: DataFrame, buckets: int, order: int) -> np.ndarray:
-    """Turned contexts at which the grams pass from bucket to bucket, ascending: fewer than ``buckets``."""
-    if not order or buckets < 2:
+def cut_contexts(top: DataFrame, deal: blocks.Deal, order: int) -> np.ndarray:
+    """Turned contexts at which the grams pass from bucket to bucket, ascending: fewer than there are buckets. They are the cuts of equal parts, which are cut again where there are fine
+    buckets; eight bytes a bucket come to the driver."""
+    if not order or deal.coarse * deal.fine < 2:
         return np.zeros(0, np.int64)
-    cuts = top.agg(F.percentile_approx(_turned(F.col("gram"), order), [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
-    return np.array(sorted(set(cuts) - {0}), np.int64)
+
+    def even(parts: int):
+        return F.percentile_approx("context", [k / parts for k in range(1, parts)], 100 * parts)
+
+    contexts = top.select(_turned(F.col("gram"), order).alias("context"))
+    cuts = set((contexts.agg(even(deal.coarse)).first()[0] or []) if deal.coarse > 1 else [])
+    if deal.fine > 1:
+        found = np.array(sorted(cuts), np.int64)
+
+        def placed(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(found, batch.column(0).to_numpy(), "right").astype(np.int32)), batch.column(0)], names=["part", "context"])
+
+        for row in contexts.mapInArrow(placed, "part int, context long").groupBy("part").agg(even(deal.fine).alias("cuts")).toLocalIterator():
+            cuts.update(row.cuts)
+    return np.array(sorted(cuts - {0}), np.int64)
 
 
 def edge_contexts(cuts: np.ndarray, bucket: int, order: int) -> list[set[int]]:
@@ -139,7 +154,7 @@ def edge_contexts(cuts: np.ndarray, bucket: int, order: int) -> list[set[int]]:
 
 def model_rows(top: DataFrame, deal: blocks.Deal, cuts: np.ndarray, order: int) -> DataFrame:
     """(bucket, k, gram, n): each bucket's grams of the highest order, and of its edge contexts all grams of the lower orders."""
-    labels = np.array(deal.buckets, np.int32)
+    labels = deal.fine_labels(np.arange(len(cuts) + 1))
 
     def owned(batches):
         for batch in batches:
@@ -147,15 +162,29 @@ def model_rows(top: DataFrame, deal: blocks.Deal, cuts: np.ndarray, order: int)
             at = np.searchsorted(cuts, turned(gram, order) >> 8, "right")
             yield pa.RecordBatch.from_arrays([pa.array(labels[at]), pa.array(np.full(len(gram), order, np.int32)), batch.column(0), batch.column(1)], names=["bucket", "k", "gram", "n"])
 
+    def at_edges(batches):
+        for batch in batches:
+            rows = [(int(labels[b]), k, c) for b in batch.column(0).to_pylist() for k, found in enumerate(edge_contexts(cuts, b, order)) for c in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64()))], names=["bucket", "k", "context"])
+
     rows = top.select("gram", "n").mapInArrow(owned, "bucket int, k int, gram long, n long")
-    edges = [(int(labels[b]), k, c) for b in range(len(cuts) + 1) for k, found in enumerate(edge_contexts(cuts, b, order)) for c in sorted(found)]
-    if not edges:
+    if not len(cuts):
         return rows
-    wanted = top.sparkSession.createDataFrame(edges, "bucket int, k int, context long")  # by the number of buckets, not by the corpus
+    spark, schema = top.sparkSession, "bucket int, k int, context long"
+    few = deal.groups == 1  # at most two contexts an order for each of GROUP_BLOCKS / 2 buckets
+    if few:
+        wanted = spark.createDataFrame([(int(labels[b]), k, c) for b in range(len(labels)) for k, found in enumerate(edge_contexts(cuts, b, order)) for c in sorted(found)], schema)
+    else:
+        wanted = materialise(spark.range(len(labels)).mapInArrow(at_edges, schema), "ppm-edges")
     for k in range(order):
-        mine = F.broadcast(wanted.filter(F.col("k") == k))
+        mine = wanted.filter(F.col("k") == k)
         lower = top.select(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram"), "n").withColumn("context", F.shiftright("gram", 8))
-        known = lower.join(F.broadcast(mine.select("context").distinct()), "context").groupBy("context", "gram").agg(F.sum("n").alias("n"))
+        if few:
+            mine = F.broadcast(mine)
+            lower = lower.join(F.broadcast(mine.select("context").distinct()), "context")
+        known = lower.groupBy("context", "gram").agg(F.sum("n").alias("n"))
+        if not few and k < 2:  # every bucket asks for the same few contexts; they have at most 65,536 grams
+            known = F.broadcast(known)
         rows = rows.unionByName(known.join(mine, "context").select("bucket", "k", "gram", "n"))
     return rows
 
@@ -176,31 +205,67 @@ def bucket_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray, edges: list[set
 
 def gram_answers(dealt: DataFrame, top: DataFrame, deal: blocks.Deal, cuts: np.ndarray, order: int) -> DataFrame:
     """(block, bucket, n): the log10 probabilities of a block's distinct grams that the bucket owns, in the order of ``block_grams``."""
+    names, schema = ["block", "bucket", "n"], "block int, bucket int, n binary"
+
+    def sendings(buckets: list[int], block: int, keys: np.ndarray, edges: np.ndarray, full: np.ndarray) -> pa.Table:
+        blobs = [blocks.packed(keys[edges[k] : edges[k + 1]].view(np.uint64)) for k in full]
+        return pa.table([pa.array(buckets, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
+
+    def gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        keys = [blocks.unpacked(x).view(np.int64) for x in table.column("keys").to_pylist()]
+        distinct = np.zeros(0, np.int64)
+        for at in range(0, len(keys), 16):
+            distinct = np.union1d(distinct, np.concatenate(keys[at : at + 16]))
+        return keys, distinct
+
+    def told(table: pa.Table, keys: list[np.ndarray], distinct: np.ndarray, values: np.ndarray) -> pa.Table:
+        return pa.table([table.column("block"), table.column("bucket"), pa.array([blocks.plane_bytes(values[np.searchsorted(distinct, x)]) for x in keys], pa.binary())], names=names)
+
+    def fine_cuts(coarse: int) -> np.ndarray:
+        return cuts[coarse * deal.fine :][: deal.fine - 1]
+
     def emit(table: pa.Table) -> pa.Table:
         keys = distinct_grams([(t or b"").lower() for t in table.column(2).cast(pa.large_binary()).to_pylist()], order)
-        edges = gram_edges(keys, cuts)
-        full = np.flatnonzero(np.diff(edges))
-        return pa.table([pa.array([deal.buckets[k] for k in full], pa.int32()), pa.array([table.column(0)[0].as_py()] * len(full), pa.int32()), pa.array([blocks.packed(keys[edges[k] : edges[k + 1]].view(np.uint64)) for k in full], pa.binary())], names=["bucket", "block", "keys"])
+        edges = gram_edges(keys, coarse_cuts(cuts, deal))
+        full, number = np.flatnonzero(np.diff(edges)), table.column(0)[0].as_py()
+        return sendings([deal.bucket_label(number, int(k)) for k in full], number, keys, edges, full)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["block", "bucket", "n"]
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=names)
-        keys = [blocks.unpacked(x).view(np.int64) for x in left.column("keys").to_pylist()]
-        distinct = np.zeros(0, np.int64)
-        for at in range(0, len(keys), 16):
-            distinct = np.union1d(distinct, np.concatenate(keys[at : at + 16]))
-        bucket = deal.bucket_at[left.column("bucket")[0].as_py()]
+        keys, distinct = gathered(left)
+        bucket = deal.fine_index(left.column("bucket")[0].as_py())
         model = bucket_model(*(right.column(c).to_numpy() for c in ("k", "gram", "n")), edge_contexts(cuts, bucket, order), order)
         grams = turned(distinct, order)  # turned twice: as they were
         rank = np.argsort(grams)
         values = np.empty(len(grams), "<f4")
         values[rank] = model.log10(grams[rank])
-        answers = [blocks.plane_bytes(values[np.searchsorted(distinct, x)]) for x in keys]
-        return pa.table([left.column("block"), left.column("bucket"), pa.array(answers, pa.binary())], names=names)
+        return told(left, keys, distinct, values)
+
+    def merge(table: pa.Table) -> pa.Table:
+        label = table.column("bucket")[0].as_py()
+        coarse, distinct = deal.bucket_index(label), gathered(table)[1]
+        edges = gram_edges(distinct, fine_cuts(coarse))
+        full = np.flatnonzero(np.diff(edges))
+        return sendings((coarse * deal.fine + full).tolist(), label, distinct, edges, full)
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        coarse, (keys, distinct) = deal.bucket_index(left.column("bucket")[0].as_py()), gathered(left)
+        edges, values = gram_edges(distinct, fine_cuts(coarse)), np.empty(len(distinct), "<f4")
+        for k, blob in zip(right.column("fine").to_pylist(), right.column("n").to_pylist()):
+            values[edges[k - coarse * deal.fine] : edges[k - coarse * deal.fine + 1]] = blocks.plane_array(blob, "<f4")
+        return told(left, keys, distinct, values)
+
+    def settle(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("bucket").cogroup(model_rows(top, deal, cuts, order).groupBy("bucket")).applyInArrow(answer, schema)
 
     sent = dealt.groupBy("block").applyInArrow(emit, "bucket int, block int, keys binary")
-    return sent.groupBy("bucket").cogroup(model_rows(top, deal, cuts, order).groupBy("bucket")).applyInArrow(answer, "block int, bucket int, n binary")
+    return blocks.answered(sent, deal, settle, merge, spread, schema)
+
+
+def coarse_cuts(cuts: np.ndarray, deal: blocks.Deal) -> np.ndarray:
+    """The cuts between coarse buckets: each of those holds ``deal.fine`` ranges."""
+    return cuts[deal.fine - 1 :: deal.fine]
 
 
 def gram_edges(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -212,7 +277,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", para
     """A row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     order, deal = params.order, blocks.Deal(docs, text_col)
     top = materialise(gram_counts(docs, id_col, text_col, params), "ppm-grams")
-    dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
+    dealt = blocks.dealt(docs, deal, id_col, text_col)
 
     class Words:
         def __init__(self, table: pa.Table) -> None:
@@ -222,28 +287,52 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", para
             self.held = np.fromiter((params.held_out(key) for key, _ in self.rows), bool, len(hashes))
             self.keys, self.at = np.unique(np.concatenate(hashes), return_inverse=True)
 
-    def emit(table: pa.Table) -> pa.Table:
-        words = Words(table)
-        n = np.bincount(words.at[np.repeat(~words.held, words.sizes)], minlength=len(words.keys)).astype("<u4")
-        edges = blocks.bucket_edges(words.keys, buckets)
-        full = np.flatnonzero(np.diff(edges))
+    def sendings(buckets: list[int], block: int, keys: np.ndarray, n: np.ndarray, edges: np.ndarray, full: np.ndarray) -> pa.Table:
         spans = [(edges[k], edges[k + 1]) for k in full]
-        return pa.table([pa.array([deal.buckets[k] for k in full], pa.int32()), pa.array([table.column(0)[0].as_py()] * len(full), pa.int32()), pa.array([blocks.packed(words.keys[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(n[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "keys", "n"])
+        return pa.table([pa.array(buckets, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([blocks.packed(keys[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(n[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "keys", "n"])
 
-    def total(table: pa.Table) -> pa.Table:
+    def gathered(table: pa.Table):
+        """The distinct words' hashes of all senders, their sums, each sent one's place among them and where a sender's end."""
         keys = [blocks.unpacked(x) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([blocks.plane_array(x, "<u4") for x in table.column("n").to_pylist()]).astype(np.int64)
-        sizes = list(map(len, keys))
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(distinct), np.int64)
-        np.add.at(sums, at, n)
-        answers = [blocks.plane_bytes(x) for x in np.split(sums[at], np.cumsum(sizes)[:-1])]
-        once = [1] + [0] * (len(sizes) - 1)  # the bucket's own totals stand in one of its rows
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(answers, pa.binary()), pa.array([x * int(n.sum()) for x in once], pa.int64()), pa.array([x * int((sums > 0).sum()) for x in once], pa.int64())], names=["block", "bucket", "n", "tokens", "kinds"])
+        np.add.at(sums, at, np.concatenate([blocks.plane_array(x, "<i8") for x in table.column("n").to_pylist()]))
+        return distinct, sums, at, np.cumsum(list(map(len, keys)))
+
+    def told(table: pa.Table, sums: np.ndarray, at: np.ndarray, ends: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+        answers = [blocks.plane_bytes(x) for x in np.split(sums[at], ends[:-1])]
+        once = [1] + [0] * (len(ends) - 1)  # the bucket's own totals stand in one of its rows
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(answers, pa.binary()), pa.array([x * tokens for x in once], pa.int64()), pa.array([x * kinds for x in once], pa.int64())], names=["block", "bucket", "n", "tokens", "kinds"])
+
+    def emit(table: pa.Table) -> pa.Table:
+        words = Words(table)
+        n = np.bincount(words.at[np.repeat(~words.held, words.sizes)], minlength=len(words.keys)).astype("<i8")
+        edges = blocks.bucket_edges(words.keys, deal.coarse)
+        full, number = np.flatnonzero(np.diff(edges)), table.column(0)[0].as_py()
+        return sendings([deal.bucket_label(number, int(k)) for k in full], number, words.keys, n, edges, full)
+
+    def total(table: pa.Table) -> pa.Table:
+        _, sums, at, ends = gathered(table)
+        return told(table, sums, at, ends, int(sums.sum()), int((sums > 0).sum()))
+
+    def merge(table: pa.Table) -> pa.Table:
+        label = table.column("bucket")[0].as_py()
+        coarse, (keys, sums, _, _) = deal.bucket_index(label), gathered(table)
+        edges = blocks.fine_edges(keys, deal, coarse)
+        full = np.flatnonzero(np.diff(edges))
+        return sendings((coarse * deal.fine + full).tolist(), label, keys, sums.astype("<i8"), edges, full)
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        coarse, (keys, sums, at, ends) = deal.bucket_index(left.column("bucket")[0].as_py()), gathered(left)
+        edges = blocks.fine_edges(keys, deal, coarse)
+        for k, blob in zip(right.column("fine").to_pylist(), right.column("n").to_pylist()):
+            sums[edges[k - coarse * deal.fine] : edges[k - coarse * deal.fine + 1]] = blocks.plane_array(blob, "<i8")
+        return told(left, sums, at, ends, sum(right.column("tokens").to_pylist()), sum(right.column("kinds").to_pylist()))
 
+    schema = "block int, bucket int, n binary, tokens long, kinds long"
     sent = dealt.groupBy("block").applyInArrow(emit, "bucket int, block int, keys binary, n binary")
-    answers = materialise(sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, n binary, tokens long, kinds long"), "ppm-words")
-    cuts = cut_contexts(top, buckets, order)
+    answers = materialise(blocks.answered(sent, deal, lambda asked: asked.groupBy("bucket").applyInArrow(total, schema), merge, spread, schema), "ppm-words")
+    cuts = cut_contexts(top, deal, order)
     values = materialise(gram_answers(dealt, top, deal, cuts, order), "ppm-values")
     fold = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % params.folds, F.lit(-1))
     ends = docs.filter(fold != params.held_out_fold).count()
@@ -257,16 +346,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", para
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         words = Words(left)
-        edges = blocks.bucket_edges(words.keys, buckets)
+        edges = blocks.bucket_edges(words.keys, deal.coarse)
         n = np.zeros(len(words.keys), np.int64)
         texts = [(t or b"").lower() for _, t in words.rows]
         codes, lengths = text_grams(texts, order)
         grams = distinct_grams(texts, order)
         gram_at = places_in(grams, turned(codes, order), order)
-        gram_bounds = gram_edges(grams, cuts)
+        gram_bounds = gram_edges(grams, coarse_cuts(cuts, deal))
         logs = np.zeros(len(grams), "<f4")
         for label, of_words, blob in zip(right.column("bucket").to_pylist(), right.column("of_words").to_pylist(), right.column("n").to_pylist()):
-            k = deal.bucket_at[label]
+            k = deal.bucket_index(label)
             if of_words:
                 n[edges[k] : edges[k + 1]] = blocks.plane_array(blob, np.int64)
             else:

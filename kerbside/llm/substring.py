@@ -2,7 +2,7 @@
 
 Each block of documents hashes all its windows (a polynomial over the words' 64-bit hashes, rolled by prefix sums, in two lanes: 96 bits
 together) and sends its distinct hashes to the bucket that owns them. A bucket counts every hash over all blocks and tells all blocks but the
-first in id order that the window starts earlier elsewhere. Within a block all but the first start are known to be repeats. Covered words merge
+first in id order that the window starts earlier elsewhere; of many blocks, groups of them do so first (``blocks``). Within a block all but the first start are known to be repeats. Covered words merge
 into maximal intervals.
 
 Windows are told apart by 96 bits. With N windows the chance that any two different ones meet is about N*N / 2**97: below 1e-12 for
@@ -95,42 +95,77 @@ class Block:
         return out
 
 
+class Gathered:
+    """The hashes that several blocks, or groups of them, sent, in id order: which of them are repeats, and the distinct ones."""
+
+    def __init__(self, table: pa.Table, deal: blocks.Deal) -> None:
+        self.table = table = table.take(np.argsort([deal.block_index(x) for x in table.column("block").to_pylist()]))
+        one = [blocks.unpacked(x) for x in table.column("lane1").to_pylist()]
+        two = np.concatenate([blocks.plane_array(x, np.uint32) for x in table.column("lane2").to_pylist()])
+        self.ends, one = np.cumsum(list(map(len, one))), np.concatenate(one)
+        self.order = np.lexsort((two, one))  # stable: of equal hashes the one from the first block comes first
+        self.lane1, self.lane2 = one[self.order], two[self.order]
+        self.later = np.concatenate(([False], (self.lane1[1:] == self.lane1[:-1]) & (self.lane2[1:] == self.lane2[:-1])))
+
+    def answers(self, later: np.ndarray, buckets: pa.ChunkedArray) -> pa.Table:
+        """What to tell each sender of its hashes; later: in the order of the sorted hashes."""
+        earlier = np.empty(len(later), bool)
+        earlier[self.order] = later
+        told = [np.packbits(x).tobytes() if x.any() else None for x in np.split(earlier, self.ends[:-1])]
+        return pa.table([self.table.column("block"), buckets, pa.array(told, pa.binary())], names=["block", "bucket", "earlier"]).filter(pa.array([x is not None for x in told]))
+
+
+def told(bits: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def sendings(buckets: list[int], block: int, lane1: np.ndarray, lane2: np.ndarray, edges: np.ndarray, full: np.ndarray) -> pa.Table:
+    """A row for each bucket that gets hashes."""
+    spans = [(edges[k], edges[k + 1]) for k in full]
+    return pa.table([pa.array(buckets, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([blocks.packed(lane1[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(lane2[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "lane1", "lane2"])
+
+
 def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """A row for each row of docs: id, n_words, n_removed, intervals (maximal, [from, to) in words), kept_sha256 and, with_text, kept_text (kept words joined
     by one space)."""
     deal = blocks.Deal(docs, text_col)
-    dealt, buckets = blocks.dealt(docs, deal, id_col, text_col), len(deal.buckets)
+    dealt = blocks.dealt(docs, deal, id_col, text_col)
 
     def emit(table: pa.Table) -> pa.Table:
         block = Block(blocks.sorted_block(table), width)
-        edges = blocks.bucket_edges(block.lane1, buckets)
+        edges = blocks.bucket_edges(block.lane1, deal.coarse)
         full = np.flatnonzero(np.diff(edges))
         number = table.column(0)[0].as_py()
-        spans = [(edges[k], edges[k + 1]) for k in full]
-        return pa.table([pa.array([deal.buckets[k] for k in full], pa.int32()), pa.array([number] * len(full), pa.int32()), pa.array([blocks.packed(block.lane1[a:b]) for a, b in spans], pa.binary()), pa.array([blocks.plane_bytes(block.lane2[a:b]) for a, b in spans], pa.binary())], names=["bucket", "block", "lane1", "lane2"])
+        return sendings([deal.bucket_label(number, int(k)) for k in full], number, block.lane1, block.lane2, edges, full)
 
     def decide(table: pa.Table) -> pa.Table:
-        table = table.take(np.argsort([deal.block_at[x] for x in table.column("block").to_pylist()]))
-        one = [blocks.unpacked(x) for x in table.column("lane1").to_pylist()]
-        two = np.concatenate([blocks.plane_array(x, np.uint32) for x in table.column("lane2").to_pylist()])
-        sizes, one = list(map(len, one)), np.concatenate(one)
-        order = np.lexsort((two, one))  # stable: of equal hashes the one from the first block comes first
-        a, b = one[order], two[order]
-        later = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-        earlier = np.empty(len(a), bool)
-        earlier[order] = later
-        answers = [np.packbits(x).tobytes() if x.any() else None for x in np.split(earlier, np.cumsum(sizes)[:-1])]
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(answers, pa.binary())], names=["block", "bucket", "earlier"]).filter(pa.array([x is not None for x in answers]))
+        held = Gathered(table, deal)
+        return held.answers(held.later, held.table.column("bucket"))
+
+    def merge(table: pa.Table) -> pa.Table:
+        label, held = table.column("bucket")[0].as_py(), Gathered(table, deal)
+        lane1, lane2, coarse = held.lane1[~held.later], held.lane2[~held.later], deal.bucket_index(label)
+        edges = blocks.fine_edges(lane1, deal, coarse)
+        full = np.flatnonzero(np.diff(edges))
+        return sendings((coarse * deal.fine + full).tolist(), label, lane1, lane2, edges, full)
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        held, coarse = Gathered(left, deal), deal.bucket_index(left.column("bucket")[0].as_py())
+        edges = blocks.fine_edges(held.lane1[~held.later], deal, coarse)
+        elsewhere = np.zeros(edges[-1], bool)
+        for k, bits in zip(right.column("fine").to_pylist(), right.column("earlier").to_pylist()):
+            a, b = edges[k - coarse * deal.fine], edges[k - coarse * deal.fine + 1]
+            elsewhere[a:b] = told(bits, b - a)
+        return held.answers(held.later | elsewhere[np.cumsum(~held.later) - 1], held.table.column("bucket"))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "intervals", "kept_sha256", "kept_text")}
         block = Block(blocks.sorted_block(left), width) if left.num_rows else None
         if block:
-            edges = blocks.bucket_edges(block.lane1, buckets)
+            edges = blocks.bucket_edges(block.lane1, deal.coarse)
             earlier = np.zeros(len(block.lane1), bool)
-            for k, bits in zip(map(deal.bucket_at.get, right.column("bucket").to_pylist()), right.column("earlier").to_pylist()):
-                n = edges[k + 1] - edges[k]
-                earlier[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            for k, bits in zip(map(deal.bucket_index, right.column("bucket").to_pylist()), right.column("earlier").to_pylist()):
+                earlier[edges[k] : edges[k + 1]] = told(bits, edges[k + 1] - edges[k])
             for (key, _), words, gone in zip(block.rows, block.words, block.intervals(earlier)):
                 n = len(words)
                 if gone:
@@ -146,6 +181,7 @@ def removed(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col:
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     sent = dealt.groupBy("block").applyInArrow(emit, "bucket int, block int, lane1 binary, lane2 binary")
-    answers = sent.groupBy("bucket").applyInArrow(decide, "block int, bucket int, earlier binary")
+    schema = "block int, bucket int, earlier binary"
+    answers = blocks.answered(sent, deal, lambda asked: asked.groupBy("bucket").applyInArrow(decide, schema), merge, spread, schema)
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, "id long, n_words long, n_removed long, intervals array<array<long>>, kept_sha256 string, kept_text string")
     return found.withColumnRenamed("id", id_col) if with_text else found.drop("kept_text").withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kerbside.llm import chat, decontaminate, line_dedup, packing, ppm, quality, queries, simhash, substring, url_filter, warc
+from kerbside.llm import blocks, chat, decontaminate, line_dedup, packing, ppm, quality, queries, simhash, substring, url_filter, warc
 
 SPACE = "[^\x20\x09-\x0d]+"
 WORDS = [a + b for a in ("lo", "ra", "mi", "te", "Ko", "É") for b in ("n", "sti", "ve", "qu", "d.", "x,", "ß")]
@@ -180,7 +180,13 @@ def test_decontaminate(spark, docs, rows):
     assert none.filter("contaminated or n_hit > 0").count() == 0
 
 
-def test_substring(docs, rows):
+@pytest.fixture(params=[4096, 4, 2], ids=["one level", "two levels", "many groups"])
+def levels(request, monkeypatch):
+    """Blocks in one group, in two, and in four whose keys all go through one coarse bucket."""
+    monkeypatch.setattr(blocks, "GROUP_BLOCKS", request.param)
+
+
+def test_substring(docs, rows, levels):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     seen, expected = set(), Counter()
     for k, t in order:
@@ -198,7 +204,7 @@ def test_substring(docs, rows):
     assert sum(c for (_, _, n, _, _), c in expected.items() if n) >= 4
 
 
-def test_ppm_words_and_normalisation(docs, rows):
+def test_ppm_words_and_normalisation(docs, rows, levels):
     end, params = object(), ppm.PpmParams(order=3)
     tokens = [(k, re.findall(SPACE, lower(t)) + [end]) for k, t in rows]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
@@ -211,7 +217,7 @@ def test_ppm_words_and_normalisation(docs, rows):
     assert all(r.score < 0 for r in found.collect())
 
 
-def test_ppm_scores_use_every_gram(docs, rows):
+def test_ppm_scores_use_every_gram(docs, rows, levels):
     import dataclasses
 
     # whatever limit of the model's size there is would be passed by far
@@ -243,6 +249,42 @@ def test_ppm_scores_use_every_gram(docs, rows):
     assert all(abs(a[2] - b[2]) < 0.01 for a, b in zip(found, expected))
 
 
+def test_blocks_are_ranges_of_ids_at_both_levels(spark, monkeypatch):
+    """An id that half of all rows share, rows without an id, and groups cut again into blocks."""
+    rows = [(None, f"none {i % 3}") for i in range(40)] + [(500, f"hot {i % 50}") for i in range(300)] + [(i, f"text {i}") for i in range(300, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for limit in (4096, 4, 3, 2):
+        monkeypatch.setattr(blocks, "GROUP_BLOCKS", limit)
+        deal = blocks.Deal(docs, "text")
+        found = [(deal.block_index(r.block), r.id, r.text) for r in blocks.dealt(docs, deal, "doc_id", "text").collect()]
+        assert Counter((k, t) for _, k, t in found) == Counter(rows)
+        held = defaultdict(set)
+        for b, k, t in found:
+            held[k if k is not None else -1, t].add(b)
+        assert all(len(b) == 1 for b in held.values())  # equal rows are in one block
+        spans = defaultdict(list)
+        for b, k, _ in found:
+            spans[b].append(-1 if k is None else k)
+        ordered = [spans[b] for b in sorted(spans)]
+        assert all(max(x) <= min(y) for x, y in zip(ordered, ordered[1:]))
+        # a range holds at most two fair shares, at either level
+        assert max(map(len, ordered)) <= (2 if deal.groups == 1 else 4) * 1.2 * len(rows) / (deal.groups * deal.per_group)
+
+
+def test_blobs_do_not_grow_with_the_square(spark, monkeypatch):
+    """With blocks in groups, a block sends to the coarse buckets only and a group's bucket to its fine ones only."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(200)], "doc_id long, text string")
+    sent = []
+    answered = blocks.answered
+    monkeypatch.setattr(blocks, "answered", lambda s, deal, settle, merge, *rest: sent.extend([(deal, s, s.groupBy("bucket").applyInArrow(merge, s.schema))]) or answered(s, deal, settle, merge, *rest))
+    monkeypatch.setattr(blocks, "GROUP_BLOCKS", 8)
+    monkeypatch.setattr(blocks, "shuffle_partitions", lambda _: 32)
+    assert substring.removed(docs).filter("n_removed > 0").count() == 0
+    deal, first, second = sent[0]
+    assert (deal.groups, deal.per_group, deal.coarse, deal.fine) == (8, 8, 4, 8)
+    assert first.count() <= 64 * 4 and second.count() <= 8 * 32 and second.select("bucket").distinct().count() == 32
+
+
 def test_ppm_probabilities_sum_to_one_and_equal_a_plain_model():
     import numpy as np
 
