@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import ranges
 from kerbside.operators.detections import FRAME
+from kerbside.operators.pairs import SHUFFLED
 
 #: label -> (target type, id) (fixed values): cone, barrier, box.
 HAZARD_TYPES = {1: (33, 65536), 2: (35, 65537), 3: (21, 65538)}
@@ -23,7 +24,7 @@ def filter_hazards(candidates: DataFrame, detections: DataFrame, keys: tuple[str
     side = lambda lo, hi: F.greatest(F.lit(0), F.least(f"c.{hi}", f"d.{hi}") - F.greatest(f"c.{lo}", f"d.{lo}") + 1)
     area = (F.col("c.xmax") - F.col("c.xmin") + 1) * (F.col("c.ymax") - F.col("c.ymin") + 1)
     covered = side("xmin", "xmax") * side("ymin", "ymax") / area > max_overlap
-    return c.join(d, [*[F.col(f"c.{k}") == F.col(f"d.{k}") for k in keys], covered], "left_anti")
+    return c.join(d.hint(SHUFFLED), [*[F.col(f"c.{k}") == F.col(f"d.{k}") for k in keys], covered], "left_anti")
 
 
 def map_hazards(hazards: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def carry_hazards(frames: DataFrame, hazards: DataFrame, sampled: DataFrame, by:
     """frames with ``hazards``: the ids of the newest sampled frame so far; a sampled frame without any replaces as well. A camera is done in ranges of width frames."""
     sets = hazards.groupBy(by, order).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
     none = F.array().cast("array<bigint>")
-    at = sampled.select(by, order, F.lit(True).alias("sampled")).join(sets, [by, order], "left")
+    at = sampled.select(by, order, F.lit(True).alias("sampled")).join(sets.hint(SHUFFLED), [by, order], "left")
     newest = at.select(by, order, F.coalesce("ids", none).alias("ids"))
-    known = frames.join(newest, [by, order], "left")
+    known = frames.join(newest.hint(SHUFFLED), [by, order], "left")
     return ranges.carried(known, by, order, "ids", width, "newest_").withColumn("hazards", F.coalesce("newest_", none)).drop("ids", "newest_")
