@@ -70,14 +70,18 @@ def health_events(scores: DataFrame, threshold: float = 0.8, id_col: str = "img_
     return scores.withColumn("code", code).filter((F.col("score") > threshold) & F.col("code").isNotNull()).select(id_col, "metric", "score", F.lit("WARN").alias("level"), "code")
 
 
-def image_checks(frames: DataFrame, every: int = 840, threshold: float = 0.8) -> DataFrame:
+def image_checks(frames: DataFrame, every: int = 840, threshold: float = 0.8, pictures: DataFrame | None = None, on: str = "img_id") -> DataFrame:
     """Image health at a cadence: of every ``every``-th frame of a camera (frames: camera_id, frame_id, image) a row for each metric (metric, score, level, code),
-    a warning over the threshold, and one that says by score 1 or 0 whether it is day or night."""
+    a warning over the threshold, and one that says by score 1 or 0 whether it is day or night. With pictures (on, image) frames have the number of theirs instead of the image, so
+    that none but the sampled frames meet an image."""
     from kerbside.operators import images
     from kerbside.operators.boxes import cadence_sample
 
     place = F.struct("camera_id", "frame_id")
-    sampled = cadence_sample(frames, every).select(F.xxhash64(place).alias("img_id"), "camera_id", "frame_id", "image")
+    sampled = cadence_sample(frames, every)
+    if pictures is not None:
+        sampled = sampled.join(pictures.select(on, "image"), on)
+    sampled = sampled.select(F.xxhash64(place).alias("img_id"), "camera_id", "frame_id", "image")
     scored = images.score_images(sampled, carry=["camera_id", "frame_id"])
     code = F.lit(None).cast("int")
     for metric, name in METRIC_KEYS.items():

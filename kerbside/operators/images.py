@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: 15-bit weights of blue, green and red in luma, and of linear blue, green and red in CIE Y (fixed values).
 LUMA = (3735, 19235, 9798)
@@ -95,10 +95,51 @@ def score_images(images: DataFrame, id_col: str = "img_id", metrics: tuple[str,
     return flat.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
+def _gathered(batches, keyed):
+    """Batches (img_id, place, colour) of pixels as batches with a row for each image's run of them: img_id, and its places and colours as bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, place, colour = (batch.column(k) for k in range(3))
+        number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        edges = np.concatenate(([0], np.flatnonzero((number[1:] != number[:-1]) | (null[1:] != null[:-1])) + 1, [len(number)]))
+        blobs = [_bytes_at(c.to_numpy(zero_copy_only=False), edges) for c in (place, colour)]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(edges[:-1])), *blobs], schema=keyed)
+
+
+def _bytes_at(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Runs of values as binary rows."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def packed(pixels: DataFrame) -> DataFrame:
-    """Long-form pixels (img_id, r, c, b, g, rr) to (img_id, image)."""
-    rows = pixels.groupBy("img_id").agg(F.sort_array(F.collect_list(F.struct("r", "c", "b", "g", "rr"))).alias("p"), (F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
-    byte = lambda v: F.lpad(F.hex(v), 2, "0")
-    data = F.unhex(F.array_join(F.transform("p", lambda x: F.concat(byte(x["b"]), byte(x["g"]), byte(x["rr"]))), ""))
-    image = F.struct(F.lit("").alias("origin"), "height", "width", F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
-    return rows.select("img_id", image.alias("image"))
+    """Long-form pixels (img_id, r, c, b, g, rr) to (img_id, image). What stands together of an image is put together before the shuffle, so runs of pixels move, not pixels."""
+    c = F.col
+    place = F.shiftleft(F.coalesce("r", F.lit(-1)).cast("long"), 32) + F.coalesce("c", F.lit(-1))
+    colour = F.coalesce(F.shiftleft(c("b").cast("int"), 16) + F.shiftleft(c("g").cast("int"), 8) + c("rr"), F.lit(-1)).cast("int")
+    rows = pixels.select("img_id", place.alias("place"), colour.alias("colour"))
+    runs_schema = StructType([rows.schema["img_id"], StructField("places", BinaryType()), StructField("colours", BinaryType())])
+    keyed = to_arrow_schema(runs_schema)
+    pieces = rows.mapInArrow(lambda batches: _gathered(batches, keyed), runs_schema)
+    whole = pieces.groupBy("img_id").agg(F.collect_list(F.struct("places", "colours")).alias("runs"))
+    out = StructType([rows.schema["img_id"], StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("data", BinaryType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            sizes, data = [], []
+            for found in batch.column(1):
+                places = np.frombuffer(b"".join(x["places"].as_py() for x in found.values), np.int64)
+                colours = np.frombuffer(b"".join(x["colours"].as_py() for x in found.values), np.int32)
+                if (places[1:] < places[:-1]).any():
+                    by = np.lexsort((colours, places))
+                    places, colours = places[by], colours[by]
+                sizes.append((int((places >> 32).max()) + 1, int(places.astype(np.int32).max()) + 1))
+                data.append(colours[colours >= 0].astype(">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())
+            if data:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int32()) for x in zip(*sizes)], pa.array(data, pa.binary())], schema=arrow)
+
+    image = F.struct(F.lit("").alias("origin"), "height", "width", F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")
+    return whole.mapInArrow(run, out).select("img_id", image.alias("image"))

@@ -1,9 +1,12 @@
 """What keeps queries within bounds on large tables: work is dealt out before rows become many, and no join broadcasts a side as large as its input."""
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import ranges, tracker
+from kerbside.operators import assignment, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,36 @@ def test_ranges_broadcast_no_rows(spark):
     for found in (ranges.previous(frames, "camera_id", "frame_id", 100, "p"), ranges.numbered(frames, "camera_id", "frame_id", 100, "k")):
         assert "BuildLeft" not in planned(found)
     assert ranges.numbered(frames, "camera_id", "frame_id", 100, "k").filter("k <> frame_id").count() == 0
+
+
+def test_small_clusters_are_settled_together_as_by_trying_all():
+    rng, alike = np.random.default_rng(1), lambda x: len(set(x.tolist())) == len(x)
+    for _ in range(100):
+        shape = [(f, a, b) for f in range(3) for a in range(rng.integers(1, 5)) for b in range(4)]
+        rows = [(*r, rng.random() + 0.01) for r in shape if rng.random() < 0.4]
+        if not rows:
+            continue
+        frame, a, b, gain = (np.array(x) for x in zip(*rows))
+        taken = assignment.settled(frame, a, b, gain)
+        for f in set(frame.tolist()):
+            own = np.flatnonzero(frame == f)
+            most = 0.0
+            for k in range(1, 5):
+                for some in map(list, itertools.combinations(own.tolist(), k)):
+                    if alike(a[some]) and alike(b[some]):
+                        most = max(most, gain[some].sum())
+            got = own[taken[own]]
+            assert alike(a[got]) and alike(b[got]) and abs(gain[got].sum() - most) < 1e-9
+
+
+def test_pixels_of_an_image_move_as_runs(spark):
+    pixels = fixtures.fixture(spark, SF, "fx_pixels")
+    plan = planned(images.packed(pixels))
+    assert plan.index("MapInArrow", plan.index("Exchange hashpartitioning")) > 0  # the inner one is below the shuffle
+    mixed = images.packed(pixels.repartition(7, "r", "c")).select("img_id", "image.height", "image.width", F.md5("image.data").alias("data"))
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, images.packed(pixels).select("img_id", "image.height", "image.width", F.md5("image.data").alias("data")).collect()))
+
+
+def test_only_sampled_frames_meet_their_image(spark):
+    plan = planned(scenes.image_health(spark, SF))
+    assert "img_id" in plan and all("image" not in line for line in plan.splitlines() if "Window" in line)
