@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes
+from kerbside.streaming import drain
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,21 @@ def test_pixels_of_an_image_move_as_runs(spark):
 def test_only_sampled_frames_meet_their_image(spark):
     plan = planned(scenes.image_health(spark, SF))
     assert "img_id" in plan and all("image" not in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(drain.cuts_of, "__defaults__", (3, 500))
+    frames = fixtures.fixture(spark, SF, "fx_frames").select("camera_id", "frame_id")
+    sizes = []
+    stream = drain.as_stream(frames, "sizes", "frame_id")
+    stream.writeStream.foreachBatch(lambda batch, k: sizes.append(batch.agg(F.count("*"), F.min("frame_id"), F.max("frame_id")).first())).trigger(availableNow=True).start().awaitTermination()
+    assert sum(s[0] for s in sizes) == frames.count() and max(s[0] for s in sizes) < 700
+    assert all(a[2] < b[1] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_parts_without_rows_keep_their_turn(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"))
+    turns = []
+    stream = drain.as_stream(rows, "turns", "k", cuts=[9, 200, 300])
+    stream.writeStream.foreachBatch(lambda batch, k: turns.append(batch.count())).trigger(availableNow=True).start().awaitTermination()
+    assert turns == [10, 90, 0, 0]
