@@ -170,31 +170,34 @@ class RateProcessor(Ordered):
         rate = [(start, n / self.seconds, None, "rate")]
         return rate if n else [*rate, (start, 0.0, code_of("no_infer_data"), "none")]
 
-    def _until(self, until: int, closing: bool) -> list[tuple]:
-        """Closes windows up to the one of until, and that too with closing."""
-        size, out = self.seconds * 1000, []
-        if self.open.exists():
-            start, n = self.open.get()
-            while start < until // size * size:
-                out += self._closed(start, n)
-                start, n = start + size, 0
-            self.open.update((start, n))
-            if closing:
-                out += self._closed(start, n)
-                self.open.clear()
-        return out
+    def _until(self, open_: tuple[int, int] | None, until: int, out: list[tuple]) -> tuple[int, int] | None:
+        """Closes windows up to the one of until; the one that is open then."""
+        if open_ is None:
+            return None
+        (start, n), size = open_, self.seconds * 1000
+        while start < until // size * size:
+            out += self._closed(start, n)
+            start, n = start + size, 0
+        return start, n
 
     def released(self, rows: list[tuple]) -> list[tuple]:
         size, out = self.seconds * 1000, []
+        now = tuple(self.open.get()) if self.open.exists() else None  # read and kept once for all rows
         for (ts,) in rows:
-            out += self._until(ts, False)
-            start, n = self.open.get() if self.open.exists() else (ts // size * size, 0)
-            self.open.update((start, n + 1))
+            now = self._until(now, ts, out) or (ts // size * size, 0)
+            now = (now[0], now[1] + 1)
         _, passed = self.time.get()
-        return out + self._until(passed + 1, False)  # a clock moves windows on as well
+        now = self._until(now, passed + 1, out)  # a clock moves windows on as well
+        if now is not None:
+            self.open.update(now)
+        return out
 
     def ended(self) -> list[tuple]:
-        return self._until(-1 << 62, True)
+        if not self.open.exists():
+            return []
+        found = self._closed(*self.open.get())
+        self.open.clear()
+        return found
 
     def late(self, row: tuple) -> tuple:
         return (row[0], None, None, "late")

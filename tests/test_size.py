@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes
-from kerbside.streaming import drain
+from kerbside.streaming import drain, monitors
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +99,26 @@ def test_parts_without_rows_keep_their_turn(spark):
     stream = drain.as_stream(rows, "turns", "k", cuts=[9, 200, 300])
     stream.writeStream.foreachBatch(lambda batch, k: turns.append(batch.count())).trigger(availableNow=True).start().awaitTermination()
     assert turns == [10, 90, 0, 0]
+
+
+def test_rates_read_and_keep_their_window_once_for_all_rows():
+    class Kept:
+        def __init__(self, value=None):
+            self.value, self.calls = value, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    rates = monitors.RateProcessor(0, 5, None)
+    rates.open, rates.time = Kept(), Kept((20_000, 20_000))
+    out = rates.released([(ts,) for ts in range(0, 20_001, 40)])
+    assert [r[:2] for r in out] == [(k * 5000, 25.0) for k in range(4)] and rates.open.value == (20_000, 1)
+    assert rates.open.calls < 5
