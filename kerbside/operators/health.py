@@ -80,7 +80,7 @@ def image_checks(frames: DataFrame, every: int = 840, threshold: float = 0.8, pi
     place = F.struct("camera_id", "frame_id")
     sampled = cadence_sample(frames, every)
     if pictures is not None:
-        sampled = sampled.join(pictures.select(on, "image"), on)
+        sampled = sampled.join(pictures.select(on, "image").hint("merge"), on)
     sampled = sampled.select(F.xxhash64(place).alias("img_id"), "camera_id", "frame_id", "image")
     scored = images.score_images(sampled, carry=["camera_id", "frame_id"])
     code = F.lit(None).cast("int")
