@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, images, ranges, tracker
-from kerbside.plans import fixtures, geometry, scenes
+from kerbside.plans import fixtures, geometry, scenes, tracks
 from kerbside.streaming import drain, monitors
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,29 @@ def test_rates_read_and_keep_their_window_once_for_all_rows():
     out = rates.released([(ts,) for ts in range(0, 20_001, 40)])
     assert [r[:2] for r in out] == [(k * 5000, 25.0) for k in range(4)] and rates.open.value == (20_000, 1)
     assert rates.open.calls < 5
+
+
+@pytest.fixture
+def eager(spark):
+    """Spark broadcasts what it may: its estimates of compressed files and of rows out of arrays are as low as this limit is high."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def broadcast_joins(df):
+    return [line for line in planned(df).splitlines() if "BroadcastHashJoin" in line]
+
+
+@pytest.mark.parametrize("name", ["track_points", "track_colors", "track_messages"])
+def test_track_rows_are_not_broadcast(eager, monkeypatch, name):
+    monkeypatch.setattr(tracks, "written", lambda df, _: df)  # with the tracker's last step in the plan
+    monkeypatch.setattr(tracks, "_TRACKED", {})
+    joins = broadcast_joins(tracks.QUERIES[name](eager, SF))
+    assert all(c not in line for line in joins for c in ("track_id", "start_frame", "frame_id")), joins
+
+
+def test_slices_broadcast_no_rows_of_a_camera(eager):
+    frames = fixtures.fixture(eager, SF, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
+    joins = broadcast_joins(tracker._sliced(fixtures.fixture(eager, SF, "fx_detections").drop("vehicle_id"), frames, tracker.TrackParams(), tracker.SliceParams()))
+    assert joins and all("segment" not in line and "BuildLeft" not in line for line in joins), joins
