@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 INDEX = "day string, key string, name string, file string, offset long, length long"
 
 
-def _files(folder: str):
+def filesystem(folder: str):
+    """The file system of a folder or its URI, and its path there."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
@@ -28,7 +29,7 @@ def write_bundles(texts: DataFrame, folder: str, texts_a_file: int = 10_000, lab
     dealt = texts.select("day", "key", "name", "text").repartitionByRange(parts, "day", "name", "key").sortWithinPartitions("day", "name", "key")
 
     def run(batches):
-        files, root = _files(folder)
+        files, root = filesystem(folder)
         context = TaskContext.get()
         day, out, at, name = None, None, 0, ""
 
@@ -65,7 +66,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """The texts of an index: day, key, name, text; each read by its place alone."""
 
     def run(batches):
-        files, root = _files(folder)
+        files, root = filesystem(folder)
         now, stream = None, None
         for batch in batches:
             day, key, name, file, offset, length = (batch.column(k).to_pylist() for k in range(6))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbside.operators import assignment, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes, tracks
+from kerbside.sources import frames as frame_files
 from kerbside.streaming import drain, monitors
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +149,22 @@ def test_slices_broadcast_no_rows_of_a_camera(eager):
     frames = fixtures.fixture(eager, SF, "fx_frames").groupBy("camera_id").agg(F.max("frame_id").alias("last_frame"))
     joins = broadcast_joins(tracker._sliced(fixtures.fixture(eager, SF, "fx_detections").drop("vehicle_id"), frames, tracker.TrackParams(), tracker.SliceParams()))
     assert joins and all("segment" not in line and "BuildLeft" not in line for line in joins), joins
+
+
+def test_image_files_share_bundles(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    whole = {k: rng.integers(0, 256, (k + 1, 3, 3), np.uint8) for k in (0, 1, 3, 4)}
+    made = [(k, ("", k + 1, 3, 3, 16, p.tobytes())) for k, p in whole.items()] + [(2, ("", 2, 2, 3, 16, b"abc")), (5, ("", 2, 2, 3, 16, None))]
+    path = f"file://{tmp_path}/frames"
+    index = frame_files.write_frame_bundles(spark.createDataFrame(made, "img_id long, " + frame_files.IMAGE).coalesce(1), path, images_a_file=4)
+    assert len(list((tmp_path / "frames" / "bundles").iterdir())) == 2 and index.count() == 6
+    good, bad = frame_files.read_frame_bundles(index, path)
+    assert {r.id: (r.image.height, r.image.width, bytes(r.image.data)) for r in good.collect()} == {k: (k + 1, 3, p.tobytes()) for k, p in whole.items()}
+    assert sorted((r.id, r.code) for r in bad.collect()) == [(2, 331), (5, 331)]
+
+
+def test_pngs_that_are_broken_have_no_pixels():
+    file = frame_files.png(np.arange(36, dtype=np.uint8).reshape(3, 4, 3))
+    assert frame_files.unpng(file) == (3, 4, bytes(range(36)))
+    broken = [file[:k] for k in range(len(file) - 8)] + [file[:50] + bytes([file[50] ^ 1]) + file[51:], b""]
+    assert {frame_files.unpng(x) for x in broken} == {(-1, -1, b"")}
