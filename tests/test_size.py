@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import assignment, images, ranges, tracker
+from kerbside.operators import assignment, detections, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes, tracks
 from kerbside.sources import frames as frame_files
 from kerbside.streaming import drain, monitors
@@ -168,3 +168,8 @@ def test_pngs_that_are_broken_have_no_pixels():
     assert frame_files.unpng(file) == (3, 4, bytes(range(36)))
     broken = [file[:k] for k in range(len(file) - 8)] + [file[:50] + bytes([file[50] ^ 1]) + file[51:], b""]
     assert {frame_files.unpng(x) for x in broken} == {(-1, -1, b"")}
+
+
+def test_decoding_is_compiled(spark):
+    plan = planned(detections.decode_multilabel(fixtures.fixture(spark, SF, "fx_raw_outputs")))
+    assert "lambda" not in plan and "posexplode" in plan
