@@ -1,12 +1,13 @@
 """What keeps queries within bounds on large tables: work is dealt out before rows become many, and no join broadcasts a side as large as its input."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import assignment, detections, images, ranges, tracker
+from kerbside.operators import assignment, boxes, detections, images, ranges, tracker
 from kerbside.plans import fixtures, geometry, scenes, tracks
 from kerbside.sources import frames as frame_files
 from kerbside.streaming import drain, monitors
@@ -173,3 +174,25 @@ def test_pngs_that_are_broken_have_no_pixels():
 def test_decoding_is_compiled(spark):
     plan = planned(detections.decode_multilabel(fixtures.fixture(spark, SF, "fx_raw_outputs")))
     assert "lambda" not in plan and "posexplode" in plan
+
+
+@pytest.mark.parametrize("query", [geometry.dequantize, geometry.decode_bestclass])
+def test_decoding_is_compiled_and_writes_no_decimals(spark, query):
+    found = planned(query(spark, SF))
+    assert "lambdafunction" not in found and "transform(" not in found and "round(" not in found
+
+
+def test_dequantized_values_are_those_of_the_array(spark):
+    df = spark.createDataFrame([(1, [10, -20, 30]), (2, [5]), (3, None)], "k int, q array<tinyint>")
+    array = {r.k: r.q for r in detections.dequantize(df, "q", 0.01).collect()}
+    found = {r.k: list(r[1:]) for r in detections.dequantize(df, "q", 0.01, ("a", "b", "c")).collect()}
+    assert found == {1: array[1], 2: [*array[2], None, None], 3: [None] * 3}
+
+
+def test_rounded_goes_by_sql_rules(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, -0.49999999999999994, 2.0**52 - 0.5, 2.0**53 + 2, -1e300, math.inf, -math.inf, None]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(boxes.rounded("v", 0)).collect()]
+    assert found == [1.0, 2.0, 3.0, -1.0, -3.0, 0.0, 0.0, 2.0**52, 2.0**53 + 2, -1e300, math.inf, -math.inf, None]
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v),) for v in np.concatenate([rng.normal(0, 300, 2000), rng.integers(-900, 900, 500) / 6])] + [(math.nan,)], "v double")
+    assert df.filter(~F.round("v", 6).eqNullSafe(boxes.rounded("v", 6))).count() == 0
