@@ -196,3 +196,29 @@ def test_rounded_goes_by_sql_rules(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(float(v),) for v in np.concatenate([rng.normal(0, 300, 2000), rng.integers(-900, 900, 500) / 6])] + [(math.nan,)], "v double")
     assert df.filter(~F.round("v", 6).eqNullSafe(boxes.rounded("v", 6))).count() == 0
+
+
+def test_pixels_are_put_together_before_they_go_to_python(spark):
+    plan = planned(images.packed(fixtures.fixture(spark, SF, "fx_pixels")))
+    assert "HashAggregate" in plan[plan.rindex("MapInArrow") :]
+
+
+def test_odd_pixels_show_in_the_image(spark):
+    image = lambda k, h, w: [(k, r, c, r, c, k or 0) for r in range(h) for c in range(w)]
+    rows = image(1, 3, 37) + image(2, 2, 2) + image(2, 1, 1) + image(3, 2, 2)[:-1] + [(3, 1, 1, None, 0, 0)] + image(None, 1, 2)
+    df = spark.createDataFrame(rows, "img_id long, r int, c int, b int, g int, rr int").repartition(3, "c")
+    found = {r.img_id: r.image for r in images.packed(df).collect()}
+    assert {k: (x.height, x.width, len(x.data)) for k, x in found.items()} == {1: (3, 37, 333), 2: (2, 2, 15), 3: (2, 2, 9), None: (1, 2, 6)}
+    assert bytes(found[1].data) == bytes(v for r in range(3) for c in range(37) for v in (r, c, 1))
+
+
+def test_images_scored_together_score_as_alone(spark):
+    rng = np.random.default_rng(5)
+    shapes = [(12, 16), (5, 9), (12, 16), (2, 2)] * 5
+    pictures = [rng.integers(0, 256, (h, w, 3), dtype=np.uint8) // (1 + k % 7) for k, (h, w) in enumerate(shapes)]
+    rows = [(k, ("", h, w, 3, 16, bytearray(pictures[k].tobytes()))) for k, (h, w) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "img_id long, image struct<origin string, height int, width int, nChannels int, mode int, data binary>").coalesce(1)
+    for r in images.score_images(df).collect():
+        assert r.score == pytest.approx(float(images.METRICS[r.metric](pictures[r.img_id])), abs=1e-12)
+    with pytest.raises(Exception, match="has 11 bytes"):
+        images.score_images(spark.createDataFrame([(1, ("", 2, 2, 3, 16, bytearray(11)))], df.schema)).collect()
