@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import drop_spent, materialise, small_or_shuffled
 
-BUCKETS, LEVELS = 1 << 17, 16
+#: A level has four bits, so PACKED of them share a long.
+BUCKETS, LEVELS, PACKED = 1 << 21, 16, 16
 BLANK = r"[\x20\x09-\x0D]+"
 #: Where levels stand in a token, above 59 bits of the word's hash.
 LEVEL_AT = 59
@@ -59,22 +60,26 @@ def _up(a: Column, b: int) -> Column:
 
 
 def rarity(texts: DataFrame) -> list[int]:
-    """For each token bucket its level: the octave of the number of words in it, the highest octave being LEVELS - 1."""
+    """For each token bucket its level: the octave of the number of words in it, the highest octave being LEVELS - 1; PACKED levels a number, the first lowest."""
     words = texts.select(F.explode(F.split(F.regexp_replace("text", r"[\x09-\x0D]", " "), " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    octaves = {r.bucket: r.n.bit_length() for r in counts.collect()}  # BUCKETS rows at most
-    top = max(octaves.values(), default=0)
-    return [max(octaves.get(b, 0) - top + LEVELS - 1, 0) for b in range(BUCKETS)]
+    counts = materialise(words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")), "lines-rarity")
+    top = (counts.agg(F.max("n")).first()[0] or 0).bit_length()
+    level = F.greatest(F.length(F.bin("n")) - top + LEVELS - 1, F.lit(0)).cast("long")
+    parts = counts.select(F.shiftright("bucket", 4).alias("at"), F.call_function("shiftleft", level, F.col("bucket").bitwiseAND(PACKED - 1) * 4).alias("part"))
+    packed = {r.at: r.levels for r in parts.groupBy("at").agg(F.bit_or("part").alias("levels")).collect()}  # BUCKETS / PACKED rows at most
+    return [packed.get(k, 0) for k in range(BUCKETS // PACKED)]
 
 
 def line_sets(texts: DataFrame, levels: list[int], params: LineParams) -> DataFrame:
     """(id, place, key, n, sig, high, probe): of each line with a word where it is, its set's key, size, parity signature (in a long line the tokens are
     dealt to two halves) and probe prefix."""
     num, den = params.num, params.den
-    table = F.from_json(F.lit(str([x << LEVEL_AT for x in levels])), "array<bigint>")  # folded to a constant
+    table = F.from_json(F.lit(str(levels)), "array<bigint>")  # folded to a constant
 
     def token(h: Column) -> Column:
-        return F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_AT))
+        four = F.get(table, F.shiftright(h, 4).bitwiseAND(BUCKETS // PACKED - 1).cast("int"))
+        level = F.call_function("shiftrightunsigned", four, h.bitwiseAND(PACKED - 1).cast("int") * 4).bitwiseAND(LEVELS - 1)
+        return F.coalesce(F.shiftleft(level, LEVEL_AT), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_AT))
 
     # one pass for the rare blanks, so that lines and words are cut at single characters
     plain = texts.select("id", "h", F.regexp_replace("text", r"[\x09\x0B-\x0D]", " ").alias("text"))
@@ -123,6 +128,7 @@ def candidates(later: DataFrame, every: DataFrame, params: LineParams) -> DataFr
     shorter, place = F.least("x.n", "y.n"), F.when(c("x.n") <= c("y.n"), c("x.pos")).otherwise(c("y.pos"))
     condition = (
         (c("x.token") == c("y.token"))
+        & (bits * (num + den) <= (c("x.n") + c("y.n")) * (den - num))  # the bound below without its rounding: nearly all pairs fail here, in whole numbers
         & (c("x.n") * den >= c("y.n") * num)
         & (c("y.n") * den >= c("x.n") * num)
         & (bits <= c("x.n") + c("y.n") - 2 * overlap)
@@ -134,9 +140,11 @@ def candidates(later: DataFrame, every: DataFrame, params: LineParams) -> DataFr
 
 
 def nearest(found: DataFrame) -> DataFrame:
-    """Of each y's candidates one with the fewest differing bits, and their number."""
+    """Of each y's candidates one with the fewest differing bits, and whether there are more than that one; a pair that shares several tokens counts once."""
+    known = F.coalesce("x_id", F.lit(-(1 << 63)))
+    more = (F.min("x_place") < F.max("x_place")) | (F.min(known) < F.max(known))
     # plain numbers, so that Spark hashes and need not sort; both parts of x come from the same row, and were it not so, verification would show
-    return materialise(found.groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), F.count("*").alias("times")), "lines-nearest")
+    return materialise(found.groupBy("y_id", "y_place").agg(F.min_by("x_id", "bits").alias("x_id"), F.min_by("x_place", "bits").alias("x_place"), more.alias("more")), "lines-nearest")
 
 
 def of_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
@@ -192,12 +200,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     anchors = crowd.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("id", "place", "n", "sig", "high", "pos")).alias("first")).select("first.*", "token")
     one = nearest(candidates(rare, rare, params).unionByName(candidates(crowd, materialise(anchors, "lines-anchors"), params)))
     settled = materialise(verified(paired(one), texts, params).select("y").distinct(), "lines-settled")
-    tried = one.filter("times > 1")
+    tried = one.filter("more")
     if crowd.count():
         known = small_or_shuffled(settled.select("y.*"), limit)
         two = nearest(candidates(of_lines(crowd, known, "left_anti"), crowd, params))
         settled = settled.unionByName(materialise(verified(paired(two), texts, params).select("y").distinct(), "lines-settled"))
-        tried = tried.unionByName(two.filter("times > 1"))
+        tried = tried.unionByName(two.filter("more"))
     left = materialise(paired(tried).select("y").distinct().join(settled, "y", "left_anti").select("y.*"), "lines-open")
     if left.count():
         few = small_or_shuffled(left, limit)

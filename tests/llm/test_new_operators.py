@@ -230,3 +230,30 @@ def test_decontamination_has_one_worker_a_task_for_any_number_of_shards(spark, t
     read = lambda df: sorted((r.row.doc_id, *[r[c] for c in known]) for r in df.collect())
     assert read(one) == read(many) and one.filter("contaminated").count() > 30
     assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_line_dedup_looks_again_only_where_other_candidates_are(spark, monkeypatch):
+    """Lines a little too far apart whose signatures are near: a pair that shares several tokens is one candidate, and settled by one look."""
+    from kerbside.llm import line_dedup
+
+    rng = random.Random(6)
+    made = []
+    for k in range(300):
+        rare, often = [f"p{k}x{j}" for j in range(17)], rng.sample(range(40), 6)
+        made += [" ".join([*rare, *(f"often{j}" for j in often[:3])]), " ".join([*rare, *(f"often{j}" for j in often[3:])])]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")  # noqa: F811
+    names, written = [], line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: (names.append(name), written(df, name))[1])
+    found = line_dedup.deduplicated(docs).collect()
+    assert len(found) == 600 and sum(r.n_removed for r in found) == 0
+    assert "lines-nearest" in names and "lines-others" not in names
+
+
+def test_line_dedup_packed_rarity(spark):
+    from kerbside.llm import line_dedup
+
+    levels = line_dedup.rarity(spark.createDataFrame([("often " * 1000 + "seldom",), (None,)], "text string"))  # noqa: F811
+    a, b = spark.sql("select xxhash64('often'), xxhash64('seldom')").first()
+    assert [levels[(h & (line_dedup.BUCKETS - 1)) // line_dedup.PACKED] >> 4 * (h % line_dedup.PACKED) & 15 for h in (a, b)] == [15, 6]
+    assert len(levels) == line_dedup.BUCKETS // line_dedup.PACKED
+    assert set(line_dedup.rarity(spark.createDataFrame([], "text string"))) == {0}
