@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kerbside.operators.health import code_of
+from kerbside.operators.lockstep import IDS, Lockstep
 from kerbside.operators.messages import OBJECT
 from kerbside.operators.radar import SKEW_CODE
-from kerbside.operators.tracker import STATE, CameraTracker, TrackParams
+from kerbside.operators.tracker import STATE, TrackParams
 from kerbside.streaming.ordered import Ordered, run, unmarked
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -305,9 +306,61 @@ def message_stream(frames: DataFrame, objects: DataFrame, hazards: DataFrame, de
     return run(every, "camera_id", MessageProcessor(delay_frames))
 
 
+def stretches(params: TrackParams, frame: int, next_id: int, live: list[tuple], frames: np.ndarray, tlwh: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> tuple[list[tuple], int, int, list[tuple]]:
+    """A camera's later frames from its last frame, next id and live tracks on: ((frames, ids, detected boxes, whether there is one, whether it has a point, removed) of rows; and the three after them).
+
+    Frames are cut at gaps that no track outlives, and what lies between is tracked side by side. Only then is it known how many ids those before have taken; a stretch in which ids
+    wrap is done again with its own, as the order of lost tracks is that of their ids.
+    """
+    first = np.flatnonzero(np.append(True, np.diff(frames) > params.max_time_lost + 1))
+    edges = np.append(first, len(frames))
+    last = len(first) - 1
+
+    def tracked(lanes: np.ndarray, ids: list[int]) -> tuple[Lockstep, list[tuple], np.ndarray]:
+        rows: list[tuple] = []
+        begun = np.zeros(len(lanes), int)
+
+        def put(lane, at, slots, pointed, removed):
+            s = run.s
+            rows.append((lane, at, s.id[slots], s.det[slots], s.boxed[slots], pointed, removed))
+
+        def issued(lane, at, n):
+            begun[lane] += n
+
+        done, until = frames[first[lanes]] - 1, np.append(frames[first[1:]], np.iinfo(int).max)[lanes]
+        if lanes[0] == 0:
+            done[0] = frame
+        run = Lockstep(params, done, np.full(len(lanes), -1), until, put, issued)
+        for k, n in enumerate(ids):
+            run.resume(k, live if lanes[k] == 0 else [], n)
+        of = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in lanes])
+        run.run(np.repeat(np.arange(len(lanes)), np.diff(edges)[lanes]), frames[of], tlwh[of], scores[of], labels[of], more=lanes == last)
+        return run, rows, begun
+
+    run, rows, begun = tracked(np.arange(len(first)), [next_id])
+    base, again, at = np.zeros(len(first), int), {}, int(run.next_id[0])
+    for k in range(1, len(first)):
+        base[k], n = at, int(begun[k])
+        if at + n > IDS:
+            again[k] = tracked(np.array([k]), [at])
+            base[k], n = 0, int(again[k][2][0])
+        at = (at + n) % IDS
+    out = []
+    for lane, when, ids, *rest in rows:
+        own = ~np.isin(lane, list(again)) if again else slice(None)
+        *columns, removed = rest
+        out.append((when[own], ((ids + base[lane]) % IDS)[own], *[c[own] for c in columns], removed))
+    for _, more, _ in again.values():
+        out += [(when, ids, *rest) for _, when, ids, *rest in more]
+    end, lane = (again[last][0], 0) if last in again else (run, last)
+    live = [(row[0], (row[1] + int(base[last])) % IDS, *row[2:]) for row in end.state(lane)]
+    whole = [tuple(np.concatenate(x) for x in zip(*(r[:-1] for r in out if r[-1] == kind))) + (kind,) for kind in (False, True) if any(r[-1] == kind for r in out)]
+    return whole, int(end.frame[lane]), at, live
+
+
 class TrackProcessor(StatefulProcessor):
     """One camera's tracker in typed state: a map of its live tracks by id, and a row with the schema's version, the last frame and the next id. Frames of a micro-batch are
-    sorted first, older ones than the last are late. State of version 1, a pickled tracker in one value, is taken over and cleared."""
+    sorted first and tracked in stretches side by side, older ones than the last are late. State of version 1, a pickled tracker in one value, is taken over and cleared."""
 
     VERSION = 2
 
@@ -319,42 +372,44 @@ class TrackProcessor(StatefulProcessor):
         self.head = handle.getValueState("head", "version int, frame long, next_id long")
         self.live = handle.getMapState("live", "id long", f"{STATE}, pos int")
 
-    def _tracker(self) -> CameraTracker:
+    def _known(self) -> tuple[int, int, list[tuple]]:
+        """(last frame, next id, live tracks)."""
         if self.head.exists():
             _, frame, next_id = self.head.get()
             rows = sorted((tuple(value) for _, value in self.live.iterator()), key=lambda row: row[-1])
-            return CameraTracker.resumed(self.params, frame, [row[:-1] for row in rows], next_id)
+            return frame, next_id, [row[:-1] for row in rows]
         if self.old.exists():
             found = pickle.loads(self.old.get()[0])
             self.old.clear()
-            return CameraTracker.resumed(self.params, found.frame, found.state(), found.next_id)
-        return CameraTracker(self.params)
+            return found.frame, found.next_id, found.state()
+        return 0, 0, []
 
-    def _keep(self, tracker: CameraTracker, before: set[int]) -> None:
-        rows = tracker.state()
+    def _keep(self, frame: int, next_id: int, rows: list[tuple], before: set[int]) -> None:
         for pos, row in enumerate(rows):
             self.live.updateValue((row[1],), (*row, pos))
         for key in before - {row[1] for row in rows}:
             self.live.removeKey((key,))
-        self.head.update((self.VERSION, tracker.frame, tracker.next_id))
+        self.head.update((self.VERSION, frame, next_id))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["frame_id", "xmin", "ymin", "label"])
-        tracker = self._tracker()
-        before = {t.id for t in tracker.tracked + tracker.lost} if self.head.exists() else set()
-        out = []
-        for frame, d in found.groupby("frame_id", sort=True):
-            if frame <= tracker.frame:
-                out += [(int(key[0]), int(frame), None, None, None, False, "late")] * len(d)
-                continue
-            out += [(int(key[0]), at, t.id, None, None, False, "removed") for at, t in tracker.skip_to(int(frame))]
+        frame, next_id, live = self._known()
+        before = {row[1] for row in live} if self.head.exists() else set()
+        late = found.frame_id[found.frame_id <= frame].to_numpy()
+        if len(late):
+            yield self._rows(key[0], late, None, np.full(len(late), np.nan), np.full(len(late), np.nan), np.zeros(len(late), bool), "late")
+        d = found[found.frame_id > frame]
+        if len(d):
             tlwh = np.column_stack([d.xmin, d.ymin, d.xmax - d.xmin, d.ymax - d.ymin]).astype(float)
-            for t, pointed in tracker.step(int(frame), tlwh, d.confidence.to_numpy(float), d.label.to_numpy(int)):
-                x, y = (t.det_box or (None, None))[:2]
-                out.append((int(key[0]), int(frame), t.id, x, y, pointed, "out"))
-            out += [(int(key[0]), int(frame), t.id, None, None, False, "removed") for t in tracker.removed]
-        self._keep(tracker, before)
-        yield pd.DataFrame(out, columns=["camera_id", "frame_id", "track_id", "det_x", "det_y", "has_point", "kind"]).astype({"track_id": "Int64", "det_x": float, "det_y": float})
+            tracked, frame, next_id, live = stretches(self.params, frame, next_id, live, d.frame_id.to_numpy(), tlwh, d.confidence.to_numpy(float), d.label.to_numpy(int))
+            for at, ids, det, boxed, pointed, removed in tracked:
+                x, y = (np.where(boxed & (not removed), det[:, k], np.nan) for k in (0, 1))
+                yield self._rows(key[0], at, ids, x, y, pointed, "removed" if removed else "out")
+        self._keep(frame, next_id, live, before)
+
+    @staticmethod
+    def _rows(camera, frame: np.ndarray, ids: np.ndarray | None, x: np.ndarray, y: np.ndarray, pointed: np.ndarray, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"camera_id": int(camera), "frame_id": frame, "track_id": pd.array([None] * len(frame) if ids is None else ids, "Int64"), "det_x": x, "det_y": y, "has_point": pointed, "kind": kind})
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ import pytest
 
 from kerbside.operators import kalman, tracker
 from kerbside.operators.lockstep import Lockstep
+from kerbside.streaming import monitors
 from tests.test_operators import busy
 
 
@@ -102,3 +103,27 @@ def test_tracks_do_not_depend_on_what_is_held(spark, held):
     one = tracker.track(d, last, cut=tracker.SliceParams(frames=10**6, warmup=150))
     rows_of = lambda df: sorted(map(repr, df.drop("segment").collect()))
     assert rows_of(found) == rows_of(one)
+
+
+@pytest.mark.parametrize("next_id", [0, 65_530])
+@pytest.mark.parametrize("cuts", [(), (61, 120, 121, 300)])
+def test_stretches_of_a_stream_are_one_tracker(next_id, cuts):
+    """Stretches between long gaps are tracked together, with the ids of one pass, also where ids wrap."""
+    rows = [(0, r[1] + 150 * k, *r[2:]) for k in range(4) for r in [*busy(k, 60, (1, 1)), *crowd(k, 60, 300, 4)]]
+    frames, tlwh, scores, labels = columns_of(rows)
+    params, until = tracker.TrackParams(), int(frames[-1]) + 1
+    one, want = tracker.CameraTracker(params, 0, next_id), []
+    for f in range(1, until):
+        own = frames == f
+        want += [(f, t.id, t.det_box, p, False) for t, p in one.step(f, tlwh[own], scores[own], labels[own])]
+        want += [(f, t.id, None, False, True) for t in one.removed]
+    frame, key, live, found = 0, next_id, [], []
+    for a, b in zip((0, *cuts), (*cuts, until)):
+        own = (frames >= a) & (frames < b)
+        if not own.any():
+            continue
+        out, frame, key, live = monitors.stretches(params, frame, key, live, frames[own], tlwh[own], scores[own], labels[own])
+        for at, ids, det, boxed, pointed, removed in out:
+            found += [(f, k, tuple(x) if y and not removed else None, p, removed) for f, k, x, y, p in zip(at.tolist(), ids.tolist(), det.tolist(), boxed.tolist(), pointed.tolist())]
+    assert Counter(found) == Counter(want) and len({r[1] for r in want}) > 20
+    assert (frame, key, live) == (one.frame, one.next_id, one.state())
