@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators import boxes, hazards, health
+from kerbside.operators.pairs import SHUFFLED
 from kerbside.plans.fixtures import fixture
 from kerbside.plans import tracks
 from kerbside.plans.scenes import ORACLE_SQL as BATCH
 from kerbside.plans.tracks import ORACLE_SQL as TRACKS
 from kerbside.streaming import monitors
-from kerbside.streaming.drain import as_stream, cuts_of, drained
+from kerbside.streaming.drain import COLUMN_ROWS, as_stream, cuts_of, drained
 
 
 def _rocks(spark) -> None:
@@ -27,12 +28,12 @@ def fps_stream(spark, sf_dir):
 def camera_gaps_stream(spark, sf_dir):
     _rocks(spark)
     frames = fixture(spark, sf_dir, "fx_frames_gappy").select("camera_id", "ts_ms")
-    return drained(monitors.gap_stream(as_stream(frames, "gaps", "ts_ms")), "gaps").filter("kind = 'gap'").drop("kind")
+    return drained(monitors.gap_stream(as_stream(frames, "gaps", "ts_ms", rows=COLUMN_ROWS)), "gaps").filter("kind = 'gap'").drop("kind")
 
 
-def _with_ends(df: DataFrame, order: str, beyond: int = 0) -> DataFrame:
-    """df and for each camera a row with mark end at its last place (or ``beyond`` after it), as a source gives that closes."""
-    ends = df.groupBy("camera_id").agg((F.max(order) + beyond).alias(order))
+def _with_ends(df: DataFrame, order: str, beyond: int = 0, of: DataFrame | None = None) -> DataFrame:
+    """df and for each camera a row with mark end at its last place (or ``beyond`` after it), as a source gives that closes. of: a table with the same last places that costs less to make."""
+    ends = (df if of is None else of).groupBy("camera_id").agg((F.max(order) + beyond).alias(order))
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in ("camera_id", order)]
     return df.withColumn("mark", F.lit(None).cast("string")).unionByName(ends.select("camera_id", order, *none, F.lit("end").alias("mark")))
 
@@ -41,30 +42,30 @@ def _radar(spark, sf_dir, **params):
     _rocks(spark)
     frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id", "ts_ms")
     sweeps = fixture(spark, sf_dir, "fx_radar").select("camera_id", "sweep_id", "ts_ms").distinct()
-    beyond = sweeps.agg(F.max("ts_ms")).first()[0] or 0
+    beyond = fixture(spark, sf_dir, "fx_radar").agg(F.max("ts_ms")).first()[0] or 0
     last = frames.groupBy("camera_id").agg(F.greatest(F.max("ts_ms"), F.lit(beyond)).alias("ts_ms")).select("camera_id", F.lit(None).cast("long").alias("frame_id"), "ts_ms", F.lit("end").alias("mark"))
     marked = frames.withColumn("mark", F.lit(None).cast("string")).unionByName(last)
-    cuts = cuts_of(frames, "ts_ms")
+    cuts = cuts_of(frames, "ts_ms", rows=COLUMN_ROWS)
     return drained(monitors.radar_stream(as_stream(marked, "radar-frames", "ts_ms", cuts=cuts), as_stream(sweeps, "radar-sweeps", "ts_ms", cuts=cuts), **params), "radar")
 
 
 def radar_asof_stream(spark, sf_dir):
-    found = _radar(spark, sf_dir).filter("kind = 'frame'")
+    found = _radar(spark, sf_dir, kinds=("frame",)).filter("kind = 'frame'")
     return found.select("camera_id", "frame_id", "sweep_id", "skew_ms", F.coalesce(F.abs("skew_ms") > 400, F.lit(False)).alias("skewed"))
 
 
 def skew_alerts_stream(spark, sf_dir):
-    return _radar(spark, sf_dir).filter("kind = 'skew'").select("camera_id", "frame_id", "ts_ms", "skew_ms", "code")
+    return _radar(spark, sf_dir, kinds=("skew",)).filter("kind = 'skew'").select("camera_id", "frame_id", "ts_ms", "skew_ms", "code")
 
 
 def radar_gaps_stream(spark, sf_dir):
-    found = _radar(spark, sf_dir, max_age_ms=200).filter("kind = 'missing'")
+    found = _radar(spark, sf_dir, max_age_ms=200, kinds=("missing",)).filter("kind = 'missing'")
     return found.select("camera_id", "frame_id", "lost", F.lit("WARN").alias("level"), "code")
 
 
 def _rates(spark, frames):
     _rocks(spark)
-    return drained(monitors.rate_stream(as_stream(_with_ends(frames.select("camera_id", "ts_ms"), "ts_ms"), "rates", "ts_ms")), "rates")
+    return drained(monitors.rate_stream(as_stream(_with_ends(frames.select("camera_id", "ts_ms"), "ts_ms"), "rates", "ts_ms", rows=COLUMN_ROWS)), "rates")
 
 
 def fps_windows_stream(spark, sf_dir):
@@ -105,9 +106,10 @@ def hazards_sticky_stream(spark, sf_dir):
     frames = fixture(spark, sf_dir, "fx_frames").select("camera_id", "frame_id")
     good = hazards.filter_hazards(hazards.within(fixture(spark, sf_dir, "fx_hazards"), 1920, 1080), fixture(spark, sf_dir, "fx_detections"))
     sets = good.groupBy("camera_id", "frame_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("cand_id")), lambda c: c.cast("string")), ",").alias("ids"))
-    sampled = boxes.sampled_dense(frames, 6).join(sets, ["camera_id", "frame_id"], "left").select("camera_id", "frame_id", F.coalesce("ids", F.lit("")).alias("hazards"))
-    rows = _with_ends(frames.join(sampled, ["camera_id", "frame_id"], "left"), "frame_id")
-    return drained(monitors.sticky_stream(as_stream(rows, "sticky", "frame_id")), "sticky").filter("kind = 'frame'").drop("kind")
+    sampled = boxes.sampled_dense(frames, 6).join(sets.hint(SHUFFLED), ["camera_id", "frame_id"], "left").select("camera_id", "frame_id", F.coalesce("ids", F.lit("")).alias("hazards"))
+    rows = _with_ends(frames.join(sampled.hint(SHUFFLED), ["camera_id", "frame_id"], "left"), "frame_id", of=frames)
+    cuts = cuts_of(frames, "frame_id", rows=COLUMN_ROWS)
+    return drained(monitors.sticky_stream(as_stream(rows, "sticky", "frame_id", cuts=cuts)), "sticky").filter("kind = 'frame'").drop("kind")
 
 
 def track_points_stream(spark, sf_dir):

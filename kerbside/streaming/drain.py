@@ -16,6 +16,9 @@ from kerbside.sources.scratch import folder
 #: Rows of a micro-batch: what a task holds of its keys grows with them, so a larger table has more micro-batches, not larger ones.
 ROWS = 2_000_000
 
+#: The same for processors that work on columns, whose rows are small.
+COLUMN_ROWS = 4_000_000
+
 
 def cuts_of(df: DataFrame, order: str, parts: int = 3, rows: int = ROWS) -> list:
     """Where a table is cut into about equal ranges of a column: so many, or as many as leave about ``rows`` rows in each."""
@@ -39,7 +42,7 @@ def _in_turn(spark, path: str, parts: int, empty: DataFrame) -> None:
             raise RuntimeError(f"{place.toString()} must hold one file, and its file system must keep the time it is given")
 
 
-def as_stream(df: DataFrame, name: str, order: str | None = None, parts: int = 3, cuts: list | None = None) -> DataFrame:
+def as_stream(df: DataFrame, name: str, order: str | None = None, parts: int = 3, cuts: list | None = None, rows: int | None = None) -> DataFrame:
     """df as a stream of Parquet files; with order (whole numbers), in micro-batches by ascending ranges of that column, so many or as cuts_of says. All are written in one job, each by a
     task of its own. Sources that are read together get the same cuts, so that they go on side by side. Rows without an order are left out."""
     spark = df.sparkSession
@@ -47,7 +50,8 @@ def as_stream(df: DataFrame, name: str, order: str | None = None, parts: int = 3
     if order is None:
         df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
-    cuts = cuts_of(df, order, parts) if cuts is None else cuts
+    if cuts is None:
+        cuts = cuts_of(df, order, parts) if rows is None else cuts_of(df, order, parts, rows)
     n = len(cuts) + 1
     dealt = df.withColumn("order_", F.col(order).cast("double")).filter("order_ is not null").withColumn("part_", F.lit(0))
     if cuts:

@@ -17,7 +17,7 @@ from kerbside.operators.lockstep import IDS, Lockstep
 from kerbside.operators.messages import OBJECT
 from kerbside.operators.radar import SKEW_CODE
 from kerbside.operators.tracker import STATE, TrackParams
-from kerbside.streaming.ordered import Ordered, run, unmarked
+from kerbside.streaming.ordered import Ordered, OrderedColumns, run, unmarked
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -77,7 +77,7 @@ def gap_stream(frames: DataFrame, limit_ms: int = 1200, silent_ms: int | None =
     return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms, silent_ms), GAPS, "Append", mode)
 
 
-class StickyProcessor(Ordered):
+class StickyProcessor(OrderedColumns):
     """The newest sampled frame's hazards for every frame; an empty result replaces as well. A late frame is put out without hazards."""
 
     fields = "frame_id long, hazards string"
@@ -87,14 +87,14 @@ class StickyProcessor(Ordered):
         super().init(handle)
         self.newest = handle.getValueState("newest", "hazards string")
 
-    def released(self, rows: list[tuple]) -> list[tuple]:
-        now, out = self.newest.get()[0] if self.newest.exists() else "", []
-        for frame, hazards in rows:
-            now = now if hazards is None else hazards
-            out.append((frame, now, "frame"))
-        if rows:
-            self.newest.update((now,))
-        return out
+    def released_columns(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):
+            return
+        now = self.newest.get()[0] if self.newest.exists() else ""
+        known = np.concatenate(([now], rows["hazards"].to_numpy(object)))
+        at = np.maximum.accumulate(np.where(pd.isna(known), 0, np.arange(len(known))))[1:]
+        self.newest.update((known[at[-1]],))
+        yield self.table(key, len(rows), frame_id=rows["frame_id"].array, hazards=known[at], kind="frame")
 
     def late(self, row: tuple) -> tuple:
         return (row[0], None, "late")
@@ -105,55 +105,59 @@ def sticky_stream(frames: DataFrame, delay_frames: int = 250) -> DataFrame:
     return run(unmarked(frames), "camera_id", StickyProcessor(delay_frames))
 
 
-class RadarProcessor(Ordered):
+class RadarProcessor(OrderedColumns):
     """Frames with the newest sweep not after them, and what comes of it: at most one skew alert in each stretch of ``every_ms``, and an alert at every
-    ``miss_limit``-th frame without a sweep (of the last ``max_age_ms``). Sweeps come before frames of their time. Late frames and sweeps are put out."""
+    ``miss_limit``-th frame without a sweep (of the last ``max_age_ms``). Sweeps come before frames of their time. Late frames and sweeps are put out. Only rows of ``kinds`` are, if given."""
 
     fields = "ts_ms long, side int, id long"  # side: 0 sweep, 1 frame
     output = "camera_id int, frame_id long, ts_ms long, sweep_id long, sweep_ts long, skew_ms long, lost long, code int, kind string"
 
-    def __init__(self, delay: int, skew_ms: int, every_ms: int, miss_limit: int, max_age_ms: int | None) -> None:
+    def __init__(self, delay: int, skew_ms: int, every_ms: int, miss_limit: int, max_age_ms: int | None, kinds: tuple[str, ...] | None = None) -> None:
         super().__init__(delay)
+        self.kinds = kinds or ("frame", "skew", "missing", "late")
         self.skew_ms, self.every_ms, self.miss_limit, self.max_age_ms = skew_ms, every_ms, miss_limit, max_age_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.known = handle.getValueState("known", "sweep_ts long, sweep_id long, stretch long, lost long")
 
-    def released(self, rows: list[tuple]) -> list[tuple]:
+    def released_columns(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):
+            return
         sweep_ts, sweep_id, stretch, lost = self.known.get() if self.known.exists() else (None, None, None, 0)
-        out = []
-        for ts, side, key in rows:
-            if side == 0:
-                sweep_ts, sweep_id = ts, key
-                continue
-            skew = None if sweep_ts is None else ts - sweep_ts
-            out.append((key, ts, sweep_id, sweep_ts, skew, None, None, "frame"))
-            if skew is not None and abs(skew) > self.skew_ms and ts // self.every_ms != stretch:
-                stretch = ts // self.every_ms
-                out.append((key, ts, sweep_id, sweep_ts, skew, None, SKEW_CODE, "skew"))
-            if skew is None or self.max_age_ms is not None and skew > self.max_age_ms:
-                lost += 1
-                if lost % self.miss_limit == 0:
-                    out.append((key, ts, sweep_id, sweep_ts, skew, lost, code_of("no_radar_data"), "missing"))
-        if rows:
-            self.known.update((sweep_ts, sweep_id, stretch, lost))
-        return out
+        ts = np.concatenate(([0 if sweep_ts is None else sweep_ts], rows["ts_ms"].to_numpy(np.int64)))
+        ids = pd.concat([pd.Series([sweep_id], dtype="Int64"), rows["id"]], ignore_index=True).array
+        frame = np.concatenate(([False], rows["side"].to_numpy(np.int64) == 1))
+        newest = np.maximum.accumulate(np.where(frame, 0, np.arange(len(ts))))  # of each row its sweep; 0 is the one known before
+        at, of = np.flatnonzero(frame), newest[frame]
+        none = (of == 0) & (sweep_ts is None)
+        skew = ts[at] - ts[of]
+        stretches_, lost_ = ts[at] // self.every_ms, lost + np.cumsum(none if self.max_age_ms is None else none | (skew > self.max_age_ms))
+        over = np.flatnonzero(~none & (np.abs(skew) > self.skew_ms))
+        first = over[np.concatenate((stretches_[over[:1]] != stretch if stretch is not None else np.ones(len(over[:1]), bool), np.diff(stretches_[over]) != 0))]
+        missing = np.flatnonzero((np.diff(lost_, prepend=lost) > 0) & (lost_ % self.miss_limit == 0))
+        masked = lambda values, k: pd.arrays.IntegerArray(values[k].astype(np.int64), none[k].copy())
+        for kind, k, more in (("frame", np.arange(len(at)), {}), ("skew", first, {"code": np.full(len(first), SKEW_CODE)}), ("missing", missing, {"lost": lost_[missing], "code": np.full(len(missing), code_of("no_radar_data"))})):
+            if kind in self.kinds and len(k):
+                yield self.table(key, len(k), frame_id=ids[at[k]], ts_ms=ts[at[k]], sweep_id=ids[of[k]], sweep_ts=masked(ts[of], k), skew_ms=masked(skew, k), kind=kind, **more)
+        last, known = int(newest[-1]), sweep_ts is not None or newest[-1] > 0
+        number = ids[last]
+        self.known.update((int(ts[last]) if known else None, None if pd.isna(number) else int(number), int(stretches_[over[-1]]) if len(over) else stretch, int(lost_[-1]) if len(at) else lost))
 
     def late(self, row: tuple) -> tuple:
         ts, side, key = row
         return (key if side else None, ts, None if side else key, None, None, None, None, "late")
 
 
-def radar_stream(frames: DataFrame, sweeps: DataFrame, delay_ms: int = 2_000, skew_ms: int = 400, every_ms: int = 20_000, miss_limit: int = 1000, max_age_ms: int | None = None) -> DataFrame:
+def radar_stream(frames: DataFrame, sweeps: DataFrame, delay_ms: int = 2_000, skew_ms: int = 400, every_ms: int = 20_000, miss_limit: int = 1000, max_age_ms: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Two streams in one keyed state: frames (camera_id, frame_id, ts_ms) and sweeps (camera_id, sweep_id, ts_ms), either with mark. Kinds: frame (with sweep_id,
-    sweep_ts, skew_ms), skew and missing (alerts, with code), late."""
+    sweep_ts, skew_ms), skew and missing (alerts, with code), late; with kinds only those."""
     side = lambda df, key, k: unmarked(df).select("camera_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.lit(k).alias("side"), F.col(key).cast("long").alias("id"), "mark")
     both = side(frames, "frame_id", 1).unionByName(side(sweeps, "sweep_id", 0))
-    return run(both, "camera_id", RadarProcessor(delay_ms, skew_ms, every_ms, miss_limit, max_age_ms))
+    return run(both, "camera_id", RadarProcessor(delay_ms, skew_ms, every_ms, miss_limit, max_age_ms, kinds))
 
 
-class RateProcessor(Ordered):
+class RateProcessor(OrderedColumns):
     """Frames by window of event time: a window's rate comes once time has passed it, windows without frames included, with an alert for each of those."""
 
     fields = "ts_ms long"
@@ -182,11 +186,19 @@ class RateProcessor(Ordered):
         return start, n
 
     def released(self, rows: list[tuple]) -> list[tuple]:
+        return self._closing(np.array([ts for (ts,) in rows], np.int64))
+
+    def released_columns(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = self._closing(rows["ts_ms"].to_numpy(np.int64))
+        if out:
+            yield self.frame(key, out)
+
+    def _closing(self, times: np.ndarray) -> list[tuple]:
         size, out = self.seconds * 1000, []
         now = tuple(self.open.get()) if self.open.exists() else None  # read and kept once for all rows
-        for (ts,) in rows:
-            now = self._until(now, ts, out) or (ts // size * size, 0)
-            now = (now[0], now[1] + 1)
+        for start, n in zip(*(x.tolist() for x in np.unique(times // size * size, return_counts=True))):
+            now = self._until(now, start, out) or (start, 0)
+            now = (now[0], now[1] + n)
         _, passed = self.time.get()
         now = self._until(now, passed + 1, out)  # a clock moves windows on as well
         if now is not None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,72 @@ class Ordered(StatefulProcessor):
         pass
 
 
+class OrderedColumns(Ordered):
+    """The same over whole columns: a micro-batch's rows stay a frame from their coming to their release, so a row costs no Python objects. Numbers are Int64 or Float64, as they may be null."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows), ignore_index=True)
+        first, marks = found[self.row.names[0]].to_numpy(np.int64), found[MARK]
+        marked = marks.notna().to_numpy()
+        came, order = self._typed(found.loc[~marked, self.row.names]), first[~marked]
+        newest, released = self.time.get() if self.time.exists() else (None, None)
+        behind = np.zeros(len(came), bool) if released is None else order <= released
+        rest, late = (came[~behind], came[behind]) if behind.any() else (came, came[:0])
+        if self.waiting.exists():
+            rest = pd.concat([self._waiting(), rest], ignore_index=True)
+        newest = int(first.max()) if newest is None else max(newest, int(first.max()))
+        ended = bool((marks[marked] == "end").any())
+        yield from self._let_go(key[0], rest, newest, newest if ended else newest - self.delay, released)
+        out = [*(self.ended() if ended else []), *(self.late(self._row(row)) for row in late.itertuples(index=False))]
+        self._wait(timerValues)
+        if out:
+            yield self.frame(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, released = self.time.get()
+        rows = self._waiting() if self.waiting.exists() else self._typed(pd.DataFrame([], columns=self.row.names))
+        newest += self.silent_step
+        yield from self._let_go(key[0], rows, newest, newest, released)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+
+    def _let_go(self, key, rows: pd.DataFrame, newest: int, until: int, released: int | None) -> Iterator[pd.DataFrame]:
+        until = until if released is None else max(until, released)
+        ready = rows[self.row.names[0]].to_numpy(np.int64) <= until
+        if not ready.all():
+            self.waiting.put([self._row(row) for row in rows[~ready].itertuples(index=False)])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        self.time.update((newest, until))
+        going = rows[ready] if not ready.all() else rows
+        for frame in self.released_columns(key, going.sort_values(self.row.names, na_position="first", ignore_index=True)):
+            yield from (frame[k : k + 100_000] for k in range(0, len(frame), 100_000))
+
+    def _typed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        types = {"int": "Int64", "bigint": "Int64", "double": "Float64", "boolean": "boolean", "string": object}
+        return rows.astype({f.name: types[f.dataType.simpleString()] for f in self.row.fields})
+
+    def _waiting(self) -> pd.DataFrame:
+        return self._typed(pd.DataFrame([tuple(row) for row in self.waiting.get()], columns=self.row.names))
+
+    @staticmethod
+    def _row(row: tuple) -> tuple:
+        return tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in row)
+
+    def table(self, key, n: int, **columns) -> pd.DataFrame:
+        """n rows of the output with these columns; the others but the key are null."""
+        types = {"int": "Int32", "bigint": "Int64", "double": "Float64", "boolean": "boolean"}
+        made = {self.out.names[0]: np.full(n, key)}
+        for field in self.out.fields[1:]:
+            kind = types.get(field.dataType.simpleString(), object)
+            value = columns.get(field.name)
+            made[field.name] = pd.Series(np.full(n, value, object) if kind is object and (value is None or isinstance(value, str)) else pd.array([None] * n, kind) if value is None else value, dtype=kind)
+        return pd.DataFrame(made)
+
+    def released_columns(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """What rows, in order, put out."""
+        raise NotImplementedError
+
+
 def run(rows: DataFrame, by: str, processor: Ordered) -> DataFrame:
     """The stream that the processor makes of rows (by, its fields, mark). Needs the RocksDB state store."""
     return rows.select(by, *processor.row.names, MARK).groupBy(by).transformWithStateInPandas(processor, processor.output, "Append", "None" if processor.silent_ms is None else "ProcessingTime")
