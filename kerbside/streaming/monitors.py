@@ -17,7 +17,7 @@ from kerbside.operators.lockstep import IDS, Lockstep
 from kerbside.operators.messages import OBJECT
 from kerbside.operators.radar import SKEW_CODE
 from kerbside.operators.tracker import STATE, TrackParams
-from kerbside.streaming.ordered import Ordered, OrderedColumns, run, unmarked
+from kerbside.streaming.ordered import Ordered, OrderedColumns, packed, run, unmarked, unpacked
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,7 +45,7 @@ class GapProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ts_ms", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([r["ts_ms"].to_numpy() for r in rows]))
+        times = np.sort(unpacked(rows)["ts_ms"].to_numpy())
         before = self.last.get()[0] if self.last.exists() else None
         late = times[:0] if before is None else times[times < before]
         if before is not None:
@@ -74,7 +74,7 @@ class GapProcessor(StatefulProcessor):
 def gap_stream(frames: DataFrame, limit_ms: int = 1200, silent_ms: int | None = None) -> DataFrame:
     """Gaps and late frames of a stream of (camera_id, ts_ms), and with silent_ms silent cameras, told apart by kind. Needs the RocksDB state store."""
     mode = "None" if silent_ms is None else "ProcessingTime"
-    return frames.select("camera_id", "ts_ms").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms, silent_ms), GAPS, "Append", mode)
+    return packed(frames.select("camera_id", "ts_ms"), "camera_id").groupBy("camera_id").transformWithStateInPandas(GapProcessor(limit_ms, silent_ms), GAPS, "Append", mode)
 
 
 class StickyProcessor(OrderedColumns):
@@ -404,7 +404,7 @@ class TrackProcessor(StatefulProcessor):
         self.head.update((self.VERSION, frame, next_id))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["frame_id", "xmin", "ymin", "label"])
+        found = unpacked(rows).to_pandas().sort_values(["frame_id", "xmin", "ymin", "label"])
         frame, next_id, live = self._known()
         before = {row[1] for row in live} if self.head.exists() else set()
         late = found.frame_id[found.frame_id <= frame].to_numpy()
@@ -429,4 +429,4 @@ class TrackProcessor(StatefulProcessor):
 
 def track_stream(detections: DataFrame, params: TrackParams = TrackParams()) -> DataFrame:
     """Track rows of a stream of detections; kinds out, removed and late. Needs the RocksDB state store."""
-    return detections.groupBy("camera_id").transformWithStateInPandas(TrackProcessor(params), "camera_id int, frame_id long, track_id long, det_x double, det_y double, has_point boolean, kind string", "Append", "None")
+    return packed(detections.select("camera_id", "frame_id", "label", "confidence", "xmin", "ymin", "xmax", "ymax"), "camera_id").groupBy("camera_id").transformWithStateInPandas(TrackProcessor(params), "camera_id int, frame_id long, track_id long, det_x double, det_y double, has_point boolean, kind string", "Append", "None")

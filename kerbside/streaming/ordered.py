@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +25,42 @@ from pyspark.sql.types import StructType
 
 MARK = "mark"
 
+#: Rows of a task that are packed together.
+PACKED = 100_000
+
+
+def packed(rows: DataFrame, by: str) -> DataFrame:
+    """(by, data): the rows of a key as Arrow data, many in a row. Spark hands rows to a stateful processor in Python one by one, which costs more than what most do with them."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def data():
+            table = pa.Table.from_batches(held)
+            held.clear()
+            keys, made = pc.unique(table[by]), []
+            for key in keys:
+                own = table.filter(pc.equal(table[by], key) if key.is_valid else pc.is_null(table[by])).drop_columns([by]).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_table(own)
+                made.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([keys, pa.array(made, pa.binary())], names=[by, "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield data()
+        if held:
+            yield data()
+
+    return rows.mapInArrow(run, f"{by} {rows.schema[by].dataType.simpleString()}, data binary")
+
+
+def unpacked(rows: Iterator[pd.DataFrame]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for found in rows for x in found["data"]])
+
 
 class Ordered(StatefulProcessor):
     """fields: DDL of a row's columns but the key, the first of which is the order; the rest break ties in their order. output: DDL of what is put out, the key first."""
@@ -41,10 +79,10 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         came, marks = [], []
-        for found in rows:
-            columns = [self._values(found[f.name], f.dataType.simpleString()) for f in self.row.fields]
-            for *row, mark in zip(*columns, self._values(found[MARK], "string")):
-                (marks if mark else came).append((tuple(row), mark))
+        found = unpacked(rows).to_pandas()
+        columns = [self._values(found[f.name], f.dataType.simpleString()) for f in self.row.fields]
+        for *row, mark in zip(*columns, self._values(found[MARK], "string")):
+            (marks if mark else came).append((tuple(row), mark))
         newest, released = self.time.get() if self.time.exists() else (None, None)
         late = [row for row, _ in came if released is not None and row[0] <= released]
         rest = [row for row, _ in came if released is None or row[0] > released]
@@ -118,10 +156,10 @@ class OrderedColumns(Ordered):
     """The same over whole columns: a micro-batch's rows stay a frame from their coming to their release, so a row costs no Python objects. Numbers are Int64 or Float64, as they may be null."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows), ignore_index=True)
-        first, marks = found[self.row.names[0]].to_numpy(np.int64), found[MARK]
-        marked = marks.notna().to_numpy()
-        came, order = self._typed(found.loc[~marked, self.row.names]), first[~marked]
+        found = unpacked(rows).to_pandas(types_mapper={pa.int32(): pd.Int64Dtype(), pa.int64(): pd.Int64Dtype(), pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype()}.get)
+        first, marks = found[self.row.names[0]].to_numpy(np.int64), found[MARK].to_numpy(object)
+        marked = ~pd.isna(marks)
+        came, order = self._typed(found[self.row.names] if not marked.any() else found.loc[~marked, self.row.names]), first[~marked]
         newest, released = self.time.get() if self.time.exists() else (None, None)
         behind = np.zeros(len(came), bool) if released is None else order <= released
         rest, late = (came[~behind], came[behind]) if behind.any() else (came, came[:0])
@@ -151,9 +189,19 @@ class OrderedColumns(Ordered):
             self.waiting.clear()
         self.time.update((newest, until))
         going = rows[ready] if not ready.all() else rows
-        for frame in self.released_columns(key, going.sort_values(self.row.names, na_position="first", ignore_index=True)):
+        for frame in self.released_columns(key, self._in_order(going)):
             yield from (frame[k : k + 100_000] for k in range(0, len(frame), 100_000))
 
+    def _in_order(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """By all columns, nulls first."""
+        first, *ties = self.row.names
+        order = rows[first].to_numpy(np.int64)
+        if (np.diff(order) > 0).all():
+            return rows.reset_index(drop=True)
+        if any(rows[c].dtype == object or rows[c].isna().any() for c in ties):
+            return rows.sort_values(self.row.names, na_position="first", ignore_index=True)
+        return rows.take(np.lexsort([*(rows[c].to_numpy() for c in reversed(ties)), order])).reset_index(drop=True)
+
     def _typed(self, rows: pd.DataFrame) -> pd.DataFrame:
         types = {"int": "Int64", "bigint": "Int64", "double": "Float64", "boolean": "boolean", "string": object}
         return rows.astype({f.name: types[f.dataType.simpleString()] for f in self.row.fields})
@@ -182,7 +230,7 @@ class OrderedColumns(Ordered):
 
 def run(rows: DataFrame, by: str, processor: Ordered) -> DataFrame:
     """The stream that the processor makes of rows (by, its fields, mark). Needs the RocksDB state store."""
-    return rows.select(by, *processor.row.names, MARK).groupBy(by).transformWithStateInPandas(processor, processor.output, "Append", "None" if processor.silent_ms is None else "ProcessingTime")
+    return packed(rows.select(by, *processor.row.names, MARK), by).groupBy(by).transformWithStateInPandas(processor, processor.output, "Append", "None" if processor.silent_ms is None else "ProcessingTime")
 
 
 def unmarked(rows: DataFrame) -> DataFrame:
