@@ -62,6 +62,14 @@ def unpacked(rows: Iterator[pd.DataFrame]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for found in rows for x in found["data"]])
 
 
+def in_order(rows: list[tuple]) -> list[tuple]:
+    """rows by all their values, nulls first."""
+    try:
+        return sorted(rows)  # rows that differ before a null meets a value need no keys
+    except TypeError:
+        return sorted(rows, key=lambda row: [(x is not None, x) for x in row])
+
+
 class Ordered(StatefulProcessor):
     """fields: DDL of a row's columns but the key, the first of which is the order; the rest break ties in their order. output: DDL of what is put out, the key first."""
 
@@ -105,7 +113,7 @@ class Ordered(StatefulProcessor):
         elif self.waiting.exists():
             self.waiting.clear()
         self.time.update((newest, until))
-        return self.released(sorted((row for row in rows if row[0] <= until), key=lambda row: [(x is not None, x) for x in row]))
+        return self.released(in_order([row for row in rows if row[0] <= until]))
 
     def _wait(self, timerValues) -> None:
         if self.silent_ms is not None:

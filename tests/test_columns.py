@@ -1,5 +1,7 @@
 """Streams over columns: rows travel packed, and the sticky query's joins broadcast nothing."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +62,10 @@ def test_radar_rows_of_other_kinds_are_left_out(spark, tmp_path, kinds):
     counts = {k: len([r for r in found if r.kind == k]) for k in ("frame", "skew", "missing")}
     want = {"frame": 199, "skew": 3, "missing": 5}  # stretches 2 to 4 without sweeps; 56 frames there and the first one lack a sweep of the last 300 ms
     assert counts == {k: n if kinds is None or k in kinds else 0 for k, n in want.items()}, counts
+
+
+def test_rows_are_in_order_with_nulls_first():
+    rng = random.Random(1)
+    for nulls in (0, 0.3):
+        rows = [(rng.randint(0, 9), *(None if rng.random() < nulls else rng.randint(0, 3) for _ in range(3))) for _ in range(500)]
+        assert ordered.in_order(rows) == sorted(rows, key=lambda row: [(x is not None, x) for x in row])
